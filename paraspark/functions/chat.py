@@ -7,7 +7,7 @@ shuffle at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -125,44 +125,53 @@ def fill_last_target(pairs, value, condition=None) -> Column:
     return F.when(cond, rebuilt).otherwise(p)
 
 
-def extract_pairs(messages, mode: str = T.NATIVE) -> Column:
-    """E4 + E5: marked first message -> E2 on it, last pair completed by the
-    last assistant message outside it; otherwise E3 on cleaned messages."""
-    m = _c(messages)
-    marked = split_marked(F.get(m, 0)["content"], mode)
-    ext = last_assistant(m)
-    marked = fill_last_target(marked, ext, ext != F.lit(""))
-    greedy = greedy_pairs(clean_messages(m, mode))
-    out = F.when(is_marked_first(m), marked).otherwise(greedy)
-    return F.coalesce(out, empty_pairs())
-
-
 def count_marker(c, marker: str) -> Column:
     """Non-overlapping occurrences of ``marker`` in a string."""
     s = F.coalesce(_c(c), F.lit(""))
-    return F.floor((F.length(s) - F.length(F.replace(s, F.lit(marker), F.lit("")))) / len(marker)).cast("int")
+    return ((F.length(s) - F.length(F.replace(s, F.lit(marker), F.lit("")))) / F.lit(len(marker))).cast("int")
 
 
 def messages_marker_count(messages, marker: str) -> Column:
+    """Marker occurrences summed over all message contents."""
     return F.aggregate(_c(messages), F.lit(0), lambda acc, x: acc + count_marker(x["content"], marker))
 
 
-def complete_unmatched(pairs, messages, fallback=None, messages_text=None) -> Column:
-    """When user markers (+1) exceed assistant markers by exactly one and the
-    last target is empty, use the cleaned ``fallback`` column ('' if absent)."""
-    if messages_text is not None:
-        users = count_marker(messages_text, S.USER_MARK) + 1
-        assts = count_marker(messages_text, S.ASSISTANT_MARK)
-    else:
-        users = messages_marker_count(messages, S.USER_MARK) + 1
-        assts = messages_marker_count(messages, S.ASSISTANT_MARK)
-    fb = T.clean_text(F.coalesce(_c(fallback), F.lit(""))) if fallback is not None else F.lit("")
-    return fill_last_target(pairs, fb, (users - assts) == F.lit(1))
+def add_pairs(df: DataFrame, messages: str = "messages", mode: str = T.NATIVE,
+              fallback: str | None = None, text: str | None = None,
+              out: str = "pairs") -> DataFrame:
+    """E4 + E5 + E6 as staged projections (each array built once per row).
 
-
-def safe_extract(messages, mode: str = T.NATIVE, fallback=None, messages_text=None) -> Column:
-    """E4/E5/E6 composed: the per-row pair extractor."""
-    return complete_unmatched(extract_pairs(messages, mode), messages, fallback, messages_text)
+    E4: a marked first ``user`` message -> E2 on it, the last pair completed by
+    the last assistant message outside it (E5); otherwise E3 on the messages
+    cleaned by D6 then D5. E6: when user markers (+1) exceed assistant markers
+    by exactly one and the last target is still empty, use the cleaned
+    ``fallback`` column ('' when absent). ``text`` is the stringified list the
+    markers are counted in (row_repr input); native input counts in contents.
+    """
+    m = F.col(messages)
+    if text is not None:
+        users = count_marker(F.col(text), S.USER_MARK) + 1
+        assts = count_marker(F.col(text), S.ASSISTANT_MARK)
+    else:
+        users = messages_marker_count(m, S.USER_MARK) + 1
+        assts = messages_marker_count(m, S.ASSISTANT_MARK)
+    fb = T.clean_text(F.coalesce(F.col(fallback), F.lit(""))) if fallback else F.lit("")
+    keep = [c for c in df.columns]
+    stage1 = df.select(
+        *keep,
+        is_marked_first(m).alias("_mk"),
+        split_marked(F.get(m, 0)["content"], mode).alias("_sp"),
+        last_assistant(m).alias("_ext"),
+        clean_messages(m, mode).alias("_cm"),
+        ((users - assts) == F.lit(1)).alias("_unmatched"),
+        fb.alias("_fb"),
+    )
+    stage2 = stage1.select(
+        *keep, "_unmatched", "_fb",
+        F.when(F.col("_mk"), fill_last_target("_sp", F.col("_ext"), F.col("_ext") != F.lit("")))
+        .otherwise(greedy_pairs("_cm")).alias("_p0"))
+    return stage2.select(
+        *keep, fill_last_target("_p0", F.col("_fb"), F.col("_unmatched")).alias(out))
 
 
 def has_no_pairs(pairs) -> Column:

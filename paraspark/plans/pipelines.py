@@ -22,23 +22,26 @@ def chat_to_pairs(raw: DataFrame, mode: str = T.NATIVE, fallback: str | None = N
     ``mode='native'`` expects ``messages`` as ARRAY<STRUCT>; ``'row_repr'``
     expects the stringified list (parsed with E1, rules applied verbatim).
     """
+    cols = ["dataset", "id", "direction"] + ([fallback] if fallback else [])
+    kept = keep_directions(raw)
     if mode == T.ROW_REPR:
-        msgs = C.parse_row_repr("messages")
-        text = F.col("messages")
+        staged = kept.select(*cols, C.parse_row_repr("messages").alias("_msgs"),
+                             F.col("messages").alias("_text"))
+        with_p = C.add_pairs(staged, "_msgs", mode, fallback, "_text")
     else:
-        msgs = F.col("messages")
-        text = None
-    fb = F.col(fallback) if fallback else None
-    pairs = C.safe_extract(msgs, mode, fb, text)
-    return (keep_directions(raw)
-            .select("dataset", "id", "direction", pairs.alias("pairs"))
-            .withColumn("problem", C.has_no_pairs("pairs")))
+        staged = kept.select(*cols, F.col("messages").alias("_msgs"))
+        with_p = C.add_pairs(staged, "_msgs", mode, fallback)
+    return with_p.select("dataset", "id", "direction", "pairs",
+                         C.has_no_pairs("pairs").alias("problem"))
 
 
 def flatten_pairs(df: DataFrame) -> DataFrame:
     """E7 + C9/C10: one row per pair with normalised codes, order kept in ``pos``."""
     parts = L.split_direction("direction")
-    x = df.select("id", parts.alias("dir"), F.posexplode("pairs").alias("pos", "pair"))
+    # explode_outer + filter keeps the optimizer from re-deriving the array in
+    # an inferred size(pairs) > 0 filter below the generator
+    x = (df.select("id", parts.alias("dir"), F.posexplode_outer("pairs").alias("pos", "pair"))
+         .filter(F.col("pos").isNotNull()))
     return x.select(
         "id", "pos",
         L.normalize_lang(F.col("dir")[0]).alias("source_lang"),

@@ -124,3 +124,53 @@ SELECT source_lang, target_lang, count(*) AS total
 FROM (SELECT DISTINCT source_lang, source_text, target_lang, target_text FROM flat WHERE {exportable()})
 GROUP BY source_lang, target_lang
 ORDER BY total DESC, source_lang, target_lang"""
+
+
+TR = f"""tr AS (
+  SELECT doc_id AS id, {pick(A.SOURCE_LANGS_BY_MOD4, 'doc_id % 4')} AS source_lang, text AS source_text,
+         {pick(A.TARGET_LANGS_BY_MOD4, 'doc_id % 4')} AS target_lang, substr(text, 1, {A.TARGET_CHARS}) AS target_text
+  FROM documents)"""
+
+TRN = f"""trn AS (
+  SELECT id, {normalize_lang('source_lang')} AS source_lang, source_text,
+         {normalize_lang('target_lang')} AS target_lang, target_text FROM tr)"""
+
+LINES = f"""lines AS (
+  SELECT doc_id, lang, pos - 1 AS pos, line FROM (
+    SELECT doc_id, lang, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+    FROM (SELECT doc_id, lang, list_transform(string_split({strip_ws('text')}, chr(10)), lambda x: {strip_ws('x')}) AS parts
+          FROM documents))
+  WHERE line <> '')"""
+
+
+def py_repr(x: str) -> str:
+    body = (f"replace(replace(replace(replace({x}, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), "
+            f"chr(9), chr(92) || 't'), chr(160), chr(92) || 'xa0')")
+    return (f"(CASE WHEN contains({x}, chr(39)) AND NOT contains({x}, '\"') THEN '\"' || {body} || '\"' "
+            f"ELSE chr(39) || replace({body}, chr(39), chr(92) || chr(39)) || chr(39) END)")
+
+
+# the mixed (marked) messages of even conversations, in long form:
+# one row per message with its position in the sample
+MARKED = f"""ua AS (
+  SELECT conv_id, seg, turn, role, content,
+         row_number() OVER (PARTITION BY conv_id, seg ORDER BY turn DESC) AS rdesc,
+         count(*) OVER (PARTITION BY conv_id, seg) AS n_ua
+  FROM turns WHERE role IN ('user', 'assistant')),
+ua_last AS (SELECT conv_id, seg, role = 'assistant' AS last_is_asst, content AS last_content FROM ua WHERE rdesc = 1),
+ua_body AS (
+  SELECT u.conv_id, u.seg,
+         regexp_replace(string_agg('<|' || u.role || '|>' || u.content, '' ORDER BY u.turn), '^<\\|user\\|>', '') AS joined
+  FROM ua u JOIN ua_last l USING (conv_id, seg)
+  WHERE NOT (l.last_is_asst AND u.rdesc = 1)
+  GROUP BY u.conv_id, u.seg),
+marked_msgs AS (
+  SELECT conv_id, seg, 0 AS mpos, coalesce(b.joined, '') AS content, 'user' AS role
+  FROM ua_last l LEFT JOIN ua_body b USING (conv_id, seg) WHERE conv_id % 2 = 0
+  UNION ALL
+  SELECT conv_id, seg, 1 AS mpos, last_content AS content, 'assistant' AS role
+  FROM ua_last WHERE conv_id % 2 = 0 AND last_is_asst
+  UNION ALL
+  SELECT conv_id, seg, row_number() OVER (PARTITION BY conv_id, seg ORDER BY turn) - 1 AS mpos, content, role
+  FROM turns WHERE conv_id % 2 = 1
+     OR (conv_id, seg) NOT IN (SELECT conv_id, seg FROM ua_last))"""
