@@ -53,9 +53,9 @@ register("d3_backslashes", _turn_sql(
     _turn_query(T.unescape_backslashes))
 register("d4_trim", _turn_sql(Q.strip_ws("{x}")))(_turn_query(T.strip_ws))
 register("d5_clean_text", _turn_sql(Q.clean("{x}")))(_turn_query(T.clean_text))
-register("d8_full_prefix", _turn_sql(
-    f"CASE WHEN contains({{x}}, {Q.q(S.FULL_PREFIX)}) THEN {Q.strip_ws(f'replace({{x}}, {Q.q(S.FULL_PREFIX)}, '')')} ELSE {{x}} END"))(
-    _turn_query(T.strip_full_prefix))
+D8_SQL = ("CASE WHEN contains({x}, " + Q.q(S.FULL_PREFIX) + ") THEN "
+          + Q.strip_ws("replace({x}, " + Q.q(S.FULL_PREFIX) + ", '')") + " ELSE {x} END")
+register("d8_full_prefix", _turn_sql(D8_SQL))(_turn_query(T.strip_full_prefix))
 register("d9_length", _turn_sql("length({x})"))(_turn_query(T.char_length))
 register("d11_has_script", _turn_sql(f"regexp_matches({{x}}, {Q.q(S.ARABIC_CLASS)})"))(_turn_query(T.has_script))
 

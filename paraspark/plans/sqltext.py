@@ -174,3 +174,10 @@ marked_msgs AS (
   SELECT conv_id, seg, row_number() OVER (PARTITION BY conv_id, seg ORDER BY turn) - 1 AS mpos, content, role
   FROM turns WHERE conv_id % 2 = 1
      OR (conv_id, seg) NOT IN (SELECT conv_id, seg FROM ua_last))"""
+
+
+HYPREF = f"""hr AS (
+  SELECT CAST(a.conv_id AS VARCHAR) || '-' || CAST(a.turn AS VARCHAR) AS key, a.text AS hyp, u.text AS ref,
+         array_to_string(list_filter(string_split_regex({strip_ws('a.text')}, {q(S.WS_CLASS + '+')}), lambda t, i: (i - 1) % 3 <> 2), ' ') AS hyp_b
+  FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user'
+  WHERE a.role = 'assistant')"""
