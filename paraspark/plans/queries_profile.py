@@ -155,7 +155,8 @@ def f19_dataset_profile(spark, d):
   FROM (VALUES ('conv_id', 'bigint'), ('turn', 'bigint'), ('role', 'string'), ('text', 'string')) v("column", "type")
   JOIN (SELECT unnest(['conv_id', 'turn', 'role', 'text']) AS "column",
                unnest([count(conv_id), count(turn), count(role), count(text)]) AS non_null FROM conversations) c
-  ON c."column" = v."column"""")
+  ON c."column" = v."column"
+""")
 def f20_completeness(spark, d):
     return PR.completeness(A.table(spark, d, "conversations"))
 
