@@ -149,7 +149,7 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_id"),
         F.col("event_type").alias("metric"),
-        F.unix_millis(F.col("ts")).alias("ts_ms"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
         F.col("value"),
         F.col("event_id").alias("step"),
     )
