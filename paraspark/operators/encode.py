@@ -28,7 +28,7 @@ def whitespace_tokens(c) -> Column:
 def vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
     """(token, id) with id 1.. by (count desc, token)."""
     counts = tokens.groupBy(token).agg(F.count(F.lit(1)).alias("freq"))
-    return with_row_index(counts, [F.desc("freq"), F.col(token)], "tok_id").select(token, "tok_id", "freq")
+    return with_row_index(counts, [("freq", False), token], "tok_id").select(token, "tok_id", "freq")
 
 
 def encode(df: DataFrame, key: str, text_cols: list[str], seq_len: int = S.SEQ_LEN) -> DataFrame:

@@ -1,20 +1,29 @@
 """Distributed dense numbering (H3) and what builds on it.
 
 ``with_row_index`` gives rows 1..n following an order without a
-single-partition window: the rows are range-partitioned and sorted inside
-each partition, each row takes its position inside its partition, and a
-table with one count per partition (bounded by the partition count, so it
-is safe to broadcast) supplies the offsets. Both uses of the range shuffle
-read the same exchange, so partition membership is identical; ties may
-order differently on a retry but the numbering stays dense and exact.
+single-partition window:
+
+1. a seeded sample of the sort keys (about ``SAMPLE_PER_BUCKET`` keys per
+   bucket, so bounded by the bucket count) yields ``buckets - 1`` boundary
+   keys, fixed once as literals;
+2. each row's bucket is a pure function of its key (a binary search written
+   as nested CASE expressions), so every branch of the plan and every task
+   retry puts a row in the same bucket;
+3. one count per bucket (a table bounded by the bucket count, broadcast-safe)
+   gives each bucket's offset, and ``row_number`` inside the bucket gives the
+   rest.
+
+Keys must be non-null. With a total order the numbering is deterministic; with
+ties it is still dense and exact (ties may swap places between runs).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOCAL_BITS = 33  # monotonically_increasing_id: partition index in the upper 31 bits
+SAMPLE_PER_BUCKET = 20
+SAMPLE_SEED = 17
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -23,24 +32,73 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _key(c) -> tuple[Column, bool]:
+    """(expression, ascending) from a name, a Column or an (expr, asc) pair."""
+    if isinstance(c, tuple):
+        e, asc = c
+        return (F.col(e) if isinstance(e, str) else e), asc
+    return (F.col(c) if isinstance(c, str) else c), True
+
+
+def _after(keys: list[tuple[Column, bool]], bound: tuple) -> Column:
+    """Row key strictly after ``bound`` in the (mixed-direction) order."""
+    out = None
+    eq_prefix = F.lit(True)
+    for (e, asc), b in zip(keys, bound):
+        lit = F.lit(b)
+        step = eq_prefix & ((e > lit) if asc else (e < lit))
+        out = step if out is None else (out | step)
+        eq_prefix = eq_prefix & (e == lit)
+    return out
+
+
+def _bucket_expr(keys, bounds: list[tuple], lo: int, hi: int) -> Column:
+    """Bucket in [lo, hi] by binary search over ``bounds`` (bounds[i] ends bucket i)."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(_after(keys, bounds[mid]), _bucket_expr(keys, bounds, mid + 1, hi)).otherwise(
+        _bucket_expr(keys, bounds, lo, mid))
+
+
 def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index", start: int = 1,
                    num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = start, start+1, ... following ``order_cols`` (Columns or names)."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    n = _partitions(df, num_partitions)
-    tagged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = tagged.select("*", F.shiftright("_mid", _LOCAL_BITS).alias("_pid"),
-                           (F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)).alias("_loc"))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # at most one row per partition: a bounded, broadcast-safe table
+    """Add ``name`` = start, start+1, ... following ``order_cols``.
+
+    ``order_cols`` items are names, Columns (ascending) or (expr, ascending) pairs.
+    """
+    keys = [_key(c) for c in order_cols]
+    k_names = [f"_k{i}" for i in range(len(keys))]
+    keyed = df.select("*", *[e.alias(n) for (e, _), n in zip(keys, k_names)])
+    kcols = [(F.col(n), asc) for n, (_, asc) in zip(k_names, keys)]
+    buckets = max(1, _partitions(df, num_partitions))
+
+    bounds: list[tuple] = []
+    if buckets > 1:
+        n = keyed.count()
+        if n > buckets:
+            frac = min(1.0, SAMPLE_PER_BUCKET * buckets / n)
+            sample = (keyed.select(*k_names).sample(False, frac, SAMPLE_SEED)
+                      .orderBy(*[c.asc() if asc else c.desc() for c, asc in kcols]))
+            # at most ~SAMPLE_PER_BUCKET * buckets keys reach the driver
+            rows = [tuple(r) for r in sample.collect()]
+            if rows:
+                step = len(rows) / buckets
+                bounds = [rows[min(len(rows) - 1, int(step * (i + 1)) - 1)] for i in range(buckets - 1)]
+    bucket = _bucket_expr(kcols, bounds, 0, len(bounds)) if bounds else F.lit(0)
+    b = keyed.withColumn("_bucket", bucket)
+
+    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per bucket: bounded, broadcast-safe
     offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+        "_bucket",
+        F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"))
-    out = tagged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, F.col("_off") + F.col("_loc") + F.lit(start)).drop(
-        "_mid", "_pid", "_loc", "_off")
+    w = Window.partitionBy("_bucket").orderBy(*[c.asc() if asc else c.desc() for c, asc in kcols])
+    ranked = b.withColumn("_rn", F.row_number().over(w))
+    out = ranked.join(F.broadcast(offsets), "_bucket")
+    return out.withColumn(name, F.col("_off") + F.col("_rn") - 1 + F.lit(start)).drop(
+        "_bucket", "_rn", "_off", *k_names)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float],

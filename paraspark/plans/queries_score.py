@@ -77,7 +77,7 @@ def f15_compare_systems(spark, d):
 # ----------------------------------------------------------- run metrics
 
 ML = """ml AS (
-  SELECT 'run' || CAST(user_id AS VARCHAR) AS run_id, event_type AS metric, epoch_ms(ts) AS ts_ms, value, event_id AS step
+  SELECT 'run' || CAST(user_id AS VARCHAR) AS run_id, event_type AS metric, epoch_us(ts) // 1000 AS ts_ms, value, event_id AS step
   FROM events)"""
 BEST = """best AS (
   SELECT run_id, metric, step AS best_step, value AS best_value FROM (
