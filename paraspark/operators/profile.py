@@ -115,3 +115,29 @@ def completeness(df: DataFrame) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"),
                               F.col(f"c{i}").alias("non_null")) for i, c in enumerate(cols)])
     return wide.select(F.inline(rows))
+
+
+def flatten_card(card_json) -> DataFrame | F.Column:
+    """A dataset card (JSON text) -> flat profile struct with defaults for
+    missing keys (downloads 0, likes 0, gated/disabled false, lists empty).
+    The file count counts files, not dictionary keys."""
+    from paraspark import schemas as S
+    c = F.from_json(F.col(card_json) if isinstance(card_json, str) else card_json, S.CARD_SCHEMA)
+    empty = F.array().cast("array<string>")
+    files = F.flatten(F.transform(F.map_values(F.coalesce(c["files"], F.create_map().cast(
+        "map<string,map<string,array<string>>>"))), lambda m: F.flatten(F.map_values(m))))
+    return F.struct(
+        c["id"].alias("nom"), c["author"].alias("auteur"),
+        F.coalesce(c["description"], F.lit("")).alias("description"),
+        c["cardData"]["license"].alias("licence"), c["lastModified"].alias("mis_a_jour"),
+        F.coalesce(c["gated"], F.lit(False)).alias("acces_restreint"),
+        F.coalesce(c["disabled"], F.lit(False)).alias("desactive"),
+        F.coalesce(c["downloads"], F.lit(0).cast("long")).alias("telechargements"),
+        F.coalesce(c["likes"], F.lit(0).cast("long")).alias("likes"),
+        F.coalesce(c["tags"], empty).alias("tags"),
+        F.coalesce(c["cardData"]["metrics"], empty).alias("metriques"),
+        F.coalesce(c["cardData"]["task_categories"], empty).alias("taches"),
+        F.coalesce(c["cardData"]["size_categories"], empty).alias("taille"),
+        F.lit("Parquet").alias("format"),
+        F.size(files).alias("fichiers_nombre"),
+    )

@@ -25,4 +25,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from paraspark.plans import queries_core, queries_text, queries_chat, queries_table, queries_profile, queries_score, queries_io  # noqa: F401
+    from paraspark.plans import queries_core, queries_text, queries_chat, queries_table, queries_profile, queries_score, queries_io, queries_misc  # noqa: F401

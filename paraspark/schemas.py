@@ -171,7 +171,7 @@ CARD_SCHEMA = (
     "id STRING, author STRING, description STRING, lastModified STRING, gated BOOLEAN, "
     "disabled BOOLEAN, downloads BIGINT, likes BIGINT, tags ARRAY<STRING>, "
     "cardData STRUCT<license: STRING, metrics: ARRAY<STRING>, task_categories: ARRAY<STRING>, "
-    "size_categories: ARRAY<STRING>>, files: MAP<STRING, MAP<STRING, ARRAY<STRING>>>, "
-    "siblings: ARRAY<STRUCT<rfilename: STRING>>"
+    "size_categories: ARRAY<STRING>>, files MAP<STRING, MAP<STRING, ARRAY<STRING>>>, "
+    "siblings ARRAY<STRUCT<rfilename: STRING>>"
 )
 
