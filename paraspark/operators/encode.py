@@ -21,37 +21,50 @@ PAD_ID = 0
 
 
 def whitespace_tokens(c) -> Column:
+    """Whitespace tokens; after trimming, only an empty text yields an empty
+    piece, so no per-element filter is needed."""
     x = F.col(c) if isinstance(c, str) else c
-    return F.filter(F.split(F.btrim(x, F.lit(S.WS_CHARS)), S.WS_CLASS + "+"), lambda t: t != F.lit(""))
+    t = F.btrim(x, F.lit(S.WS_CHARS))
+    return F.when(t == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(t, S.WS_CLASS + "+"))
 
 
 def vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
     """(token, id) with id 1.. by (count desc, token)."""
     counts = tokens.groupBy(token).agg(F.count(F.lit(1)).alias("freq"))
-    return with_row_index(counts, [("freq", False), token], "tok_id").select(token, "tok_id", "freq")
+    # the vocabulary is an aggregate over every token: materialise it once
+    return with_row_index(counts, [("freq", False), token], "tok_id", materialize=True).select(
+        token, "tok_id", "freq")
 
 
 def encode(df: DataFrame, key: str, text_cols: list[str], seq_len: int = S.SEQ_LEN) -> DataFrame:
-    """(key, <col>_ids ...) truncated to ``seq_len`` and right-padded with PAD_ID."""
-    long = None
-    for c in text_cols:
-        part = df.select(key, F.lit(c).alias("field"), F.posexplode(whitespace_tokens(c)).alias("pos", "token"))
-        long = part if long is None else long.unionByName(part)
-    vocab = vocabulary(long.select("token"))
-    head = long.filter(F.col("pos") < seq_len)
+    """(key, <col>_ids ...) truncated to ``seq_len`` and right-padded with PAD_ID.
+
+    Tokens are split once per row; the vocabulary sees every token, the id
+    lookup only the first ``seq_len`` of each text (sliced before exploding).
+    """
+    tok_names = [f"_t{i}" for i in range(len(text_cols))]
+    toks = df.select(key, *[whitespace_tokens(c).alias(t) for c, t in zip(text_cols, tok_names)])
+    every = None
+    head = None
+    for c, t in zip(text_cols, tok_names):
+        e = toks.select(F.explode(t).alias("token"))
+        h = toks.select(key, F.lit(c).alias("field"),
+                        F.posexplode(F.slice(t, 1, seq_len)).alias("pos", "token"))
+        every = e if every is None else every.unionByName(e)
+        head = h if head is None else head.unionByName(h)
+    vocab = vocabulary(every)
     ids = head.join(vocab.select("token", "tok_id"), "token")
-    seqs = ids.groupBy(key, "field").agg(F.sort_array(F.collect_list(F.struct("pos", "tok_id"))).alias("_s"))
-    seqs = seqs.select(key, "field", F.transform("_s", lambda x: x["tok_id"]).alias("_ids"))
-    padded = seqs.select(key, "field", F.concat("_ids", F.array_repeat(F.lit(PAD_ID).cast("long"),
-                                                                       F.lit(seq_len) - F.size("_ids"))).alias("ids"))
-    out = df.select(key)
-    for c in text_cols:
-        sub = padded.filter(F.col("field") == c).select(key, F.col("ids").alias(f"{c}_ids"))
-        out = out.join(sub, key, "left")
-    for c in text_cols:
-        out = out.withColumn(f"{c}_ids", F.coalesce(F.col(f"{c}_ids"),
-                                                    F.array_repeat(F.lit(PAD_ID).cast("long"), seq_len)))
-    return out
+    pad = F.array_repeat(F.lit(PAD_ID).cast("long"), seq_len)
+    per_key = ids.groupBy(key).agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("field") == c, F.struct("pos", "tok_id")))).alias(f"_s{i}")
+        for i, c in enumerate(text_cols)])
+    out = toks.select(key).join(per_key, key, "left")
+    cols = []
+    for i, c in enumerate(text_cols):
+        got = F.transform(F.coalesce(F.col(f"_s{i}"), F.array().cast("array<struct<pos:int,tok_id:long>>")),
+                          lambda x: x["tok_id"])
+        cols.append(F.slice(F.concat(got, pad), 1, seq_len).alias(f"{c}_ids"))
+    return out.select(key, *cols)
 
 
 def truncation_report(df: DataFrame, lang: str, text: str, seq_len: int = S.SEQ_LEN) -> DataFrame:

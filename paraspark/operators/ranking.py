@@ -62,14 +62,21 @@ def _bucket_expr(keys, bounds: list[tuple], lo: int, hi: int) -> Column:
 
 
 def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index", start: int = 1,
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, materialize: bool = False) -> DataFrame:
     """Add ``name`` = start, start+1, ... following ``order_cols``.
 
     ``order_cols`` items are names, Columns (ascending) or (expr, ascending) pairs.
+    The input is read three times (count, bound sample, numbering); when its
+    lineage is expensive, ``materialize`` writes it once to the shared
+    checkpoint folder (a reliable checkpoint that survives executor loss).
     """
     keys = [_key(c) for c in order_cols]
     k_names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.select("*", *[e.alias(n) for (e, _), n in zip(keys, k_names)])
+    if materialize:
+        from paraspark.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        keyed = keyed.checkpoint(eager=True)
     kcols = [(F.col(n), asc) for n, (_, asc) in zip(k_names, keys)]
     buckets = max(1, _partitions(df, num_partitions))
 
