@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from paraspark import schemas as S
 from paraspark.functions import chat as C
@@ -161,7 +162,7 @@ def f20_completeness(spark, d):
     return PR.completeness(A.table(spark, d, "conversations"))
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def _count_json_messages(s: pd.Series) -> pd.Series:
     """Arrow-batched reference implementation of the message count (test oracle only)."""
     def one(x):
