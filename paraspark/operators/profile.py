@@ -42,16 +42,19 @@ def five_number(df: DataFrame, col: str) -> DataFrame:
 
 def eight_number(df: DataFrame, col: str) -> DataFrame:
     """F8 plus exact linear-interpolated quartiles (distributed ranking,
-    no single-buffer percentile)."""
+    no single-buffer percentile). The two one-row results are combined as
+    (stat, value) rows and folded by one aggregate: no join."""
     base = five_number(df, col)
     q = exact_quantiles(df, col, [0.25, 0.5, 0.75])
-    # both sides are single-row aggregates
-    return _one_row_join(base, q)
+    names = base.columns + q.columns
 
+    def long(x: DataFrame) -> DataFrame:
+        return x.select(F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("v"))
+                                              for c in x.columns])).alias("s")).select("s.*")
 
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two single-row aggregates on a constant key."""
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    folded = long(base).unionByName(long(q)).agg(
+        *[F.max(F.when(F.col("stat") == c, F.col("v"))).alias(c) for c in names])
+    return folded.withColumn("count", F.col("count").cast("long"))
 
 
 def mean_by(df: DataFrame, key: str, col: str, digits: int = 2, name: str = "mean") -> DataFrame:
@@ -62,24 +65,27 @@ def mean_by(df: DataFrame, key: str, col: str, digits: int = 2, name: str = "mea
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """equal-width histogram over [min, max], last bin closed, every bin
-    reported (empty ones with 0); min == max widens the range by 0.5 each way."""
+    reported (empty ones with 0); min == max widens the range by 0.5 each way.
+
+    The range is two scalars read back from one aggregate; the bin table has
+    ``bins`` rows. No data reaches the driver and no join multiplies rows."""
+    spark = df.sparkSession
     x = F.col(col).cast("double")
     vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
-    st = vals.agg(F.min("_x").alias("lo0"), F.max("_x").alias("hi0"))
-    st = st.select(F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
-                   F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"))
-    # one-row range table: broadcast-safe
-    stk = st.withColumn("_k", F.lit(1))
-    binned = vals.withColumn("_k", F.lit(1)).join(F.broadcast(stk), "_k").select(
-        F.least(F.floor((F.col("_x") - F.col("lo")) * F.lit(bins) / (F.col("hi") - F.col("lo"))) + 1,
-                F.lit(bins)).cast("int").alias("bin"))
+    lo, hi = vals.agg(F.min("_x"), F.max("_x")).first()
+    if lo is None:
+        return spark.createDataFrame([], "bin INT, bin_start DOUBLE, bin_end DOUBLE, count BIGINT")
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    flo, fhi, fn = F.lit(float(lo)), F.lit(float(hi)), F.lit(bins)
+    binned = vals.select(F.least(F.floor((F.col("_x") - flo) * fn / (fhi - flo)) + 1, fn).cast("int").alias("bin"))
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    edges = stk.select(F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "lo", "hi")
-    edges = edges.select(
-        "bin",
-        (F.col("lo") + (F.col("bin") - 1) * (F.col("hi") - F.col("lo")) / F.lit(bins)).alias("bin_start"),
-        (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.lit(bins)).alias("bin_end"))
-    return (edges.join(counts, "bin", "left")
+    edges = spark.range(1, bins + 1).select(
+        F.col("id").cast("int").alias("bin"),
+        (flo + (F.col("id") - 1) * (fhi - flo) / fn).alias("bin_start"),
+        (flo + F.col("id") * (fhi - flo) / fn).alias("bin_end"))
+    # edges has ``bins`` rows: a bounded, broadcast-safe side
+    return (F.broadcast(edges).join(counts, "bin", "left")
             .select("bin", "bin_start", "bin_end", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 

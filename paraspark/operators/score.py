@@ -64,13 +64,20 @@ def bleu_stats(df: DataFrame, group: list[str], key: str, hyp: str, ref: str) ->
     r = grams("_r").groupBy(*keys).agg(F.count(F.lit(1)).alias("rc"))
     clipped = (h.join(r, keys, "left")
                .groupBy(*group, "n").agg(F.sum(F.least("hc", F.coalesce("rc", F.lit(0)))).alias("correct")))
-    lens = tok.groupBy(*group).agg(
-        F.sum(F.size("_h")).alias("sys_len"), F.sum(F.size("_r")).alias("ref_len"),
-        *[F.sum(F.greatest(F.size("_h") - (n - 1), F.lit(0))).alias(f"total_{n}") for n in range(1, MAX_ORDER + 1)])
-    wide = clipped.groupBy(*group).agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("correct"))), F.lit(0)).alias(f"correct_{n}")
-          for n in range(1, MAX_ORDER + 1)])
-    return lens.join(wide, group, "left").na.fill(0, [f"correct_{n}" for n in range(1, MAX_ORDER + 1)])
+    zero = F.lit(0).cast("long")
+    # per-row lengths and clipped counts share one schema and one final
+    # aggregate, so the two sides are combined without a join
+    stat_cols = ["sys_len", "ref_len"] + [f"total_{n}" for n in range(1, MAX_ORDER + 1)] + \
+                [f"correct_{n}" for n in range(1, MAX_ORDER + 1)]
+    lens = tok.select(*group, F.size("_h").cast("long").alias("sys_len"), F.size("_r").cast("long").alias("ref_len"),
+                      *[F.greatest(F.size("_h") - (n - 1), F.lit(0)).cast("long").alias(f"total_{n}")
+                        for n in range(1, MAX_ORDER + 1)],
+                      *[zero.alias(f"correct_{n}") for n in range(1, MAX_ORDER + 1)])
+    corr = clipped.select(*group, zero.alias("sys_len"), zero.alias("ref_len"),
+                          *[zero.alias(f"total_{n}") for n in range(1, MAX_ORDER + 1)],
+                          *[F.when(F.col("n") == n, F.col("correct")).otherwise(zero).cast("long").alias(f"correct_{n}")
+                            for n in range(1, MAX_ORDER + 1)])
+    return lens.unionByName(corr).groupBy(*group).agg(*[F.sum(c).alias(c) for c in stat_cols])
 
 
 def bleu_from_stats(stats: DataFrame, group: list[str]) -> DataFrame:
