@@ -15,17 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paraspark import schemas as S
+from paraspark.functions import text as T
 from paraspark.operators.ranking import with_row_index
 
 PAD_ID = 0
 
 
 def whitespace_tokens(c) -> Column:
-    """Whitespace tokens; after trimming, only an empty text yields an empty
-    piece, so no per-element filter is needed."""
-    x = F.col(c) if isinstance(c, str) else c
-    t = F.btrim(x, F.lit(S.WS_CHARS))
-    return F.when(t == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(t, S.WS_CLASS + "+"))
+    """Whitespace tokens (str.split() semantics)."""
+    return T.ws_tokens(c)
 
 
 def vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paraspark import schemas as S
+from paraspark.functions import text as T
 
 MAX_ORDER = 4
 
@@ -39,8 +40,7 @@ def tokenize_13a(c) -> Column:
     x = F.concat(F.lit(" "), x, F.lit(" "))
     for pat, rep in TOKENIZE_13A:
         x = F.regexp_replace(x, pat, rep)
-    parts = F.split(F.btrim(x, F.lit(S.WS_CHARS)), S.WS_CLASS + "+")
-    return F.filter(parts, lambda t: t != F.lit(""))
+    return T.ws_tokens(x)
 
 
 def _ngrams(tokens: Column, n: int) -> Column:
@@ -51,32 +51,33 @@ def _ngrams(tokens: Column, n: int) -> Column:
 
 
 def bleu_stats(df: DataFrame, group: list[str], key: str, hyp: str, ref: str) -> DataFrame:
-    """Per group: sys_len, ref_len, and correct_n / total_n for n = 1..4."""
+    """Per group: sys_len, ref_len, and correct_n / total_n for n = 1..4.
+
+    Both sides' n-grams are exploded into one stream with a side flag and
+    counted by a single aggregation keyed by (group, row, n, gram): the
+    clipped count is least(hyp count, ref count) of each key. Grams of one
+    row sit in the same input partition, so the partial aggregate collapses
+    repeats before the shuffle. Lengths and clipped counts share one schema
+    and one final aggregate (no join)."""
     tok = df.select(*group, key, tokenize_13a(hyp).alias("_h"), tokenize_13a(ref).alias("_r"))
-
-    def grams(side: str) -> DataFrame:
-        return tok.select(*group, key, F.explode(F.array(*[
-            F.struct(F.lit(n).alias("n"), _ngrams(F.col(side), n).alias("g")) for n in range(1, MAX_ORDER + 1)
-        ])).alias("_x")).select(*group, key, F.col("_x.n").alias("n"), F.explode("_x.g").alias("gram"))
-
-    keys = [*group, key, "n", "gram"]
-    h = grams("_h").groupBy(*keys).agg(F.count(F.lit(1)).alias("hc"))
-    r = grams("_r").groupBy(*keys).agg(F.count(F.lit(1)).alias("rc"))
-    clipped = (h.join(r, keys, "left")
-               .groupBy(*group, "n").agg(F.sum(F.least("hc", F.coalesce("rc", F.lit(0)))).alias("correct")))
+    sides = [F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), _ngrams(F.col(col), n).alias("g"))
+             for side, col in (("h", "_h"), ("r", "_r")) for n in range(1, MAX_ORDER + 1)]
+    grams = (tok.select(*group, key, F.explode(F.array(*sides)).alias("_x"))
+             .select(*group, key, F.col("_x.side").alias("side"), F.col("_x.n").alias("n"),
+                     F.explode("_x.g").alias("gram")))
+    counts = grams.groupBy(*group, key, "n", "gram").agg(
+        F.sum(F.when(F.col("side") == "h", 1).otherwise(0)).alias("hc"),
+        F.sum(F.when(F.col("side") == "r", 1).otherwise(0)).alias("rc"))
     zero = F.lit(0).cast("long")
-    # per-row lengths and clipped counts share one schema and one final
-    # aggregate, so the two sides are combined without a join
-    stat_cols = ["sys_len", "ref_len"] + [f"total_{n}" for n in range(1, MAX_ORDER + 1)] + \
-                [f"correct_{n}" for n in range(1, MAX_ORDER + 1)]
+    orders = range(1, MAX_ORDER + 1)
+    stat_cols = ["sys_len", "ref_len"] + [f"total_{n}" for n in orders] + [f"correct_{n}" for n in orders]
+    corr = counts.select(*group, zero.alias("sys_len"), zero.alias("ref_len"),
+                         *[zero.alias(f"total_{n}") for n in orders],
+                         *[F.when(F.col("n") == n, F.least("hc", "rc")).otherwise(zero).cast("long")
+                           .alias(f"correct_{n}") for n in orders])
     lens = tok.select(*group, F.size("_h").cast("long").alias("sys_len"), F.size("_r").cast("long").alias("ref_len"),
-                      *[F.greatest(F.size("_h") - (n - 1), F.lit(0)).cast("long").alias(f"total_{n}")
-                        for n in range(1, MAX_ORDER + 1)],
-                      *[zero.alias(f"correct_{n}") for n in range(1, MAX_ORDER + 1)])
-    corr = clipped.select(*group, zero.alias("sys_len"), zero.alias("ref_len"),
-                          *[zero.alias(f"total_{n}") for n in range(1, MAX_ORDER + 1)],
-                          *[F.when(F.col("n") == n, F.col("correct")).otherwise(zero).cast("long").alias(f"correct_{n}")
-                            for n in range(1, MAX_ORDER + 1)])
+                      *[F.greatest(F.size("_h") - (n - 1), F.lit(0)).cast("long").alias(f"total_{n}") for n in orders],
+                      *[zero.alias(f"correct_{n}") for n in orders])
     return lens.unionByName(corr).groupBy(*group).agg(*[F.sum(c).alias(c) for c in stat_cols])
 
 
