@@ -61,15 +61,8 @@ def _bucket_expr(keys, bounds: list[tuple], lo: int, hi: int) -> Column:
         _bucket_expr(keys, bounds, lo, mid))
 
 
-def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index", start: int = 1,
-                   num_partitions: int | None = None, materialize: bool = False) -> DataFrame:
-    """Add ``name`` = start, start+1, ... following ``order_cols``.
-
-    ``order_cols`` items are names, Columns (ascending) or (expr, ascending) pairs.
-    The input is read three times (count, bound sample, numbering); when its
-    lineage is expensive, ``materialize`` writes it once to the shared
-    checkpoint folder (a reliable checkpoint that survives executor loss).
-    """
+def _bucketed(df: DataFrame, order_cols: list, num_partitions: int | None, materialize: bool):
+    """Rows with ``_bucket`` (a pure function of the key) and the key columns."""
     keys = [_key(c) for c in order_cols]
     k_names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.select("*", *[e.alias(n) for (e, _), n in zip(keys, k_names)])
@@ -93,40 +86,84 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index", sta
                 step = len(rows) / buckets
                 bounds = [rows[min(len(rows) - 1, int(step * (i + 1)) - 1)] for i in range(buckets - 1)]
     bucket = _bucket_expr(kcols, bounds, 0, len(bounds)) if bounds else F.lit(0)
-    b = keyed.withColumn("_bucket", bucket)
+    order = [c.asc() if asc else c.desc() for c, asc in kcols]
+    return keyed.withColumn("_bucket", bucket), order, k_names
+
 
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per bucket: bounded, broadcast-safe
-    offsets = counts.select(
+def _offsets(per_bucket: DataFrame) -> DataFrame:
+    """Exclusive prefix sums over the per-bucket totals (one row per bucket:
+    bounded, broadcast-safe)."""
+    return per_bucket.select(
         "_bucket",
         F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_bucket").orderBy(*[c.asc() if asc else c.desc() for c, asc in kcols])
-    ranked = b.withColumn("_rn", F.row_number().over(w))
+
+
+def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index", start: int = 1,
+                   num_partitions: int | None = None, materialize: bool = False) -> DataFrame:
+    """Add ``name`` = start, start+1, ... following ``order_cols``.
+
+    ``order_cols`` items are names, Columns (ascending) or (expr, ascending) pairs.
+    The input is read three times (count, bound sample, numbering); when its
+    lineage is expensive, ``materialize`` writes it once to the shared
+    checkpoint folder (a reliable checkpoint that survives executor loss).
+    """
+    b, order, k_names = _bucketed(df, order_cols, num_partitions, materialize)
+    offsets = _offsets(b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))
+    ranked = b.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
     out = ranked.join(F.broadcast(offsets), "_bucket")
     return out.withColumn(name, F.col("_off") + F.col("_rn") - 1 + F.lit(start)).drop(
         "_bucket", "_rn", "_off", *k_names)
 
 
+def with_running_total(df: DataFrame, order_cols: list, weight: str, name: str = "running_total",
+                       num_partitions: int | None = None) -> DataFrame:
+    """Add the inclusive running sum of ``weight`` following ``order_cols``
+    (same bucketing as ``with_row_index``; keys should be unique)."""
+    b, order, k_names = _bucketed(df, order_cols, num_partitions, False)
+    offsets = _offsets(b.groupBy("_bucket").agg(F.sum(weight).alias("_n")))
+    w = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = b.withColumn("_run", F.sum(weight).over(w))
+    out = ranked.join(F.broadcast(offsets), "_bucket")
+    return out.withColumn(name, F.col("_off") + F.col("_run")).drop("_bucket", "_run", "_off", *k_names)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: list[float],
                     num_partitions: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (pandas/numpy default) without collecting
-    values into one buffer: rank the non-null values, keep the ranks that
-    bracket each target position and interpolate. One row, one column per
-    probability named ``q<percent>``."""
+    values into one buffer.
+
+    Values are first counted per distinct value (a hot value collapses in the
+    map-side partial aggregate), the distinct values get a running count in
+    value order, and each target rank picks the value whose count range
+    holds it. Only the total count (one scalar) reaches the driver. One row,
+    one column per probability named ``q<percent>``."""
+    spark = df.sparkSession
     vals = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    ranked = with_row_index(vals, ["_v"], "_r", start=0, num_partitions=num_partitions)
-    n = vals.agg(F.count(F.lit(1)).alias("n"))
+    vc = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    n = vc.agg(F.sum("_c")).first()[0] or 0
+    names = [f"q{int(round(p * 100))}" for p in probs]
+    if n == 0:
+        return spark.createDataFrame([tuple(None for _ in probs)], ", ".join(f"{c} DOUBLE" for c in names))
+    cum = with_running_total(vc, ["_v"], "_c", "_cum", num_partitions)
+    start = F.col("_cum") - F.col("_c")
+
+    def at(rank: int):
+        return (start <= F.lit(rank)) & (F.lit(rank) < F.col("_cum"))
+
     targets = []
     for p in probs:
-        pos = F.lit(p) * (F.col("n") - 1)
-        targets.append(F.struct(F.lit(p).alias("p"), F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"),
-                                (pos - F.floor(pos)).alias("frac")))
-    t = n.select(F.explode(F.array(*targets)).alias("t")).select("t.*")
-    # the target table has len(probs) rows: bounded, broadcast-safe
-    lo = ranked.join(F.broadcast(t), ranked["_r"] == t["lo"]).select("p", "frac", F.col("_v").alias("v_lo"))
-    hi = ranked.join(F.broadcast(t.select("p", "hi")), ranked["_r"] == F.col("hi")).select(
-        "p", F.col("_v").alias("v_hi"))
-    both = lo.join(hi, "p").select("p", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
-    return both.agg(*[F.max(F.when(F.col("p") == F.lit(p), F.col("q"))).alias(f"q{int(round(p * 100))}")
-                      for p in probs])
+        pos = p * (n - 1)
+        lo, hi = int(pos // 1), int(-(-pos // 1))
+        targets.append((lo, hi, pos - lo))
+    needed = None
+    for lo, hi, _ in targets:
+        cond = at(lo) | at(hi)
+        needed = cond if needed is None else (needed | cond)
+    picked = cum.filter(needed)
+    cols = []
+    for (lo, hi, frac), name in zip(targets, names):
+        v_lo = F.max(F.when(at(lo), F.col("_v")))
+        v_hi = F.max(F.when(at(hi), F.col("_v")))
+        cols.append((v_lo + F.lit(frac) * (v_hi - v_lo)).alias(name))
+    return picked.agg(*cols)

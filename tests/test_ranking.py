@@ -42,3 +42,23 @@ def test_split_is_exact_and_deterministic(spark):
     assert len(test_a) == 100 and test_a == test_b
     sample = [r["k"] for r in CO.seeded_sample(df, "k", 10).collect()]
     assert len(sample) == 10 and len(set(sample)) == 10
+
+
+def test_quantiles_with_a_hot_value(spark):
+    random.seed(3)
+    vals = [random.randint(0, 1000) / 7 for _ in range(2000)] + [42.0] * 1000  # a third is one value
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    q = exact_quantiles(df, "x", [0.1, 0.25, 0.5, 0.75, 0.9], num_partitions=6).first()
+    assert np.allclose([q["q10"], q["q25"], q["q50"], q["q75"], q["q90"]],
+                       np.quantile(vals, [0.1, 0.25, 0.5, 0.75, 0.9]))
+
+
+def test_running_total(spark):
+    from paraspark.operators.ranking import with_running_total
+    rows = [(i, (i * 7) % 5 + 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, w int")
+    got = {r["k"]: r["rt"] for r in with_running_total(df, ["k"], "w", "rt", num_partitions=5).collect()}
+    acc = 0
+    for k, w in rows:
+        acc += w
+        assert got[k] == acc
