@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paraspark import schemas as S
+from paraspark.operators.partitioning import spread
 
 # Fixed adapter parameters (shared with the oracle SQL).
 SAMPLE_TURNS = 64
@@ -24,8 +25,13 @@ TARGET_LANGS_BY_MOD4 = ["dr", "Darija", "fr", "en"]
 TARGET_CHARS = 600
 
 
+# tables whose rows carry long texts: spread thin scans across the cores
+TEXT_TABLES = {"conversations", "documents", "pages", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _pick(values: list, idx: Column) -> Column:
