@@ -283,4 +283,4 @@ def l2_foreach_batch(spark, d):
     for _ in range(2):
         _arrive(spark, d, staging)
         ST.ingest_anti_join(spark, staging, TR_SCHEMA, _clean_rows, FIELDS, target, ckpt, PAIR_SCHEMA)
-    return spark.read.schema(PAIR_SCHEMA).parquet(target)
+    return ST.read_target(spark, target, PAIR_SCHEMA)

@@ -26,22 +26,59 @@ def ingest_dedup(spark: SparkSession, source: str, schema: StructType,
     q.awaitTermination()
 
 
+KEY_BUCKETS = 256
+
+
+def key_bucket(keys: list[str]):
+    """Stable bucket of the (null-safe) key, used to partition the L2 target."""
+    from pyspark.sql import functions as F
+    return F.pmod(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]),
+                  F.lit(KEY_BUCKETS)).cast("int")
+
+
 def ingest_anti_join(spark: SparkSession, source: str, schema: StructType,
                      transform: Callable[[DataFrame], DataFrame], keys: list[str],
-                     target: str, checkpoint: str, target_schema: StructType) -> None:
-    """L2: per micro-batch, append only rows whose keys are not yet in ``target``."""
+                     target: str, checkpoint: str, target_schema: StructType,
+                     max_files_per_trigger: int | None = None) -> None:
+    """L2: per micro-batch, append only rows whose keys are not yet in ``target``.
+
+    The target is partitioned by a hash bucket of the key; a batch reads only
+    the buckets it touches (partition pruning on at most ``KEY_BUCKETS`` ids),
+    so small batches do not rescan the whole table. ``max_files_per_trigger``
+    bounds the size of a batch.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import IntegerType, StructField
+
+    stored = StructType(list(target_schema.fields) + [StructField("_kb", IntegerType())])
     try:
-        spark.read.schema(target_schema).parquet(target).limit(0).collect()
+        spark.read.schema(stored).parquet(target).limit(0).collect()
     except Exception:  # noqa: BLE001 - first run: create the empty target table
-        spark.createDataFrame([], target_schema).write.mode("append").parquet(target)
+        spark.createDataFrame([], stored).write.mode("append").partitionBy("_kb").parquet(target)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        existing = batch.sparkSession.read.schema(target_schema).parquet(target).select(*keys)
-        fresh = batch.dropDuplicates(keys)
-        cond = [fresh[k].eqNullSafe(existing[k]) for k in keys]
-        fresh.join(existing, cond, "left_anti").write.mode("append").parquet(target)
+        fresh = batch.dropDuplicates(keys).withColumn("_kb", key_bucket(keys))
+        # bucket ids of this batch: at most KEY_BUCKETS small integers
+        touched = [r[0] for r in fresh.select("_kb").distinct().collect()]
+        if not touched:
+            return
+        existing = (batch.sparkSession.read.schema(stored).parquet(target)
+                    .filter(F.col("_kb").isin(touched)).select("_kb", *keys))
+        cond = [fresh["_kb"] == existing["_kb"]] + [fresh[k].eqNullSafe(existing[k]) for k in keys]
+        # one file per touched bucket per batch (the batch is bounded)
+        (fresh.join(existing, cond, "left_anti").select(*[f.name for f in stored.fields])
+         .repartition("_kb").write.mode("append").partitionBy("_kb").parquet(target))
 
-    stream = spark.readStream.schema(schema).parquet(source)
-    q = (transform(stream).writeStream.foreachBatch(upsert)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    q = (transform(reader.parquet(source)).writeStream.foreachBatch(upsert)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def read_target(spark: SparkSession, target: str, target_schema: StructType) -> DataFrame:
+    """The L2 target's rows without the bucket column."""
+    from pyspark.sql.types import IntegerType, StructField
+    stored = StructType(list(target_schema.fields) + [StructField("_kb", IntegerType())])
+    return spark.read.schema(stored).parquet(target).select(*[f.name for f in target_schema.fields])
