@@ -26,26 +26,28 @@ def ingest_dedup(spark: SparkSession, source: str, schema: StructType,
     q.awaitTermination()
 
 
-KEY_BUCKETS = 256
+KEY_BUCKETS = 64
 
 
-def key_bucket(keys: list[str]):
+def key_bucket(keys: list[str], buckets: int = KEY_BUCKETS):
     """Stable bucket of the (null-safe) key, used to partition the L2 target."""
     from pyspark.sql import functions as F
     return F.pmod(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]),
-                  F.lit(KEY_BUCKETS)).cast("int")
+                  F.lit(buckets)).cast("int")
 
 
 def ingest_anti_join(spark: SparkSession, source: str, schema: StructType,
                      transform: Callable[[DataFrame], DataFrame], keys: list[str],
                      target: str, checkpoint: str, target_schema: StructType,
-                     max_files_per_trigger: int | None = None) -> None:
+                     max_files_per_trigger: int | None = None, key_buckets: int = KEY_BUCKETS) -> None:
     """L2: per micro-batch, append only rows whose keys are not yet in ``target``.
 
     The target is partitioned by a hash bucket of the key; a batch reads only
-    the buckets it touches (partition pruning on at most ``KEY_BUCKETS`` ids),
-    so small batches do not rescan the whole table. ``max_files_per_trigger``
-    bounds the size of a batch.
+    the buckets it touches (partition pruning on at most ``key_buckets`` ids),
+    so small batches do not rescan the whole table; size ``key_buckets`` with
+    the target (more buckets prune more, but each batch writes one file per
+    touched bucket). ``max_files_per_trigger`` bounds the size of a batch.
+    The bucket count is fixed for the life of a target.
     """
     from pyspark.sql import functions as F
     from pyspark.sql.types import IntegerType, StructField
@@ -57,8 +59,8 @@ def ingest_anti_join(spark: SparkSession, source: str, schema: StructType,
         spark.createDataFrame([], stored).write.mode("append").partitionBy("_kb").parquet(target)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(keys).withColumn("_kb", key_bucket(keys))
-        # bucket ids of this batch: at most KEY_BUCKETS small integers
+        fresh = batch.dropDuplicates(keys).withColumn("_kb", key_bucket(keys, key_buckets))
+        # bucket ids of this batch: at most key_buckets small integers
         touched = [r[0] for r in fresh.select("_kb").distinct().collect()]
         if not touched:
             return
