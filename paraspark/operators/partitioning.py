@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when ``df`` has fewer partitions than the
-    cluster's default parallelism.
+def spread(df: DataFrame, min_partitions: int | None = None,
+           unique_key: list[str] | None = None) -> DataFrame:
+    """Repartition only when ``df`` has fewer partitions than the cluster's
+    default parallelism.
 
     Per-row text work (regex cleaning, tokenising, HTML extraction) runs in
     the scan's tasks; a table stored as one large row group would otherwise be

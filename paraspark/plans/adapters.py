@@ -25,13 +25,15 @@ TARGET_LANGS_BY_MOD4 = ["dr", "Darija", "fr", "en"]
 TARGET_CHARS = 600
 
 
-# tables whose rows carry long texts: spread thin scans across the cores
-TEXT_TABLES = {"conversations", "documents", "pages", "benchmark"}
+# tables whose rows carry long texts, with a key that is unique per row:
+# thin scans are spread across the cores by that key
+TEXT_TABLES = {"conversations": ["conv_id", "turn"], "documents": ["doc_id"], "pages": ["page_id"],
+               "benchmark": ["item_id"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df, unique_key=TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def _pick(values: list, idx: Column) -> Column:
