@@ -43,11 +43,21 @@ def tokenize_13a(c) -> Column:
     return T.ws_tokens(x)
 
 
-def _ngrams(tokens: Column, n: int) -> Column:
+def _ngram_orders(tokens: Column) -> list[Column]:
+    """[1-grams, 2-grams, ..., MAX_ORDER-grams] of a token array; order n is
+    built from order n-1 by pairing it with the tokens shifted by n-1, so each
+    order costs one pass over the row."""
     size = F.size(tokens)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1),
-                                         lambda i: F.array_join(F.slice(tokens, i, n), " "))
-                  ).otherwise(F.array().cast("array<string>"))
+    orders = [tokens]
+    prev = tokens
+    for n in range(2, MAX_ORDER + 1):
+        count = F.greatest(size - (n - 1), F.lit(0))
+        nxt = F.zip_with(F.slice(prev, 1, count), F.slice(tokens, n, count),
+                         lambda a, b: F.concat(a, F.lit(" "), b))
+        nxt = F.when(size >= n, nxt).otherwise(F.array().cast("array<string>"))
+        orders.append(nxt)
+        prev = nxt
+    return orders
 
 
 def bleu_stats(df: DataFrame, group: list[str], key: str, hyp: str, ref: str) -> DataFrame:
@@ -60,8 +70,9 @@ def bleu_stats(df: DataFrame, group: list[str], key: str, hyp: str, ref: str) ->
     repeats before the shuffle. Lengths and clipped counts share one schema
     and one final aggregate (no join)."""
     tok = df.select(*group, key, tokenize_13a(hyp).alias("_h"), tokenize_13a(ref).alias("_r"))
-    sides = [F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), _ngrams(F.col(col), n).alias("g"))
-             for side, col in (("h", "_h"), ("r", "_r")) for n in range(1, MAX_ORDER + 1)]
+    sides = [F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), g.alias("g"))
+             for side, col in (("h", "_h"), ("r", "_r"))
+             for n, g in enumerate(_ngram_orders(F.col(col)), start=1)]
     grams = (tok.select(*group, key, F.explode(F.array(*sides)).alias("_x"))
              .select(*group, key, F.col("_x.side").alias("side"), F.col("_x.n").alias("n"),
                      F.explode("_x.g").alias("gram")))
