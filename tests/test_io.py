@@ -34,3 +34,36 @@ def test_metric_log_layout(spark):
     got = R.read_metric_logs(spark, root).orderBy("step").collect()
     assert [(r["run_id"], r["metric"], r["value"], r["step"]) for r in got] == [
         ("abc123", "eval_bleu", 7.33, 2000), ("abc123", "eval_bleu", 18.25, 42000)]
+
+
+def test_scraped_document_per_file(spark):
+    import json
+    d = tempfile.mkdtemp(prefix="paraspark-scraped-")
+    doc = {"translations": [
+        {"source_lang": "fr", "source": "Bonjour", "target_lang": "darija", "target": "سلام"},
+        {"source_lang": "EN", "source": "Thanks", "target_lang": "Darija", "target": "شكرا"}]}
+    with open(os.path.join(d, "translations.json"), "w", encoding="utf-8") as f:
+        json.dump(doc, f, ensure_ascii=False, indent=2)
+    got = sorted(tuple(r) for r in R.read_scraped(spark, d, multiline=True).collect())
+    assert got == [("en", "Thanks", "dr", "شكرا"), ("fr", "Bonjour", "dr", "سلام")]
+
+
+def test_blocks_json_array_per_file(spark):
+    import json
+    d = tempfile.mkdtemp(prefix="paraspark-blocks-")
+    blocks = [{"pairs": [{"texte_cible": "A", "traduction": "B"}, {"texte_cible": "C", "traduction": ""}],
+               "direction": "fr_dr"},
+              {"pairs": [], "direction": "dr_en"}]
+    with open(os.path.join(d, "traductions_processed.json"), "w", encoding="utf-8") as f:
+        json.dump(blocks, f, ensure_ascii=False, indent=2)
+    got = sorted(tuple(r) for r in R.read_blocks(spark, d, multiline=True).collect())
+    assert got == [("fr", "A", "dr", "B"), ("fr", "C", "dr", "")]
+
+
+def test_quarantine_split(spark):
+    path = tempfile.mkdtemp(prefix="paraspark-q-") + "/q"
+    df = spark.createDataFrame([("1", True), ("2", False), ("3", False)], "id string, problem boolean")
+    W.write_quarantine(df, path)
+    assert {"problem=true", "problem=false"} <= set(os.listdir(path))
+    back = spark.read.schema("id string, problem boolean").json(path)
+    assert sorted((r["id"], r["problem"]) for r in back.collect()) == [("1", True), ("2", False), ("3", False)]
