@@ -22,7 +22,9 @@ DIRECTIONS_BY_MOD5 = ["en_dr", "fr_dr", "dr_fr", "dr_en", "ar_dr"]
 DIRTY_PREFIX = "ترجم من الفرنساوية للدارجة: "
 SOURCE_LANGS_BY_MOD4 = ["fr", "EN", "darija", "dr"]
 TARGET_LANGS_BY_MOD4 = ["dr", "Darija", "fr", "en"]
-TARGET_CHARS = 600
+# the "translation" of a text is the whole text with ASCII letters upper-cased
+ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 # tables whose rows carry long texts, with a key that is unique per row:
@@ -47,14 +49,20 @@ def dirty_text(text: Column, conv_id: Column, role: Column) -> Column:
                   F.concat(F.lit(DIRTY_PREFIX), out)).otherwise(out)
 
 
+def adapted_role(conv_id: Column, turn: Column, role: Column) -> Column:
+    """Some assistant turns are relabelled ``user`` so that consecutive users
+    occur (the driver data has none); every turn is kept."""
+    return F.when((role == F.lit("assistant")) & ((conv_id + turn) % 5 == 3), F.lit("user")).otherwise(role)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long-form turns: some assistant turns dropped so consecutive users occur."""
+    """Long-form turns of every conversation, one row per turn."""
     c = table(spark, sf_dir, "conversations")
-    keep = ~((F.col("role") == "assistant") & ((F.col("conv_id") + F.col("turn")) % 5 == 3))
-    return (c.filter(keep)
-            .select("conv_id", "turn", "role",
+    r = c.select("conv_id", "turn", "text",
+                 adapted_role(F.col("conv_id"), F.col("turn"), F.col("role")).alias("role"))
+    return r.select("conv_id", "turn", "role",
                     dirty_text(F.col("text"), F.col("conv_id"), F.col("role")).alias("content"),
-                    F.floor(F.col("turn") / SAMPLE_TURNS).cast("long").alias("seg")))
+                    F.floor(F.col("turn") / SAMPLE_TURNS).cast("long").alias("seg"))
 
 
 def sample_id(conv_id: Column, seg: Column) -> Column:
@@ -124,6 +132,11 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("messages", F.when((conv % 2 == 0) & (n > 0), merged).otherwise(m))
 
 
+def target_of(text: Column) -> Column:
+    """Whole-text stand-in translation: ASCII letters upper-cased."""
+    return F.translate(text, ASCII_LOWER, ASCII_UPPER)
+
+
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, source_lang, source_text, target_lang, target_text) from documents."""
     d = table(spark, sf_dir, "documents")
@@ -133,7 +146,7 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(SOURCE_LANGS_BY_MOD4, k).alias("source_lang"),
         F.col("text").alias("source_text"),
         _pick(TARGET_LANGS_BY_MOD4, k).alias("target_lang"),
-        F.substring("text", 1, TARGET_CHARS).alias("target_text"),
+        target_of(F.col("text")).alias("target_text"),
     )
 
 

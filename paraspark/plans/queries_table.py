@@ -110,8 +110,8 @@ def g5_deleted_rows(spark, d):
     return deleted
 
 
-G6_NEW = """newrows AS (
-  SELECT item_id, 'fr' AS source_lang, text AS source_text, 'dr' AS target_lang, substr(text, 1, 100) AS target_text
+G6_NEW = f"""newrows AS (
+  SELECT item_id, 'fr' AS source_lang, text AS source_text, 'dr' AS target_lang, {Q.target_of('text')} AS target_text
   FROM benchmark),
 valid AS (
   SELECT * FROM newrows
@@ -126,7 +126,7 @@ def g6_create(spark, d):
     not created; ids continue after the current maximum."""
     b = A.table(spark, d, "benchmark")
     new = b.select("item_id", F.lit("fr").alias("source_lang"), F.col("text").alias("source_text"),
-                   F.lit("dr").alias("target_lang"), F.substring("text", 1, 100).alias("target_text"))
+                   F.lit("dr").alias("target_lang"), A.target_of(F.col("text")).alias("target_text"))
     _, created = TB.create_rows(_trn(spark, d), new, ["item_id"])
     return created
 

@@ -67,8 +67,9 @@ TURNS = f"""turns AS (
   SELECT conv_id, turn, role,
          CASE WHEN conv_id % 3 = 0 AND role = 'user' THEN {q(A.DIRTY_PREFIX)} || {DIRTY} ELSE {DIRTY} END AS content,
          CAST(turn // {A.SAMPLE_TURNS} AS BIGINT) AS seg
-  FROM conversations
-  WHERE NOT (role = 'assistant' AND (conv_id + turn) % 5 = 3))"""
+  FROM (SELECT conv_id, turn, text,
+               CASE WHEN role = 'assistant' AND (conv_id + turn) % 5 = 3 THEN 'user' ELSE role END AS role
+        FROM conversations))"""
 
 SAMPLES = f"""samples AS (
   SELECT DISTINCT conv_id, seg,
@@ -126,9 +127,13 @@ GROUP BY source_lang, target_lang
 ORDER BY total DESC, source_lang, target_lang"""
 
 
+def target_of(x: str) -> str:
+    return f"translate({x}, {q(A.ASCII_LOWER)}, {q(A.ASCII_UPPER)})"
+
+
 TR = f"""tr AS (
   SELECT doc_id AS id, {pick(A.SOURCE_LANGS_BY_MOD4, 'doc_id % 4')} AS source_lang, text AS source_text,
-         {pick(A.TARGET_LANGS_BY_MOD4, 'doc_id % 4')} AS target_lang, substr(text, 1, {A.TARGET_CHARS}) AS target_text
+         {pick(A.TARGET_LANGS_BY_MOD4, 'doc_id % 4')} AS target_lang, {target_of('text')} AS target_text
   FROM documents)"""
 
 TRN = f"""trn AS (
