@@ -37,32 +37,33 @@ def vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
 def encode(df: DataFrame, key: str, text_cols: list[str], seq_len: int = S.SEQ_LEN) -> DataFrame:
     """(key, <col>_ids ...) truncated to ``seq_len`` and right-padded with PAD_ID.
 
-    Tokens are split once per row; the vocabulary sees every token, the id
-    lookup only the first ``seq_len`` of each text (sliced before exploding).
+    ``key`` must be unique per row. The input is read twice: once for the
+    vocabulary (every token of every column in one explode) and once for the
+    lookup, where each row becomes one (field, pos, token) row per head token
+    plus one marker row, so a row without tokens still comes back without a
+    join to the input. Head tokens meet the vocabulary in one equi-join on
+    the token and regroup by key (at most ``seq_len`` ids per field).
     """
     tok_names = [f"_t{i}" for i in range(len(text_cols))]
     toks = df.select(key, *[whitespace_tokens(c).alias(t) for c, t in zip(text_cols, tok_names)])
-    every = None
-    head = None
-    for c, t in zip(text_cols, tok_names):
-        e = toks.select(F.explode(t).alias("token"))
-        h = toks.select(key, F.lit(c).alias("field"),
-                        F.posexplode(F.slice(t, 1, seq_len)).alias("pos", "token"))
-        every = e if every is None else every.unionByName(e)
-        head = h if head is None else head.unionByName(h)
+    every = toks.select(F.explode(F.concat(*[F.col(t) for t in tok_names])).alias("token"))
     vocab = vocabulary(every)
-    ids = head.join(vocab.select("token", "tok_id"), "token")
-    pad = F.array_repeat(F.lit(PAD_ID).cast("long"), seq_len)
+
+    item = "struct<f:int,pos:int,token:string>"
+    marker = F.array(F.struct(F.lit(-1).alias("f"), F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("token")))
+    def tagged(f: int):
+        return lambda x, i: F.struct(F.lit(f).alias("f"), i.alias("pos"), x.alias("token"))
+
+    heads = [F.transform(F.slice(F.col(t), 1, seq_len), tagged(f)) for f, t in enumerate(tok_names)]
+    exploded = toks.select(key, F.inline(F.concat(marker, *heads).cast(f"array<{item}>")))
+    ids = exploded.join(vocab.select("token", "tok_id"), "token", "left")
     per_key = ids.groupBy(key).agg(*[
-        F.sort_array(F.collect_list(F.when(F.col("field") == c, F.struct("pos", "tok_id")))).alias(f"_s{i}")
-        for i, c in enumerate(text_cols)])
-    out = toks.select(key).join(per_key, key, "left")
-    cols = []
-    for i, c in enumerate(text_cols):
-        got = F.transform(F.coalesce(F.col(f"_s{i}"), F.array().cast("array<struct<pos:int,tok_id:long>>")),
-                          lambda x: x["tok_id"])
-        cols.append(F.slice(F.concat(got, pad), 1, seq_len).alias(f"{c}_ids"))
-    return out.select(key, *cols)
+        F.sort_array(F.collect_list(F.when(F.col("f") == f, F.struct("pos", "tok_id")))).alias(f"_s{f}")
+        for f in range(len(text_cols))])
+    pad = F.array_repeat(F.lit(PAD_ID).cast("long"), seq_len)
+    cols = [F.slice(F.concat(F.transform(F.col(f"_s{f}"), lambda x: x["tok_id"]), pad), 1, seq_len).alias(f"{c}_ids")
+            for f, c in enumerate(text_cols)]
+    return per_key.select(key, *cols)
 
 
 def truncation_report(df: DataFrame, lang: str, text: str, seq_len: int = S.SEQ_LEN) -> DataFrame:
