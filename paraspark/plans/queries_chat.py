@@ -10,6 +10,7 @@ from paraspark.functions import html as H
 from paraspark.functions import lang as L
 from paraspark.functions import text as T
 from paraspark.operators import corpus as CO
+from paraspark.operators import pairing as PR
 from paraspark.operators import score as SC
 from paraspark.operators import table as TB
 from paraspark.plans import adapters as A
@@ -116,6 +117,14 @@ def e3_greedy_pairs(spark, d):
     return _flat(r.select("id", C.greedy_pairs("cm").alias("pairs")))
 
 
+@register("e3_greedy_pairs_long", W(Q.TURNS, Q.greedy_ctes()) + "SELECT conv_id, seg, pos, texte_cible, traduction FROM greedy")
+def e3_greedy_pairs_long(spark, d):
+    """E3 over turn-per-row data (window form), same pairs as the array fold."""
+    t = A.turns(spark, d).select("conv_id", "seg", "turn", "role",
+                                 T.clean_text(T.drop_newlines(F.col("content"), T.NATIVE)).alias("content"))
+    return PR.greedy_pairs_long(t, ["conv_id", "seg"])
+
+
 def _dispatch_sql(with_fallback: bool) -> str:
     fb = f"{Q.clean('coalesce(c.fb_raw, ' + chr(39) + chr(39) + ')')}" if with_fallback else "''"
     return W(Q.TURNS, Q.MARKED, MARKED_PAIRS, Q.SAMPLES) + f"""SELECT s.id, x.pos,

@@ -94,3 +94,20 @@ def test_greedy_fold_matches_loop(spark, convs):
 def test_adapter_samples_are_bounded(spark, sf_small):
     r = A.raw_mix(spark, sf_small)
     assert r.agg(F.max(F.size("messages"))).first()[0] <= A.SAMPLE_TURNS
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(roles, min_size=1, max_size=8))
+def test_long_form_pairing_matches_loop(spark, convs):
+    """E3 window form over turn-per-row data equals the loop (and so the fold)."""
+    from paraspark.operators.pairing import greedy_pairs_long
+    rows = [(i, t, f"m{t}", r) for i, c in enumerate(convs) for t, r in enumerate(c)]
+    df = spark.createDataFrame(rows, "i long, turn int, content string, role string") if rows else None
+    got: dict[int, list] = {}
+    if df is not None:
+        for r in greedy_pairs_long(df, ["i"]).collect():
+            got.setdefault(r["i"], []).append((r["pos"], r["texte_cible"], r["traduction"]))
+    for i, c in enumerate(convs):
+        want = py_greedy([(f"m{t}", r) for t, r in enumerate(c)])
+        assert [(a, b) for _, a, b in sorted(got.get(i, []))] == want
+        assert [p for p, _, _ in sorted(got.get(i, []))] == list(range(len(want)))
