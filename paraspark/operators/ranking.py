@@ -136,11 +136,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float],
     Values are first counted per distinct value (a hot value collapses in the
     map-side partial aggregate), the distinct values get a running count in
     value order, and each target rank picks the value whose count range
-    holds it. Only the total count (one scalar) reaches the driver. One row,
-    one column per probability named ``q<percent>``."""
+    holds it. The per-value counts are materialised once (reliable
+    checkpoint). Only the total count (one scalar) reaches the driver. One
+    row, one column per probability named ``q<percent>``."""
     spark = df.sparkSession
     vals = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     vc = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    # the count, the bucket-bound sample and the running total all read the
+    # per-value counts: write them once to the shared checkpoint folder
+    # instead of recomputing the input three times
+    from paraspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    vc = vc.checkpoint(eager=True)
     n = vc.agg(F.sum("_c")).first()[0] or 0
     names = [f"q{int(round(p * 100))}" for p in probs]
     if n == 0:
