@@ -15,6 +15,8 @@ def spread(df: DataFrame, min_partitions: int | None = None,
     the scan's tasks; a table stored as one large row group would otherwise be
     processed by a single task. On large inputs the scan already has more
     splits than cores and this is a no-op, so no shuffle is added at scale.
+    Apply it to a scan: the partition count of a plan with exchanges is only
+    known after the runtime has executed them.
     With ``unique_key`` rows are hash-partitioned on that key; without it
     round-robin repartitioning sorts rows first, so a retried task sees the
     same rows.

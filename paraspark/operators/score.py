@@ -74,12 +74,13 @@ def bleu_stats(df: DataFrame, group: list[str], key: str, hyp: str, ref: str) ->
     partitioning already satisfies the (group, row, n, gram) aggregation, so
     the text rows are shuffled once and the exploded grams (about ten times
     the text volume) are counted where they are produced, never shuffled.
-    The partition count is fixed (the input's, at least the default
-    parallelism) so the runtime does not coalesce the n-gram work into a few
-    tasks. ``key`` identifies one segment (a handful of rows per key, one per
+    The partition count is fixed (the session's shuffle partitions, at least
+    the default parallelism) so the runtime does not coalesce the n-gram
+    work into a few tasks. ``key`` identifies one segment (a handful of rows per key, one per
     system), so no partition is hot.
     """
-    parts = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     tok = (df.repartition(parts, F.col(key))
            .select(*group, key, tokenize_13a(hyp).alias("_h"), tokenize_13a(ref).alias("_r")))
     sides = [F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), g.alias("g"))
