@@ -111,3 +111,37 @@ def test_long_form_pairing_matches_loop(spark, convs):
         want = py_greedy([(f"m{t}", r) for t, r in enumerate(c)])
         assert [(a, b) for _, a, b in sorted(got.get(i, []))] == want
         assert [p for p, _, _ in sorted(got.get(i, []))] == list(range(len(want)))
+
+
+def py_split_marked(convo):
+    """Independent statement of E2 on escaped (row-repr) text: segments between
+    user marks, trimmed, blanks dropped; source before the first assistant
+    mark, target between the first and second; each side loses literal
+    backslash-n and stray marks, then the cleaning rule."""
+    from test_text import py_clean
+
+    def side(x):
+        return py_clean(x.replace("\\n", "").replace("<|assistant|>", "").replace("<|user|>", ""))
+
+    out = []
+    for seg in convo.split("<|user|>"):
+        seg = seg.strip()
+        if not seg:
+            continue
+        parts = seg.split("<|assistant|>")
+        out.append((side(parts[0].strip()), side(parts[1].strip() if len(parts) > 1 else "")))
+    return out
+
+
+MARK_PIECES = ["<|user|>", "<|assistant|>", "ترجم", ":", " ", "\n", "\\n", "\xa0", "\\xa0", "\\",
+               " ", "a", "b", "|", "<", ">"]
+
+
+def test_split_marked_random_strings(spark):
+    import random
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice(MARK_PIECES) for _ in range(rnd.randint(0, 16))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r[0]: [tuple(p) for p in r[1]] for r in df.select("i", C.split_marked("t", T.ROW_REPR)).collect()}
+    bad = [(t, got[i], py_split_marked(t)) for i, t in enumerate(texts) if got[i] != py_split_marked(t)]
+    assert not bad, bad[:3]

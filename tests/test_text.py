@@ -80,3 +80,20 @@ def test_script_and_lines(spark):
 def test_mean_round(spark):
     df = spark.createDataFrame([(1,), (2,), (2,)], "x int")
     assert df.agg(T.mean_round(F.col("x"), 2)).first()[0] == 1.67
+
+
+# pieces that exercise every rule: the instruction word, the colon that ends a
+# prefix, Unicode whitespace (including the ones Java's '.' and trim treat
+# differently from Python), literal escape sequences and plain letters
+PIECES = ["ترجم", ":", " ", "\t", "\n", "\r", "\x85", " ", "　", "\x1c", "\xa0", " ",
+          "\\xa0", "\\'", "\\", "\\/", "'", "a", "Z", "0", "é"]
+
+
+def test_clean_random_strings_match_python(spark):
+    import random
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 14))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r[0]: r[1] for r in df.select("i", T.clean_text("t")).collect()}
+    bad = [(t, got[i], py_clean(t)) for i, t in enumerate(texts) if got[i] != py_clean(t)]
+    assert not bad, bad[:5]
