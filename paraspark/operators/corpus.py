@@ -75,9 +75,13 @@ def seeded_sample(df: DataFrame, key: str, k: int = S.PREVIEW_K, seed: int = S.S
     return df.orderBy(hash_order(F.col(key), seed), F.col(key)).limit(k)
 
 
-def batches(df: DataFrame, order_cols: list, size: int = S.QUESTION_BATCH) -> DataFrame:
-    """H7: batch number floor((row_number-1)/size) and rows per batch."""
-    idx = with_row_index(df, order_cols, "_i")
+def batches(df: DataFrame, order_cols: list[str], size: int = S.QUESTION_BATCH,
+            materialize: bool = False) -> DataFrame:
+    """H7: batch number floor((row_number-1)/size) and rows per batch.
+
+    Only the order columns are numbered; ``materialize`` writes them once
+    when their lineage is expensive (e.g. lines split out of documents)."""
+    idx = with_row_index(df.select(*order_cols), order_cols, "_i", materialize=materialize)
     return (idx.withColumn("batch", F.floor((F.col("_i") - 1) / size).cast("long"))
             .groupBy("batch").agg(F.count(F.lit(1)).alias("items")))
 

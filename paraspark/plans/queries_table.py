@@ -153,7 +153,9 @@ def h2_largest_group(spark, d):
 
 @register("h3_dense_ids", LINES_SQL + "SELECT doc_id, pos, row_number() OVER (ORDER BY doc_id, pos) AS row_index FROM lines")
 def h3_dense_ids(spark, d):
-    return with_row_index(lines(spark, d).select("doc_id", "pos"), ["doc_id", "pos"], "row_index")
+    # the keys are two integers per line while their lineage splits every
+    # document: materialise them once for the count, sample and numbering passes
+    return with_row_index(lines(spark, d).select("doc_id", "pos"), ["doc_id", "pos"], "row_index", materialize=True)
 
 
 SPLIT_SQL = f"""ranked AS (
@@ -181,7 +183,7 @@ def h6_eval_cap(spark, d):
 @register("h7_batches", LINES_SQL + f"""SELECT batch, count(*) AS items FROM (
   SELECT (row_number() OVER (ORDER BY doc_id, pos) - 1) // {S.QUESTION_BATCH} AS batch FROM lines) GROUP BY batch""")
 def h7_batches(spark, d):
-    return CO.batches(lines(spark, d), ["doc_id", "pos"])
+    return CO.batches(lines(spark, d), ["doc_id", "pos"], materialize=True)
 
 
 # ------------------------------------------------------------------ I group
