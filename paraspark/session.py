@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 
 # Settings the engine relies on. AQE coalesces small shuffle partitions,
 # splits skewed join partitions and turns joins into broadcast joins only
-# after it has measured the runtime size of a side.
+# after it has measured the runtime size of a side. They are runtime SQL
+# settings, applied only where the submitted configuration leaves them unset.
 ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -17,22 +18,40 @@ ENGINE_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
+}
+
+# No web UI (no port beyond what the session itself needs).
+STATIC_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "paraspark", extra: dict | None = None) -> SparkSession:
-    """Local/test session; on a cluster the submitter's settings win."""
-    builder = SparkSession.builder.master(master).appName(app_name)
-    for k, v in ENGINE_CONF.items():
+    """Session for tests, tools and the bench; safe to call under spark-submit.
+
+    ``master`` is set only when given (spark-submit's master wins otherwise).
+    The engine settings and ``shuffle_partitions`` fill only keys the
+    submitted configuration does not set, so a cluster job keeps its own
+    partition counts; ``extra`` is applied as given.
+    """
+    extra = dict(extra or {})
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
+    for k, v in STATIC_CONF.items():
         builder = builder.config(k, v)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", "8g")
-    for k, v in (extra or {}).items():
+    if master and master.startswith("local"):
+        builder = builder.config("spark.driver.memory", "8g")
+    for k, v in extra.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    submitted = spark.sparkContext.getConf()
+    defaults = dict(ENGINE_CONF, **{"spark.sql.shuffle.partitions": str(shuffle_partitions)})
+    for k, v in defaults.items():
+        if k not in extra and not submitted.contains(k):
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
