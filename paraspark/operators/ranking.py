@@ -1,20 +1,24 @@
 """Distributed dense numbering (H3) and what builds on it.
 
 ``with_row_index`` gives rows 1..n following an order without a
-single-partition window:
-
-1. a seeded sample of the sort keys (about ``SAMPLE_PER_BUCKET`` keys per
-   bucket, so bounded by the bucket count) yields ``buckets - 1`` boundary
-   keys, fixed once as literals;
-2. each row's bucket is a pure function of its key (a binary search written
-   as nested CASE expressions), so every branch of the plan and every task
-   retry puts a row in the same bucket;
-3. one count per bucket (a table bounded by the bucket count, broadcast-safe)
-   gives each bucket's offset, and ``row_number`` inside the bucket gives the
-   rest.
-
-Keys must be non-null. With a total order the numbering is deterministic; with
-ties it is still dense and exact (ties may swap places between runs).
+single-partition window. Each row gets a bucket that is fixed for every
+branch of the plan and every task retry, one count per bucket (a table
+bounded by the bucket count, broadcast-safe) gives each bucket's offset, and
+the position inside the bucket gives the rest. The bucket comes from one of
+two paths:
+
+* materialised: Spark's sampled range partitioner places the rows, the
+  partition id and the position inside the sorted partition are stored with
+  the rows in a reliable checkpoint (any number of buckets, nothing on the
+  driver but the partitioner's bounded sample);
+* inline: a seeded sample of the keys (about ``SAMPLE_PER_BUCKET`` per
+  bucket) yields boundary keys, and the bucket is a binary search over them
+  written as CASE expressions (at most ``MAX_LITERAL_BUCKETS`` buckets, so
+  the expression stays small); a window numbers the rows of each bucket.
+
+Keys must be non-null and should form a total order (unique keys): with
+ties the numbering is still dense and exact but ties may swap places between
+runs, and one tied value cannot be split across buckets.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 
 SAMPLE_PER_BUCKET = 20
 SAMPLE_SEED = 17
+# literal bucket boundaries (non-materialised numbering) stay this few
+MAX_LITERAL_BUCKETS = 256
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -62,31 +68,48 @@ def _bucket_expr(keys, bounds: list[tuple], lo: int, hi: int) -> Column:
 
 
 def _bucketed(df: DataFrame, order_cols: list, num_partitions: int | None, materialize: bool):
-    """Rows with ``_bucket`` (a pure function of the key) and the key columns."""
+    """Rows with ``_bucket`` (fixed for every branch and retry) and the key columns.
+
+    Materialised: the rows are range-partitioned on the keys by Spark's own
+    sampled range partitioner, the partition id is recorded as ``_bucket``
+    and the result is written once to the shared checkpoint folder, so the
+    bucket is stored data (no bounds on the driver, no literals in the plan).
+    Otherwise the bucket is a pure function of the key: ``buckets - 1``
+    boundary keys from a seeded sample become a binary search of CASE
+    expressions; their number is capped at ``MAX_LITERAL_BUCKETS`` so the
+    expression stays small whatever the shuffle partition count.
+    """
     keys = [_key(c) for c in order_cols]
     k_names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.select("*", *[e.alias(n) for (e, _), n in zip(keys, k_names)])
+    kcols = [(F.col(n), asc) for n, (_, asc) in zip(k_names, keys)]
+    order = [c.asc() if asc else c.desc() for c, asc in kcols]
+    buckets = max(1, _partitions(df, num_partitions))
     if materialize:
         from paraspark.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
-        keyed = keyed.checkpoint(eager=True)
-    kcols = [(F.col(n), asc) for n, (_, asc) in zip(k_names, keys)]
-    buckets = max(1, _partitions(df, num_partitions))
-
+        pid = F.spark_partition_id()
+        # position inside the sorted range partition: monotonically_increasing_id
+        # keeps the partition index in its upper 31 bits and the row's position
+        # in the lower 33 (documented layout)
+        ranged = (keyed.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
+                  .withColumn("_bucket", pid)
+                  .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)))
+        return ranged.checkpoint(eager=True), order, k_names
+
+    buckets = min(buckets, MAX_LITERAL_BUCKETS)
     bounds: list[tuple] = []
     if buckets > 1:
         n = keyed.count()
         if n > buckets:
             frac = min(1.0, SAMPLE_PER_BUCKET * buckets / n)
-            sample = (keyed.select(*k_names).sample(False, frac, SAMPLE_SEED)
-                      .orderBy(*[c.asc() if asc else c.desc() for c, asc in kcols]))
-            # at most ~SAMPLE_PER_BUCKET * buckets keys reach the driver
+            sample = keyed.select(*k_names).sample(False, frac, SAMPLE_SEED).orderBy(*order)
+            # at most ~SAMPLE_PER_BUCKET * MAX_LITERAL_BUCKETS keys reach the driver
             rows = [tuple(r) for r in sample.collect()]
             if rows:
                 step = len(rows) / buckets
                 bounds = [rows[min(len(rows) - 1, int(step * (i + 1)) - 1)] for i in range(buckets - 1)]
     bucket = _bucket_expr(kcols, bounds, 0, len(bounds)) if bounds else F.lit(0)
-    order = [c.asc() if asc else c.desc() for c, asc in kcols]
     return keyed.withColumn("_bucket", bucket), order, k_names
 
 
@@ -104,12 +127,21 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index", sta
     """Add ``name`` = start, start+1, ... following ``order_cols``.
 
     ``order_cols`` items are names, Columns (ascending) or (expr, ascending) pairs.
-    The input is read three times (count, bound sample, numbering); when its
-    lineage is expensive, ``materialize`` writes it once to the shared
-    checkpoint folder (a reliable checkpoint that survives executor loss).
+    Without ``materialize`` the input is read three times (count, bound
+    sample, numbering) and numbered by a window per bucket. With it, the
+    input is range-partitioned, sorted within partitions and written once to
+    the shared checkpoint folder together with each row's bucket and
+    position (a reliable checkpoint that survives executor loss); the index
+    is then the bucket's offset plus the position, with no window and no
+    further shuffle of the rows. Prefer it for large or expensive inputs.
     """
     b, order, k_names = _bucketed(df, order_cols, num_partitions, materialize)
     offsets = _offsets(b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))
+    if materialize:
+        # stored (bucket, position): a map-side join with the offset table, no window
+        out = b.join(F.broadcast(offsets), "_bucket")
+        return out.withColumn(name, F.col("_off") + F.col("_pos") + F.lit(start)).drop(
+            "_bucket", "_pos", "_off", *k_names)
     ranked = b.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
     out = ranked.join(F.broadcast(offsets), "_bucket")
     return out.withColumn(name, F.col("_off") + F.col("_rn") - 1 + F.lit(start)).drop(
