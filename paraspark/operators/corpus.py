@@ -62,12 +62,24 @@ def hash_order(key: Column, seed: int = S.SPLIT_SEED) -> Column:
 def split_train_test(df: DataFrame, key: str, test_fraction: float = S.TEST_FRACTION,
                      seed: int = S.SPLIT_SEED) -> DataFrame:
     """H4: adds ``split`` in {train, test}; the first ceil(f*n) rows by
-    md5(seed:key) are test. Deterministic, disjoint, exact size."""
+    (md5(seed:key), key) are test. Deterministic, disjoint, exact size.
+
+    Only the boundary is needed: the two order columns alone are numbered
+    (materialised dense numbering) to find the ceil(f*n)-th key, which is one
+    row read back to the driver; membership is then a per-row comparison, so
+    the table itself is neither numbered nor shuffled. ``key`` must be
+    unique and non-null.
+    """
     n = df.count()
     n_test = -(-int(round(test_fraction * n * 1_000_000)) // 1_000_000)  # ceil without float drift
-    ranked = with_row_index(df, [hash_order(F.col(key), seed), F.col(key)], "_rank")
-    return ranked.withColumn("split", F.when(F.col("_rank") <= n_test, F.lit("test"))
-                             .otherwise(F.lit("train"))).drop("_rank")
+    h = hash_order(F.col(key), seed)
+    if n_test <= 0:
+        return df.withColumn("split", F.lit("train"))
+    keys = df.select(h.alias("_h"), F.col(key).alias("_k"))
+    ranked = with_row_index(keys, ["_h", "_k"], "_rank", materialize=True)
+    edge = ranked.filter(F.col("_rank") == n_test).select("_h", "_k").first()
+    in_test = (h < F.lit(edge["_h"])) | ((h == F.lit(edge["_h"])) & (F.col(key) <= F.lit(edge["_k"])))
+    return df.withColumn("split", F.when(in_test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def seeded_sample(df: DataFrame, key: str, k: int = S.PREVIEW_K, seed: int = S.SPLIT_SEED) -> DataFrame:
