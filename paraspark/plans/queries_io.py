@@ -125,7 +125,8 @@ SHEET_SQL = W(Q.LINES) + """SELECT row_number() OVER (ORDER BY lang, doc_id, pos
 def _sheet(spark, d):
     from paraspark.operators.ranking import with_row_index
     ln = lines(spark, d).filter(F.col("lang").isin("fr", "en"))
-    n = with_row_index(ln, ["lang", "doc_id", "pos"], "id")
+    # every line of every document: range-partitioned and written once
+    n = with_row_index(ln, ["lang", "doc_id", "pos"], "id", materialize=True)
     return n.select("id", F.col("line").alias("Questions ou Affirmations"), F.col("lang").alias("langue"))
 
 
