@@ -59,17 +59,22 @@ def ingest_anti_join(spark: SparkSession, source: str, schema: StructType,
         spark.createDataFrame([], stored).write.mode("append").partitionBy("_kb").parquet(target)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(keys).withColumn("_kb", key_bucket(keys, key_buckets))
-        # bucket ids of this batch: at most key_buckets small integers
-        touched = [r[0] for r in fresh.select("_kb").distinct().collect()]
-        if not touched:
-            return
-        existing = (batch.sparkSession.read.schema(stored).parquet(target)
-                    .filter(F.col("_kb").isin(touched)).select("_kb", *keys))
-        cond = [fresh["_kb"] == existing["_kb"]] + [fresh[k].eqNullSafe(existing[k]) for k in keys]
-        # one file per touched bucket per batch (the batch is bounded)
-        (fresh.join(existing, cond, "left_anti").select(*[f.name for f in stored.fields])
-         .repartition("_kb").write.mode("append").partitionBy("_kb").parquet(target))
+        # the (bounded) batch is read twice below: keep it for the duration
+        # of the upsert; a lost block is recomputed from the batch's files
+        fresh = batch.dropDuplicates(keys).withColumn("_kb", key_bucket(keys, key_buckets)).persist()
+        try:
+            # bucket ids of this batch: at most key_buckets small integers
+            touched = [r[0] for r in fresh.select("_kb").distinct().collect()]
+            if not touched:
+                return
+            existing = (batch.sparkSession.read.schema(stored).parquet(target)
+                        .filter(F.col("_kb").isin(touched)).select("_kb", *keys))
+            cond = [fresh["_kb"] == existing["_kb"]] + [fresh[k].eqNullSafe(existing[k]) for k in keys]
+            # one file per touched bucket per batch (the batch is bounded)
+            (fresh.join(existing, cond, "left_anti").select(*[f.name for f in stored.fields])
+             .repartition("_kb").write.mode("append").partitionBy("_kb").parquet(target))
+        finally:
+            fresh.unpersist()
 
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
