@@ -181,23 +181,23 @@ def has_no_pairs(pairs) -> Column:
 
 def pair_count(pairs) -> Column:
     """E9."""
-    return F.coalesce(F.size(_c(pairs)), F.lit(0))
+    return F.coalesce(F.size(_c(pairs)), F.lit(0)).cast("long")
 
 
 def message_count(messages) -> Column:
     """E11 (native array): 0 on null."""
-    return F.coalesce(F.size(_c(messages)), F.lit(0))
+    return F.coalesce(F.size(_c(messages)), F.lit(0)).cast("long")
 
 
 def message_count_json(c) -> Column:
     """E11 (JSON text): 0 on null or unparseable."""
-    return F.coalesce(F.json_array_length(_c(c)), F.lit(0))
+    return F.coalesce(F.json_array_length(_c(c)), F.lit(0)).cast("long")
 
 
 def first_message_length(messages) -> Column:
     """Length of the first message content after D8; 0 when absent."""
     first = F.get(_c(messages), 0)["content"]
-    return F.coalesce(F.length(T.strip_full_prefix(first)), F.lit(0))
+    return F.coalesce(F.length(T.strip_full_prefix(first)), F.lit(0)).cast("long")
 
 
 def messages_json(messages) -> Column:

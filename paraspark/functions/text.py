@@ -80,7 +80,7 @@ def strip_full_prefix(c, prefix: str = S.FULL_PREFIX) -> Column:
 
 def char_length(c) -> Column:
     """Length in code points."""
-    return F.length(_c(c))
+    return F.length(_c(c)).cast("long")
 
 
 def classify_question(c, word_boundary: bool = False) -> Column:

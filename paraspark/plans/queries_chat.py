@@ -194,7 +194,7 @@ def e9_pair_count(spark, d):
 
 @register("e10_messages_json", W(Q.TURNS, Q.SAMPLES, Q.RAW_MIX) + "SELECT id, length(CAST(to_json(messages) AS VARCHAR)) AS json_len FROM raw_mix")
 def e10_messages_json(spark, d):
-    return A.raw_mix(spark, d).select("id", F.length(C.messages_json("messages")).alias("json_len"))
+    return A.raw_mix(spark, d).select("id", F.length(C.messages_json("messages")).cast("long").alias("json_len"))
 
 
 @register("e11_message_count", W(Q.TURNS, Q.SAMPLES, Q.RAW_MIX) + """SELECT id, len(messages) AS n_native,

@@ -30,7 +30,7 @@ def _trn(spark, d):
 def _mix_metrics(spark, d):
     """Per sample: JSON length of the messages, message count, first-message length."""
     r = A.raw_mix(spark, d)
-    return r.select("id", "direction", F.length(C.messages_json("messages")).alias("json_len"),
+    return r.select("id", "direction", F.length(C.messages_json("messages")).cast("long").alias("json_len"),
                     C.message_count("messages").alias("n_messages"),
                     C.first_message_length("messages").alias("first_len"))
 
@@ -176,4 +176,4 @@ def _count_json_messages(s: pd.Series) -> pd.Series:
 @register("k1_pandas_udf_oracle", MIX + "SELECT id, coalesce(json_array_length(to_json(messages)), 0) AS n_json FROM raw_mix")
 def k1_pandas_udf_oracle(spark, d):
     r = A.raw_mix(spark, d)
-    return r.select("id", _count_json_messages(C.messages_json("messages")).alias("n_json"))
+    return r.select("id", _count_json_messages(C.messages_json("messages")).cast("long").alias("n_json"))

@@ -28,7 +28,7 @@ def lines(spark, d):
     """Documents -> (doc_id, lang, pos, line), blanks dropped."""
     docs = A.table(spark, d, "documents")
     return (docs.select("doc_id", "lang", F.posexplode(F.split(T.strip_ws("text"), "\n")).alias("pos", "raw"))
-            .select("doc_id", "lang", "pos", T.strip_ws("raw").alias("line"))
+            .select("doc_id", "lang", F.col("pos").cast("long").alias("pos"), T.strip_ws("raw").alias("line"))
             .filter(F.col("line") != ""))
 
 
@@ -182,7 +182,8 @@ def c12_first_n(spark, d):
 def c13_non_blank(spark, d):
     docs = A.table(spark, d, "documents")
     x = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return x.filter(T.non_blank("raw")).select("doc_id", "pos", T.strip_ws("raw").alias("line"))
+    return x.filter(T.non_blank("raw")).select("doc_id", F.col("pos").cast("long").alias("pos"),
+                                               T.strip_ws("raw").alias("line"))
 
 
 @register("c14_text_search", W(Q.TR, Q.TRN) + """SELECT id FROM trn
