@@ -1,5 +1,6 @@
 """Every registered query against its DuckDB oracle on sf0.001 (the driver's
-comparison: row count, column names, order-insensitive values)."""
+comparison: row count, column names and type families, order-insensitive
+values)."""
 
 import math
 
@@ -24,6 +25,23 @@ def norm(v):
     return v if isinstance(v, (int, str, bool)) else str(v)
 
 
+def family(type_name):
+    """Coarse type family shared by Spark and DuckDB names (BIGINT and
+    UBIGINT are one family, INT another, DOUBLE, VARCHAR, BOOLEAN ...)."""
+    t = type_name.lower()
+    if t in ("bigint", "long", "ubigint", "hugeint"):
+        return "int64"
+    if t in ("int", "integer", "uinteger"):
+        return "int32"
+    if "double" in t or t in ("float", "real"):
+        return "float"
+    if t in ("string", "varchar"):
+        return "string"
+    if "bool" in t:
+        return "bool"
+    return t
+
+
 def canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted(repr(tuple(norm(r[i]) for i in order)) for r in rows)
@@ -49,6 +67,9 @@ def test_query_matches_oracle(spark, con, sf_small, key):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
+    rel = con.sql(ORACLE[key])
+    assert ({f.name: family(f.dataType.simpleString()) for f in sdf.schema.fields}
+            == {c: family(str(t)) for c, t in zip(rel.columns, rel.types)})
     assert len(srows) == len(drows)
     assert canon(sdf.columns, srows) == canon(dcols, drows)
 
