@@ -45,7 +45,10 @@ def encode(df: DataFrame, key: str, text_cols: list[str], seq_len: int = S.SEQ_L
     the token and regroup by key (at most ``seq_len`` ids per field).
     """
     tok_names = [f"_t{i}" for i in range(len(text_cols))]
-    toks = df.select(key, *[whitespace_tokens(c).alias(t) for c, t in zip(text_cols, tok_names)])
+    # a NULL text has no tokens (an empty array: concat would turn the whole
+    # row's token list NULL)
+    none = F.array().cast("array<string>")
+    toks = df.select(key, *[F.coalesce(whitespace_tokens(c), none).alias(t) for c, t in zip(text_cols, tok_names)])
     every = toks.select(F.explode(F.concat(*[F.col(t) for t in tok_names])).alias("token"))
     vocab = vocabulary(every)
 
