@@ -30,7 +30,8 @@ def greedy_pairs_long(turns: DataFrame, keys: list[str], order: str = "turn", ro
     """(keys..., pos, texte_cible, traduction): one row per extracted pair."""
     w = Window.partitionBy(*keys).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_user = F.col(role) == F.lit("user")
+    # any other role, NULL included, ends a run of users
+    is_user = F.coalesce(F.col(role) == F.lit("user"), F.lit(False))
     rn = F.row_number().over(w)
     x = turns.select(
         *keys, order, role, content,

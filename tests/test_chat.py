@@ -145,3 +145,12 @@ def test_split_marked_random_strings(spark):
     got = {r[0]: [tuple(p) for p in r[1]] for r in df.select("i", C.split_marked("t", T.ROW_REPR)).collect()}
     bad = [(t, got[i], py_split_marked(t)) for i, t in enumerate(texts) if got[i] != py_split_marked(t)]
     assert not bad, bad[:3]
+
+
+def test_long_form_null_role_ends_a_run(spark):
+    from paraspark.operators.pairing import greedy_pairs_long
+    msgs = [("u1", "user"), ("n1", None), ("n2", None), ("u2", "user"), ("a2", "assistant")]
+    df = spark.createDataFrame([(0, t, c, r) for t, (c, r) in enumerate(msgs)],
+                               "i long, turn int, content string, role string")
+    got = [(r["texte_cible"], r["traduction"]) for r in greedy_pairs_long(df, ["i"]).orderBy("pos").collect()]
+    assert got == py_greedy(msgs) == [("u1", ""), ("u2", "a2")]
