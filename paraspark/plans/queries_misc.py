@@ -56,7 +56,8 @@ def _cards(spark, d):
     docs = A.table(spark, d, "documents")
     g = docs.groupBy("source").agg(F.count(F.lit(1)).alias("rows"),
                                    F.sort_array(F.collect_set("lang")).alias("langs"))
-    even = F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 2 == 0
+    # a source without a trailing number counts as odd (no ANSI cast error)
+    even = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int") % 2 == 0, F.lit(False))
     card = F.struct(
         F.col("source").alias("id"), F.lit("driver").alias("author"), F.col("rows").alias("downloads"),
         F.when(~even, F.size("langs").cast("long")).alias("likes"),
@@ -69,8 +70,8 @@ def _cards(spark, d):
 
 
 @register("e18_card", """SELECT source AS nom, 'driver' AS auteur, rows AS telechargements,
-  CASE WHEN CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 2 = 0 THEN 0 ELSE n_langs END AS likes,
-  CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 2 = 1 AS acces_restreint,
+  CASE WHEN coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 2 = 0, false) THEN 0 ELSE n_langs END AS likes,
+  NOT coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 2 = 0, false) AS acces_restreint,
   n_langs AS fichiers_nombre, n_langs AS n_tags
   FROM (SELECT source, count(*) AS rows, count(DISTINCT lang) AS n_langs FROM documents GROUP BY source)""")
 def e18_card(spark, d):
