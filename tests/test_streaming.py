@@ -21,16 +21,16 @@ def test_l1_and_l2_idempotent(spark):
     first = [("fr", "a", "dr", "x"), ("fr", "a", "dr", "x"), ("en", "b", "dr", "y")]
     second = [("fr", "a", "dr", "x"), ("en", "c", "dr", None), ("en", "c", "dr", None)]
     expected = {("fr", "a", "dr", "x"), ("en", "b", "dr", "y"), ("en", "c", "dr", None)}
-    for kind in ("l1", "l2"):
+    for kind in ("l1", "l1_digest", "l2"):
         src, out, ck = (os.path.join(base, kind, p) for p in ("in", "out", "ck"))
         for rows in (first, second, []):
             if rows:
                 _arrive(spark, src, rows)
-            if kind == "l1":
-                ST.ingest_dedup(spark, src, SCHEMA, lambda d: d, KEYS, out, ck)
+            if kind.startswith("l1"):
+                ST.ingest_dedup(spark, src, SCHEMA, lambda d: d, KEYS, out, ck, digest_keys=kind == "l1_digest")
             else:
                 ST.ingest_anti_join(spark, src, SCHEMA, lambda d: d, KEYS, out, ck, SCHEMA, max_files_per_trigger=1)
-        reader = spark.read.schema(SCHEMA).parquet(out) if kind == "l1" else ST.read_target(spark, out, SCHEMA)
+        reader = spark.read.schema(SCHEMA).parquet(out) if kind.startswith("l1") else ST.read_target(spark, out, SCHEMA)
         got = [tuple(r) for r in reader.collect()]
         assert len(got) == len(expected) and set(got) == expected, kind
 
