@@ -82,26 +82,37 @@ def f7_total_pairs(spark, d):
     return p.agg(F.sum(C.pair_count("pairs")).cast("long").alias("total_pairs"))
 
 
+# Float summaries are reported to 6 decimals on both sides: the engines sum
+# in different orders, so raw doubles may differ in the last bits.
+DIGITS = 6
+
+
+def _rounded(df, cols):
+    return df.select(*[F.round(c, DIGITS).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def _five_sql(col: str) -> str:
-    return (f"SELECT count({col}) AS count, avg({col}) AS mean, stddev_samp({col}) AS stddev, "
+    return (f"SELECT count({col}) AS count, round(avg({col}), {DIGITS}) AS mean, "
+            f"round(stddev_samp({col}), {DIGITS}) AS stddev, "
             f"CAST(min({col}) AS DOUBLE) AS min, CAST(max({col}) AS DOUBLE) AS max FROM mx")
 
 
 @register("f8_json_length_summary", MIX_METRICS_SQL + _five_sql("json_len"))
 def f8_json_length_summary(spark, d):
-    return PR.five_number(_mix_metrics(spark, d), "json_len")
+    return _rounded(PR.five_number(_mix_metrics(spark, d), "json_len"), ["mean", "stddev"])
 
 
 @register("f8_messages_summary", MIX_METRICS_SQL + _five_sql("n_messages"))
 def f8_messages_summary(spark, d):
-    return PR.five_number(_mix_metrics(spark, d), "n_messages")
+    return _rounded(PR.five_number(_mix_metrics(spark, d), "n_messages"), ["mean", "stddev"])
 
 
-@register("f9_first_len_summary", MIX_METRICS_SQL + """SELECT count(first_len) AS count, avg(first_len) AS mean,
-  stddev_samp(first_len) AS stddev, CAST(min(first_len) AS DOUBLE) AS min, CAST(max(first_len) AS DOUBLE) AS max,
-  quantile_cont(first_len, 0.25) AS q25, quantile_cont(first_len, 0.5) AS q50, quantile_cont(first_len, 0.75) AS q75 FROM mx""")
+@register("f9_first_len_summary", MIX_METRICS_SQL + f"""SELECT count(first_len) AS count, round(avg(first_len), {DIGITS}) AS mean,
+  round(stddev_samp(first_len), {DIGITS}) AS stddev, CAST(min(first_len) AS DOUBLE) AS min, CAST(max(first_len) AS DOUBLE) AS max,
+  round(quantile_cont(first_len, 0.25), {DIGITS}) AS q25, round(quantile_cont(first_len, 0.5), {DIGITS}) AS q50,
+  round(quantile_cont(first_len, 0.75), {DIGITS}) AS q75 FROM mx""")
 def f9_first_len_summary(spark, d):
-    return PR.eight_number(_mix_metrics(spark, d), "first_len")
+    return _rounded(PR.eight_number(_mix_metrics(spark, d), "first_len"), ["mean", "stddev", "q25", "q50", "q75"])
 
 
 @register("f10_mean_by_direction", MIX_METRICS_SQL + """SELECT direction, round(avg(first_len), 2) AS mean

@@ -32,6 +32,11 @@ STACKED = """stacked AS (
   SELECT key, 'A' AS system, hyp, ref FROM hr UNION ALL SELECT key, 'B' AS system, hyp_b AS hyp, ref FROM hr)"""
 
 
+# BLEU is reported to 6 decimals on both sides (exp/log of sums whose order
+# differs between engines)
+BLEU_DIGITS = 6
+
+
 def _bleu_sql(src: str, group: str) -> str:
     """Corpus BLEU per ``group`` (a column of ``src``) in plain SQL."""
     g = group
@@ -55,7 +60,8 @@ st AS (SELECT l.*, {", ".join(f"coalesce((SELECT correct FROM clip c WHERE c.grp
         logs.append(f"(CASE WHEN {p} = 0 THEN -9999999999.0 ELSE ln({p}) END)")
     bp = ("(CASE WHEN sys_len >= ref_len THEN 1.0 WHEN sys_len > 0 THEN exp(1 - CAST(ref_len AS DOUBLE) / sys_len) "
           "ELSE 0.0 END)")
-    return ctes, f"SELECT grp, CAST(sys_len AS BIGINT) AS sys_len, CAST(ref_len AS BIGINT) AS ref_len, {bp} * exp(({' + '.join(logs)}) / 4) AS bleu FROM st"
+    return ctes, (f"SELECT grp, CAST(sys_len AS BIGINT) AS sys_len, CAST(ref_len AS BIGINT) AS ref_len, "
+                  f"round({bp} * exp(({' + '.join(logs)}) / 4), {BLEU_DIGITS}) AS bleu FROM st")
 
 
 _C14, _S14 = _bleu_sql("hr", "'all'")
@@ -65,13 +71,13 @@ _C15, _S15 = _bleu_sql("stacked", "system")
 @register("f14_corpus_bleu", W(Q.HYPREF, _C14) + _S14.replace("SELECT grp, ", "SELECT "))
 def f14_corpus_bleu(spark, d):
     """System A (assistant turn) scored against the preceding user turn."""
-    return SC.corpus_bleu(A.hyp_ref(spark, d), "hyp", "ref", "key")
+    return SC.corpus_bleu(A.hyp_ref(spark, d), "hyp", "ref", "key").withColumn("bleu", F.round("bleu", BLEU_DIGITS))
 
 
 @register("f15_compare_systems", W(Q.HYPREF, STACKED, _C15) + _S15.replace("SELECT grp, ", "SELECT grp AS system, "))
 def f15_compare_systems(spark, d):
     stacked = SC.stack_systems(A.hyp_ref(spark, d), "key", "ref", {"A": "hyp", "B": "hyp_b"})
-    return SC.corpus_bleu(stacked, "hyp", "ref", "key", ["system"])
+    return SC.corpus_bleu(stacked, "hyp", "ref", "key", ["system"]).withColumn("bleu", F.round("bleu", BLEU_DIGITS))
 
 
 # ----------------------------------------------------------- run metrics
