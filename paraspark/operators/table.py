@@ -68,10 +68,16 @@ def text_search(df: DataFrame, needle: str, source_lang: str | None = None,
 def resume_pending(phrases: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """G1: phrases not yet processed; a phrase repeated in the input once.
 
-    The dedupe collapses hot keys map-side before the anti join's shuffle;
-    AQE splits any join partition that is still skewed.
+    Both sides are tagged and unioned, then grouped once by the key: a key
+    is pending when it came from ``phrases`` and never from ``existing``.
+    One shuffle, and repeats of a hot key collapse in the map-side partial
+    aggregate on both sides. Keys compare like set membership (NULL equals
+    NULL), as in the seen-set being replaced.
     """
-    return phrases.dropDuplicates(keys).join(existing.select(*keys).dropDuplicates(keys), keys, "left_anti")
+    tagged = (phrases.select(*keys, F.lit(True).alias("_p"), F.lit(False).alias("_e"))
+              .unionByName(existing.select(*keys, F.lit(False).alias("_p"), F.lit(True).alias("_e"))))
+    return (tagged.groupBy(*keys).agg(F.max("_p").alias("_p"), F.max("_e").alias("_e"))
+            .filter(F.col("_p") & ~F.col("_e")).select(*keys))
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

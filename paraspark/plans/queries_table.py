@@ -30,7 +30,8 @@ LINES_SQL = W(Q.LINES)
 
 
 @register("g1_resume", LINES_SQL + """SELECT DISTINCT l.line, l.lang FROM lines l
-  WHERE NOT EXISTS (SELECT 1 FROM lines e WHERE e.pos = 0 AND e.line = l.line AND e.lang = l.lang)""")
+  WHERE NOT EXISTS (SELECT 1 FROM lines e WHERE e.pos = 0 AND e.line IS NOT DISTINCT FROM l.line
+                                         AND e.lang IS NOT DISTINCT FROM l.lang)""")
 def g1_resume(spark, d):
     """Phrases (document lines) not yet translated; the first line of every
     document stands for the already-translated set."""

@@ -66,3 +66,13 @@ def test_insert_if_absent_and_unique(spark):
     merged = TB.insert_if_absent(t, new, ["source_lang", "source_text", "target_lang", "target_text"])
     assert sorted(r["id"] for r in merged.collect()) == [1, 2, 3, 8, 9]
     assert TB.duplicate_keys(merged.union(merged.filter(F.col("id") == 1))).count() == 1
+
+
+def test_resume_pending_is_set_membership(spark):
+    from paraspark.operators.table import resume_pending
+    phrases = spark.createDataFrame([("a", "fr"), ("a", "fr"), ("b", "fr"), ("c", None), ("d", None)],
+                                    "line string, lang string")
+    existing = spark.createDataFrame([("b", "fr"), ("c", None), ("z", "en")], "line string, lang string")
+    got = sorted(tuple(r) for r in resume_pending(phrases, existing, ["line", "lang"]).collect())
+    # a repeated phrase once; NULL equals NULL like a Python set; keys only in existing never appear
+    assert got == [("a", "fr"), ("d", None)]
