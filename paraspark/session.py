@@ -20,10 +20,12 @@ ENGINE_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-# No web UI (no port beyond what the session itself needs).
+# No web UI (no port beyond what the session itself needs); materialised
+# intermediates in the checkpoint folder are deleted once unreferenced.
 STATIC_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
