@@ -130,6 +130,47 @@ def corpus_bleu(df: DataFrame, hyp: str, ref: str, key: str, group: list[str] |
     return bleu_from_stats(bleu_stats(df, group, key, hyp, ref), group)
 
 
+def corpus_bleu_systems(df: DataFrame, key: str, ref: str, systems: dict[str, str]) -> DataFrame:
+    """F15 on wide predictions: one BLEU row per system, the reference read,
+    tokenised and exploded once for all systems.
+
+    Same counting as ``bleu_stats``: one aggregation keyed by (row, n, gram)
+    holds the reference count and one hypothesis count per system, after the
+    rows are hash-partitioned by ``key`` (n-grams are counted where they are
+    produced). Output columns: system, sys_len, ref_len, bleu.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    names = list(systems)
+    cols = {name: f"_h{i}" for i, name in enumerate(names)}
+    tok = (df.repartition(parts, F.col(key))
+           .select(key, tokenize_13a(ref).alias("_r"),
+                   *[tokenize_13a(systems[name]).alias(cols[name]) for name in names]))
+    sides = [F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), g.alias("g"))
+             for side, col in [("_r", "_r")] + [(cols[name], cols[name]) for name in names]
+             for n, g in enumerate(_ngram_orders(F.col(col)), start=1)]
+    grams = (tok.select(key, F.explode(F.array(*sides)).alias("_x"))
+             .select(key, F.col("_x.side").alias("side"), F.col("_x.n").alias("n"),
+                     F.explode("_x.g").alias("gram")))
+    counts = grams.groupBy(key, "n", "gram").agg(
+        *[F.sum(F.when(F.col("side") == c, 1).otherwise(0)).alias(c) for c in ["_r"] + [cols[n] for n in names]])
+    orders = range(1, MAX_ORDER + 1)
+
+    def at(n: int, v: Column) -> Column:
+        return F.sum(F.when(F.col("n") == n, v).otherwise(F.lit(0))).cast("long")
+
+    wide = counts.agg(at(1, F.col("_r")).alias("ref_len"), *[
+        x for name in names for x in (
+            at(1, F.col(cols[name])).alias(f"{cols[name]}_sys_len"),
+            *[at(n, F.col(cols[name])).alias(f"{cols[name]}_total_{n}") for n in orders],
+            *[at(n, F.least(cols[name], "_r")).alias(f"{cols[name]}_correct_{n}") for n in orders])])
+    stat_cols = ["sys_len"] + [f"total_{n}" for n in orders] + [f"correct_{n}" for n in orders]
+    per_system = wide.select(F.col("ref_len"), F.explode(F.array(*[
+        F.struct(F.lit(name).alias("system"), *[F.col(f"{cols[name]}_{c}").alias(c) for c in stat_cols])
+        for name in names])).alias("_s")).select("_s.*", "ref_len")
+    return bleu_from_stats(per_system, ["system"])
+
+
 def stack_systems(df: DataFrame, key: str, ref: str, systems: dict[str, str]) -> DataFrame:
     """Wide prediction columns -> (key, system, hyp, ref)."""
     return df.select(key, ref, F.explode(F.array(*[

@@ -76,8 +76,10 @@ def f14_corpus_bleu(spark, d):
 
 @register("f15_compare_systems", W(Q.HYPREF, STACKED, _C15) + _S15.replace("SELECT grp, ", "SELECT grp AS system, "))
 def f15_compare_systems(spark, d):
-    stacked = SC.stack_systems(A.hyp_ref(spark, d), "key", "ref", {"A": "hyp", "B": "hyp_b"})
-    return SC.corpus_bleu(stacked, "hyp", "ref", "key", ["system"]).withColumn("bleu", F.round("bleu", BLEU_DIGITS))
+    """Systems A and B against the same references (wide form: each
+    reference is tokenised and exploded once for both systems)."""
+    out = SC.corpus_bleu_systems(A.hyp_ref(spark, d), "key", "ref", {"A": "hyp", "B": "hyp_b"})
+    return out.withColumn("bleu", F.round("bleu", BLEU_DIGITS))
 
 
 # ----------------------------------------------------------- run metrics

@@ -71,6 +71,24 @@ def test_compare_systems(spark):
     assert got["B"] == pytest.approx(py_bleu(["a cat"], ["the cat sat"]))
 
 
+def test_wide_systems_match_python(spark):
+    import random
+    rnd = random.Random(5)
+    words = ["the", "cat", "sat", "on", "a", "mat", ".", ",", "dog", "1-2"]
+    refs = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12))) for _ in range(40)]
+    sys_a = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12))) for _ in range(40)]
+    sys_b = [r if i % 3 else "" for i, r in enumerate(refs)]
+    df = spark.createDataFrame([(str(i), a, b, r) for i, (a, b, r) in enumerate(zip(sys_a, sys_b, refs))],
+                               "k string, a string, b string, ref string")
+    got = {r["system"]: r for r in SC.corpus_bleu_systems(df, "k", "ref", {"A": "a", "B": "b"}).collect()}
+    assert got["A"]["bleu"] == pytest.approx(py_bleu(sys_a, refs), rel=1e-9, abs=1e-9)
+    assert got["B"]["bleu"] == pytest.approx(py_bleu(sys_b, refs), rel=1e-9, abs=1e-9)
+    stacked = SC.stack_systems(df, "k", "ref", {"A": "a", "B": "b"})
+    long = {r["system"]: r for r in SC.corpus_bleu(stacked, "hyp", "ref", "k", ["system"]).collect()}
+    for name in ("A", "B"):
+        assert (got[name]["sys_len"], got[name]["ref_len"]) == (long[name]["sys_len"], long[name]["ref_len"])
+
+
 def test_best_kept_latest(spark):
     rows = [("r", "bleu", s, v) for s, v in [(1, 5.0), (2, 9.0), (3, 9.0), (4, 1.0), (5, 2.0), (6, 3.0)]]
     df = spark.createDataFrame(rows, "run_id string, metric string, step long, value double")
