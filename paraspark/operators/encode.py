@@ -53,7 +53,11 @@ def encode(df: DataFrame, key: str, text_cols: list[str], seq_len: int = S.SEQ_L
     vocab = vocabulary(every)
 
     item = "struct<f:int,pos:int,token:string>"
-    marker = F.array(F.struct(F.lit(-1).alias("f"), F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("token")))
+    # the marker's join key is the row's own key: markers spread over the
+    # join's partitions like their rows (a shared NULL key would send them all
+    # to one partition); a marker's id is never used, so a match is harmless
+    marker = F.array(F.struct(F.lit(-1).alias("f"), F.lit(-1).alias("pos"),
+                              F.concat(F.lit("\u0000"), F.col(key).cast("string")).alias("token")))
     def tagged(f: int):
         return lambda x, i: F.struct(F.lit(f).alias("f"), i.alias("pos"), x.alias("token"))
 
