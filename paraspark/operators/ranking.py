@@ -80,8 +80,12 @@ def _bucketed(df: DataFrame, order_cols: list, num_partitions: int | None, mater
     expression stays small whatever the shuffle partition count.
     """
     keys = [_key(c) for c in order_cols]
-    k_names = [f"_k{i}" for i in range(len(keys))]
-    keyed = df.select("*", *[e.alias(n) for (e, _), n in zip(keys, k_names)])
+    # a key that is a plain column is used as it is; expressions become
+    # synthetic columns (returned so the caller drops them afterwards)
+    names = [(c[0] if isinstance(c, tuple) else c) for c in order_cols]
+    k_names = [n if isinstance(n, str) and n in df.columns else f"_k{i}" for i, n in enumerate(names)]
+    added = [n for n in k_names if n not in df.columns]
+    keyed = df.select("*", *[e.alias(n) for (e, _), n in zip(keys, k_names) if n in added])
     kcols = [(F.col(n), asc) for n, (_, asc) in zip(k_names, keys)]
     order = [c.asc() if asc else c.desc() for c, asc in kcols]
     buckets = max(1, _partitions(df, num_partitions))
@@ -95,7 +99,7 @@ def _bucketed(df: DataFrame, order_cols: list, num_partitions: int | None, mater
         ranged = (keyed.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
                   .withColumn("_bucket", pid)
                   .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)))
-        return ranged.checkpoint(eager=True), order, k_names
+        return ranged.checkpoint(eager=True), order, k_names, added
 
     buckets = min(buckets, MAX_LITERAL_BUCKETS)
     bounds: list[tuple] = []
@@ -110,7 +114,7 @@ def _bucketed(df: DataFrame, order_cols: list, num_partitions: int | None, mater
                 step = len(rows) / buckets
                 bounds = [rows[min(len(rows) - 1, int(step * (i + 1)) - 1)] for i in range(buckets - 1)]
     bucket = _bucket_expr(kcols, bounds, 0, len(bounds)) if bounds else F.lit(0)
-    return keyed.withColumn("_bucket", bucket), order, k_names
+    return keyed.withColumn("_bucket", bucket), order, k_names, added
 
 
 def _offsets(per_bucket: DataFrame) -> DataFrame:
@@ -135,29 +139,29 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index", sta
     is then the bucket's offset plus the position, with no window and no
     further shuffle of the rows. Prefer it for large or expensive inputs.
     """
-    b, order, k_names = _bucketed(df, order_cols, num_partitions, materialize)
+    b, order, _, added = _bucketed(df, order_cols, num_partitions, materialize)
     offsets = _offsets(b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))
     if materialize:
         # stored (bucket, position): a map-side join with the offset table, no window
         out = b.join(F.broadcast(offsets), "_bucket")
         return out.withColumn(name, F.col("_off") + F.col("_pos") + F.lit(start)).drop(
-            "_bucket", "_pos", "_off", *k_names)
+            "_bucket", "_pos", "_off", *added)
     ranked = b.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
     out = ranked.join(F.broadcast(offsets), "_bucket")
     return out.withColumn(name, F.col("_off") + F.col("_rn") - 1 + F.lit(start)).drop(
-        "_bucket", "_rn", "_off", *k_names)
+        "_bucket", "_rn", "_off", *added)
 
 
 def with_running_total(df: DataFrame, order_cols: list, weight: str, name: str = "running_total",
                        num_partitions: int | None = None) -> DataFrame:
     """Add the inclusive running sum of ``weight`` following ``order_cols``
     (same bucketing as ``with_row_index``; keys should be unique)."""
-    b, order, k_names = _bucketed(df, order_cols, num_partitions, False)
+    b, order, _, added = _bucketed(df, order_cols, num_partitions, False)
     offsets = _offsets(b.groupBy("_bucket").agg(F.sum(weight).alias("_n")))
     w = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = b.withColumn("_run", F.sum(weight).over(w))
     out = ranked.join(F.broadcast(offsets), "_bucket")
-    return out.withColumn(name, F.col("_off") + F.col("_run")).drop("_bucket", "_run", "_off", *k_names)
+    return out.withColumn(name, F.col("_off") + F.col("_run")).drop("_bucket", "_run", "_off", *added)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float],
