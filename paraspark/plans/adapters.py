@@ -28,10 +28,11 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 # tables whose rows carry long texts, with a key that is unique per row:
-# thin scans are spread across the cores by that key. Chat turns are short
-# and every consumer shuffles them before the heavy per-row work (grouping
-# into samples, BLEU's key partitioning), so they are not spread.
-TEXT_TABLES = {"documents": ["doc_id"], "pages": ["page_id"], "benchmark": ["item_id"]}
+# thin scans are spread across the cores by that key. Chat turns and
+# benchmark passages are short and light per row, and their consumers
+# shuffle them before any heavy work (grouping into samples, BLEU's key
+# partitioning, G6's numbering), so they are not spread.
+TEXT_TABLES = {"documents": ["doc_id"], "pages": ["page_id"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
