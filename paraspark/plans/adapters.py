@@ -166,13 +166,23 @@ def hyp_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(key.alias("key"), "hyp", "ref", dropped.alias("hyp_b"))
 
 
+def epoch_millis(df: DataFrame, col: str) -> Column:
+    """Milliseconds since the epoch, whatever the session time zone: a
+    timestamp without time zone is read as UTC wall time (its difference from
+    the epoch), a zoned timestamp is already an instant."""
+    from pyspark.sql.types import TimestampNTZType
+    if isinstance(df.schema[col].dataType, TimestampNTZType):
+        return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(col))
+    return F.unix_millis(F.col(col).cast("timestamp"))
+
+
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, metric, ts_ms, value, step) from events."""
     e = table(spark, sf_dir, "events")
     return e.select(
         F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_id"),
         F.col("event_type").alias("metric"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
+        epoch_millis(e, "ts").alias("ts_ms"),
         F.col("value"),
         F.col("event_id").alias("step"),
     )

@@ -27,3 +27,17 @@ def test_translation_targets_are_whole_texts(spark, sf_small):
     assert tr.filter(F.length("target_text") != F.length("source_text")).count() == 0
     assert tr.filter(F.upper(F.translate("target_text", A.ASCII_UPPER, A.ASCII_LOWER))
                      != F.upper("source_text")).count() == 0
+
+
+def test_epoch_millis_ignores_session_time_zone(spark):
+    import datetime
+    df = spark.createDataFrame([(datetime.datetime(2024, 1, 2, 3, 4, 5, 6000),)], "ts timestamp_ntz")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = []
+        for tz in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got.append(df.select(A.epoch_millis(df, "ts")).first()[0])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [1704164645006] * 3
