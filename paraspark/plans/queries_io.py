@@ -38,6 +38,10 @@ def _fresh(spark, tag: str) -> str:
     return shared_path(spark, f"io-{tag}-{uuid.uuid4().hex[:12]}")
 
 
+# the stored translation table is laid out by language pair (C2 prunes folders)
+TABLE_PARTITION = ["source_lang", "target_lang"]
+
+
 def _trn(spark, d):
     return TB.normalise_langs(A.translations(spark, d))
 
@@ -141,7 +145,7 @@ def a7_required_column(spark, d):
 @register("a8_table_scan", W(Q.TR, Q.TRN) + "SELECT * FROM trn")
 def a8_table_scan(spark, d):
     path = _fresh(spark, "a8")
-    Wr.bulk_append(_trn(spark, d), path)
+    Wr.bulk_append(_trn(spark, d), path, partition_by=TABLE_PARTITION)
     return R.read_table(spark, "translations_" + path.rsplit("-", 1)[-1], path)
 
 
@@ -205,7 +209,7 @@ def b5_bulk_append(spark, d):
     """Validated rows (J1) appended into a table folder, then scanned."""
     path = _fresh(spark, "b5")
     valid, _ = TB.split_valid(_trn(spark, d))
-    Wr.bulk_append(valid, path)
+    Wr.bulk_append(valid, path, partition_by=TABLE_PARTITION)
     return spark.read.parquet(path)
 
 

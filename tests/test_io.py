@@ -67,3 +67,21 @@ def test_quarantine_split(spark):
     assert {"problem=true", "problem=false"} <= set(os.listdir(path))
     back = spark.read.schema("id string, problem boolean").json(path)
     assert sorted((r["id"], r["problem"]) for r in back.collect()) == [("1", True), ("2", False), ("3", False)]
+
+
+def test_stored_table_prunes_by_language_pair(spark, sf_small):
+    """B5 lays the table out by language pair; C2 on the stored table is a
+    partition filter (other pairs' files are never opened)."""
+    import tempfile
+
+    from paraspark.operators import table as TB
+    from paraspark.plans import queries_io as QI
+    from paraspark.sources import writers as Wr
+    path = tempfile.mkdtemp(prefix="paraspark-b5-") + "/t"
+    rows = QI._trn(spark, sf_small)
+    Wr.bulk_append(rows, path, partition_by=QI.TABLE_PARTITION)
+    stored = spark.read.parquet(path)
+    q = TB.filter_langs(stored, source_lang="dr", target_lang=None)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source_lang" in plan and "(source_lang" in plan
+    assert q.count() == rows.filter("source_lang = 'dr'").count()
