@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +58,35 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         have.add(n.lower())
         out.append(n)
     return out
+
+
+_shipped: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package (as ``--py-files`` would), once per
+    application: their Python workers import the operators' task code."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    files = sorted(os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".py"))
+    digest = hashlib.sha256(b"".join(open(f, "rb").read() for f in files)).hexdigest()[:12]
+    path = os.path.join(tempfile.mkdtemp(prefix="paraspark-"), f"paraspark-{digest}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in files:
+            z.write(f, os.path.relpath(f, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _shipped[sc.applicationId] = path
+
+
+def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``mapInArrow`` with the package shipped first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
+def per_group(df: DataFrame, keys, fn, schema: str) -> DataFrame:
+    """``applyInPandas`` by ``keys`` with the package shipped first."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInPandas(fn, schema)
