@@ -1,3 +1,3 @@
 """Imports every module of the subpackage that registers queries."""
 
-from paraspark.llm import exact_dedup, near_dedup, packing  # noqa: F401
+from paraspark.llm import exact_dedup, near_dedup, packing, toxicity  # noqa: F401
