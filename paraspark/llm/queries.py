@@ -1,3 +1,3 @@
 """Imports every module of the subpackage that registers queries."""
 
-from paraspark.llm import exact_dedup, mixing, near_dedup, packing, topk_search, toxicity  # noqa: F401
+from paraspark.llm import exact_dedup, html_mincut, mixing, near_dedup, packing, topk_search, toxicity  # noqa: F401
