@@ -1,3 +1,3 @@
 """Imports every module of the subpackage that registers queries."""
 
-from paraspark.llm import chat_rotation, exact_dedup, html_mincut, mixing, near_dedup, packing, substring_dedup, topk_search, toxicity  # noqa: F401
+from paraspark.llm import chat_rotation, exact_dedup, html_mincut, mixing, near_dedup, packing, substring_dedup, token_output, topk_search, toxicity  # noqa: F401
