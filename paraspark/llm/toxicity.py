@@ -172,9 +172,10 @@ def find_voters(sample: DataFrame, n0: int, n1: int) -> tuple[list[str], int]:
     order = sorted(range(len(cand)), key=lambda i: (-g[i], cand[i][0] != "w", cand[i]))
     keep = [i for i in order if g[i] >= MIN_G2 and share[i] >= MIN_SHARE]
     strong = [i for i in keep if share[i] >= MIN_SHARE_MODEL]
-    unseen = [i for i in range(len(INSULTS)) if k0[i] + k1[i] == 0]
+    # the fixed list votes unless the sample speaks against a word
+    fixed = [i for i in range(len(INSULTS)) if i not in keep and (k0[i] + k1[i] == 0 or share[i] >= MIN_SHARE_MODEL)]
     weak = [i for i in keep if share[i] < MIN_SHARE_MODEL]
-    return [cand[i] for i in (strong + unseen + weak)[:MAX_VOTERS]], min(MAX_VOTERS, len(strong) + len(unseen))
+    return [cand[i] for i in (strong + fixed + weak)[:MAX_VOTERS]], min(MAX_VOTERS, len(strong) + len(fixed))
 
 
 def group_voters(votes: list[list[int]], y: np.ndarray, strong: int, max_groups: int = MAX_GROUPS) -> np.ndarray:
@@ -306,7 +307,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         belief = dict(zip(zip(pat["mask"], pat["y"]), post))
         mask_of = [sum({1 << int(groups[i]) for i in v if i < strong}) for v in votes]
         target = np.array([belief[k] for k in zip(mask_of, y)])
-        w, bias = fit_linear(votes, target, len(voters))
+        fixed = [[ids["w:" + x]] for x in INSULTS if "w:" + x in ids]  # one row each, so that a word the sample lacks has a weight
+        w, bias = fit_linear(votes + fixed, np.append(target, [LABEL_TRUST] * len(fixed)), len(voters))
     else:
         cast = checkpointed(_vote(d, "d_id", "d_text", ids, {}))
         w, bias = np.full(len(voters), 4.0), -3.0
