@@ -1,8 +1,7 @@
 """Chat-message functions (Column -> Column) over ARRAY<STRUCT<content, role>>.
 
-Everything runs per row inside whole-stage code generation: pairing is an
-``aggregate`` fold over the message array, so extracting pairs needs no
-shuffle at all.
+Everything runs per row: pairing is a pass over a string of roles (one letter
+per message) and a filter by position, so extracting pairs needs no shuffle.
 """
 
 from __future__ import annotations
@@ -38,10 +37,10 @@ def empty_pairs() -> Column:
 def parse_row_repr(c) -> Column:
     """Parse ``[Row(content='..', role='..'), ...]`` text into messages."""
     s = _c(c)
-    contents = F.regexp_extract_all(s, F.lit(ROW_REPR_REGEX), 2)
-    roles = F.regexp_extract_all(s, F.lit(ROW_REPR_REGEX), 3)
-    return F.transform(F.arrays_zip(contents.alias("content"), roles.alias("role")),
-                       lambda x: F.struct(x["content"].alias("content"), x["role"].alias("role")))
+    # the text is searched once; both groups are then taken from each match
+    found = F.regexp_extract_all(s, F.lit(ROW_REPR_REGEX), 0)
+    return F.transform(found, lambda x: F.struct(
+        F.regexp_extract(x, ROW_REPR_REGEX, 2).alias("content"), F.regexp_extract(x, ROW_REPR_REGEX, 3).alias("role")))
 
 
 def clean_side(c, mode: str) -> Column:
@@ -69,26 +68,22 @@ def split_marked(c, mode: str = T.NATIVE) -> Column:
 
 
 def greedy_pairs(messages) -> Column:
-    """Greedy user -> assistant pairing as an array fold.
+    """Greedy user -> assistant pairing over the message array.
 
     At a ``user`` message the next message is the target when it is an
     ``assistant`` message (else ''), and the scan advances by two either
     way; other roles advance by one. Content is used as given.
     """
     m = _c(messages)
-    with_next = F.transform(m, lambda x, i: F.struct(
-        x["content"].alias("content"), x["role"].alias("role"),
-        F.get(m, i + 1)["role"].alias("nrole"), F.get(m, i + 1)["content"].alias("ncontent")))
-    init = F.struct(F.lit(False).alias("skip"), empty_pairs().alias("pairs"))
-
-    def step(acc, x):
-        target = F.when(x["nrole"] == F.lit("assistant"), x["ncontent"]).otherwise(F.lit(""))
-        take = F.struct(F.lit(True).alias("skip"),
-                        F.concat(acc["pairs"], F.array(_pair(x["content"], target))).alias("pairs"))
-        keep = F.struct(F.lit(False).alias("skip"), acc["pairs"].alias("pairs"))
-        return F.when(acc["skip"], keep).when(x["role"] == F.lit("user"), take).otherwise(keep)
-
-    return F.coalesce(F.aggregate(with_next, init, step, lambda acc: acc["pairs"]), empty_pairs())
+    # one letter per message; each match is a user and the message it takes
+    # with it, so the left-to-right matches are the visited users
+    letters = F.array_join(F.transform(m, lambda x: F.when(x["role"] == F.lit("user"), "u").otherwise("o")), "")
+    visited = F.split(F.regexp_replace(letters, "u(.?)", "V$1"), "")
+    numbered = F.transform(m, lambda x, i: F.struct(x["content"].alias("content"), i.alias("i")))
+    starts = F.filter(numbered, lambda x: F.get(visited, x["i"]) == F.lit("V"))
+    return F.coalesce(F.transform(starts, lambda x: _pair(
+        x["content"], F.when(F.get(m, x["i"] + 1)["role"] == F.lit("assistant"), F.get(m, x["i"] + 1)["content"])
+        .otherwise(F.lit("")))), empty_pairs())
 
 
 def clean_messages(messages, mode: str = T.NATIVE) -> Column:

@@ -1,8 +1,8 @@
 """E3 long form: greedy user -> assistant pairing over turn-per-row data.
 
-The array fold in ``functions.chat.greedy_pairs`` needs the messages of a
-sample gathered into one row; this operator pairs turns where they lie.
-Inside one sample (``keys``), ordered by ``order``:
+``functions.chat.greedy_pairs`` needs the messages of a conversation in one
+row; this operator pairs turns where they lie, whatever a conversation's
+length. Inside one conversation (``keys``), ordered by ``order``:
 
 * the target of a ``user`` turn is the next turn's content when that turn is
   an ``assistant`` turn, else '';
@@ -10,13 +10,13 @@ Inside one sample (``keys``), ordered by ``order``:
   are paired (the scan advances by two after a user turn either way); every
   other role just advances.
 
-One window specification gives the next turn, the row number and the row
-number of the last non-user turn so far, so the index of a user turn inside
-its run needs no second partitioning; the pair position is a row number over
-the kept turns in the same partitioning and order (no further shuffle, no
-further sort). The window groups are the samples, so ``keys`` must bound the
-group size (a conversation split into fixed-size samples, never a bare
-conversation id that could hold a third of the table).
+A conversation is cut into blocks of ``block`` order numbers, so one that
+holds a large part of the table is many window groups. What a block needs from
+the others is little: how many users directly precede it, how many pairs come
+before, and the first turn after it. One row per block carries its length, its
+leading and trailing runs of users and its first turn; a window over these
+rows gives every block its entry state, and the block's own rows follow from
+it. The cut never changes the result.
 """
 
 from __future__ import annotations
@@ -24,26 +24,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 1024
+
 
 def greedy_pairs_long(turns: DataFrame, keys: list[str], order: str = "turn", role: str = "role",
-                      content: str = "content") -> DataFrame:
-    """(keys..., pos, texte_cible, traduction): one row per extracted pair."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                      content: str = "content", block: int = BLOCK) -> DataFrame:
+    """(keys..., pos, texte_cible, traduction): one row per extracted pair.
+    ``order`` is an integer column."""
+    at = [*keys, "_blk"]
+    inside = Window.partitionBy(*at).orderBy(order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # any other role, NULL included, ends a run of users
     is_user = F.coalesce(F.col(role) == F.lit("user"), F.lit(False))
-    rn = F.row_number().over(w)
-    x = turns.select(
-        *keys, order, role, content,
-        F.lead(role).over(w).alias("_nrole"),
-        F.lead(content).over(w).alias("_ncontent"),
-        rn.alias("_rn"),
-        F.coalesce(F.last(F.when(~is_user, rn), ignorenulls=True).over(upto), F.lit(0)).alias("_brk"))
-    # index of a user turn inside its run of users (1-based): odd ones are paired
-    kept = x.filter(is_user & ((F.col("_rn") - F.col("_brk")) % 2 == 1))
-    target = F.when(F.col("_nrole") == F.lit("assistant"), F.col("_ncontent")).otherwise(F.lit(""))
+    rows = turns.select(*keys, order, F.col(role).alias("_role"), F.col(content).alias("_content"), is_user.alias("_user"),
+                        F.floor(F.col(order) / block).alias("_blk"))
+    rn = F.row_number().over(inside)
+    rows = rows.select(
+        "*", rn.alias("_rn"), F.lead(F.struct("_role", "_content")).over(inside).alias("_next"),
+        F.coalesce(F.last(F.when(~F.col("_user"), rn), ignorenulls=True).over(upto), F.lit(0)).alias("_brk"))
+    # index of a user inside its run, as far as the block shows it
+    rows = rows.withColumn("_idx", F.col("_rn") - F.col("_brk"))
+    lead_run = F.col("_user") & (F.col("_brk") == 0)
+
+    blocks = rows.groupBy(*at).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(lead_run, 1)).alias("leading"),
+        F.max("_brk").alias("last_break"),
+        F.count(F.when(F.col("_user") & (F.col("_brk") > 0) & (F.col("_idx") % 2 == 1), 1)).alias("later_pairs"),
+        F.min_by(F.struct("_role", "_content"), order).alias("first"))
+    along = Window.partitionBy(*keys).orderBy("_blk")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    # users directly before a block: the trailing run of the last block with a
+    # break, and all rows of the blocks of users only that follow it
+    whole = F.when(F.col("leading") == F.col("n"), F.col("n")).otherwise(0)
+    blocks = blocks.withColumn("users_so_far", F.sum(whole).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    mark = F.when(F.col("leading") < F.col("n"), F.col("n") - F.col("last_break") - F.col("users_so_far"))
+    blocks = blocks.withColumn("entry", (F.coalesce(F.sum(whole).over(before), F.lit(0))
+                                         + F.coalesce(F.last(mark, ignorenulls=True).over(before), F.lit(0))) % 2)
+    pairs = F.col("later_pairs") + F.floor((F.col("leading") + 1 - F.col("entry")) / 2)
+    blocks = blocks.select(
+        *[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], F.col("_blk").alias("_bb"), F.col("entry").alias("_entry"),
+        F.coalesce(F.sum(pairs).over(before), F.lit(0)).alias("_pairs_before"), F.lead("first").over(along).alias("_after"))
+
+    same = [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)] + [F.col("_blk").eqNullSafe(F.col("_bb"))]
+    rows = rows.join(blocks, same)
+    idx = F.col("_idx") + F.when(F.col("_brk") == 0, F.col("_entry")).otherwise(0)
+    kept = rows.filter(F.col("_user") & (idx % 2 == 1))
+    nxt = F.coalesce("_next", "_after")
     return kept.select(
         *keys,
-        (F.row_number().over(w) - 1).cast("long").alias("pos"),
-        F.col(content).alias("texte_cible"),
-        target.alias("traduction"))
+        (F.col("_pairs_before") + F.row_number().over(inside) - 1).cast("long").alias("pos"),
+        F.col("_content").alias("texte_cible"),
+        F.when(nxt["_role"] == F.lit("assistant"), nxt["_content"]).otherwise(F.lit("")).alias("traduction"))

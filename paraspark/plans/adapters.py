@@ -2,10 +2,10 @@
 
 The driver tables hold no translation pairs, so every query derives them
 with the arithmetic below (the oracle SQL derives them identically). All
-adapters are narrow per-row expressions except ``raw_mix``, which groups the
-turns of one chat *sample*; a sample is at most ``SAMPLE_TURNS`` consecutive
-turns, so no group is unbounded even if one conversation held a third of
-the table.
+adapters are narrow per-row expressions except ``raw_mix``, which puts the
+turns of a conversation into one row: the reference's input is one row per
+conversation with its whole message list. Pairing of turn-per-row data, where
+a conversation may be of any length, is ``operators/pairing.py``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from paraspark import schemas as S
 from paraspark.operators.partitioning import spread
 
 # Fixed adapter parameters (shared with the oracle SQL).
-SAMPLE_TURNS = 64
+# user turns of these conversations get another role, so that they hold no pair
+NO_USER_EVERY, NO_USER_REST = 13, 4
 DIRECTIONS_BY_MOD5 = ["en_dr", "fr_dr", "dr_fr", "dr_en", "ar_dr"]
 DIRTY_PREFIX = "ترجم من الفرنساوية للدارجة: "
 SOURCE_LANGS_BY_MOD4 = ["fr", "EN", "darija", "dr"]
@@ -53,8 +54,11 @@ def dirty_text(text: Column, conv_id: Column, role: Column) -> Column:
 
 def adapted_role(conv_id: Column, turn: Column, role: Column) -> Column:
     """Some assistant turns are relabelled ``user`` so that consecutive users
-    occur (the driver data has none); every turn is kept."""
-    return F.when((role == F.lit("assistant")) & ((conv_id + turn) % 5 == 3), F.lit("user")).otherwise(role)
+    occur (the driver data has none), and the user turns of some conversations
+    get another role, so that conversations without a pair occur; every turn
+    is kept."""
+    return F.when((role == F.lit("user")) & (conv_id % NO_USER_EVERY == NO_USER_REST), F.lit("narrator")).when(
+        (role == F.lit("assistant")) & ((conv_id + turn) % 5 == 3), F.lit("user")).otherwise(role)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,22 +67,17 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = c.select("conv_id", "turn", "text",
                  adapted_role(F.col("conv_id"), F.col("turn"), F.col("role")).alias("role"))
     return r.select("conv_id", "turn", "role",
-                    dirty_text(F.col("text"), F.col("conv_id"), F.col("role")).alias("content"),
-                    F.floor(F.col("turn") / SAMPLE_TURNS).cast("long").alias("seg"))
-
-
-def sample_id(conv_id: Column, seg: Column) -> Column:
-    return F.concat_ws("-", conv_id.cast("string"), seg.cast("string"))
+                    dirty_text(F.col("text"), F.col("conv_id"), F.col("role")).alias("content"))
 
 
 def raw_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, id, messages, direction, metadata) — one row per chat sample."""
+    """(dataset, id, messages, direction, metadata): one row per conversation."""
     t = turns(spark, sf_dir)
-    g = (t.groupBy("conv_id", "seg")
+    g = (t.groupBy("conv_id")
          .agg(F.sort_array(F.collect_list(F.struct("turn", "content", "role"))).alias("m")))
     return g.select(
         F.concat(F.lit("src"), (F.col("conv_id") % 3).cast("string")).alias("dataset"),
-        sample_id(F.col("conv_id"), F.col("seg")).alias("id"),
+        F.col("conv_id").cast("string").alias("id"),
         F.transform("m", lambda x: F.struct(x["content"].alias("content"), x["role"].alias("role")))
         .alias("messages"),
         _pick(DIRECTIONS_BY_MOD5, F.col("conv_id") % 5).alias("direction"),
@@ -130,7 +129,7 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(last_is_asst, F.array(F.get(ua, n - 1))).otherwise(
         F.array().cast("array<struct<content:string,role:string>>"))
     merged = F.concat(F.array(F.struct(joined.alias("content"), F.lit("user").alias("role"))), tail)
-    conv = F.split(F.col("id"), "-").getItem(0).cast("long")
+    conv = F.col("id").cast("long")
     return r.withColumn("messages", F.when((conv % 2 == 0) & (n > 0), merged).otherwise(m))
 
 

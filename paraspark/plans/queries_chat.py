@@ -22,14 +22,13 @@ W = Q.with_
 WS = Q.WS_SQL
 
 
-def _sample_keys(id_col="id"):
-    parts = F.split(id_col, "-")
-    return [parts[0].cast("long").alias("conv_id"), parts[1].cast("long").alias("seg")]
+def _conv_id(id_col="id"):
+    return F.col(id_col).cast("long").alias("conv_id")
 
 
 def _flat(df, pairs="pairs"):
-    x = df.select(*_sample_keys(), F.posexplode_outer(pairs).alias("pos", "p")).filter(F.col("pos").isNotNull())
-    return x.select("conv_id", "seg", F.col("pos").cast("long").alias("pos"),
+    x = df.select(_conv_id(), F.posexplode_outer(pairs).alias("pos", "p")).filter(F.col("pos").isNotNull())
+    return x.select("conv_id", F.col("pos").cast("long").alias("pos"),
                     F.col("p.texte_cible").alias("texte_cible"), F.col("p.traduction").alias("traduction"))
 
 
@@ -39,22 +38,22 @@ ROW_RE2 = ("(?s)Row\\(content='(.*?)'," + S.WS_CLASS + "*role=['\"](.*?)['\"]\\)
            + S.WS_CLASS + "*role=['\"](.*?)['\"]\\)")
 
 REPR_SQL = f"""rendered AS (
-  SELECT conv_id, seg,
+  SELECT conv_id,
          '[' || string_agg('Row(content=' || {Q.py_repr('content')} || ', role=' || {Q.py_repr('role')} || ')', ', ' ORDER BY turn) || ']' AS s
-  FROM turns GROUP BY conv_id, seg),
+  FROM turns GROUP BY conv_id),
 parsed AS (
-  SELECT conv_id, seg,
+  SELECT conv_id,
          list_transform(regexp_extract_all(s, {Q.q(ROW_RE2)}, 1), lambda x, i: coalesce(x, regexp_extract_all(s, {Q.q(ROW_RE2)}, 3)[i])) AS contents,
          list_transform(regexp_extract_all(s, {Q.q(ROW_RE2)}, 2), lambda x, i: coalesce(x, regexp_extract_all(s, {Q.q(ROW_RE2)}, 4)[i])) AS roles
   FROM rendered)"""
 
 
-@register("e1_row_repr", W(Q.TURNS, REPR_SQL) + """SELECT conv_id, seg, pos - 1 AS pos, content, role FROM (
-  SELECT conv_id, seg, unnest(contents) AS content, unnest(roles) AS role, generate_subscripts(contents, 1) AS pos FROM parsed)""")
+@register("e1_row_repr", W(Q.TURNS, REPR_SQL) + """SELECT conv_id, pos - 1 AS pos, content, role FROM (
+  SELECT conv_id, unnest(contents) AS content, unnest(roles) AS role, generate_subscripts(contents, 1) AS pos FROM parsed)""")
 def e1_row_repr(spark, d):
     r = A.raw_mix_repr(spark, d).select("id", C.parse_row_repr("messages").alias("m"))
-    x = r.select(*_sample_keys(), F.posexplode("m").alias("pos", "msg"))
-    return x.select("conv_id", "seg", F.col("pos").cast("long").alias("pos"),
+    x = r.select(_conv_id(), F.posexplode("m").alias("pos", "msg"))
+    return x.select("conv_id", F.col("pos").cast("long").alias("pos"),
                     F.col("msg.content").alias("content"), F.col("msg.role").alias("role"))
 
 
@@ -68,41 +67,41 @@ def _count(x: str, marker: str) -> str:
     return f"((length({x}) - length(replace({x}, {Q.q(marker)}, ''))) // {len(marker)})"
 
 
-MARKED_PAIRS = f"""mm AS (SELECT conv_id, seg, mpos AS turn, content, role FROM marked_msgs),
+MARKED_PAIRS = f"""mm AS (SELECT conv_id, mpos AS turn, content, role FROM marked_msgs),
 mk AS (
-  SELECT conv_id, seg, content AS first_content,
+  SELECT conv_id, content AS first_content,
          coalesce(role = 'user' AND (contains(content, {Q.q(S.ASSISTANT_MARK)}) OR contains(content, {Q.q(S.USER_MARK)})), false) AS mk
   FROM mm WHERE turn = 0),
 ext AS (
-  SELECT conv_id, seg, coalesce({Q.clean(Q.strip_ws('content'))}, '') AS ext FROM (
-    SELECT *, row_number() OVER (PARTITION BY conv_id, seg ORDER BY turn DESC) AS rn FROM mm WHERE role = 'assistant')
+  SELECT conv_id, coalesce({Q.clean(Q.strip_ws('content'))}, '') AS ext FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM mm WHERE role = 'assistant')
   WHERE rn = 1),
 cnt AS (
-  SELECT conv_id, seg, (sum({_count('content', S.USER_MARK)}) + 1 - sum({_count('content', S.ASSISTANT_MARK)})) = 1 AS unmatched,
+  SELECT conv_id, (sum({_count('content', S.USER_MARK)}) + 1 - sum({_count('content', S.ASSISTANT_MARK)})) = 1 AS unmatched,
          min(CASE WHEN turn = 0 THEN content END) AS fb_raw
-  FROM mm GROUP BY conv_id, seg),
+  FROM mm GROUP BY conv_id),
 e2_lists AS (
-  SELECT conv_id, seg,
+  SELECT conv_id,
          list_transform(list_filter(list_transform(string_split(first_content, {Q.q(S.USER_MARK)}), lambda x: {Q.strip_ws('x')}), lambda x: x <> ''),
            lambda sg: struct_pack(
              texte_cible := {_side(Q.strip_ws(f"string_split(sg, {Q.q(S.ASSISTANT_MARK)})[1]"))},
              traduction := {_side(f"coalesce({Q.strip_ws(f'string_split(sg, {Q.q(S.ASSISTANT_MARK)})[2]')}, '')")})) AS pl
   FROM mk WHERE mk),
 e2_long AS (
-  SELECT conv_id, seg, generate_subscripts(pl, 1) - 1 AS pos, unnest(pl) AS p, len(pl) AS n FROM e2_lists),
+  SELECT conv_id, generate_subscripts(pl, 1) - 1 AS pos, unnest(pl) AS p, len(pl) AS n FROM e2_lists),
 e2_filled AS (
-  SELECT l.conv_id, l.seg, l.pos, l.n, l.p.texte_cible AS texte_cible,
+  SELECT l.conv_id, l.pos, l.n, l.p.texte_cible AS texte_cible,
          CASE WHEN l.pos = l.n - 1 AND l.p.traduction = '' AND coalesce(e.ext, '') <> '' THEN e.ext ELSE l.p.traduction END AS traduction
-  FROM e2_long l LEFT JOIN ext e USING (conv_id, seg)),
-gsrc AS (SELECT mm.* FROM mm JOIN mk USING (conv_id, seg) WHERE NOT mk.mk),
+  FROM e2_long l LEFT JOIN ext e USING (conv_id)),
+gsrc AS (SELECT mm.* FROM mm JOIN mk USING (conv_id) WHERE NOT mk.mk),
 {Q.greedy_ctes('gsrc', name='gm')},
-gm_n AS (SELECT conv_id, seg, pos, texte_cible, traduction, count(*) OVER (PARTITION BY conv_id, seg) AS n FROM gm),
+gm_n AS (SELECT conv_id, pos, texte_cible, traduction, count(*) OVER (PARTITION BY conv_id) AS n FROM gm),
 dispatched AS (
-  SELECT conv_id, seg, pos, n, texte_cible, traduction FROM e2_filled
-  UNION ALL SELECT conv_id, seg, pos, n, texte_cible, traduction FROM gm_n)"""
+  SELECT conv_id, pos, n, texte_cible, traduction FROM e2_filled
+  UNION ALL SELECT conv_id, pos, n, texte_cible, traduction FROM gm_n)"""
 
 
-@register("e2_split_marked", W(Q.TURNS, Q.MARKED, MARKED_PAIRS) + "SELECT conv_id, seg, pos, p.texte_cible AS texte_cible, p.traduction AS traduction FROM e2_long")
+@register("e2_split_marked", W(Q.TURNS, Q.MARKED, MARKED_PAIRS) + "SELECT conv_id, pos, p.texte_cible AS texte_cible, p.traduction AS traduction FROM e2_long")
 def e2_split_marked(spark, d):
     m = A.marked(spark, d)
     first = F.get(F.col("messages"), 0)
@@ -111,18 +110,18 @@ def e2_split_marked(spark, d):
     return _flat(x)
 
 
-@register("e3_greedy_pairs", W(Q.TURNS, Q.greedy_ctes()) + "SELECT conv_id, seg, pos, texte_cible, traduction FROM greedy")
+@register("e3_greedy_pairs", W(Q.TURNS, Q.greedy_ctes()) + "SELECT conv_id, pos, texte_cible, traduction FROM greedy")
 def e3_greedy_pairs(spark, d):
     r = A.raw_mix(spark, d).select("id", C.clean_messages("messages", T.NATIVE).alias("cm"))
     return _flat(r.select("id", C.greedy_pairs("cm").alias("pairs")))
 
 
-@register("e3_greedy_pairs_long", W(Q.TURNS, Q.greedy_ctes()) + "SELECT conv_id, seg, pos, texte_cible, traduction FROM greedy")
+@register("e3_greedy_pairs_long", W(Q.TURNS, Q.greedy_ctes()) + "SELECT conv_id, pos, texte_cible, traduction FROM greedy")
 def e3_greedy_pairs_long(spark, d):
     """E3 over turn-per-row data (window form), same pairs as the array fold."""
-    t = A.turns(spark, d).select("conv_id", "seg", "turn", "role",
+    t = A.turns(spark, d).select("conv_id", "turn", "role",
                                  T.clean_text(T.drop_newlines(F.col("content"), T.NATIVE)).alias("content"))
-    return PR.greedy_pairs_long(t, ["conv_id", "seg"])
+    return PR.greedy_pairs_long(t, ["conv_id"])
 
 
 def _dispatch_sql(with_fallback: bool) -> str:
@@ -130,7 +129,7 @@ def _dispatch_sql(with_fallback: bool) -> str:
     return W(Q.TURNS, Q.MARKED, MARKED_PAIRS, Q.SAMPLES) + f"""SELECT s.id, x.pos,
   x.texte_cible,
   CASE WHEN x.pos = x.n - 1 AND x.traduction = '' AND c.unmatched THEN {fb} ELSE x.traduction END AS traduction
-FROM dispatched x JOIN cnt c USING (conv_id, seg) JOIN samples s USING (conv_id, seg)
+FROM dispatched x JOIN cnt c USING (conv_id) JOIN samples s USING (conv_id)
 WHERE {Q.in_list('s.direction', S.KEPT_DIRECTIONS)}"""
 
 
@@ -150,7 +149,7 @@ def e4_dispatch(spark, d):
     return _dispatch(spark, d, False)
 
 
-@register("e5_fill_last", W(Q.TURNS, Q.MARKED, MARKED_PAIRS) + """SELECT conv_id, seg, texte_cible, traduction
+@register("e5_fill_last", W(Q.TURNS, Q.MARKED, MARKED_PAIRS) + """SELECT conv_id, texte_cible, traduction
   FROM e2_filled WHERE pos = n - 1""")
 def e5_fill_last(spark, d):
     """Last pair of every marked sample after completion from the outside assistant."""
@@ -159,8 +158,8 @@ def e5_fill_last(spark, d):
     x = m.filter(C.is_marked_first("messages")).select(
         "id", C.split_marked(first["content"], T.NATIVE).alias("sp"), C.last_assistant("messages").alias("ext"))
     x = x.select("id", C.fill_last_target("sp", F.col("ext"), F.col("ext") != "").alias("pairs"))
-    last = x.filter(F.size("pairs") > 0).select(*_sample_keys(), F.element_at("pairs", -1).alias("p"))
-    return last.select("conv_id", "seg", F.col("p.texte_cible").alias("texte_cible"),
+    last = x.filter(F.size("pairs") > 0).select(_conv_id(), F.element_at("pairs", -1).alias("p"))
+    return last.select("conv_id", F.col("p.texte_cible").alias("texte_cible"),
                        F.col("p.traduction").alias("traduction"))
 
 
@@ -177,7 +176,7 @@ def e7_flatten(spark, d):
 
 PAIRS_PER_SAMPLE = f"""pps AS (
   SELECT s.id, count(g.pos) AS n_pairs
-  FROM samples s LEFT JOIN greedy g USING (conv_id, seg)
+  FROM samples s LEFT JOIN greedy g USING (conv_id)
   WHERE {Q.in_list('s.direction', S.KEPT_DIRECTIONS)}
   GROUP BY s.id)"""
 

@@ -173,7 +173,7 @@ def b1_csv(spark, d):
 
 
 PPS = W(Q.TURNS, Q.SAMPLES, Q.greedy_ctes()) + f"""SELECT s.id, count(g.pos) AS n_pairs
-  FROM samples s LEFT JOIN greedy g USING (conv_id, seg) WHERE {Q.in_list('s.direction', S.KEPT_DIRECTIONS)} GROUP BY s.id"""
+  FROM samples s LEFT JOIN greedy g USING (conv_id) WHERE {Q.in_list('s.direction', S.KEPT_DIRECTIONS)} GROUP BY s.id"""
 
 
 @register("b2_json_records", PPS)

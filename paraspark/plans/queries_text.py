@@ -67,12 +67,10 @@ def d6_newlines(spark, d):
     return t.select("conv_id", "turn", T.drop_newlines(A._py_repr(F.col("content")), T.ROW_REPR).alias("out"))
 
 
-@register("d7_markers", W(Q.TURNS, Q.MARKED) + f"SELECT conv_id, seg, mpos, {Q.drop_markers('content')} AS out FROM marked_msgs")
+@register("d7_markers", W(Q.TURNS, Q.MARKED) + f"SELECT conv_id, mpos, {Q.drop_markers('content')} AS out FROM marked_msgs")
 def d7_markers(spark, d):
     m = A.marked(spark, d).select("id", F.posexplode("messages").alias("mpos", "msg"))
-    parts = F.split("id", "-")
-    return m.select(parts[0].cast("long").alias("conv_id"), parts[1].cast("long").alias("seg"),
-                    F.col("mpos").cast("long").alias("mpos"), T.drop_markers("msg.content").alias("out"))
+    return m.select(F.col("id").cast("long").alias("conv_id"), F.col("mpos").cast("long").alias("mpos"), T.drop_markers("msg.content").alias("out"))
 
 
 D10_SQL_STARTS = " OR ".join(f"starts_with(lower(line), {Q.q(w)})" for w in S.INTERROGATIVES)

@@ -65,27 +65,27 @@ DIRTY = (f"replace(text, ' the ', ' ' || chr(160) || 'the' || chr(92) || ' ')")
 
 TURNS = f"""turns AS (
   SELECT conv_id, turn, role,
-         CASE WHEN conv_id % 3 = 0 AND role = 'user' THEN {q(A.DIRTY_PREFIX)} || {DIRTY} ELSE {DIRTY} END AS content,
-         CAST(turn // {A.SAMPLE_TURNS} AS BIGINT) AS seg
+         CASE WHEN conv_id % 3 = 0 AND role = 'user' THEN {q(A.DIRTY_PREFIX)} || {DIRTY} ELSE {DIRTY} END AS content
   FROM (SELECT conv_id, turn, text,
-               CASE WHEN role = 'assistant' AND (conv_id + turn) % 5 = 3 THEN 'user' ELSE role END AS role
+               CASE WHEN role = 'user' AND conv_id % {A.NO_USER_EVERY} = {A.NO_USER_REST} THEN 'narrator'
+                    WHEN role = 'assistant' AND (conv_id + turn) % 5 = 3 THEN 'user' ELSE role END AS role
         FROM conversations))"""
 
 SAMPLES = f"""samples AS (
-  SELECT DISTINCT conv_id, seg,
+  SELECT DISTINCT conv_id,
          'src' || CAST(conv_id % 3 AS VARCHAR) AS dataset,
-         CAST(conv_id AS VARCHAR) || '-' || CAST(seg AS VARCHAR) AS id,
+         CAST(conv_id AS VARCHAR) AS id,
          {pick(A.DIRECTIONS_BY_MOD5, 'conv_id % 5')} AS direction
   FROM turns)"""
 
 RAW_MIX = f"""raw_mix AS (
-  SELECT s.dataset, s.id, s.direction, s.conv_id, s.seg,
+  SELECT s.dataset, s.id, s.direction, s.conv_id,
          list(struct_pack(content := t.content, role := t.role) ORDER BY t.turn) AS messages
-  FROM turns t JOIN samples s USING (conv_id, seg)
+  FROM turns t JOIN samples s USING (conv_id)
   GROUP BY ALL)"""
 
 
-def greedy_ctes(src: str = "turns", content_expr: str | None = None, keys=("conv_id", "seg"),
+def greedy_ctes(src: str = "turns", content_expr: str | None = None, keys=("conv_id",),
                 name: str = "greedy") -> str:
     """E3 in long form: within each run of user messages the 1st, 3rd, 5th…
     are visited; the target is the next message when it is an assistant."""
@@ -112,7 +112,7 @@ FLAT_PAIRS = f"""flat AS (
   SELECT s.id, g.pos,
          {normalize_lang("split_part(s.direction, '_', 1)")} AS source_lang, g.texte_cible AS source_text,
          {normalize_lang("split_part(s.direction, '_', 2)")} AS target_lang, g.traduction AS target_text
-  FROM greedy g JOIN samples s USING (conv_id, seg)
+  FROM greedy g JOIN samples s USING (conv_id)
   WHERE {in_list('s.direction', S.KEPT_DIRECTIONS)})"""
 
 
@@ -158,27 +158,27 @@ def py_repr(x: str) -> str:
 # the mixed (marked) messages of even conversations, in long form:
 # one row per message with its position in the sample
 MARKED = f"""ua AS (
-  SELECT conv_id, seg, turn, role, content,
-         row_number() OVER (PARTITION BY conv_id, seg ORDER BY turn DESC) AS rdesc,
-         count(*) OVER (PARTITION BY conv_id, seg) AS n_ua
+  SELECT conv_id, turn, role, content,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rdesc,
+         count(*) OVER (PARTITION BY conv_id) AS n_ua
   FROM turns WHERE role IN ('user', 'assistant')),
-ua_last AS (SELECT conv_id, seg, role = 'assistant' AS last_is_asst, content AS last_content FROM ua WHERE rdesc = 1),
+ua_last AS (SELECT conv_id, role = 'assistant' AS last_is_asst, content AS last_content FROM ua WHERE rdesc = 1),
 ua_body AS (
-  SELECT u.conv_id, u.seg,
+  SELECT u.conv_id,
          regexp_replace(string_agg('<|' || u.role || '|>' || u.content, '' ORDER BY u.turn), '^<\\|user\\|>', '') AS joined
-  FROM ua u JOIN ua_last l USING (conv_id, seg)
+  FROM ua u JOIN ua_last l USING (conv_id)
   WHERE NOT (l.last_is_asst AND u.rdesc = 1)
-  GROUP BY u.conv_id, u.seg),
+  GROUP BY u.conv_id),
 marked_msgs AS (
-  SELECT conv_id, seg, 0 AS mpos, coalesce(b.joined, '') AS content, 'user' AS role
-  FROM ua_last l LEFT JOIN ua_body b USING (conv_id, seg) WHERE conv_id % 2 = 0
+  SELECT conv_id, 0 AS mpos, coalesce(b.joined, '') AS content, 'user' AS role
+  FROM ua_last l LEFT JOIN ua_body b USING (conv_id) WHERE conv_id % 2 = 0
   UNION ALL
-  SELECT conv_id, seg, 1 AS mpos, last_content AS content, 'assistant' AS role
+  SELECT conv_id, 1 AS mpos, last_content AS content, 'assistant' AS role
   FROM ua_last WHERE conv_id % 2 = 0 AND last_is_asst
   UNION ALL
-  SELECT conv_id, seg, row_number() OVER (PARTITION BY conv_id, seg ORDER BY turn) - 1 AS mpos, content, role
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS mpos, content, role
   FROM turns WHERE conv_id % 2 = 1
-     OR (conv_id, seg) NOT IN (SELECT conv_id, seg FROM ua_last))"""
+     OR conv_id NOT IN (SELECT conv_id FROM ua_last))"""
 
 
 HYPREF = f"""hr AS (

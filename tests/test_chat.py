@@ -1,5 +1,6 @@
 """Pair extraction (E1-E9): golden examples and a randomised pairing test."""
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -91,9 +92,10 @@ def test_greedy_fold_matches_loop(spark, convs):
         assert got[i] == py_greedy(d)
 
 
-def test_adapter_samples_are_bounded(spark, sf_small):
-    r = A.raw_mix(spark, sf_small)
-    assert r.agg(F.max(F.size("messages"))).first()[0] <= A.SAMPLE_TURNS
+def test_adapter_keeps_whole_conversations(spark, sf_small):
+    c = spark.read.parquet(f"{sf_small}/conversations.parquet")
+    assert ({r["id"]: r["n"] for r in A.raw_mix(spark, sf_small).select("id", F.size("messages").alias("n")).collect()}
+            == {str(r["conv_id"]): r["count"] for r in c.groupBy("conv_id").count().collect()})
 
 
 roles_or_null = st.lists(st.sampled_from(["user", "assistant", "system", None]), max_size=12)
@@ -157,3 +159,27 @@ def test_long_form_null_role_ends_a_run(spark):
                                "i long, turn int, content string, role string")
     got = [(r["texte_cible"], r["traduction"]) for r in greedy_pairs_long(df, ["i"]).orderBy("pos").collect()]
     assert got == py_greedy(msgs) == [("u1", ""), ("u2", "a2")]
+
+
+@pytest.mark.parametrize("n", [63, 64, 65, 66, 128, 1000])
+def test_pairing_of_long_conversations(spark, n):
+    """Whole conversations against the plain loop, with pairs on either side
+    of every block edge and blocks of users only."""
+    from paraspark.operators.pairing import greedy_pairs_long
+    import random
+    r = random.Random(n)
+    shapes = {"mixed": [r.choice(["user", "user", "assistant", "system"]) for _ in range(n)],
+              "users": ["user"] * n, "alternating": ["user", "assistant"] * (n // 2),
+              "late": ["user"] * (n - 1) + ["assistant"], "odd": (["user"] * 3 + ["assistant"]) * (n // 4 + 1)}
+    rows = [(name, t, role, f"{name}-{t}") for name, roles in shapes.items() for t, role in enumerate(roles)]
+    df = spark.createDataFrame(rows, "c STRING, turn INT, role STRING, content STRING")
+    want = {name: py_greedy([(f"{name}-{t}", role) for t, role in enumerate(roles)]) for name, roles in shapes.items()}
+    for block in (1, 2, 7, 64):
+        got = {}
+        for x in greedy_pairs_long(df, ["c"], block=block).orderBy("c", "pos").collect():
+            assert x["pos"] == len(got.setdefault(x["c"], []))
+            got[x["c"]].append((x["texte_cible"], x["traduction"]))
+        assert got == want, block
+    arrays = df.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("turn", "content", "role"))).alias("m"))
+    for x in arrays.select("c", C.greedy_pairs("m").alias("p")).collect():
+        assert [(y["texte_cible"], y["traduction"]) for y in x["p"]] == want[x["c"]]
