@@ -17,9 +17,10 @@ WS = r"[\x20\x09-\x0D]+"
 #: Words of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A small table is broadcast only up to this many rows (a few hundred bytes
-#: each); beyond it the plain join, which AQE splits when skewed, is used.
-BROADCAST_ROWS = 50_000
+#: A table of a few short columns is broadcast only up to this many counted
+#: rows (tens of MB); beyond it the plain join, which AQE splits when skewed,
+#: is used.
+BROADCAST_ROWS = 300_000
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

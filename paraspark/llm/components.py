@@ -3,7 +3,7 @@
 Each round is a handful of grouped minima and joins; edges live in reliable
 checkpoints, nothing is collected. A hub's edges collapse in the map-side
 minimum and meet the one-row-per-node table of minima by a broadcast whose
-size is counted, or by a join whose hot partitions AQE can split.
+size the counted edges bound, or by a join whose hot partitions AQE can split.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import checkpointed, key_table
+from paraspark.llm.common import BROADCAST_ROWS, checkpointed
 
 
 def _oriented(e: DataFrame) -> DataFrame:
@@ -26,19 +26,28 @@ def _mark(e: DataFrame) -> tuple:
                        F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
+def _minima(low: DataFrame, bounded: bool) -> DataFrame:
+    """Side of a join with one row per node: broadcast where the number of
+    edges bounds it, else written once so that AQE can split the other side."""
+    return F.broadcast(low) if bounded else checkpointed(low)
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component`` for every node of an edge (component: its smallest
     node). Edges with a NULL end and loops are ignored; no edges give no rows."""
     e = checkpointed(_oriented(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()))
     mark = _mark(e)
     while mark[0]:
+        bounded = 2 * mark[0] <= BROADCAST_ROWS  # an edge has two nodes
         # large-star: every larger neighbour of u points to the smallest node around u
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low, _ = key_table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = checkpointed(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = _minima(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), bounded)
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = large if bounded else checkpointed(large)
         # small-star: u and its smaller neighbours point to the smallest of them
-        low, _ = key_table(large.groupBy("u").agg(F.min("v").alias("m")))
-        star = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = low if bounded else checkpointed(low)
+        star = large.join(F.broadcast(low) if bounded else low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(_oriented(star.unionByName(low.select("u", F.col("m").alias("v")))))
         before, mark = mark, _mark(e)
         if mark == before:

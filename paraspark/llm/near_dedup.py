@@ -44,7 +44,7 @@ LINK_PERCENT = 85
 #: five standard deviations of the estimate) is not compared exactly.
 ESTIMATE_MARGIN = 0.15
 #: A chunk holds about this many documents and shingles.
-CHUNK_DOCS, CHUNK_SHINGLES = 1000, 2_000_000
+CHUNK_DOCS, CHUNK_SHINGLES = 256, 1_000_000
 WORD_CACHE = 500_000
 
 _rng = np.random.default_rng(20_240_601)
@@ -220,7 +220,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(second)
     known = connected_components(links, "a", "b")
     if not large.isEmpty():
-        links = links.unionByName(_stragglers(chunked(large, 1), known))
+        links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_stragglers(chunked(large, 1), known))
         known = connected_components(links, "a", "b")
     known = known.select(F.col("node").alias("rep"), "component")
     final, _ = key_table(classes.select("k1", "k2", "rep").join(known, "rep", "left")
