@@ -8,6 +8,8 @@ inside them cannot be mistaken for a paragraph.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,10 @@ NON_CONTENT = ["(?is)<script\\b[^>]*>.*?</script>", "(?is)<style\\b[^>]*>.*?</st
 P_START = "(?i)<p(?:\\s[^>]*)?>"
 P_END = "(?is)(?:</p>|</article>|</div>|</body>|</section>|<h[1-6][\\s>]|<ul[\\s>]|<table[\\s>]).*"
 TAG = "<[^>]*>"
-# entity -> character, applied in this order (&amp; last)
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# a complete character reference right after its '&'
+REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# the standard's named references, from the Python library's own table
+NAMED = {name: chr(cp) for name, cp in sorted(name2codepoint.items())} | {"apos": "'"}
 
 # Script range used for the driver pages (accented Latin); the reference uses Arabic.
 LATIN_ACCENTS = (0x00C0, 0x00FF)
@@ -36,12 +40,30 @@ def strip_non_content(html) -> Column:
     return out
 
 
+def decode_references(text) -> Column:
+    """Named, decimal and hexadecimal character references decoded in one pass
+    (``&amp;lt;`` gives ``&lt;``); unknown or incomplete ones stay as they are."""
+    parts = F.split(_c(text), "&", -1)
+    names = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
+
+    def char(code: Column) -> Column:
+        ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+    def decoded(p):
+        ref = F.regexp_extract(p, REFERENCE, 1)
+        got = (F.when(ref == "", F.lit(None).cast("string"))
+               .when(F.lower(F.substring(ref, 1, 2)) == "#x", char(F.conv(F.substring(ref, 3, 8), 16, 10).cast("long")))
+               .when(F.substring(ref, 1, 1) == "#", char(F.substring(ref, 2, 8).try_cast("long")))
+               .otherwise(F.try_element_at(names, ref)))
+        return F.when(got.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(got, F.substring(p, F.length(ref) + 2, F.length(p))))
+
+    return F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
+
+
 def text_content(fragment) -> Column:
-    """Tags removed, basic entities decoded (textContent of a fragment)."""
-    out = F.regexp_replace(_c(fragment), TAG, "")
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Tags removed, references decoded (textContent of a fragment)."""
+    return decode_references(F.regexp_replace(_c(fragment), TAG, ""))
 
 
 def paragraphs(html, lo: int = S.ARABIC_RANGE[0], hi: int = S.ARABIC_RANGE[1]) -> Column:

@@ -3,7 +3,7 @@ seeded sampling, batching and export records."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paraspark import schemas as S
@@ -13,6 +13,20 @@ from paraspark.operators.ranking import with_row_index
 FIELDS = S.PAIR_COLUMNS
 
 
+def escape_breaks(c: Column) -> Column:
+    """Backslashes and line breaks as two-character escapes."""
+    for plain, esc in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(plain), F.lit(esc))
+    return c
+
+
+def unescape_breaks(c: Column) -> Column:
+    """The inverse of ``escape_breaks``: texts between escaped backslashes."""
+    parts = F.transform(F.split(c, "\\\\\\\\", -1), lambda p: F.replace(
+        F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(parts, "\\")
+
+
 def scraped_rows(doc: DataFrame) -> DataFrame:
     """A4 shape -> canonical rows (explode + C5 rename + C10)."""
     x = doc.select(F.explode("translations").alias("t"))
@@ -25,7 +39,7 @@ def scraped_rows(doc: DataFrame) -> DataFrame:
 def block_rows(blocks: DataFrame) -> DataFrame:
     """A5 shape -> canonical rows (posexplode + C9 + C10)."""
     parts = L.split_direction("direction")
-    x = blocks.select(F.monotonically_increasing_id().alias("block"), parts.alias("dir"),
+    x = blocks.select(parts.alias("dir"),
                       F.posexplode_outer("pairs").alias("pos", "pair")).filter(F.col("pos").isNotNull())
     return x.select(L.normalize_lang(F.col("dir")[0]).alias("source_lang"),
                     F.col("pair.texte_cible").alias("source_text"),
@@ -43,8 +57,9 @@ def union_sources(*frames: DataFrame) -> DataFrame:
 
 
 def union_distinct(*frames: DataFrame) -> DataFrame:
-    """The corpus builder — union, then exact dedupe on the four columns."""
-    return union_sources(*frames).select(*FIELDS).dropDuplicates(FIELDS)
+    """The corpus builder: union, then exact dedupe on the four columns;
+    ``source_ord`` says which source had a row first."""
+    return union_sources(*frames).groupBy(*FIELDS).agg(F.min("source_ord").alias("source_ord"))
 
 
 def dedupe_accounting(df: DataFrame) -> DataFrame:
@@ -64,11 +79,11 @@ def split_train_test(df: DataFrame, key: str, test_fraction: float = S.TEST_FRAC
     """H4: adds ``split`` in {train, test}; the first ceil(f*n) rows by
     (md5(seed:key), key) are test. Deterministic, disjoint, exact size.
 
-    Only the boundary is needed: the two order columns alone are numbered
-    (materialised dense numbering) to find the ceil(f*n)-th key, which is one
-    row read back to the driver; membership is then a per-row comparison, so
-    the table itself is neither numbered nor shuffled. ``key`` must be
-    unique and non-null.
+    Only the boundary is needed: rows are counted by the first four hex digits
+    of the hash (at most 65,536 counts), the group that holds the ceil(f*n)-th
+    row is found, and only that group is ranked; one row is read back to the
+    driver and membership is a per-row comparison, so the table is neither
+    sorted, numbered nor shuffled. ``key`` must be unique and non-null.
     """
     n = df.count()
     n_test = -(-int(round(test_fraction * n * 1_000_000)) // 1_000_000)  # ceil without float drift
@@ -76,8 +91,13 @@ def split_train_test(df: DataFrame, key: str, test_fraction: float = S.TEST_FRAC
     if n_test <= 0:
         return df.withColumn("split", F.lit("train"))
     keys = df.select(h.alias("_h"), F.col(key).alias("_k"))
-    ranked = with_row_index(keys, ["_h", "_k"], "_rank", materialize=True)
-    edge = ranked.filter(F.col("_rank") == n_test).select("_h", "_k").first()
+    groups = keys.groupBy(F.substring("_h", 1, 4).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, 0))
+    hit = (groups.withColumn("_upto", upto).filter((F.col("_upto") >= n_test) & (F.col("_upto") - F.col("_n") < n_test))
+           .first())
+    inside = n_test - (hit["_upto"] - hit["_n"])
+    edge = (keys.filter(F.substring("_h", 1, 4) == hit["_g"])
+            .withColumn("_rank", F.row_number().over(Window.orderBy("_h", "_k"))).filter(F.col("_rank") == inside).first())
     in_test = (h < F.lit(edge["_h"])) | ((h == F.lit(edge["_h"])) & (F.col(key) <= F.lit(edge["_k"])))
     return df.withColumn("split", F.when(in_test, F.lit("test")).otherwise(F.lit("train")))
 
@@ -87,13 +107,13 @@ def seeded_sample(df: DataFrame, key: str, k: int = S.PREVIEW_K, seed: int = S.S
     return df.orderBy(hash_order(F.col(key), seed), F.col(key)).limit(k)
 
 
-def batches(df: DataFrame, order_cols: list[str], size: int = S.QUESTION_BATCH,
-            materialize: bool = False) -> DataFrame:
-    """H7: batch number floor((row_number-1)/size) and rows per batch.
-
-    Only the order columns are numbered; ``materialize`` writes them once
-    when their lineage is expensive (e.g. lines split out of documents)."""
-    idx = with_row_index(df.select(*order_cols), order_cols, "_i", materialize=materialize)
+def batches(df: DataFrame, order_cols: list[str], size: int = S.QUESTION_BATCH, n: int | None = None) -> DataFrame:
+    """H7: batch number floor((row_number-1)/size) and rows per batch, for a
+    request of ``n`` rows (all when not given): the result is cut to ``n``, so
+    the last batch may be smaller. Only the order columns are numbered."""
+    idx = with_row_index(df.select(*order_cols), order_cols, "_i")
+    if n is not None:
+        idx = idx.filter(F.col("_i") <= n)
     return (idx.withColumn("batch", F.floor((F.col("_i") - 1) / size).cast("long"))
             .groupBy("batch").agg(F.count(F.lit(1)).alias("items")))
 

@@ -30,7 +30,7 @@ def vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
     """(token, id) with id 1.. by (count desc, token)."""
     counts = tokens.groupBy(token).agg(F.count(F.lit(1)).alias("freq"))
     # the vocabulary is an aggregate over every token: materialise it once
-    return with_row_index(counts, [("freq", False), token], "tok_id", materialize=True).select(
+    return with_row_index(counts, [("freq", False), token], "tok_id").select(
         token, "tok_id", "freq")
 
 
@@ -73,8 +73,8 @@ def encode(df: DataFrame, key: str, text_cols: list[str], seq_len: int = S.SEQ_L
     return per_key.select(key, *cols)
 
 
-def truncation_report(df: DataFrame, lang: str, text: str, seq_len: int = S.SEQ_LEN) -> DataFrame:
-    """M2: rows and rows longer than ``seq_len`` tokens per language."""
-    n = F.size(whitespace_tokens(text))
-    return df.groupBy(lang).agg(F.count(F.lit(1)).alias("rows"),
-                                F.sum(F.when(n > seq_len, 1).otherwise(0)).cast("long").alias("truncated"))
+def truncation_report(df: DataFrame, lang: str, texts: list[str], seq_len: int = S.SEQ_LEN) -> DataFrame:
+    """M2: rows, and rows cut at ``seq_len`` tokens on each side, per language."""
+    def cut(c):
+        return F.sum(F.when(F.size(whitespace_tokens(c)) > seq_len, 1).otherwise(0)).cast("long").alias(f"truncated_{c}")
+    return df.groupBy(lang).agg(F.count(F.lit(1)).alias("rows"), *[cut(c) for c in texts])

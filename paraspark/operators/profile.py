@@ -126,12 +126,13 @@ def completeness(df: DataFrame) -> DataFrame:
 def flatten_card(card_json) -> DataFrame | F.Column:
     """A dataset card (JSON text) -> flat profile struct with defaults for
     missing keys (downloads 0, likes 0, gated/disabled false, lists empty).
-    The file count counts files, not dictionary keys."""
+    ``fichiers_liste`` is the file map as given, ``fichiers_raw`` the sibling
+    list; the file count counts files, not dictionary keys."""
     from paraspark import schemas as S
     c = F.from_json(F.col(card_json) if isinstance(card_json, str) else card_json, S.CARD_SCHEMA)
     empty = F.array().cast("array<string>")
-    files = F.flatten(F.transform(F.map_values(F.coalesce(c["files"], F.create_map().cast(
-        "map<string,map<string,array<string>>>"))), lambda m: F.flatten(F.map_values(m))))
+    listed = F.coalesce(c["files"], F.create_map().cast("map<string,map<string,array<string>>>"))
+    files = F.flatten(F.transform(F.map_values(listed), lambda m: F.flatten(F.map_values(m))))
     return F.struct(
         c["id"].alias("nom"), c["author"].alias("auteur"),
         F.coalesce(c["description"], F.lit("")).alias("description"),
@@ -146,4 +147,6 @@ def flatten_card(card_json) -> DataFrame | F.Column:
         F.coalesce(c["cardData"]["size_categories"], empty).alias("taille"),
         F.lit("Parquet").alias("format"),
         F.size(files).alias("fichiers_nombre"),
+        listed.alias("fichiers_liste"),
+        F.coalesce(c["siblings"], F.array().cast("array<struct<rfilename:string>>")).alias("fichiers_raw"),
     )

@@ -1,24 +1,17 @@
 """Distributed dense numbering (H3) and what builds on it.
 
 ``with_row_index`` gives rows 1..n following an order without a
-single-partition window. Each row gets a bucket that is fixed for every
-branch of the plan and every task retry, one count per bucket (a table
-bounded by the bucket count, broadcast-safe) gives each bucket's offset, and
-the position inside the bucket gives the rest. The bucket comes from one of
-two paths:
-
-* materialised: Spark's sampled range partitioner places the rows, the
-  partition id and the position inside the sorted partition are stored with
-  the rows in a reliable checkpoint (any number of buckets, nothing on the
-  driver but the partitioner's bounded sample);
-* inline: a seeded sample of the keys (about ``SAMPLE_PER_BUCKET`` per
-  bucket) yields boundary keys, and the bucket is a binary search over them
-  written as CASE expressions (at most ``MAX_LITERAL_BUCKETS`` buckets, so
-  the expression stays small); a window numbers the rows of each bucket.
+single-partition window. Spark's sampled range partitioner places the rows;
+the partition id and the position inside the sorted partition are stored with
+them in one reliable checkpoint, so they are the same for every branch of the
+plan and every task retry. One total per partition (a table of one row per
+partition, broadcast-safe) gives each partition's offset; the position inside
+gives the rest. Any number of partitions; nothing on the driver but the
+partitioner's bounded sample.
 
 Keys must be non-null and should form a total order (unique keys): with
 ties the numbering is still dense and exact but ties may swap places between
-runs, and one tied value cannot be split across buckets.
+runs, and one tied value cannot be split across partitions.
 """
 
 from __future__ import annotations
@@ -26,11 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_BUCKET = 20
-SAMPLE_SEED = 17
-# literal bucket boundaries (non-materialised numbering) stay this few
-MAX_LITERAL_BUCKETS = 256
-
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
@@ -46,39 +34,10 @@ def _key(c) -> tuple[Column, bool]:
     return (F.col(c) if isinstance(c, str) else c), True
 
 
-def _after(keys: list[tuple[Column, bool]], bound: tuple) -> Column:
-    """Row key strictly after ``bound`` in the (mixed-direction) order."""
-    out = None
-    eq_prefix = F.lit(True)
-    for (e, asc), b in zip(keys, bound):
-        lit = F.lit(b)
-        step = eq_prefix & ((e > lit) if asc else (e < lit))
-        out = step if out is None else (out | step)
-        eq_prefix = eq_prefix & (e == lit)
-    return out
-
-
-def _bucket_expr(keys, bounds: list[tuple], lo: int, hi: int) -> Column:
-    """Bucket in [lo, hi] by binary search over ``bounds`` (bounds[i] ends bucket i)."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_after(keys, bounds[mid]), _bucket_expr(keys, bounds, mid + 1, hi)).otherwise(
-        _bucket_expr(keys, bounds, lo, mid))
-
-
-def _bucketed(df: DataFrame, order_cols: list, num_partitions: int | None, materialize: bool):
-    """Rows with ``_bucket`` (fixed for every branch and retry) and the key columns.
-
-    Materialised: the rows are range-partitioned on the keys by Spark's own
-    sampled range partitioner, the partition id is recorded as ``_bucket``
-    and the result is written once to the shared checkpoint folder, so the
-    bucket is stored data (no bounds on the driver, no literals in the plan).
-    Otherwise the bucket is a pure function of the key: ``buckets - 1``
-    boundary keys from a seeded sample become a binary search of CASE
-    expressions; their number is capped at ``MAX_LITERAL_BUCKETS`` so the
-    expression stays small whatever the shuffle partition count.
-    """
+def _placed(df: DataFrame, order_cols: list, num_partitions: int | None):
+    """Checkpointed rows with ``_bucket`` (their range partition) and ``_pos``
+    (their position in it), the order, and the key columns that were added."""
+    from paraspark.session import ensure_checkpoint_dir
     keys = [_key(c) for c in order_cols]
     # a key that is a plain column is used as it is; expressions become
     # synthetic columns (returned so the caller drops them afterwards)
@@ -86,35 +45,15 @@ def _bucketed(df: DataFrame, order_cols: list, num_partitions: int | None, mater
     k_names = [n if isinstance(n, str) and n in df.columns else f"_k{i}" for i, n in enumerate(names)]
     added = [n for n in k_names if n not in df.columns]
     keyed = df.select("*", *[e.alias(n) for (e, _), n in zip(keys, k_names) if n in added])
-    kcols = [(F.col(n), asc) for n, (_, asc) in zip(k_names, keys)]
-    order = [c.asc() if asc else c.desc() for c, asc in kcols]
-    buckets = max(1, _partitions(df, num_partitions))
-    if materialize:
-        from paraspark.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        pid = F.spark_partition_id()
-        # position inside the sorted range partition: monotonically_increasing_id
-        # keeps the partition index in its upper 31 bits and the row's position
-        # in the lower 33 (documented layout)
-        ranged = (keyed.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
-                  .withColumn("_bucket", pid)
-                  .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)))
-        return ranged.checkpoint(eager=True), order, k_names, added
-
-    buckets = min(buckets, MAX_LITERAL_BUCKETS)
-    bounds: list[tuple] = []
-    if buckets > 1:
-        n = keyed.count()
-        if n > buckets:
-            frac = min(1.0, SAMPLE_PER_BUCKET * buckets / n)
-            sample = keyed.select(*k_names).sample(False, frac, SAMPLE_SEED).orderBy(*order)
-            # at most ~SAMPLE_PER_BUCKET * MAX_LITERAL_BUCKETS keys reach the driver
-            rows = [tuple(r) for r in sample.collect()]
-            if rows:
-                step = len(rows) / buckets
-                bounds = [rows[min(len(rows) - 1, int(step * (i + 1)) - 1)] for i in range(buckets - 1)]
-    bucket = _bucket_expr(kcols, bounds, 0, len(bounds)) if bounds else F.lit(0)
-    return keyed.withColumn("_bucket", bucket), order, k_names, added
+    order = [F.col(n).asc() if asc else F.col(n).desc() for n, (_, asc) in zip(k_names, keys)]
+    ensure_checkpoint_dir(df.sparkSession)
+    pid = F.spark_partition_id()
+    # monotonically_increasing_id keeps the partition index in its upper 31
+    # bits and the row's position in the lower 33 (documented layout)
+    ranged = (keyed.repartitionByRange(max(1, _partitions(df, num_partitions)), *order).sortWithinPartitions(*order)
+              .withColumn("_bucket", pid)
+              .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)))
+    return ranged.checkpoint(eager=True), order, added
 
 
 def _offsets(per_bucket: DataFrame) -> DataFrame:
@@ -127,41 +66,29 @@ def _offsets(per_bucket: DataFrame) -> DataFrame:
 
 
 def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index", start: int = 1,
-                   num_partitions: int | None = None, materialize: bool = False) -> DataFrame:
+                   num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = start, start+1, ... following ``order_cols``.
 
-    ``order_cols`` items are names, Columns (ascending) or (expr, ascending) pairs.
-    Without ``materialize`` the input is read three times (count, bound
-    sample, numbering) and numbered by a window per bucket. With it, the
-    input is range-partitioned, sorted within partitions and written once to
-    the shared checkpoint folder together with each row's bucket and
-    position (a reliable checkpoint that survives executor loss); the index
-    is then the bucket's offset plus the position, with no window and no
-    further shuffle of the rows. Prefer it for large or expensive inputs.
+    ``order_cols`` items are names, Columns (ascending) or (expr, ascending)
+    pairs. The input is read once for the partitioner's sample and once to be
+    written; the index is the partition's offset plus the position, with no
+    window and no further shuffle of the rows.
     """
-    b, order, _, added = _bucketed(df, order_cols, num_partitions, materialize)
+    b, _, added = _placed(df, order_cols, num_partitions)
     offsets = _offsets(b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))
-    if materialize:
-        # stored (bucket, position): a map-side join with the offset table, no window
-        out = b.join(F.broadcast(offsets), "_bucket")
-        return out.withColumn(name, F.col("_off") + F.col("_pos") + F.lit(start)).drop(
-            "_bucket", "_pos", "_off", *added)
-    ranked = b.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    out = ranked.join(F.broadcast(offsets), "_bucket")
-    return out.withColumn(name, F.col("_off") + F.col("_rn") - 1 + F.lit(start)).drop(
-        "_bucket", "_rn", "_off", *added)
+    return (b.join(F.broadcast(offsets), "_bucket").withColumn(name, F.col("_off") + F.col("_pos") + F.lit(start))
+            .drop("_bucket", "_pos", "_off", *added))
 
 
 def with_running_total(df: DataFrame, order_cols: list, weight: str, name: str = "running_total",
                        num_partitions: int | None = None) -> DataFrame:
     """Add the inclusive running sum of ``weight`` following ``order_cols``
-    (same bucketing as ``with_row_index``; keys should be unique)."""
-    b, order, _, added = _bucketed(df, order_cols, num_partitions, False)
+    (placed like ``with_row_index``; keys should be unique)."""
+    b, _, added = _placed(df, order_cols, num_partitions)
     offsets = _offsets(b.groupBy("_bucket").agg(F.sum(weight).alias("_n")))
-    w = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = b.withColumn("_run", F.sum(weight).over(w))
-    out = ranked.join(F.broadcast(offsets), "_bucket")
-    return out.withColumn(name, F.col("_off") + F.col("_run")).drop("_bucket", "_run", "_off", *added)
+    w = Window.partitionBy("_bucket").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = b.withColumn("_run", F.sum(weight).over(w)).join(F.broadcast(offsets), "_bucket")
+    return out.withColumn(name, F.col("_off") + F.col("_run")).drop("_bucket", "_pos", "_run", "_off", *added)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float],

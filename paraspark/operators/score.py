@@ -104,7 +104,8 @@ def bleu_stats(df: DataFrame, group: list[str], key: str, hyp: str, ref: str) ->
 
 
 def bleu_from_stats(stats: DataFrame, group: list[str]) -> DataFrame:
-    """Corpus BLEU (0..100) with 'exp' smoothing from the summed statistics."""
+    """Corpus BLEU (0..100) with 'exp' smoothing from the summed statistics;
+    0 when no n-gram of any order matches (nothing to smooth)."""
     logs = []
     mult = F.lit(1.0)
     stop = F.lit(False)
@@ -116,7 +117,10 @@ def bleu_from_stats(stats: DataFrame, group: list[str]) -> DataFrame:
         logs.append(F.when(p == 0, F.lit(-9999999999.0)).otherwise(F.log(p)))
     sys_len, ref_len = F.col("sys_len").cast("double"), F.col("ref_len").cast("double")
     bp = F.when(sys_len >= ref_len, F.lit(1.0)).when(sys_len > 0, F.exp(1 - ref_len / sys_len)).otherwise(F.lit(0.0))
-    score = bp * F.exp(sum(logs[1:], logs[0]) / MAX_ORDER)
+    none = F.lit(True)
+    for n in range(1, MAX_ORDER + 1):
+        none = none & (F.col(f"correct_{n}") == 0)
+    score = F.when(none, F.lit(0.0)).otherwise(bp * F.exp(sum(logs[1:], logs[0]) / MAX_ORDER))
     return stats.select(*group, F.col("sys_len").cast("long").alias("sys_len"),
                         F.col("ref_len").cast("long").alias("ref_len"), score.alias("bleu"))
 
@@ -191,16 +195,20 @@ def kept_checkpoints(df: DataFrame, keys: list[str], k: int = S.CHECKPOINT_KEEP,
                      greater_is_better: bool = True) -> DataFrame:
     """the best step plus the newest k-1 others per run (k in total).
 
-    ``row_number() <= k-1`` is planned as a window group limit, so each map
-    task keeps only k-1 rows per run before the shuffle.
+    ``row_number() <= k`` is planned as a window group limit, so each map task
+    keeps only k rows per run before the shuffle; they meet the run's best
+    step (one row per run), never the whole log. If the best is not among the
+    newest k, it takes the place of the last of them.
     """
     from pyspark.sql import Window
-    best = best_step(df, keys, greater_is_better)
-    others = df.join(best, [df[c] == best[c] for c in keys] + [df["step"] == best["best_step"]], "left_anti")
+    best = best_step(df, keys, greater_is_better).select(*keys, F.col("best_step"))
     w = Window.partitionBy(*keys).orderBy(F.desc("step"))
-    newest = others.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k - 1)
-    return (newest.select(*keys, "step", F.lit(False).alias("is_best"))
-            .unionByName(best.select(*keys, F.col("best_step").alias("step"), F.lit(True).alias("is_best"))))
+    newest = (df.select(*keys, "step").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
+              .groupBy(*keys).agg(F.sort_array(F.collect_list("step"), asc=False).alias("_new")))  # at most k steps
+    j = newest.join(best, keys)
+    others = F.slice(F.array_except("_new", F.array("best_step")), 1, k - 1)
+    return (j.select(*keys, F.explode(F.concat(F.array("best_step"), others)).alias("step"), "best_step")
+            .select(*keys, "step", (F.col("step") == F.col("best_step")).alias("is_best")))
 
 
 def latest_value(df: DataFrame, keys: list[str]) -> DataFrame:

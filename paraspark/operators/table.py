@@ -80,20 +80,35 @@ def resume_pending(phrases: DataFrame, existing: DataFrame, keys: list[str]) ->
             .filter(F.col("_p") & ~F.col("_e")).select(*keys))
 
 
-def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str], winner: str | None = None) -> DataFrame:
     """Append rows of ``new`` whose key is absent; existing rows untouched.
-    Keys with a NULL never match (SQL UNIQUE semantics), so they are inserted."""
-    added = new.join(old.select(*keys).dropDuplicates(keys), keys, "left_anti")
-    return old.unionByName(added.select(*old.columns))
+
+    Of new rows with the same key one goes in: the smallest by ``winner`` (a
+    column) and then by all columns, so the key stays unique. Keys with a NULL
+    never match (SQL UNIQUE semantics): such rows are all inserted."""
+    rest = [c for c in old.columns if c not in keys]
+    has_null = F.lit(False)
+    for k in keys:
+        has_null = has_null | F.col(k).isNull()
+    order = F.struct(*([winner] if winner else []), *[c for c in rest if c != winner]) if rest else F.lit(0)
+    once = (new.filter(~has_null).groupBy(*keys).agg(F.min(order).alias("_row"))
+            .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]))
+    added = once.join(old.select(*keys).dropDuplicates(keys), keys, "left_anti")
+    return (old.unionByName(added.select(*old.columns))
+            .unionByName(new.filter(has_null).select(*old.columns)))
 
 
 def update_by_key(table: DataFrame, changes: DataFrame, key: str = "id",
-                  fields: list[str] = FIELDS) -> tuple[DataFrame, DataFrame]:
+                  fields: list[str] = FIELDS, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Replace all ``fields`` of rows whose key is in ``changes``.
 
-    Returns (new table, updated rows); unknown keys in ``changes`` are ignored.
+    Of several changes of one key the last by ``order`` (a column), then the
+    largest by the fields, counts. Returns (new table, updated rows); unknown
+    keys in ``changes`` are ignored.
     """
-    ch = changes.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields]).withColumn("_hit", F.lit(True))
+    last = F.max_by(F.struct(*fields), F.struct(*([order] if order else []), *fields))
+    ch = (changes.groupBy(key).agg(last.alias("_c"))
+          .select(key, *[F.col(f"_c.{f}").alias(f"_new_{f}") for f in fields], F.lit(True).alias("_hit")))
     j = table.join(ch, key, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     new_table = j.select(*[F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)

@@ -191,9 +191,10 @@ def e9_pair_count(spark, d):
     return P.chat_to_pairs(A.raw_mix(spark, d)).select("id", C.pair_count("pairs").cast("long").alias("n_pairs"))
 
 
-@register("e10_messages_json", W(Q.TURNS, Q.SAMPLES, Q.RAW_MIX) + "SELECT id, length(CAST(to_json(messages) AS VARCHAR)) AS json_len FROM raw_mix")
+@register("e10_messages_json", W(Q.TURNS, Q.SAMPLES, Q.RAW_MIX) + "SELECT id, md5(CAST(to_json(messages) AS VARCHAR)) AS json_md5, length(CAST(to_json(messages) AS VARCHAR)) AS json_len FROM raw_mix")
 def e10_messages_json(spark, d):
-    return A.raw_mix(spark, d).select("id", F.length(C.messages_json("messages")).cast("long").alias("json_len"))
+    return A.raw_mix(spark, d).select(
+        "id", F.md5(C.messages_json("messages")).alias("json_md5"), F.length(C.messages_json("messages")).cast("long").alias("json_len"))
 
 
 @register("e11_message_count", W(Q.TURNS, Q.SAMPLES, Q.RAW_MIX) + """SELECT id, len(messages) AS n_native,
@@ -208,7 +209,6 @@ def _records(spark, d):
     return CO.training_records(TB.normalise_langs(A.translations(spark, d)))
 
 
-KEY_ORDER = L.DECLARED_KEY_ORDER
 REC_SQL = f"""rec AS (
   SELECT id, {Q.model_code('source_lang')} AS ks, source_text AS vs, {Q.model_code('target_lang')} AS kt, target_text AS vt
   FROM trn WHERE {Q.exportable()}),
@@ -224,8 +224,7 @@ def e14_translation_map(spark, d):
 
 def _avail_sql() -> str:
     src, tgt = S.TRAIN_SOURCE_LANG, S.TRAIN_TARGET_LANG
-    langs = "list_filter([" + ", ".join(Q.q(k) for k in KEY_ORDER) + "], lambda k: list_contains(keys, k))"
-    return f"""avail AS (SELECT id, {langs} AS langs FROM (SELECT id, list(k) AS keys FROM rec_long WHERE v IS NOT NULL GROUP BY id)),
+    return f"""avail AS (SELECT id, list(DISTINCT k ORDER BY k) AS langs FROM rec_long WHERE v IS NOT NULL GROUP BY id),
 dir AS (
   SELECT id,
     CASE WHEN list_contains(langs, {Q.q(src)}) AND list_contains(langs, {Q.q(tgt)}) THEN {Q.q(src)}
@@ -272,10 +271,17 @@ def _paras(spark, d):
 
 
 def _text_sql(x: str) -> str:
-    out = f"regexp_replace({x}, {Q.q(H.TAG)}, '', 'g')"
-    for ent, ch in H.ENTITIES:
-        out = f"replace({out}, {Q.q(ent)}, {Q.q(ch) if ch != chr(160) else 'chr(160)'})"
-    return out
+    parts = f"string_split(regexp_replace({x}, {Q.q(H.TAG)}, '', 'g'), '&')"
+    names = "MAP {" + ", ".join(f"{Q.q(k)}: chr({ord(v)})" for k, v in H.NAMED.items()) + "}"
+    ref = f"regexp_extract(p, {Q.q(H.REFERENCE)}, 1)"
+
+    def char(code):
+        return (f"CASE WHEN {code} BETWEEN 1 AND {0x10FFFF} AND NOT {code} BETWEEN {0xD800} AND {0xDFFF} "
+                f"THEN chr(({code})::INTEGER) ELSE chr({0xFFFD}) END")
+    got = (f"CASE WHEN {ref} = '' THEN NULL WHEN lower({ref}[1:2]) = '#x' THEN {char(f"('0x' || {ref}[3:])::BIGINT")} "
+           f"WHEN {ref}[1] = '#' THEN {char(f'TRY_CAST({ref}[2:] AS BIGINT)')} ELSE {names}[{ref}] END")
+    return (f"({parts}[1] || array_to_string(list_transform({parts}[2:], lambda p: coalesce({got} || p[length({ref}) + 2:], "
+            f"'&' || p)), ''))")
 
 
 def _strip_sql(x: str) -> str:

@@ -22,7 +22,7 @@ from paraspark.operators import table as TB
 from paraspark.plans import adapters as A
 from paraspark.plans import pipelines as P
 from paraspark.plans import sqltext as Q
-from paraspark.plans.queries_chat import KEY_ORDER, REC_SQL, _avail_sql  # noqa: F401
+from paraspark.plans.queries_chat import REC_SQL, _avail_sql
 from paraspark.plans.queries_text import lines
 from paraspark.plans.registry import register
 from paraspark.session import shared_path
@@ -80,8 +80,8 @@ TR_SCHEMA = StructType([StructField("id", LongType()), StructField("source_lang"
 def a3_csv_scan(spark, d):
     """Multi-line quoted text through CSV (B1 then A3)."""
     path = _fresh(spark, "a3")
-    Wr.write_csv(A.translations(spark, d), path)
-    return R.read_csv(spark, path, TR_SCHEMA)
+    Wr.write_csv(A.translations(spark, d), path, escape_breaks=True)
+    return R.read_csv(spark, path, TR_SCHEMA, escaped_breaks=True)
 
 
 @register("a4_json_doc", W(Q.TR, Q.TRN) + "SELECT source_lang, source_text, target_lang, target_text FROM trn")
@@ -122,16 +122,18 @@ def a6_jsonl_map(spark, d):
 
 SHEET_CSV_SCHEMA = StructType([StructField("id", LongType()),
                                StructField("Questions ou Affirmations", StringType())])
-SHEET_SQL = W(Q.LINES) + """SELECT row_number() OVER (ORDER BY lang, doc_id, pos) AS id, line AS "Questions ou Affirmations",
-  lang AS langue FROM lines WHERE lang IN ('fr', 'en')"""
+SHEET_SQL = W(Q.LINES) + """SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_id, pos) AS id, line AS "Questions ou Affirmations",
+  lang AS langue FROM lines"""
 
 
 def _sheet(spark, d):
+    """Every line of every document, numbered from 1 within its language."""
     from paraspark.operators.ranking import with_row_index
-    ln = lines(spark, d).filter(F.col("lang").isin("fr", "en"))
-    # every line of every document: range-partitioned and written once
-    n = with_row_index(ln, ["lang", "doc_id", "pos"], "id", materialize=True)
-    return n.select("id", F.col("line").alias("Questions ou Affirmations"), F.col("lang").alias("langue"))
+    n = with_row_index(lines(spark, d), ["lang", "doc_id", "pos"], "all_id")
+    # one row per language: where its numbers begin
+    first = n.groupBy("lang").agg(F.min("all_id").alias("first_id"))
+    return n.join(first, "lang").select((F.col("all_id") - F.col("first_id") + 1).alias("id"),
+                                        F.col("line").alias("Questions ou Affirmations"), F.col("lang").alias("langue"))
 
 
 @register("a7_required_column", SHEET_SQL)
@@ -146,7 +148,7 @@ def a7_required_column(spark, d):
 def a8_table_scan(spark, d):
     path = _fresh(spark, "a8")
     Wr.bulk_append(_trn(spark, d), path, partition_by=TABLE_PARTITION)
-    return R.read_table(spark, "translations_" + path.rsplit("-", 1)[-1], path)
+    return R.read_table(spark, "translations_" + path.rsplit("-", 1)[-1], path, TR_SCHEMA, TABLE_PARTITION)
 
 
 ML_SQL = """SELECT 'run' || CAST(user_id AS VARCHAR) AS run_id, event_type AS metric, epoch_us(ts) // 1000 AS ts_ms, value, event_id AS step
@@ -163,33 +165,38 @@ def a9_metric_log(spark, d):
 
 # -------------------------------------------------------------------- B
 
-@register("b1_csv", MIX + "SELECT id, len(messages) AS n_messages FROM raw_mix")
+@register("b1_csv", MIX + "SELECT dataset, id, CAST(to_json(messages) AS VARCHAR) AS messages, direction FROM raw_mix")
 def b1_csv(spark, d):
     """Nested messages through CSV as JSON text and back."""
     path = _fresh(spark, "b1")
     Wr.write_csv(A.raw_mix(spark, d), path)
     r = R.read_csv(spark, path, S.RAW_MIX_CSV_SCHEMA)
-    return r.select("id", C.message_count_json("messages").alias("n_messages"))
+    return r.select("dataset", "id", "messages", "direction")
 
 
 PPS = W(Q.TURNS, Q.SAMPLES, Q.greedy_ctes()) + f"""SELECT s.id, count(g.pos) AS n_pairs
   FROM samples s LEFT JOIN greedy g USING (conv_id) WHERE {Q.in_list('s.direction', S.KEPT_DIRECTIONS)} GROUP BY s.id"""
+PPS_FLAG = f"SELECT p.id, s.direction, p.n_pairs, p.n_pairs = 0 AS problem FROM ({PPS}) p JOIN ({W(Q.TURNS, Q.SAMPLES)} SELECT * FROM samples) s USING (id)"
+# valid conversations only: those with pairs
+PAIRS_FULL = W(Q.TURNS, Q.SAMPLES, Q.greedy_ctes()) + f"""SELECT s.id, s.direction, g.pos, g.texte_cible, g.traduction
+  FROM samples s JOIN greedy g USING (conv_id) WHERE {Q.in_list('s.direction', S.KEPT_DIRECTIONS)}"""
 
 
-@register("b2_json_records", PPS)
+@register("b2_json_records", PAIRS_FULL)
 def b2_json_records(spark, d):
     path = _fresh(spark, "b2")
-    Wr.write_json_records(P.chat_to_pairs(A.raw_mix(spark, d)).select("id", "direction", "pairs"), path)
+    Wr.write_json_records(P.chat_to_pairs(A.raw_mix(spark, d)).select("id", "direction", "pairs", "problem"), path, flag="problem")
     r = spark.read.schema("id STRING, direction STRING, pairs ARRAY<STRUCT<texte_cible: STRING, traduction: STRING>>").json(path)
-    return r.select("id", C.pair_count("pairs").cast("long").alias("n_pairs"))
+    return r.select("id", "direction", F.posexplode("pairs").alias("pos", "p")).select(
+        "id", "direction", F.col("pos").cast("long").alias("pos"), "p.texte_cible", "p.traduction")
 
 
-@register("b3_quarantine", f"SELECT n_pairs = 0 AS problem, count(*) AS rows FROM ({PPS}) GROUP BY ALL")
+@register("b3_quarantine", PPS_FLAG)
 def b3_quarantine(spark, d):
     path = _fresh(spark, "b3")
     Wr.write_quarantine(P.chat_to_pairs(A.raw_mix(spark, d)), path)
-    r = spark.read.schema("id STRING, problem BOOLEAN").json(path)
-    return r.groupBy("problem").agg(F.count(F.lit(1)).alias("rows"))
+    r = spark.read.schema("id STRING, direction STRING, pairs ARRAY<STRUCT<texte_cible: STRING, traduction: STRING>>, problem BOOLEAN").json(path)
+    return r.select("id", "direction", C.pair_count("pairs").alias("n_pairs"), "problem")
 
 
 @register("b4_jsonl_export", W(Q.TR, Q.TRN, REC_SQL) + "SELECT k, v FROM rec_long")
@@ -227,12 +234,12 @@ def b6_append_pairs(spark, d):
     return spark.read.schema("source_lang STRING, source_text STRING, target_lang STRING, target_text STRING").json(path)
 
 
-@register("b7_sheet", W(Q.LINES) + "SELECT lang AS langue, count(*) AS rows FROM lines WHERE lang IN ('fr', 'en') GROUP BY lang")
+@register("b7_sheet", SHEET_SQL)
 def b7_sheet(spark, d):
     path = _fresh(spark, "b7")
     Wr.write_sheet(_sheet(spark, d), path)
-    r = spark.read.option("header", True).schema("id BIGINT, `Questions ou Affirmations` STRING, langue STRING").csv(path)
-    return r.groupBy("langue").agg(F.count(F.lit(1)).alias("rows"))
+    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .schema("id BIGINT, `Questions ou Affirmations` STRING, langue STRING").csv(path))
 
 
 @register("b8_profile_json", MIX + """SELECT d.direction, d.count, t.rows FROM

@@ -63,21 +63,39 @@ def _cards(spark, d):
         F.when(~even, F.size("langs").cast("long")).alias("likes"),
         F.when(~even, F.lit(True)).alias("gated"),
         F.col("langs").alias("tags"),
+        F.when(~even, F.concat(F.lit("about "), F.col("source"))).alias("description"),
+        F.when(~even, F.lit(True)).alias("disabled"),
+        F.lit("2024-01-02").alias("lastModified"),
+        F.when(~even, F.struct(F.lit("cc-by-4.0").alias("license"), F.array(F.lit("bleu")).alias("metrics"),
+                               F.array(F.lit("translation")).alias("task_categories"),
+                               F.array(PR.size_category("rows")).alias("size_categories"))).alias("cardData"),
+        F.transform("langs", lambda x: F.struct(F.concat(F.lit("raw/"), x).alias("rfilename"))).alias("siblings"),
         F.create_map(F.lit("data"), F.create_map(F.lit("parquet"), F.transform(
             "langs", lambda x: F.concat(x, F.lit(".parquet"))))).alias("files"))
     # to_json drops null fields, so the even cards really lack those keys
     return g.select("source", F.to_json(card).alias("card"))
 
 
-@register("e18_card", """SELECT source AS nom, 'driver' AS auteur, rows AS telechargements,
-  CASE WHEN coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 2 = 0, false) THEN 0 ELSE n_langs END AS likes,
-  NOT coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 2 = 0, false) AS acces_restreint,
-  n_langs AS fichiers_nombre, n_langs AS n_tags
-  FROM (SELECT source, count(*) AS rows, count(DISTINCT lang) AS n_langs FROM documents GROUP BY source)""")
+_CARD_ODD = "NOT coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 2 = 0, false)"
+
+
+@register("e18_card", f"""SELECT source AS nom, 'driver' AS auteur, CASE WHEN odd THEN 'about ' || source ELSE '' END AS description,
+  CASE WHEN odd THEN 'cc-by-4.0' END AS licence, '2024-01-02' AS mis_a_jour, odd AS acces_restreint, odd AS desactive,
+  rows AS telechargements, CASE WHEN odd THEN len(langs) ELSE 0 END AS likes, array_to_string(langs, ',') AS tags,
+  CASE WHEN odd THEN 'bleu' ELSE '' END AS metriques, CASE WHEN odd THEN 'translation' ELSE '' END AS taches,
+  CASE WHEN NOT odd THEN '' WHEN rows < 1000 THEN 'n<1K' WHEN rows < 10000 THEN '1K<n<10K' WHEN rows < 100000 THEN '10K<n<100K'
+    WHEN rows < 1000000 THEN '100K<n<1M' ELSE 'more' END AS taille, 'Parquet' AS format, len(langs) AS fichiers_nombre,
+  'data/parquet:' || array_to_string(list_transform(langs, lambda x: x || '.parquet'), ',') AS fichiers_liste,
+  array_to_string(list_transform(langs, lambda x: 'raw/' || x), ',') AS fichiers_raw
+  FROM (SELECT source, count(*) AS rows, list(DISTINCT lang ORDER BY lang) FILTER (WHERE lang IS NOT NULL) AS langs, {_CARD_ODD} AS odd
+        FROM documents GROUP BY source)""")
 def e18_card(spark, d):
-    p = _cards(spark, d).select(PR.flatten_card("card").alias("p"))
-    return p.select(F.col("p.nom").alias("nom"), F.col("p.auteur").alias("auteur"),
-                    F.col("p.telechargements").alias("telechargements"), F.col("p.likes").alias("likes"),
-                    F.col("p.acces_restreint").alias("acces_restreint"),
-                    F.col("p.fichiers_nombre").cast("long").alias("fichiers_nombre"),
-                    F.size("p.tags").cast("long").alias("n_tags"))
+    """Every field of the flattened card; lists as comma-separated text."""
+    p = _cards(spark, d).select(PR.flatten_card("card").alias("p")).select("p.*")
+    lists = ("tags", "metriques", "taches", "taille")
+    files = F.transform(F.map_entries("fichiers_liste"), lambda e: F.array_join(F.transform(
+        F.map_entries(e["value"]), lambda k: F.concat(e["key"], F.lit("/"), k["key"], F.lit(":"), F.array_join(k["value"], ","))), ";"))
+    return (p.withColumns({c: F.array_join(c, ",") for c in lists})
+            .withColumn("fichiers_liste", F.array_join(files, ";"))
+            .withColumn("fichiers_raw", F.array_join(F.transform("fichiers_raw", lambda x: x["rfilename"]), ","))
+            .withColumn("fichiers_nombre", F.col("fichiers_nombre").cast("long")))

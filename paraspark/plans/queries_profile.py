@@ -1,13 +1,8 @@
-"""Registered queries: F1-F13, F19, F20 (profiling and dedupe) and K1."""
+"""Registered queries: F1-F13, F19, F20 (profiling and dedupe)."""
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType
 
 from paraspark import schemas as S
 from paraspark.functions import chat as C
@@ -158,9 +153,10 @@ def f13_dedupe_accounting(spark, d):
   WHEN count(*) < 10000 THEN '1K<n<10K' WHEN count(*) < 100000 THEN '10K<n<100K' WHEN count(*) < 1000000 THEN '100K<n<1M'
   WHEN count(*) < 10000000 THEN '1M<n<10M' WHEN count(*) < 100000000 THEN '10M<n<100M' WHEN count(*) < 1000000000 THEN '100M<n<1B'
   WHEN count(*) < 10000000000 THEN '1B<n<10B' WHEN count(*) < 100000000000 THEN '10B<n<100B'
-  WHEN count(*) < 1000000000000 THEN '100B<n<1T' ELSE 'n>1T' END AS size_category FROM lineitem""")
+  WHEN count(*) < 1000000000000 THEN '100B<n<1T' ELSE 'n>1T' END AS size_category, 1::BIGINT AS files FROM lineitem""")
 def f19_dataset_profile(spark, d):
-    return PR.dataset_profile(A.table(spark, d, "lineitem"), count_files=False)
+    """Rows, distinct source files (the given table is one file) and size."""
+    return PR.dataset_profile(A.table(spark, d, "lineitem"))
 
 
 @register("f20_completeness", """SELECT v."column", v."type", c.non_null
@@ -171,20 +167,3 @@ def f19_dataset_profile(spark, d):
 """)
 def f20_completeness(spark, d):
     return PR.completeness(A.table(spark, d, "conversations"))
-
-
-@pandas_udf(IntegerType())
-def _count_json_messages(s: pd.Series) -> pd.Series:
-    """Arrow-batched reference implementation of the message count (test oracle only)."""
-    def one(x):
-        try:
-            return len(json.loads(x))
-        except (TypeError, ValueError):
-            return 0
-    return s.map(one).astype("int32")
-
-
-@register("k1_pandas_udf_oracle", MIX + "SELECT id, coalesce(json_array_length(to_json(messages)), 0) AS n_json FROM raw_mix")
-def k1_pandas_udf_oracle(spark, d):
-    r = A.raw_mix(spark, d)
-    return r.select("id", _count_json_messages(C.messages_json("messages")).cast("long").alias("n_json"))

@@ -61,7 +61,7 @@ st AS (SELECT l.*, {", ".join(f"coalesce((SELECT correct FROM clip c WHERE c.grp
     bp = ("(CASE WHEN sys_len >= ref_len THEN 1.0 WHEN sys_len > 0 THEN exp(1 - CAST(ref_len AS DOUBLE) / sys_len) "
           "ELSE 0.0 END)")
     return ctes, (f"SELECT grp, CAST(sys_len AS BIGINT) AS sys_len, CAST(ref_len AS BIGINT) AS ref_len, "
-                  f"round({bp} * exp(({' + '.join(logs)}) / 4), {BLEU_DIGITS}) AS bleu FROM st")
+                  f"CASE WHEN c1 + c2 + c3 + c4 = 0 THEN 0.0 ELSE round({bp} * exp(({' + '.join(logs)}) / 4), {BLEU_DIGITS}) END::DOUBLE AS bleu FROM st")
 
 
 _C14, _S14 = _bleu_sql("hr", "'all'")
@@ -143,9 +143,12 @@ def m1_encode(spark, d):
     return enc.select("id", as_text[0].alias("source_ids"), as_text[1].alias("target_ids"))
 
 
-@register("m2_truncation", W(Q.TR, Q.TRN) + f"""SELECT source_lang, count(*) AS rows,
-  CAST(sum(CASE WHEN len(list_filter(string_split_regex({Q.strip_ws('source_text')}, {Q.q(S.WS_CLASS + '+')}), lambda w: w <> '')) > {S.SEQ_LEN}
-      THEN 1 ELSE 0 END) AS BIGINT) AS truncated
-  FROM trn WHERE {Q.exportable()} GROUP BY source_lang""")
+def _cut_sql(col: str) -> str:
+    n = f"len(list_filter(string_split_regex({Q.strip_ws(col)}, {Q.q(S.WS_CLASS + '+')}), lambda w: w <> ''))"
+    return f"CAST(sum(CASE WHEN {n} > {S.SEQ_LEN} THEN 1 ELSE 0 END) AS BIGINT)"
+
+
+@register("m2_truncation", W(Q.TR, Q.TRN) + f"""SELECT source_lang, count(*) AS rows, {_cut_sql('source_text')} AS truncated_source_text,
+  {_cut_sql('target_text')} AS truncated_target_text FROM trn WHERE {Q.exportable()} GROUP BY source_lang""")
 def m2_truncation(spark, d):
-    return EN.truncation_report(_exportable(spark, d), "source_lang", "source_text")
+    return EN.truncation_report(_exportable(spark, d), "source_lang", ["source_text", "target_text"])

@@ -42,6 +42,7 @@ def g1_resume(spark, d):
 
 G3_OLD_NEW = """old AS (SELECT t.* FROM trn t WHERE t.id IN (SELECT doc_id FROM labels)),
 new AS (SELECT min(id) AS id, source_lang, source_text, target_lang, target_text FROM trn GROUP BY ALL)"""
+# every row is offered, so equal keys occur among the new rows: the smallest id is inserted
 G3_SQL = W(Q.TR, Q.TRN, G3_OLD_NEW) + f"""SELECT {COLS} FROM old
 UNION ALL
 SELECT n.id, n.source_lang, n.source_text, n.target_lang, n.target_text FROM new n
@@ -52,12 +53,12 @@ WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.source_lang = n.source_lang AND o.
 @register("g3_insert_if_absent", G3_SQL)
 def g3_insert_if_absent(spark, d):
     """Rows of documents that carry labels form the table; every document
-    row is offered for insertion, keyed by the four canonical columns."""
+    row is offered for insertion, keyed by the four canonical columns; of new
+    rows with the same key (copies of a document) the smallest id goes in."""
     t = _trn(spark, d)
     labelled = A.table(spark, d, "labels").select(F.col("doc_id").alias("id"))
     old = t.join(labelled, "id", "left_semi")
-    new = t.groupBy(*FIELDS).agg(F.min("id").alias("id"))
-    return TB.insert_if_absent(old, new, FIELDS)
+    return TB.insert_if_absent(old, t, FIELDS, winner="id")
 
 
 def _changes(spark, d):
@@ -68,14 +69,21 @@ def _changes(spark, d):
     unknown = lab.filter(F.col("toxic") == 1).select(
         (F.col("doc_id") + F.lit(10 ** 9)).alias("id"), F.lit("fr").alias("source_lang"), F.lit("x").alias("source_text"),
         F.lit("dr").alias("target_lang"), F.lit("y").alias("target_text"))
-    return upd.unionByName(unknown)
+    # a second, later change of some rows
+    again = upd.filter(F.col("id") % 3 == 0).withColumn("target_text", F.concat("target_text", F.lit(" (v3)"))).withColumn("seq", F.lit(2))
+    return upd.unionByName(unknown).withColumn("seq", F.lit(1)).unionByName(again)
 
 
-CHANGES_SQL = """ch AS (
+CHANGES_SQL = """ch1 AS (
   SELECT t.id, t.source_lang, t.source_text, t.target_lang, t.target_text || ' (v2)' AS target_text
   FROM trn t WHERE t.id IN (SELECT doc_id FROM labels WHERE quality = 1)
   UNION ALL
-  SELECT doc_id + 1000000000 AS id, 'fr', 'x', 'dr', 'y' FROM labels WHERE toxic = 1)"""
+  SELECT doc_id + 1000000000 AS id, 'fr', 'x', 'dr', 'y' FROM labels WHERE toxic = 1),
+ch_all AS (
+  SELECT *, 1 AS seq FROM ch1
+  UNION ALL SELECT id, source_lang, source_text, target_lang, target_text || ' (v3)', 2 AS seq FROM ch1 WHERE id % 3 = 0 AND id < 1000000000),
+ch AS (SELECT id, source_lang, source_text, target_lang, target_text FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM ch_all) WHERE rn = 1)"""
 
 
 @register("g4_update_by_key", W(Q.TR, Q.TRN, CHANGES_SQL) + """SELECT t.id,
@@ -85,13 +93,13 @@ CHANGES_SQL = """ch AS (
   CASE WHEN c.id IS NOT NULL THEN c.target_text ELSE t.target_text END AS target_text
   FROM trn t LEFT JOIN ch c ON c.id = t.id""")
 def g4_update_by_key(spark, d):
-    new_table, _ = TB.update_by_key(_trn(spark, d), _changes(spark, d))
+    new_table, _ = TB.update_by_key(_trn(spark, d), _changes(spark, d), order="seq")
     return new_table
 
 
 @register("g4_updated_rows", W(Q.TR, Q.TRN, CHANGES_SQL) + f"SELECT c.* FROM ch c WHERE c.id IN (SELECT id FROM trn)")
 def g4_updated_rows(spark, d):
-    _, updated = TB.update_by_key(_trn(spark, d), _changes(spark, d))
+    _, updated = TB.update_by_key(_trn(spark, d), _changes(spark, d), order="seq")
     return updated
 
 
@@ -154,9 +162,7 @@ def h2_largest_group(spark, d):
 
 @register("h3_dense_ids", LINES_SQL + "SELECT doc_id, pos, row_number() OVER (ORDER BY doc_id, pos) AS row_index FROM lines")
 def h3_dense_ids(spark, d):
-    # the keys are two integers per line while their lineage splits every
-    # document: materialise them once for the count, sample and numbering passes
-    return with_row_index(lines(spark, d).select("doc_id", "pos"), ["doc_id", "pos"], "row_index", materialize=True)
+    return with_row_index(lines(spark, d).select("doc_id", "pos"), ["doc_id", "pos"], "row_index")
 
 
 SPLIT_SQL = f"""ranked AS (
@@ -182,9 +188,13 @@ def h6_eval_cap(spark, d):
 
 
 @register("h7_batches", LINES_SQL + f"""SELECT batch, count(*) AS items FROM (
-  SELECT (row_number() OVER (ORDER BY doc_id, pos) - 1) // {S.QUESTION_BATCH} AS batch FROM lines) GROUP BY batch""")
+  SELECT (row_number() OVER (ORDER BY doc_id, pos) - 1) // {S.QUESTION_BATCH} AS batch, row_number() OVER (ORDER BY doc_id, pos) AS rn FROM lines)
+  WHERE rn <= (SELECT count(*) - count(*) // 7 FROM lines) GROUP BY batch""")
 def h7_batches(spark, d):
-    return CO.batches(lines(spark, d), ["doc_id", "pos"], materialize=True)
+    """A request for six sevenths of the lines: the last batch is smaller."""
+    ln = lines(spark, d)
+    n = ln.count()
+    return CO.batches(ln, ["doc_id", "pos"], n=n - n // 7)
 
 
 # ------------------------------------------------------------------ I group
@@ -209,7 +219,7 @@ def i1_union_all(spark, d):
     return CO.union_sources(*_scraped_and_processed(spark, d))
 
 
-@register("i2_union_distinct", I_SQL + "SELECT DISTINCT source_lang, source_text, target_lang, target_text FROM u")
+@register("i2_union_distinct", I_SQL + "SELECT source_lang, source_text, target_lang, target_text, min(source_ord) AS source_ord FROM u GROUP BY ALL")
 def i2_union_distinct(spark, d):
     return CO.union_distinct(*_scraped_and_processed(spark, d))
 

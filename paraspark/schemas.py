@@ -175,3 +175,6 @@ CARD_SCHEMA = (
     "siblings ARRAY<STRUCT<rfilename: STRING>>"
 )
 
+
+# folder name that stands for a blank partition value (this library's own)
+BLANK_FOLDER = "__BLANK__"

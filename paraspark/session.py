@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +18,10 @@ ENGINE_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
+    # no broadcast from estimates (they do not count rows made by explode):
+    # only sides measured at run time, and explicit hints of bounded tables
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
 }
 
 # No web UI (no port beyond what the session itself needs); materialised
@@ -62,8 +66,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to shared storage; only when it is
-    unset (local runs, tests) do we create a scratch folder ourselves.
+    On a cluster the operator sets it to shared storage, and it is an error
+    when it is unset; only a local master (tests) gets a scratch folder here.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -71,7 +75,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="paraspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="paraspark-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 

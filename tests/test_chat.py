@@ -183,3 +183,19 @@ def test_pairing_of_long_conversations(spark, n):
     arrays = df.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("turn", "content", "role"))).alias("m"))
     for x in arrays.select("c", C.greedy_pairs("m").alias("p")).collect():
         assert [(y["texte_cible"], y["traduction"]) for y in x["p"]] == want[x["c"]]
+
+
+def test_message_count_against_plain_json(spark, sf_small):
+    """K1: the message count of the JSON text equals Python's json module
+    (NULL and broken texts count 0)."""
+    import json
+    r = A.raw_mix(spark, sf_small).select(C.messages_json("messages").alias("j"))
+    r = r.unionByName(spark.createDataFrame([(None,), ("{broken",), ("[]",)], "j string"))
+
+    def plain(t):
+        try:
+            return len(json.loads(t)) if t else 0
+        except json.JSONDecodeError:
+            return 0
+    for x in r.select("j", C.message_count_json("j").alias("n")).collect():
+        assert x["n"] == plain(x["j"])

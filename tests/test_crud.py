@@ -76,3 +76,28 @@ def test_resume_pending_is_set_membership(spark):
     got = sorted(tuple(r) for r in resume_pending(phrases, existing, ["line", "lang"]).collect())
     # a repeated phrase once; NULL equals NULL like a Python set; keys only in existing never appear
     assert got == [("a", "fr"), ("d", None)]
+
+
+ROW = "id LONG, source_lang STRING, source_text STRING, target_lang STRING, target_text STRING"
+
+
+def test_repeats_among_new_rows_go_in_once(spark):
+    old = spark.createDataFrame([(1, "fr", "a", "dr", "b")], ROW)
+    new = spark.createDataFrame([(9, "fr", "c", "dr", "d"), (5, "fr", "c", "dr", "d"), (7, "fr", "a", "dr", "b"),
+                                 (3, None, "c", "dr", "d"), (4, None, "c", "dr", "d")], ROW)
+    out = TB.insert_if_absent(old, new, TB.FIELDS, winner="id")
+    assert sorted(r["id"] for r in out.collect()) == [1, 3, 4, 5]
+    assert TB.duplicate_keys(out).count() == 0
+
+
+def test_several_changes_of_one_key(spark):
+    table = spark.createDataFrame([(1, "fr", "a", "dr", "b"), (2, "fr", "x", "dr", "y")], ROW)
+    ch = spark.createDataFrame([(1, "fr", "a", "dr", "second", 2), (1, "fr", "a", "dr", "first", 1), (8, "fr", "q", "dr", "q", 1)], ROW + ", seq INT")
+    new, updated = TB.update_by_key(table, ch, order="seq")
+    assert sorted((r["id"], r["target_text"]) for r in new.collect()) == [(1, "second"), (2, "y")]
+    assert [(r["id"], r["target_text"]) for r in updated.collect()] == [(1, "second")]
+
+
+def test_newest_first_order(spark):
+    df = spark.range(50).repartition(7)
+    assert [r["id"] for r in TB.newest_first(df).collect()] == list(range(49, -1, -1))

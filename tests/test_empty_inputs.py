@@ -18,7 +18,6 @@ def _empty(spark, schema):
 def test_numbering_empty(spark):
     df = _empty(spark, "k long")
     assert with_row_index(df, ["k"], "rid").count() == 0
-    assert with_row_index(df, ["k"], "rid", materialize=True).count() == 0
 
 
 def test_split_quantiles_histogram_empty(spark):

@@ -79,9 +79,51 @@ def test_stored_table_prunes_by_language_pair(spark, sf_small):
     from paraspark.sources import writers as Wr
     path = tempfile.mkdtemp(prefix="paraspark-b5-") + "/t"
     rows = QI._trn(spark, sf_small)
-    Wr.bulk_append(rows, path, partition_by=QI.TABLE_PARTITION)
+    W.bulk_append(rows, path, partition_by=QI.TABLE_PARTITION)
     stored = spark.read.parquet(path)
     q = TB.filter_langs(stored, source_lang="dr", target_lang=None)
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(source_lang" in plan and "(source_lang" in plan
     assert q.count() == rows.filter("source_lang = 'dr'").count()
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_required_column_is_looked_for_in_the_files(spark, fmt, tmp_path):
+    """A schema that names the column does not make up for files without it."""
+    schema = "id int, `Questions ou Affirmations` string"
+    bad, good = str(tmp_path / "bad"), str(tmp_path / "good")
+    df = spark.createDataFrame([(1, "a")], "id int, Other string")
+    (df.write.option("header", True) if fmt == "csv" else df.write).format(fmt).save(bad)
+    with pytest.raises(ValueError):
+        R.read_sheet(spark, bad, schema, "Questions ou Affirmations", fmt=fmt)
+    # other order than the schema's: matched by name
+    df = spark.createDataFrame([("phrase", "x", 7)], "`Questions ou Affirmations` string, more string, id int")
+    (df.write.option("header", True) if fmt == "csv" else df.write).format(fmt).save(good)
+    row = R.read_sheet(spark, good, schema, "Questions ou Affirmations", fmt=fmt).first()
+    assert (row["id"], row["Questions ou Affirmations"], row["more"]) == (7, "phrase", "x")
+
+
+def test_blank_folder_values_survive(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(1, "", "a", "fr", "b"), (2, "007", "a", "2020-01-01", "b"), (3, None, "a", "", "b")]
+    schema = "id LONG, source_lang STRING, source_text STRING, target_lang STRING, target_text STRING"
+    W.bulk_append(spark.createDataFrame(rows, schema), path, ["source_lang", "target_lang"])
+    t = R.read_table(spark, "blank_folders", path, schema, ["source_lang", "target_lang"])
+    assert sorted(tuple(r) for r in t.select("id", "source_lang", "source_text", "target_lang", "target_text").collect()) == rows
+    plan = t.filter("source_lang = ''")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan
+
+
+def test_escaped_breaks_round_trip(spark, tmp_path):
+    path = str(tmp_path / "c")
+    texts = ["a\nb", "a\\nb", "\r\n", "\\", "\\\\n", 'q"uote, comma', "tab\tend\\"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    W.write_csv(df, path, escape_breaks=True)
+    got = R.read_csv(spark, path, df.schema, escaped_breaks=True).orderBy("id").collect()
+    assert [r["t"] for r in got] == texts
+
+
+def test_valid_rows_only(spark, tmp_path):
+    path = str(tmp_path / "j")
+    W.write_json_records(spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, problem boolean"), path, flag="problem")
+    assert sorted(r["id"] for r in spark.read.json(path).collect()) == [2, 3] and spark.read.json(path).columns == ["id"]

@@ -75,3 +75,16 @@ def test_batches_of_twenty(spark):
     df = spark.range(45).withColumnRenamed("id", "k")
     got = sorted((r["batch"], r["items"]) for r in CO.batches(df, ["k"]).collect())
     assert got == [(0, 20), (1, 20), (2, 5)]
+
+
+def test_direction_of_any_codes(spark):
+    df = spark.sql("""SELECT map('spa_Latn', 'a', 'ary_Arab', 'b') AS m UNION ALL SELECT map('spa_Latn', 'a', 'fra_Latn', 'b')
+      UNION ALL SELECT map('spa_Latn', 'a') UNION ALL SELECT map('spa_Latn', 'a', 'ary_Arab', CAST(NULL AS STRING))""")
+    got = [tuple(r["d"]) for r in df.select(L.infer_direction("m").alias("d")).collect()]
+    assert got == [("spa_Latn", "ary_Arab"), ("fra_Latn", "spa_Latn"), (None, None), (None, None)]
+
+
+def test_character_references(spark):
+    df = spark.createDataFrame([("&#1605;&#1585;&eacute; &#x41;&amp;lt; &amp &nope; &#xD800;&#0; a & b &copy;",), (None,), ("",)], "t string")
+    got = [r["x"] for r in df.select(H.decode_references("t").alias("x")).collect()]
+    assert got == ["\u0645\u0631\u00e9 A&lt; &amp &nope; \ufffd\ufffd a & b \u00a9", None, ""]

@@ -9,35 +9,26 @@ from paraspark.operators import corpus as CO
 from paraspark.operators.ranking import exact_quantiles, with_row_index
 
 
-import pytest
-
-
-@pytest.mark.parametrize("materialize", [False, True])
-def test_row_index_dense_and_ordered(spark, materialize):
+def test_row_index_dense_and_ordered(spark):
     random.seed(1)
     rows = [(random.randint(0, 50), f"k{i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "a int, b string").repartition(5)
-    out = with_row_index(df, ["a", "b"], "rid", num_partitions=7, materialize=materialize).collect()
+    out = with_row_index(df, ["a", "b"], "rid", num_partitions=7).collect()
     got = sorted((r["rid"], r["a"], r["b"]) for r in out)
     assert [g[0] for g in got] == list(range(1, 3001))
     assert [(g[1], g[2]) for g in got] == sorted(rows)
 
 
-@pytest.mark.parametrize("materialize", [False, True])
-def test_row_index_descending_key(spark, materialize):
+def test_row_index_descending_key(spark):
     df = spark.createDataFrame([(i % 5, str(i)) for i in range(200)], "f int, t string")
-    out = with_row_index(df, [("f", False), "t"], "rid", num_partitions=4,
-                         materialize=materialize).orderBy("rid").collect()
+    out = with_row_index(df, [("f", False), "t"], "rid", num_partitions=4).orderBy("rid").collect()
     assert [(r["f"], r["t"]) for r in out] == sorted([(i % 5, str(i)) for i in range(200)], key=lambda x: (-x[0], x[1]))
 
 
 def test_row_index_many_buckets_and_start(spark):
-    # more buckets than the literal cap: the materialised path takes any count
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"))
-    out = with_row_index(df, ["k"], "rid", start=0, num_partitions=300, materialize=True).collect()
+    out = with_row_index(df, ["k"], "rid", start=0, num_partitions=300).collect()
     assert sorted((r["rid"], r["k"]) for r in out) == [(i, i) for i in range(5000)]
-    inline = with_row_index(df, ["k"], "rid", start=0, num_partitions=300).collect()
-    assert sorted((r["rid"], r["k"]) for r in inline) == [(i, i) for i in range(5000)]
 
 
 def test_exact_quantiles(spark):

@@ -7,6 +7,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from paraspark.operators import score as SC
 
 
@@ -98,3 +100,20 @@ def test_best_kept_latest(spark):
     assert kept == [2, 5, 6]
     last = SC.latest_value(df, ["run_id", "metric"]).first()
     assert (last["last_step"], last["last_value"]) == (6, 3.0)
+
+
+def test_no_match_scores_zero(spark):
+    df = spark.createDataFrame([("k1", "a b c d e f", "u v w x y z")], "key string, hyp string, ref string")
+    assert SC.corpus_bleu(df, "hyp", "ref", "key").first()["bleu"] == 0.0
+    wide = df.withColumn("hyp_b", F.col("ref"))
+    got = {r["system"]: r["bleu"] for r in SC.corpus_bleu_systems(wide, "key", "ref", {"A": "hyp", "B": "hyp_b"}).collect()}
+    assert got["A"] == 0.0 and abs(got["B"] - 100.0) < 1e-9
+
+
+def test_kept_checkpoints_best_inside_and_outside(spark):
+    rows = [("in", s, float(s)) for s in range(10)] + [("out", s, float(-s)) for s in range(10)] + [("few", 1, 0.5)]
+    df = spark.createDataFrame(rows, "run string, step long, value double")
+    got = {}
+    for r in SC.kept_checkpoints(df, ["run"], 3).collect():
+        got.setdefault(r["run"], set()).add((r["step"], r["is_best"]))
+    assert got == {"in": {(9, True), (8, False), (7, False)}, "out": {(0, True), (9, False), (8, False)}, "few": {(1, True)}}

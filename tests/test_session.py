@@ -25,3 +25,24 @@ def test_submitted_settings_win():
     line = [x for x in out.stdout.splitlines() if x.startswith("RESULT")]
     assert line, out.stderr[-2000:]
     assert line[0].split()[1:] == ["local[2]", "333", "true", "false"]
+
+
+def test_cluster_without_checkpoint_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from paraspark.session import ensure_checkpoint_dir
+
+    def session(master, conf):
+        sc = SimpleNamespace(master=master, dir=None)
+        sc.getCheckpointDir = lambda: sc.dir
+        sc.setCheckpointDir = lambda d: setattr(sc, "dir", d)
+        sc.getConf = lambda: SimpleNamespace(get=lambda key, default=None: conf.get(key, default))
+        return SimpleNamespace(sparkContext=sc)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(session(master, {}))
+        assert ensure_checkpoint_dir(session(master, {"spark.checkpoint.dir": "hdfs:///ckpt"})) == "hdfs:///ckpt"
+    assert ensure_checkpoint_dir(session("local[4]", {}))
