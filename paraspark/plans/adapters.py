@@ -28,17 +28,19 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-# tables whose rows carry long texts, with a key that is unique per row:
-# thin scans are spread across the cores by that key. Chat turns and
-# benchmark passages are short and light per row, and their consumers
-# shuffle them before any heavy work (grouping into samples, BLEU's key
-# partitioning, G6's numbering), so they are not spread.
+# tables whose rows carry long texts, with a key that is unique per row: where
+# heavy per-row text work follows directly, a thin scan is spread by that key
 TEXT_TABLES = {"documents": ["doc_id"], "pages": ["page_id"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, unique_key=TEXT_TABLES[name]) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table in front of heavy per-row work (splitting, cleaning,
+    tokenising, HTML): a scan of fewer splits than cores is spread first."""
+    return spread(table(spark, sf_dir, name), unique_key=TEXT_TABLES[name])
 
 
 def _pick(values: list, idx: Column) -> Column:
@@ -138,9 +140,10 @@ def target_of(text: Column) -> Column:
     return F.translate(text, ASCII_LOWER, ASCII_UPPER)
 
 
-def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, source_lang, source_text, target_lang, target_text) from documents."""
-    d = table(spark, sf_dir, "documents")
+def translations(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """(id, source_lang, source_text, target_lang, target_text) from documents;
+    ``heavy``: per-row text work follows."""
+    d = (texts if heavy else table)(spark, sf_dir, "documents")
     k = F.col("doc_id") % 4
     return d.select(
         F.col("doc_id").alias("id"),

@@ -266,7 +266,7 @@ SCRIPT_RE = f"[\\x{{{LO:x}}}-\\x{{{HI:x}}}]"
 
 
 def _paras(spark, d):
-    pg = A.table(spark, d, "pages")
+    pg = A.texts(spark, d, "pages")
     return pg.select("page_id", "html", H.with_script_flag(H.paragraphs("html"), LO, HI).alias("ps"))
 
 

@@ -8,6 +8,7 @@ full round trip."""
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -25,7 +26,7 @@ from paraspark.plans import sqltext as Q
 from paraspark.plans.queries_chat import REC_SQL, _avail_sql
 from paraspark.plans.queries_text import lines
 from paraspark.plans.registry import register
-from paraspark.session import shared_path
+from paraspark.session import remove_folder, shared_path
 from paraspark.sources import readers as R
 from paraspark.sources import writers as Wr
 from paraspark.streaming import ingest as ST
@@ -34,8 +35,25 @@ W = Q.with_
 FIELDS = S.PAIR_COLUMNS
 
 
+_STAGED: list[str] = []
+
+
 def _fresh(spark, tag: str) -> str:
-    return shared_path(spark, f"io-{tag}-{uuid.uuid4().hex[:12]}")
+    path = shared_path(spark, f"io-{tag}-{uuid.uuid4().hex[:12]}")
+    _STAGED.append(path)
+    return path
+
+
+def staged(fn):
+    """A query whose staged folders go once its result has been read from them."""
+    @wraps(fn)
+    def run(spark, d):
+        before = len(_STAGED)
+        out = fn(spark, d).checkpoint(eager=True)
+        while len(_STAGED) > before:
+            remove_folder(spark, _STAGED.pop())
+        return out
+    return run
 
 
 # the stored translation table is laid out by language pair (C2 prunes folders)
@@ -61,6 +79,7 @@ def a1_parquet_scan(spark, d):
 
 
 @register("a2_parquet_glob", MIX + "SELECT id, len(messages) AS n_messages, 'parquet' AS ext FROM raw_mix")
+@staged
 def a2_parquet_glob(spark, d):
     """Shards plus a non-Parquet file in one folder; only *.parquet are read."""
     path = _fresh(spark, "a2")
@@ -77,6 +96,7 @@ TR_SCHEMA = StructType([StructField("id", LongType()), StructField("source_lang"
 
 
 @register("a3_csv_scan", W(Q.TR) + "SELECT * FROM tr")
+@staged
 def a3_csv_scan(spark, d):
     """Multi-line quoted text through CSV (B1 then A3)."""
     path = _fresh(spark, "a3")
@@ -85,6 +105,7 @@ def a3_csv_scan(spark, d):
 
 
 @register("a4_json_doc", W(Q.TR, Q.TRN) + "SELECT source_lang, source_text, target_lang, target_text FROM trn")
+@staged
 def a4_json_doc(spark, d):
     """Scraped documents (at most 100 translations each) -> one row per element."""
     path = _fresh(spark, "a4")
@@ -97,6 +118,7 @@ def a4_json_doc(spark, d):
 
 
 @register("a5_json_blocks", FLAT + "SELECT source_lang, source_text, target_lang, target_text FROM flat")
+@staged
 def a5_json_blocks(spark, d):
     path = _fresh(spark, "a5")
     Wr.write_json_records(P.chat_to_pairs(A.raw_mix(spark, d)).select("pairs", "direction"), path)
@@ -112,6 +134,7 @@ A6_SQL = W(Q.TR, Q.TRN, REC_SQL, _avail_sql()) + """SELECT CASE WHEN s0 IS NOT N
 
 
 @register("a6_jsonl_map", A6_SQL)
+@staged
 def a6_jsonl_map(spark, d):
     """B4 export read back with per-row keys, direction re-derived."""
     path = _fresh(spark, "a6")
@@ -137,6 +160,7 @@ def _sheet(spark, d):
 
 
 @register("a7_required_column", SHEET_SQL)
+@staged
 def a7_required_column(spark, d):
     path = _fresh(spark, "a7")
     Wr.write_sheet(_sheet(spark, d), path)
@@ -145,6 +169,7 @@ def a7_required_column(spark, d):
 
 
 @register("a8_table_scan", W(Q.TR, Q.TRN) + "SELECT * FROM trn")
+@staged
 def a8_table_scan(spark, d):
     path = _fresh(spark, "a8")
     Wr.bulk_append(_trn(spark, d), path, partition_by=TABLE_PARTITION)
@@ -156,6 +181,7 @@ ML_SQL = """SELECT 'run' || CAST(user_id AS VARCHAR) AS run_id, event_type AS me
 
 
 @register("a9_metric_log", ML_SQL)
+@staged
 def a9_metric_log(spark, d):
     path = _fresh(spark, "a9")
     Wr.write_metric_logs(A.metric_log(spark, d), path)
@@ -166,6 +192,7 @@ def a9_metric_log(spark, d):
 # -------------------------------------------------------------------- B
 
 @register("b1_csv", MIX + "SELECT dataset, id, CAST(to_json(messages) AS VARCHAR) AS messages, direction FROM raw_mix")
+@staged
 def b1_csv(spark, d):
     """Nested messages through CSV as JSON text and back."""
     path = _fresh(spark, "b1")
@@ -183,6 +210,7 @@ PAIRS_FULL = W(Q.TURNS, Q.SAMPLES, Q.greedy_ctes()) + f"""SELECT s.id, s.directi
 
 
 @register("b2_json_records", PAIRS_FULL)
+@staged
 def b2_json_records(spark, d):
     path = _fresh(spark, "b2")
     Wr.write_json_records(P.chat_to_pairs(A.raw_mix(spark, d)).select("id", "direction", "pairs", "problem"), path, flag="problem")
@@ -192,6 +220,7 @@ def b2_json_records(spark, d):
 
 
 @register("b3_quarantine", PPS_FLAG)
+@staged
 def b3_quarantine(spark, d):
     path = _fresh(spark, "b3")
     Wr.write_quarantine(P.chat_to_pairs(A.raw_mix(spark, d)), path)
@@ -200,6 +229,7 @@ def b3_quarantine(spark, d):
 
 
 @register("b4_jsonl_export", W(Q.TR, Q.TRN, REC_SQL) + "SELECT k, v FROM rec_long")
+@staged
 def b4_jsonl_export(spark, d):
     path = _fresh(spark, "b4")
     Wr.write_training_jsonl(_records(spark, d), path)
@@ -212,6 +242,7 @@ B5_SQL = W(Q.TR, Q.TRN) + f"""SELECT * FROM trn WHERE source_lang IN ('fr', 'en'
 
 
 @register("b5_bulk_append", B5_SQL)
+@staged
 def b5_bulk_append(spark, d):
     """Validated rows (J1) appended into a table folder, then scanned."""
     path = _fresh(spark, "b5")
@@ -224,6 +255,7 @@ def b5_bulk_append(spark, d):
   CASE WHEN coalesce(target_text, '') = '' THEN {Q.q(S.MISSING_TARGET)} ELSE target_text END AS target_text FROM (
   SELECT source_lang, source_text, target_lang, target_text FROM trn
   UNION ALL SELECT source_lang, source_text, target_lang, target_text FROM flat)""")
+@staged
 def b6_append_pairs(spark, d):
     """Two appends (scraped rows, then extracted pairs) to one JSON store; a
     missing target is written as the sentinel (C8)."""
@@ -235,6 +267,7 @@ def b6_append_pairs(spark, d):
 
 
 @register("b7_sheet", SHEET_SQL)
+@staged
 def b7_sheet(spark, d):
     path = _fresh(spark, "b7")
     Wr.write_sheet(_sheet(spark, d), path)
@@ -244,6 +277,7 @@ def b7_sheet(spark, d):
 
 @register("b8_profile_json", MIX + """SELECT d.direction, d.count, t.rows FROM
   (SELECT direction, count(*) AS count FROM raw_mix GROUP BY direction) d, (SELECT count(*) AS rows FROM raw_mix) t""")
+@staged
 def b8_profile_json(spark, d):
     """A nested one-row profile (total + per-direction counts) as JSON and back."""
     path = _fresh(spark, "b8")
@@ -277,6 +311,7 @@ def _arrive(spark, d, staging: str) -> None:
 
 
 @register("l1_stream_ingest", L_SQL)
+@staged
 def l1_stream_ingest(spark, d):
     """The table arrives, is ingested, then arrives again (a replayed
     delivery): the second run adds nothing."""
@@ -289,6 +324,7 @@ def l1_stream_ingest(spark, d):
 
 
 @register("l2_foreach_batch", L_SQL)
+@staged
 def l2_foreach_batch(spark, d):
     base = _fresh(spark, "l2")
     staging, target, ckpt = f"{base}/in", f"{base}/table", f"{base}/ckpt"

@@ -114,7 +114,7 @@ def f18_latest_value(spark, d):
 # -------------------------------------------------------------- encoding
 
 def _exportable(spark, d):
-    return P.exportable(TB.normalise_langs(A.translations(spark, d)))
+    return P.exportable(TB.normalise_langs(A.translations(spark, d, heavy=True)))
 
 
 def _toks_sql(col: str) -> str:

@@ -26,7 +26,7 @@ def _trn(spark, d):
 
 def lines(spark, d):
     """Documents -> (doc_id, lang, pos, line), blanks dropped."""
-    docs = A.table(spark, d, "documents")
+    docs = A.texts(spark, d, "documents")
     return (docs.select("doc_id", "lang", F.posexplode(F.split(T.strip_ws("text"), "\n")).alias("pos", "raw"))
             .select("doc_id", "lang", F.col("pos").cast("long").alias("pos"), T.strip_ws("raw").alias("line"))
             .filter(F.col("line") != ""))
@@ -178,7 +178,7 @@ def c12_first_n(spark, d):
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
   WHERE {Q.strip_ws('raw')} <> ''""")
 def c13_non_blank(spark, d):
-    docs = A.table(spark, d, "documents")
+    docs = A.texts(spark, d, "documents")
     x = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     return x.filter(T.non_blank("raw")).select("doc_id", F.col("pos").cast("long").alias("pos"),
                                                T.strip_ws("raw").alias("line"))

@@ -1,40 +1,42 @@
 """Incremental corpus ingest with Structured Streaming (L1, L2).
 
-L1 keeps the dedupe keys in streaming state (``dropDuplicates``); like the
-seen-set it replaces, that state is unbounded. L2 keeps no key state: each
-micro-batch is deduplicated and anti-joined against the durable target table
-(null-safe keys), so a replayed batch adds nothing and state stays bounded.
-Both use ``trigger(availableNow=True)``: process what has arrived, then stop.
+Both compare rows by the SHA-256 digest of their null-safe key: two different
+keys share one with probability about 2^-128 even at 10^12 keys. L1 keeps the
+digests in streaming state (``dropDuplicates``; with the RocksDB provider that
+``build_session`` sets, on executor disks); like the seen-set it replaces, that
+state is unbounded. L2 keeps no key state: the target stores each row's digest,
+and a micro-batch is deduplicated and anti-joined against that one column, so
+a replayed batch adds nothing. Both use ``trigger(availableNow=True)``: process
+what has arrived, then stop.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+DIGEST = "_key_sha256"
 
-def key_digest(keys: list[str]):
-    """SHA-256 of the null-safe key (NULL and '' stay distinct): 32 bytes of
-    state per key instead of the key's texts."""
-    from pyspark.sql import functions as F
+
+def key_digest(keys: list[str]) -> Column:
+    """SHA-256 of the null-safe key (NULL and '' stay distinct)."""
     return F.sha2(F.to_json(F.struct(*[F.col(k) for k in keys])), 256)
 
 
 def ingest_dedup(spark: SparkSession, source: str, schema: StructType,
                  transform: Callable[[DataFrame], DataFrame], keys: list[str],
-                 sink: str, checkpoint: str, digest_keys: bool = False) -> None:
+                 sink: str, checkpoint: str, digest_keys: bool = True) -> None:
     """L1: new files -> transform -> dropDuplicates(keys) -> append to ``sink``.
 
-    The dedupe state keeps every key ever seen. With ``digest_keys`` it keeps
-    a SHA-256 digest of each key instead of the texts (the state no longer
-    grows with text length; two different keys share a digest with
-    probability about 2^-128 even at 10^12 keys)."""
-    stream = spark.readStream.schema(schema).parquet(source)
-    rows = transform(stream)
+    The dedupe state keeps the digest of every key ever seen (the keys' texts
+    themselves without ``digest_keys``)."""
+    rows = transform(spark.readStream.schema(schema).parquet(source))
     if digest_keys:
-        out = rows.withColumn("_kd", key_digest(keys)).dropDuplicates(["_kd"]).drop("_kd")
+        out = rows.withColumn(DIGEST, key_digest(keys)).dropDuplicates([DIGEST]).drop(DIGEST)
     else:
         out = rows.dropDuplicates(keys)
     q = (out.writeStream.format("parquet").outputMode("append")
@@ -42,55 +44,38 @@ def ingest_dedup(spark: SparkSession, source: str, schema: StructType,
     q.awaitTermination()
 
 
-KEY_BUCKETS = 64
+def _stored(target_schema: StructType) -> StructType:
+    return StructType([*target_schema.fields, StructField(DIGEST, StringType())])
 
 
-def key_bucket(keys: list[str], buckets: int = KEY_BUCKETS):
-    """Stable bucket of the (null-safe) key, used to partition the L2 target."""
-    from pyspark.sql import functions as F
-    return F.pmod(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]),
-                  F.lit(buckets)).cast("int")
+def _ensure_target(spark: SparkSession, target: str, stored: StructType) -> None:
+    """Create the empty table on the first run; any other read error is raised."""
+    try:
+        spark.read.schema(stored).parquet(target)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        spark.createDataFrame([], stored).write.mode("append").parquet(target)
 
 
 def ingest_anti_join(spark: SparkSession, source: str, schema: StructType,
                      transform: Callable[[DataFrame], DataFrame], keys: list[str],
                      target: str, checkpoint: str, target_schema: StructType,
-                     max_files_per_trigger: int | None = None, key_buckets: int = KEY_BUCKETS) -> None:
+                     max_files_per_trigger: int | None = None) -> None:
     """L2: per micro-batch, append only rows whose keys are not yet in ``target``.
 
-    The target is partitioned by a hash bucket of the key; a batch reads only
-    the buckets it touches (partition pruning on at most ``key_buckets`` ids),
-    so small batches do not rescan the whole table; size ``key_buckets`` with
-    the target (more buckets prune more, but each batch writes one file per
-    touched bucket). ``max_files_per_trigger`` bounds the size of a batch.
-    The bucket count is fixed for the life of a target.
+    A batch reads the target's digest column (64 characters a row, whatever the
+    texts) and joins it with its own digests; rows are written by as many tasks
+    as the join has partitions. ``max_files_per_trigger`` bounds a batch.
     """
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import IntegerType, StructField
-
-    stored = StructType(list(target_schema.fields) + [StructField("_kb", IntegerType())])
-    try:
-        spark.read.schema(stored).parquet(target).limit(0).collect()
-    except Exception:  # noqa: BLE001 - first run: create the empty target table
-        spark.createDataFrame([], stored).write.mode("append").partitionBy("_kb").parquet(target)
+    stored = _stored(target_schema)
+    _ensure_target(spark, target, stored)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        # the (bounded) batch is read twice below: keep it for the duration
-        # of the upsert; a lost block is recomputed from the batch's files
-        fresh = batch.dropDuplicates(keys).withColumn("_kb", key_bucket(keys, key_buckets)).persist()
-        try:
-            # bucket ids of this batch: at most key_buckets small integers
-            touched = [r[0] for r in fresh.select("_kb").distinct().collect()]
-            if not touched:
-                return
-            existing = (batch.sparkSession.read.schema(stored).parquet(target)
-                        .filter(F.col("_kb").isin(touched)).select("_kb", *keys))
-            cond = [fresh["_kb"] == existing["_kb"]] + [fresh[k].eqNullSafe(existing[k]) for k in keys]
-            # one file per touched bucket per batch (the batch is bounded)
-            (fresh.join(existing, cond, "left_anti").select(*[f.name for f in stored.fields])
-             .repartition("_kb").write.mode("append").partitionBy("_kb").parquet(target))
-        finally:
-            fresh.unpersist()
+        fresh = batch.withColumn(DIGEST, key_digest(keys)).dropDuplicates([DIGEST])
+        known = batch.sparkSession.read.schema(stored).parquet(target).select(DIGEST)
+        (fresh.join(known, DIGEST, "left_anti").select(*[f.name for f in stored.fields])
+         .write.mode("append").parquet(target))
 
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -101,7 +86,5 @@ def ingest_anti_join(spark: SparkSession, source: str, schema: StructType,
 
 
 def read_target(spark: SparkSession, target: str, target_schema: StructType) -> DataFrame:
-    """The L2 target's rows without the bucket column."""
-    from pyspark.sql.types import IntegerType, StructField
-    stored = StructType(list(target_schema.fields) + [StructField("_kb", IntegerType())])
-    return spark.read.schema(stored).parquet(target).select(*[f.name for f in target_schema.fields])
+    """The L2 target's rows without the digest column."""
+    return spark.read.schema(_stored(target_schema)).parquet(target).select(*[f.name for f in target_schema.fields])
