@@ -12,9 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from paraspark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from paraspark.llm.common import table
+from paraspark.llm.common import checkpointed, table
 from paraspark.plans.registry import register
-from paraspark.session import shared_path
+from paraspark.session import remove_folder, shared_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +58,20 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written under the
-    shared checkpoint folder and read back."""
+    shared checkpoint folder and read back, and its folder goes once the next
+    stage has read it."""
     docs = table(spark, sf_dir, "documents")
     base = shared_path(spark, f"pipeline-{uuid.uuid4().hex}")
-    for name, stage in STAGES[:-1]:
+    last = None
+    for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last:
+            remove_folder(spark, f"{base}/{last}")
+        last = name
+    out = checkpointed(docs)
+    remove_folder(spark, base)
+    return out
 
 
 register("pipeline", ORACLE_SQL)(run)

@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paraspark.llm import range_coder, tokens
-from paraspark.llm.common import map_arrow, table
+from paraspark.llm.common import checkpointed, map_arrow, table
 from paraspark.plans.registry import register
-from paraspark.session import shared_path
+from paraspark.session import remove_folder, shared_path
 
 END_ID = 2
 BLOCK_IDS = 8192
@@ -123,4 +123,6 @@ def op6_context_mixing_token_files(spark, d):
     """All documents' ids written as coded files and read back."""
     path = shared_path(spark, f"token-ids-{uuid.uuid4().hex}")
     write_ids(table(spark, d, "documents"), path)
-    return read_documents(spark, path)
+    out = checkpointed(read_documents(spark, path))
+    remove_folder(spark, path)
+    return out
