@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paraspark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from paraspark.llm.common import checkpointed, table
-from paraspark.plans.registry import register
+from paraspark.plans.registry import QUERIES, register
 from paraspark.session import remove_folder, shared_path
 
 
@@ -74,4 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-register("pipeline", ORACLE_SQL)(run)
+if "pipeline" not in QUERIES:  # the file may be loaded under more than one name
+    register("pipeline", ORACLE_SQL)(run)
