@@ -32,6 +32,7 @@ _MIX = 12                        # bits of the mixing weights
 _ORDER0 = 18                     # bits of the order-0 distribution
 _TOTAL = _MIX + _ORDER0
 _SLOTS = 1 << 12                 # order-2 contexts per block
+LANES = 2048                     # blocks coded side by side at most
 _LOW, _HIGH, _RATE = 16, 3900, 5
 _REFRESH = 512
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
@@ -154,8 +155,10 @@ def _order(lengths: list[int]) -> np.ndarray:
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of ids (none empty) as one self-contained byte string."""
-    if not blocks:
-        return []
+    return [d for i in range(0, len(blocks), LANES) for d in _encode(blocks[i:i + LANES])]
+
+
+def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = _order([len(b) for b in blocks])
     sorted_blocks = [blocks[i] for i in order]
     lengths = np.array([len(b) for b in sorted_blocks])
@@ -208,8 +211,10 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
 def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; raises ``ValueError`` where a checksum fails."""
-    if not data:
-        return []
+    return [ids for i in range(0, len(data), LANES) for ids in _decode(data[i:i + LANES])]
+
+
+def _decode(data: list[bytes]) -> list[np.ndarray]:
     heads = []
     for d in data:
         magic, n, size, words, ids_crc, body_crc = HEADER.unpack_from(d)

@@ -131,6 +131,12 @@ def test_range_coder_long_and_compressing():
     assert R.encode_blocks([]) == [] and R.decode_blocks([]) == []
 
 
+def test_range_coder_more_blocks_than_lanes():
+    rng = np.random.default_rng(5)
+    blocks = [rng.integers(0, 300, n) for n in rng.integers(1, 4, R.LANES + 500)]
+    assert all((a == b).all() for a, b in zip(R.decode_blocks(R.encode_blocks(blocks)), blocks))
+
+
 def test_range_coder_detects_damage():
     import pytest
     d = bytearray(R.encode_blocks([np.arange(100)])[0])
