@@ -164,7 +164,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     lengths = np.array([len(b) for b in sorted_blocks])
     pairs = [np.unique(b, return_inverse=True) for b in sorted_blocks]
     longest, k = int(lengths[0]), len(blocks)
-    ranks = np.zeros((longest, k), np.int64)
+    ranks = np.zeros((longest, k), np.int32)
     for i, (_, r) in enumerate(pairs):
         ranks[:len(r), i] = r
     m = _Model(np.array([len(d) for d, _ in pairs]))
@@ -177,7 +177,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         if live_at[t] < live:
             live = int(live_at[t])
             _drop(m, live)
-        rank = ranks[t, :live]
+        rank = ranks[t, :live].astype(np.int64)
         m.predict()
         start, width = m.interval(rank)
         r = rng[:live] >> _UTOTAL
@@ -225,7 +225,7 @@ def _decode(data: list[bytes]) -> list[np.ndarray]:
     k, longest = len(data), heads[order[0]][0]
     lengths = np.array([heads[i][0] for i in order])
     distinct = []
-    code = np.zeros((k, max(h[2] for h in heads) + 4), np.uint64)
+    code = np.zeros((k, max(h[2] for h in heads) + 4), np.uint16)
     for i, o in enumerate(order):
         body = np.frombuffer(data[o], np.uint8, offset=HEADER.size)
         d, used = _distinct(body, heads[o][1])
@@ -234,7 +234,8 @@ def _decode(data: list[bytes]) -> list[np.ndarray]:
     flat, base, pos = code.reshape(-1), np.arange(k) * code.shape[1], np.full(k, 4, np.int64)
     m = _Model(np.array([len(d) for d in distinct]))
     low, rng = np.zeros(k, np.uint64), np.full(k, np.iinfo(np.uint64).max, np.uint64)
-    now = (code[:, 0] << _U48) | (code[:, 1] << np.uint64(32)) | (code[:, 2] << _U16) | code[:, 3]
+    first = code[:, :4].astype(np.uint64)
+    now = (first[:, 0] << _U48) | (first[:, 1] << np.uint64(32)) | (first[:, 2] << _U16) | first[:, 3]
     ranks = np.zeros((longest, k), np.int32)
     live_at = np.searchsorted(-lengths, -np.arange(longest), "left")
     live, top = k, np.uint64((1 << _TOTAL) - 1)

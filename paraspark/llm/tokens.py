@@ -19,7 +19,7 @@ import numpy as np
 #: Default vocabulary file (a parameter of every operator that tokenises).
 VOCAB_FILE = "word_bpe_49k.json"
 #: Entries of the per-worker chunk cache (about 150 bytes each).
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 
 # FIXED VALUES: the split pattern, normalisers and end-of-word mark of the
 # public vocabulary file; the shortcut applies only where a file states them.
