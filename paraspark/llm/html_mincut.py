@@ -37,6 +37,8 @@ BLOCK = set("address article aside blockquote body center dd details dialog dir
             "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot "
             "th thead tr ul head".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Their class and id words describe the page's layout, not their content.
+WHOLE = {"html", "body", "main", "article"}
 AWAY = set("nav footer aside form menu dialog fieldset".split())
 AWAY_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 AWAY_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar "
@@ -69,10 +71,12 @@ def _judge(tag: str, attrs: str, in_article: bool) -> tuple[int, int]:
         home = 2
     for name, *values in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id"):
-            words = set(_NAME_WORDS.findall(value))
-            away += bool(words & AWAY_WORDS)
-            home += bool(words & HOME_WORDS)
+        if name in ("class", "id") and tag not in WHOLE:
+            # name by name: "entry-content comments-closed" is the article, "ad-content" is not
+            names = [set(_NAME_WORDS.findall(v)) for v in value.split()]
+            good = any(n & HOME_WORDS and not n & AWAY_WORDS for n in names)
+            home += good
+            away += not good and any(n & AWAY_WORDS for n in names)
         elif name == "role":
             away += value in AWAY_ROLES
             home += 2 * (value in ("main", "article"))

@@ -28,6 +28,12 @@ def test_odd_pages():
     assert H.main_text("<article>" + "<div>" * 3000 + "<p>deep</p></article>") == "deep"
 
 
+def test_layout_words():
+    text = "This is the article itself, long enough to be told from the rest of the page."
+    assert H.main_text(f'<body class="has-sidebar ad-free"><div class="entry-content comments-closed"><p>{text}</p></div>'
+                       f'<div class="ad-content"><p>{text}</p></div><div id="sidebar"><p>{text}</p></div></body>') == text
+
+
 def brute(toward, edges):
     """Least cost over all labellings, and the largest source side of those
     is not needed: the cost alone decides."""
