@@ -155,12 +155,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **param
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``docs`` as often as the mixture takes each, same columns."""
     plan, _ = key_table(leaf_plan(checkpointed(_rows(docs, id_col, text_col)), **params))
-    m = dict(zip((*LEVELS, "digest", "epochs", "last_h", "n"),
-                 fresh(docs, "m_domain", "m_lang", "m_source", "m_digest", "epochs", "m_last_h", "m_n")))
-    p = plan.select(*[F.col(c).alias("p_" + c) for c in LEVELS], F.col("epochs").alias(m["epochs"]), F.col("last_h").alias(m["last_h"]))
+    names = (*LEVELS, *("p_" + c for c in LEVELS), "digest", "epochs", "last_h", "n")
+    m = dict(zip(names, fresh(docs, *("m_" + c for c in names))))
+    p = plan.select(*[F.col(c).alias(m["p_" + c]) for c in LEVELS], F.col("epochs").alias(m["epochs"]), F.col("last_h").alias(m["last_h"]))
     d = (docs.withColumn(m["domain"], domain_of("source")).withColumn(m["lang"], F.coalesce("lang", F.lit("")))
          .withColumn(m["source"], F.coalesce("source", F.lit(""))).withColumn(m["digest"], F.md5(text_or_empty(text_col))))
-    j = d.join(p, [F.col(m[c]) == F.col("p_" + c) for c in LEVELS])
+    j = d.join(p, [F.col(m[c]) == F.col(m["p_" + c]) for c in LEVELS])
     h = F.md5(F.concat_ws(":", F.lit(str(params.get("seed", SEED))), F.col(m["epochs"]).cast("string"),
                           F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(m["digest"])))
     copies = F.col(m["epochs"]) + F.when(h <= F.col(m["last_h"]), 1).otherwise(0)

@@ -12,7 +12,7 @@ def docs(spark, rows, extra=False):
     full = [(r[0], r[1], *(r[2:] or ("en", "src1")), None if r[1] is None else len(r[1])) for r in rows]
     df = spark.createDataFrame(full, DOC_SCHEMA)
     if extra:
-        for c in ("id", "n", "k", "kept", "copies", "label", "votes", "rank", "part", "gone_id", "row_sha"):
+        for c in ("id", "n", "k", "kept", "copies", "label", "votes", "rank", "part", "gone_id", "row_sha", "m_domain", "domain", "p_lang"):
             df = df.selectExpr("*", f"'x' AS {c}")
     return df
 
