@@ -28,8 +28,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the smallest id stays."""
-    return near_dedup.keep_representatives(docs)
+    """Of each near-duplicate component (similarity 0.80 or more) the smallest
+    id stays."""
+    return near_dedup.keep_representatives(docs, rule=near_dedup.LINK_80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

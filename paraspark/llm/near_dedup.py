@@ -2,7 +2,7 @@
 
 1. One pass over the texts turns each document into its set of five-word
    shingles (64-bit hashes), the set's 128-bit key, and the band keys of a
-   signature of ``BANDS * ROWS`` universal hash minima.
+   signature of ``bands * rows`` universal hash minima.
 2. Documents with equal sets are one class; its smallest id represents it.
 3. Representatives that share a band key belong to one candidate family: each
    is joined to the smallest member of its bucket (one row per member, never
@@ -14,8 +14,10 @@
    still outside that component visits every chunk of the family.
 5. Large-star/small-star over the confirmed links gives the components.
 
-With 28 bands of 6 rows two documents at the threshold 0.85 share no band with
-probability (1 - 0.85^6)^28 = 1.8e-6; above the threshold it is smaller.
+The threshold, the bands and the margin of the estimate belong together in a
+``LinkRule``. With 28 bands of 6 rows two documents at the threshold 0.85 share
+no band with probability (1 - 0.85^6)^28 = 1.8e-6, with 34 bands of 5 rows two
+at 0.80 with (1 - 0.8^5)^34 = 1.4e-6; above the threshold it is smaller.
 
 Defined results: a NULL or empty text, or one of white space only, has no
 shingles and is linked with nothing; documents of fewer than five words have
@@ -27,6 +29,9 @@ columns are carried by ``keep_representatives`` and ignored otherwise.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,19 +42,25 @@ from paraspark.llm.components import connected_components
 from paraspark.plans.registry import register
 
 SHINGLE_WORDS = 5
-BANDS, ROWS = 28, 6
-#: Links need 100 * intersection >= LINK_PERCENT * union.
-LINK_PERCENT = 85
-#: A pair whose estimated similarity is this far below the threshold (over
-#: five standard deviations of the estimate) is not compared exactly.
-ESTIMATE_MARGIN = 0.15
+
+
+class LinkRule(NamedTuple):
+    """Links need 100 * intersection >= percent * union. A pair whose estimated
+    similarity is ``margin`` below that (over five standard deviations of the
+    estimate) is not compared exactly."""
+    percent: int
+    bands: int
+    rows: int
+    margin: float
+
+
+#: Similarity 0.85 or more, and 0.80 or more.
+LINK_85 = LinkRule(85, 28, 6, 0.15)
+LINK_80 = LinkRule(80, 34, 5, 0.17)
 #: A chunk holds about this many documents and shingles.
 CHUNK_DOCS, CHUNK_SHINGLES = 256, 1_000_000
 WORD_CACHE = 500_000
 
-_rng = np.random.default_rng(20_240_601)
-_MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,23 +94,31 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(acc)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+@lru_cache(maxsize=None)
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20_240_601)
+    mul = rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+    return mul, rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
+def signature(s: np.ndarray, rule: LinkRule = LINK_85) -> np.ndarray:
     """Minima of multiply-add-shift hashes over the set (in blocks, so that a
     very long text needs no large matrix)."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    mul, add = _hashes(rule.bands * rule.rows)
+    low = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 512):
-        np.minimum(low, (s[i:i + 512, None] * _MUL + _ADD).min(axis=0), out=low)
+        np.minimum(low, (s[i:i + 512, None] * mul + add).min(axis=0), out=low)
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    acc = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for j in range(ROWS):
-        acc = _mix(acc * _STEP + sig.reshape(BANDS, ROWS)[:, j])
+def band_keys(sig: np.ndarray, rule: LinkRule = LINK_85) -> np.ndarray:
+    acc = np.arange(1, rule.bands + 1, dtype=np.uint64)
+    for j in range(rule.rows):
+        acc = _mix(acc * _STEP + sig.reshape(rule.bands, rule.rows)[:, j])
     return acc.view(np.int64)
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def profiles(docs: DataFrame, id_col: str, text_col: str, rule: LinkRule = LINK_85) -> DataFrame:
     """``doc_id, n, k1, k2, bands`` of every document."""
     def run(batches):
         import xxhash
@@ -111,7 +130,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 key = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 k1.append(key[0])
                 k2.append(key[1])
-                bands.append(band_keys(signature(s)) if len(s) else [])
+                bands.append(band_keys(signature(s, rule), rule) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                  pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "k1", "k2", "bands"])
@@ -137,7 +156,8 @@ def shingle_sets(members: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      "rep LONG, family LONG, chunks LONG, shingles BINARY")
 
 
-def link_group(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, probe: np.ndarray | None = None):
+def link_group(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, probe: np.ndarray | None = None,
+               rule: LinkRule = LINK_85):
     """Links ``(a, b)`` that join the components of one chunk, at most one per
     member and component: a pair inside one component is not compared again.
 
@@ -147,7 +167,7 @@ def link_group(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, prob
     sizes = np.array([len(s) for s in sets], np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     flat, dense = np.unique(np.concatenate(sets), return_inverse=True)
-    sig = np.stack([signature(s) for s in sets])
+    sig = np.stack([signature(s, rule) for s in sets])
     comp = np.unique(labels, return_inverse=True)[1]
     mark = np.zeros(len(flat), bool)
     out = []
@@ -157,40 +177,40 @@ def link_group(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, prob
         other = np.arange(i) if probe is None else np.flatnonzero(~probe)
         # sizes alone, then the signature, then the full sets
         lo, hi = np.minimum(sizes[other], sizes[i]), np.maximum(sizes[other], sizes[i])
-        other = other[(100 * lo >= LINK_PERCENT * hi) & (comp[other] != comp[i])]
+        other = other[(100 * lo >= rule.percent * hi) & (comp[other] != comp[i])]
         if not len(other):
             continue
         est = (sig[other] == sig[i]).mean(axis=1)
-        near = est >= LINK_PERCENT / 100 - ESTIMATE_MARGIN
+        near = est >= rule.percent / 100 - rule.margin
         other = other[near][np.argsort(-est[near], kind="stable")]
         mark[dense[starts[i]:starts[i] + sizes[i]]] = True
         for j in other:
             if comp[j] == comp[i]:
                 continue
             common = int(mark[dense[starts[j]:starts[j] + sizes[j]]].sum())
-            if 100 * common >= LINK_PERCENT * (sizes[i] + sizes[j] - common):
+            if 100 * common >= rule.percent * (sizes[i] + sizes[j] - common):
                 out.append((ids[i], ids[j]))
                 comp[comp == comp[j]] = comp[i]
         mark[dense[starts[i]:starts[i] + sizes[i]]] = False
     return out
 
 
-def _links(pdf):
+def _links(pdf, rule):
     import pandas as pd
     pdf = pdf.sort_values("rep", kind="stable")
     sets = [np.frombuffer(x, np.uint64) for x in pdf.shingles]
     probe = pdf.probe.to_numpy(bool) if pdf.probe.any() else None
-    links = link_group(pdf.rep.to_numpy(), sets, pdf.label.to_numpy(), probe)
+    links = link_group(pdf.rep.to_numpy(), sets, pdf.label.to_numpy(), probe, rule)
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def _compared(rows: DataFrame, *keys) -> DataFrame:
-    return per_group(rows, keys, _links, "a LONG, b LONG")
+def _compared(rows: DataFrame, rule: LinkRule, *keys) -> DataFrame:
+    return per_group(rows, keys, lambda pdf: _links(pdf, rule), "a LONG, b LONG")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: LinkRule = LINK_85) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``."""
-    prof = checkpointed(profiles(docs, id_col, text_col))
+    prof = checkpointed(profiles(docs, id_col, text_col, rule))
     some = prof.filter("n > 0 AND doc_id IS NOT NULL")
     classes = checkpointed(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
                                                         F.first("bands").alias("bands")))
@@ -213,14 +233,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return x.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "rep"), "chunks"))
 
     own = F.col("rep").alias("label")
-    links = checkpointed(_compared(chunked(sets, 1).select("*", own), "family", "chunk"))
+    links = checkpointed(_compared(chunked(sets, 1).select("*", own), rule, "family", "chunk"))
     large = sets.filter("chunks > 1")
     # only families beyond one chunk: a second, independent dealing, then the stragglers
-    second = checkpointed(_compared(chunked(large, 2).select("*", own), "family", "chunk"))
+    second = checkpointed(_compared(chunked(large, 2).select("*", own), rule, "family", "chunk"))
     links = links.unionByName(second)
     known = connected_components(links, "a", "b")
     if not large.isEmpty():
-        links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_stragglers(chunked(large, 1), known))
+        links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_stragglers(chunked(large, 1), known, rule))
         known = connected_components(links, "a", "b")
     known = known.select(F.col("node").alias("rep"), "component")
     final, _ = key_table(classes.select("k1", "k2", "rep").join(known, "rep", "left")
@@ -232,7 +252,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
-def _stragglers(large: DataFrame, known: DataFrame) -> DataFrame:
+def _stragglers(large: DataFrame, known: DataFrame, rule: LinkRule) -> DataFrame:
     """Links of the members outside the main component of their family to any
     member of another component: each visits every chunk of the family."""
     lab = known.select(F.col("node").alias("rep"), F.col("component").alias("label"))
@@ -248,13 +268,13 @@ def _stragglers(large: DataFrame, known: DataFrame) -> DataFrame:
     members = rows.join(batches, "family").select(
         "rep", "family", "shingles", "label", F.lit(False).alias("probe"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)).alias("batch"), "chunk")
-    return checkpointed(_compared(probes.unionByName(members), "family", "chunk", "batch"))
+    return checkpointed(_compared(probes.unionByName(members), rule, "family", "chunk", "batch"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: LinkRule = LINK_85) -> DataFrame:
     """``docs`` with one document of each component (the smallest id)."""
     k = fresh(docs, "gone_id")[0]
-    gone, _ = key_table(near_components(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(k)).distinct())
+    gone, _ = key_table(near_components(docs, id_col, text_col, rule).filter("NOT kept").select(F.col("doc_id").alias(k)).distinct())
     return docs.join(gone, F.col(id_col) == F.col(k), "left_anti")
 
 

@@ -119,3 +119,18 @@ def test_components_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(components, "BROADCAST_ROWS", -1)
     df = spark.createDataFrame([(i, i + 1) for i in range(10)], "a LONG, b LONG")
     assert {x.component for x in connected_components(df, "a", "b").collect()} == {0}
+
+
+def test_link_rule_is_a_parameter(spark):
+    """Similarity 86/106 = 0.81: linked at 0.80, not at 0.85."""
+    words = [f"w{i}" for i in range(100)]
+    d = docs(spark, [(1, " ".join(words)), (2, " ".join(words[:90] + [f"e{i}" for i in range(10)])), (3, "other words")])
+    assert sorted(r.doc_id for r in N.keep_representatives(d).collect()) == [1, 2, 3]
+    assert sorted(r.doc_id for r in N.keep_representatives(d, rule=N.LINK_80).collect()) == [1, 3]
+
+
+def test_bands_of_the_rules_miss_next_to_nothing():
+    for rule in (N.LINK_85, N.LINK_80):
+        p = rule.percent / 100
+        assert (1 - p ** rule.rows) ** rule.bands < 2e-6
+        assert rule.margin > 5 * (p * (1 - p) / (rule.bands * rule.rows)) ** 0.5

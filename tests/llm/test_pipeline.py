@@ -60,3 +60,28 @@ def test_stages_on_hard_rows(spark, sf_small):
         if name != "packing":
             assert out.columns == d.columns
         assert out.count() > 0
+
+
+def test_near_copies_from_080_on_go(spark, sf_small):
+    """Similarity 86/106 = 0.81 goes, 83/109 = 0.76 stays."""
+    words = [f"w{i}" for i in range(100)]
+    d = docs(spark, [(1, " ".join(words)), (2, " ".join(words[:90] + [f"e{i}" for i in range(10)])),
+                     (3, " ".join([f"g{i}" for i in range(13)] + words[13:]))])
+    assert sorted(r.doc_id for r in dict(P.STAGES)["near_dedup"](spark, d, sf_small).collect()) == [1, 3]
+
+
+def test_near_stage_against_brute_force_at_080(spark, sf_small):
+    d = parquet_rows(spark, sf_small, "documents")
+    sets = {}
+    for r in d.collect():
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if c == y else c for i, c in root.items()}
+    got = {r.doc_id for r in dict(P.STAGES)["near_dedup"](spark, d, sf_small).collect()}
+    assert got == {i for i, c in root.items() if i == c}
