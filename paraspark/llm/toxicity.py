@@ -23,6 +23,8 @@ a NULL id is carried, is not held out and has no label; repeated rows get one
 answer each; several labels of one id count as toxic if one is; NULL labels
 are ignored; without labels of both classes the fixed list alone votes, with
 fixed weights; an empty table gives an empty result; other columns are ignored.
+``drop_toxic`` decides row by row: a clean row stays whatever other rows with
+its id (or with a NULL id) hold.
 """
 
 from __future__ import annotations
@@ -265,9 +267,14 @@ def fit_linear(votes: list[list[int]], target: np.ndarray, m: int, ridge: float
     return out[:m], float(out[m])
 
 
-def _vote(docs: DataFrame, id_col: str, text_col: str, ids: dict[str, int], group: dict[int, int]) -> DataFrame:
+def _text_key(text_col: str) -> Column:
+    """SHA-256 of a text; a score depends on the text alone."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+
+
+def _vote(docs: DataFrame, id_col: str, text_col: str, ids: dict[str, int], group: dict[int, int], keyed: bool = False) -> DataFrame:
     """``doc_id, votes, mask`` of every document: the voters it fires and the
-    bits of their groups."""
+    bits of their groups; ``keyed`` adds ``text_key``."""
     def run(batches):
         feats = Features(ids)
         for b in batches:
@@ -279,14 +286,21 @@ def _vote(docs: DataFrame, id_col: str, text_col: str, ids: dict[str, int], grou
                     if i in group:
                         mask |= 1 << group[i]
                 masks.append(mask)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.list_(pa.int32())), pa.array(masks, pa.int64())],
-                                             names=["doc_id", "votes", "mask"])
-    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "doc_id LONG, votes ARRAY<INT>, mask LONG")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.list_(pa.int32())), pa.array(masks, pa.int64()), *b.columns[2:]],
+                                             names=["doc_id", "votes", "mask", *key])
+    key = ["text_key"] if keyed else []
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col), *[_text_key(text_col).alias(k) for k in key]), run,
+                     "doc_id LONG, votes ARRAY<INT>, mask LONG" + "".join(f", {k} BINARY" for k in key))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     max_train: int = MAX_TRAIN) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``."""
+    return _scored(docs, labels, id_col, text_col, max_train)
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_train: int = MAX_TRAIN, keyed: bool = False) -> DataFrame:
+    """``score_documents``; ``keyed`` adds ``text_key``."""
     lab = training_labels(labels, max_train)
     d = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("d_text"))
     sample = d.join(lab, F.col("d_id") == F.col("l_id")).select("d_text", "y")
@@ -300,7 +314,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         y = np.array([r.doc_id for r in rows])
         votes = [list(r.votes) for r in rows]
         groups = group_voters(votes, y, strong)
-        cast = checkpointed(_vote(d, "d_id", "d_text", ids, {i: int(k) for i, k in enumerate(groups)}))
+        cast = checkpointed(_vote(d, "d_id", "d_text", ids, {i: int(k) for i, k in enumerate(groups)}, keyed))
         pat = (cast.join(lab, F.col("doc_id") == F.col("l_id"), "left").select("mask", F.coalesce("y", F.lit(-1)).alias("y"))
                .groupBy("mask", "y").agg(F.count(F.lit(1)).alias("n")).toPandas())  # at most 3 * 2^MAX_GROUPS rows
         post, _ = label_model(pat["mask"].to_numpy(), pat["y"].to_numpy(), pat["n"].to_numpy(float), int(groups.max()) + 1)
@@ -310,20 +324,21 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         fixed = [[ids["w:" + x]] for x in INSULTS if "w:" + x in ids]  # one row each, so that a word the sample lacks has a weight
         w, bias = fit_linear(votes + fixed, np.append(target, [LABEL_TRUST] * len(fixed)), len(voters))
     else:
-        cast = checkpointed(_vote(d, "d_id", "d_text", ids, {}))
+        cast = checkpointed(_vote(d, "d_id", "d_text", ids, {}, keyed))
         w, bias = np.full(len(voters), 4.0), -3.0
     weights = F.array(*[F.lit(float(round(x, 6))) for x in w]) if len(w) else F.array().cast("array<double>")
     z = F.lit(round(bias, 6)) + F.aggregate("votes", F.lit(0.0), lambda s, i: s + F.get(weights, i))
-    return (cast.select("doc_id", in_fold("doc_id").alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"))
+    return (cast.select("doc_id", in_fold("doc_id").alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"), *(["text_key"] if keyed else []))
             .withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents predicted toxic, same columns."""
     k = fresh(docs, "gone_id")[0]
-    scored = score_documents(docs, labels, id_col, text_col)
-    gone, _ = key_table(scored.filter("predicted = 1").select(F.col("doc_id").alias(k)).distinct())
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(k)), "left_anti")
+    scored = _scored(docs, labels, id_col, text_col, keyed=True)
+    # by text, not by id: ids may be NULL or shared with clean rows
+    gone, _ = key_table(scored.filter("predicted = 1").select(F.col("text_key").alias(k)).distinct())
+    return docs.join(gone, _text_key(text_col) == F.col(k), "left_anti")
 
 
 @register("op9_weak_supervision_toxicity")

@@ -105,3 +105,14 @@ def test_linear_fit_separates():
     w, b = X.fit_linear(votes, target, 3)
     z = [b + sum(w[i] for i in v) for v in votes]
     assert all((x > 0) == (t > 0.5) for x, t in zip(z, target))
+
+
+def test_stage_decides_row_by_row(spark):
+    """NULL ids and shared ids: the toxic row goes, the clean one stays."""
+    rows, labels, _ = corpus(300)
+    more = [(None, "zakru vimpel zakru"), (None, "clean text"), (None, None), (9000, "hutzok vimpel"), (9000, "another clean text"), (9001, "hutzok vimpel")]
+    d = docs(spark, [(r[0], r[1]) for r in rows] + more, extra=True)
+    out = X.drop_toxic(d, lab(spark, labels))
+    kept = sorted(str((r.doc_id, r.text)) for r in out.collect() if r.doc_id is None or r.doc_id >= 9000)
+    assert out.columns == d.columns
+    assert kept == sorted(map(str, [(None, "clean text"), (None, None), (9000, "another clean text")]))
