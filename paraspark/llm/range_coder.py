@@ -33,6 +33,7 @@ _ORDER0 = 18                     # bits of the order-0 distribution
 _TOTAL = _MIX + _ORDER0
 _SLOTS = 1 << 12                 # order-2 contexts per block
 LANES = 2048                     # blocks coded side by side at most
+CELLS = LANES * 8192             # lanes times the longest block, at most (a block beyond it is coded alone)
 _LOW, _HIGH, _RATE = 16, 3900, 5
 _REFRESH = 512
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
@@ -153,9 +154,34 @@ def _order(lengths: list[int]) -> np.ndarray:
     return np.argsort(-np.asarray(lengths), kind="stable")
 
 
+def _batches(lengths: list[int]) -> list[list[int]]:
+    """Numbers of the blocks coded side by side: of like length, so that a long
+    block makes no wide matrix of short ones."""
+    out: list[list[int]] = []
+    longest = 0
+    for i in _order(lengths).tolist():
+        n = lengths[i]
+        # blocks of the usual size share a batch whatever their lengths
+        alike = 2 * n >= longest or longest <= CELLS // LANES
+        if out and alike and len(out[-1]) < LANES and (len(out[-1]) + 1) * longest <= CELLS:
+            out[-1].append(i)
+        else:
+            out.append([i])
+            longest = n
+    return out
+
+
+def _in_batches(code, blocks: list, lengths: list[int]) -> list:
+    done: list = [None] * len(blocks)
+    for batch in _batches(lengths):
+        for i, d in zip(batch, code([blocks[i] for i in batch])):
+            done[i] = d
+    return done
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of ids (none empty) as one self-contained byte string."""
-    return [d for i in range(0, len(blocks), LANES) for d in _encode(blocks[i:i + LANES])]
+    return _in_batches(_encode, blocks, [len(b) for b in blocks])
 
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -211,7 +237,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
 
 def decode_blocks(data: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; raises ``ValueError`` where a checksum fails."""
-    return [ids for i in range(0, len(data), LANES) for ids in _decode(data[i:i + LANES])]
+    return _in_batches(_decode, data, [HEADER.unpack_from(d)[1] for d in data])
 
 
 def _decode(data: list[bytes]) -> list[np.ndarray]:

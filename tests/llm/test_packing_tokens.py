@@ -170,3 +170,22 @@ def test_token_files_null_and_repeated_ids(spark, tmp_path):
 
 def test_token_files_empty(spark, tmp_path):
     assert token_rows(spark, [], tmp_path) == []
+
+
+def test_range_coder_long_block_beside_short_ones():
+    """Memory follows the ids, not the longest block times the lanes."""
+    import tracemalloc
+    r = np.random.default_rng(5)
+    blocks = [r.integers(0, 50, 300).astype(np.uint32) for _ in range(600)] + [r.integers(0, 50, 20_000).astype(np.uint32)]
+    peaks = []
+    for code, x in ((R.encode_blocks, blocks), (R.decode_blocks, R.encode_blocks(blocks))):
+        tracemalloc.start()
+        out = code(x)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(out, blocks))
+    assert max(peaks) < 35_000_000, peaks
+    for lengths in ([1_000_000, 900_000, 300_000] + [8192] * 3000 + [5], [1] * 5000, [CELLS := R.CELLS + 1, CELLS, 7], []):
+        batches = R._batches(lengths)
+        assert sorted(i for b in batches for i in b) == list(range(len(lengths)))
+        assert all(len(b) == 1 or len(b) <= R.LANES and len(b) * max(lengths[i] for i in b) <= R.CELLS for b in batches)
