@@ -32,7 +32,9 @@ from paraspark.plans.registry import register
 
 # FIXED VALUES: element names of the HTML standard by how they are shown, and
 # the words sites use in class and id attributes for what is not the article.
-RAW = "script style noscript template iframe textarea title svg select button object canvas".split()
+RAW = "script style noscript iframe textarea title".split()
+#: Ordinary elements whose text is not the page's.
+HIDDEN = set("svg select button object canvas template".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
             "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot "
             "th thead tr ul head".split())
@@ -53,6 +55,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
                     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME_WORDS = re.compile(r"[a-z]+")
+_SAME = {t: re.compile(rf"<(/?){t}\b", re.I) for t in HIDDEN}
 
 
 class Block:
@@ -89,6 +92,7 @@ def blocks(page: str) -> list[Block]:
     """Text blocks in page order with what their ancestors say."""
     out: list[Block] = []
     stack: list[tuple] = []          # (tag, node number, away, home) of the open elements
+    hidden: list[tuple] = []         # (place on the stack, whether it is closed) of the open hidden elements
     parts: list[str] = []
     linked = 0
     number = 0
@@ -103,8 +107,15 @@ def blocks(page: str) -> list[Block]:
                                  max((s[3] for s in stack), default=0), min(1.0, linked / len(text))))
             parts, linked = [], 0
 
+    def cut(place):
+        del stack[place:]
+        while hidden and hidden[-1][0] >= place:
+            hidden.pop()
+
     def say(text):
         nonlocal linked
+        if hidden:
+            return
         text = _html.unescape(text)
         parts.append(text)
         if any(s[0] == "a" for s in stack):
@@ -122,24 +133,40 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m.group("end"):
-            if tag in BLOCK:
+            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            if hidden and 0 <= place < hidden[0][0]:
+                cut(hidden[0][0])        # the parent's end is theirs
+            if tag in BLOCK and not hidden:
                 flush()
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if place >= 0:
+                cut(place)
             continue
+        # a hidden element that is never closed ends where a block begins
+        ends = tag in BLOCK or (tag in ("button", "select") and any(stack[i][0] == tag for i, _ in hidden))
+        never = next((i for i, closed in hidden if not closed), -1) if ends else -1
+        if never >= 0:
+            cut(never)
         if tag == "br":
             parts.append(" ")
         if tag in BLOCK:
-            flush()
+            if not hidden:
+                flush()
             # a block ends an open paragraph, with the inline elements in it
-            opened = [i for i, s in enumerate(stack) if s[0] in BLOCK]
+            inner = hidden[-1][0] + 1 if hidden else 0
+            opened = [i for i in range(inner, len(stack)) if stack[i][0] in BLOCK]
             if opened and stack[opened[-1]][0] == "p":
-                del stack[opened[-1]:]
+                cut(opened[-1])
             elif tag == "li" and opened and stack[opened[-1]][0] == "li":
-                del stack[opened[-1]:]
+                cut(opened[-1])
+        if tag in HIDDEN:
+            parts.append(" ")
         if tag not in VOID and not m.group("attrs").endswith("/"):
             number += 1
+            if tag in HIDDEN:
+                same = _SAME[tag].search(page, at)
+                hidden.append((len(stack), bool(same and same.group(1))))
+                stack.append((tag, number, 0, 0))
+                continue
             away, home = _judge(tag, m.group("attrs"), any(s[0] in ("article", "main") for s in stack))
             stack.append((tag, number, away, home))
     if at < len(page):

@@ -78,3 +78,16 @@ def test_null_columns_repeats_and_empty_table(spark):
     got = sorted((str(r.page_id), r.n_chars) for r in H.extract(d).collect())
     assert got == [("1", len(H.main_text(PAGE)))] * 2 + [("None", 0)]
     assert H.extract(d.limit(0)).count() == 0
+
+
+def test_hidden_elements_end():
+    """Self-closed, closed and never-closed elements that are not raw text."""
+    for mark in ('<svg class="i"/>', '<svg><title>t</title><g>x</g></svg>', "<button><div>Menu</div></button>",
+                 "<select><option>a<option>b</select>", "<canvas>c</canvas>", "<template><p>t</p></template>", "<object>o<svg>s</svg></object>"):
+        page = f"<article><p>Three {mark} four</p><p>Five</p></article>"
+        assert H.main_text(page) == "Three four\n\nFive", mark
+    for mark in ("<svg>", "<button>", "<select><option>", "<canvas>", "<object>", "<template>"):
+        assert H.main_text(f"<article><p>One</p><p>Three {mark} four</p><p>Five</p></article>").split("\n\n")[::2] == ["One", "Five"], mark
+        assert H.main_text(f"<article><p>One</p>{mark}<p>Five</p><div>Six</div></article>") == "One\n\nFive\n\nSix", mark
+    assert H.main_text("<article><p>a <button>x <button>y</button> b</p></article>") == "a b"
+    assert H.main_text("<article><p>a <script>x</p><p>b</script> c</p></article>") == "a c"
