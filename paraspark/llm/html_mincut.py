@@ -4,7 +4,9 @@ A page becomes a row of text blocks. A fixed linear classifier over a block's
 ancestors, class and id words, link share and length gives the cost of calling
 it content or boilerplate; these costs are the capacities to the two
 terminals. Neighbouring blocks and consecutive children of one parent are
-joined by smoothness edges, the stronger the closer they are in the DOM. The
+joined by smoothness edges, the stronger the closer they are in the DOM. On a
+page that does not name its article the elements that hold article-like
+paragraphs lend to their other blocks. The
 minimum cut (max-flow by shortest augmenting layers) separates content from
 boilerplate: an isolated doubtful block follows its surroundings.
 
@@ -48,6 +50,8 @@ AWAY_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sp
                  "notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment "
                  "comments commentlist respond reply disqus related recommended recommendations widget pagination pager copyright "
                  "legal disclaimer tags search skip".split())
+#: Elements that say nothing for or against their text.
+PLAIN = set("li td th dd dt div section figcaption caption".split())
 HOME_WORDS = set("article content entry post story main body text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -58,11 +62,15 @@ _NAME_WORDS = re.compile(r"[a-z]+")
 _SAME = {t: re.compile(rf"<(/?){t}\b", re.I) for t in HIDDEN}
 
 
+#: Score from which a block is evidence for what holds it, and the most that lends.
+STRONG, LENT = 1.0, 2.0
+
+
 class Block:
-    __slots__ = ("text", "tag", "path", "away", "home", "links")
+    __slots__ = ("text", "tag", "path", "away", "home", "links", "top")
 
-    def __init__(self, text, tag, path, away, home, links):
-        self.text, self.tag, self.path, self.away, self.home, self.links = text, tag, path, away, home, links
+    def __init__(self, text, tag, path, away, home, links, top):
+        self.text, self.tag, self.path, self.away, self.home, self.links, self.top = text, tag, path, away, home, links, top
 
 
 def _judge(tag: str, attrs: str, in_article: bool) -> tuple[int, int]:
@@ -104,7 +112,8 @@ def blocks(page: str) -> list[Block]:
             if text:
                 own = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "body")
                 out.append(Block(text, own, tuple(s[1] for s in stack if s[0] in BLOCK), sum(s[2] for s in stack),
-                                 max((s[3] for s in stack), default=0), min(1.0, linked / len(text))))
+                                 max((s[3] for s in stack), default=0), min(1.0, linked / len(text)),
+                                 sum(s[0] in ("html", "body") for s in stack)))
             parts, linked = [], 0
 
     def cut(place):
@@ -175,13 +184,48 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def content_score(b: Block) -> float:
-    """Classifier: log-odds that the block belongs to the article."""
+def content_score(b: Block, named: bool = True) -> float:
+    """Classifier: log-odds that the block belongs to the article. Where the
+    page does not name its article, a list item, a cell or a plain container
+    is no evidence against it."""
     z = -1.0 - 7.0 * b.away + 2.5 * b.home
+    if not named and b.tag in PLAIN:
+        return z + 0.5 - 3.0 * b.links + min(1.5, 0.5 * math.log1p(len(b.text) / 40))
     z += {"p": 1.5, "pre": 1.0, "blockquote": 1.0, "li": -0.5, "td": -0.5, "body": 0.7}.get(b.tag, 0.5 if b.tag[0] == "h" and b.tag[1:].isdigit() else 0.0)
     return z - 3.0 * b.links + min(1.5, 0.5 * math.log1p(len(b.text) / 40))
 
 
+def scores(bs: list[Block]) -> list[float]:
+    """Log-odds of all blocks of a page.
+
+    Where most of the text that reads like an article lies outside the
+    elements named as one, the page's own evidence counts: an element that
+    holds such paragraphs lends to its other blocks, and the element around it
+    (or the body) to those between its first and last such paragraph.
+    """
+    z = [content_score(b, False) for b in bs]
+    strong = [i for i, b in enumerate(bs) if z[i] >= STRONG and not b.home and not b.away and b.links < 0.3]
+    named = sum(len(b.text) for b in bs if b.home and not b.away)
+    if named and named >= sum(len(bs[i].text) for i in strong):
+        return [content_score(b) for b in bs]
+    inside: dict[int, float] = {}
+    around: dict[int, list] = {}     # evidence, first and last strong block
+    for i in strong:
+        path, top = bs[i].path, bs[i].top
+        for at in range(len(path) - 2, max(-1, len(path) - 4), -1):
+            if at == len(path) - 2 and at >= top:
+                inside[path[at]] = inside.get(path[at], 0.0) + z[i]
+            else:
+                span = around.setdefault(path[at], [0.0, i, i])
+                span[0], span[2] = span[0] + z[i], i
+    for i, b in enumerate(bs):
+        if not b.away and not b.home:
+            lent = [inside.get(node, 0.0) for node in b.path]
+            lent += [e for e, first, last in (around[node] for node in b.path if node in around) if first <= i <= last]
+            z[i] += min(LENT, 0.7 * max(lent, default=0.0))
+    return z
+
+
 def smoothness(bs: list[Block]) -> list[tuple[int, int, float]]:
     """Edges between neighbours and between consecutive children of a parent."""
     edges, last = [], {}
@@ -260,7 +304,7 @@ def main_text(page: str | None) -> str:
     if not bs:
         return ""
     # log-odds: the cheaper terminal capacity is sent straight through
-    keep = min_cut([content_score(b) for b in bs], smoothness(bs))
+    keep = min_cut(scores(bs), smoothness(bs))
     return "\n\n".join(b.text for b, k in zip(bs, keep) if k)
 
 

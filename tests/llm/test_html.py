@@ -91,3 +91,29 @@ def test_hidden_elements_end():
         assert H.main_text(f"<article><p>One</p>{mark}<p>Five</p><div>Six</div></article>") == "One\n\nFive\n\nSix", mark
     assert H.main_text("<article><p>a <button>x <button>y</button> b</p></article>") == "a b"
     assert H.main_text("<article><p>a <script>x</p><p>b</script> c</p></article>") == "a c"
+
+
+def sentence(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice("red stone walks over green hill while seven birds sing".split()) for _ in range(n // 5))[:n].strip()
+
+
+def test_article_in_an_unnamed_container():
+    """Lists, tables and plain blocks between and after the paragraphs stay;
+    what is linked or named away does not."""
+    p1, p2 = sentence(300, 1), sentence(300, 2)
+    items, cells = [sentence(100, i) for i in range(3, 8)], [sentence(30, i) for i in range(8, 12)]
+    plain, note = sentence(120, 12), sentence(60, 13)
+    ul = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    table = "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in cells) + "</table>"
+    body = f"<h2>Heading</h2><p>{p1}</p>{ul}<p>{p2}</p>{table}<section>{plain}</section><figure><figcaption>{note}</figcaption></figure>"
+    links = "<ul>" + "".join(f'<li><a href="/{i}">Another page {i}</a></li>' for i in range(6)) + "</ul>"
+    want = "\n\n".join(["Heading", p1, *items, p2, *cells, plain, note])
+    for away in ("", f"<nav>{links}</nav>", f'<div class="c3">{links}</div>', f'<div class="sidebar"><p>{p1}</p></div>'):
+        assert H.main_text(f"<html><body>{away}<div class='c7'>{body}</div>{away}<div class='c9'>Imprint</div></body></html>") == want
+    assert H.main_text(f"<html><body>{links}<p>{p1}</p>{ul}<p>{p2}</p>{links}<div>Imprint</div></body></html>") == "\n\n".join([p1, *items, p2])
+
+
+def test_a_named_article_keeps_unnamed_blocks_out():
+    p1, p2 = sentence(300, 1), sentence(300, 2)
+    assert H.main_text(f"<article><p>{p1}</p><p>{p2}</p></article><div class='c1'><div>{sentence(120, 3)}</div></div>") == f"{p1}\n\n{p2}"
