@@ -79,9 +79,11 @@ class Scanner:
         self.rules = rules
         heads = [parse(r.head, r.any_case) for r in rules]
         bodies = [parse(r.body) for r in rules]
-        # a counted run behind a head that may recur inside it has states for every set of
-        # open counts: where a head announces the rule, one body character is enough here
-        self.gate = compile_automaton([("cat", [h, ("rep", b, 1 if r.head else r.least, None)]) for r, h, b in zip(rules, heads, bodies)], anywhere=True)
+        # Only whether a rule matches is asked here, so the run need not go on beyond its
+        # least length; and where a head announces the rule, one body character is enough
+        # (a head may recur inside a counted run: there is a state for every set of open counts).
+        least = [1 if r.head else r.least for r in rules]
+        self.gate = compile_automaton([("cat", [h, ("rep", b, n, n)]) for n, h, b in zip(least, heads, bodies)], anywhere=True)
         self.gate_list = self.gate.table.tolist()
         self.exact = []
         for r, h, b in zip(rules, heads, bodies):
@@ -265,5 +267,7 @@ def op12_combined_automaton_secrets(spark, d):
     """Secrets of every document."""
     found = find_secrets(table(spark, d, "documents"))
     base = F.filter("spans", lambda s: s["rule"] < len(BASE_RULES))
-    counts = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(r.kind) for r in BASE_RULES], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

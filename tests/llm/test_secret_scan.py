@@ -70,10 +70,19 @@ def test_redaction(spark):
     assert got == {1: "a [assign] b [assign] c", 2: "clean", 3: None, 4: "[github]é"} or got[4] == "[hex]é"
 
 
-def test_query_equals_brute_force(spark, sf_small):
-    out = S.op12_combined_automaton_secrets(spark, sf_small).collect()
-    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
-    assert len(out) == len(text)
+def test_query_equals_brute_force_and_oracle(spark, tmp_path):
+    import random
+
+    import duckdb
+    r = random.Random(7)
+    text = {i: "".join(r.choice(PIECES) for _ in range(r.randrange(30))) for i in range(300)} | {300: None, 301: ""}
+    docs(spark, list(text.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    out = S.op12_combined_automaton_secrets(spark, str(tmp_path)).collect()
+    assert len(out) == len(text) and sum(r.n_assign + r.n_hex + r.n_access > 0 for r in out) > 100
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    rel = con.sql(S._oracle())
+    assert sorted(map(tuple, out)) == sorted(tuple(dict(zip(rel.columns, row))[c] for c in out[0].asDict()) for row in rel.fetchall())
     for r in out:
         want = brute(text[r.doc_id])
         spans = [f"{S.RULES[k].kind}:{a}:{b}" for a, k, b in want]
