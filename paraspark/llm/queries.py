@@ -1,3 +1,3 @@
 """Imports every module of the subpackage that registers queries."""
 
-from paraspark.llm import chat_rotation, exact_dedup, hard_negatives, html_mincut, mixing, near_dedup, packing, secret_scan, substring_dedup, token_output, topk_search, toxicity  # noqa: F401
+from paraspark.llm import chat_rotation, exact_dedup, hard_negatives, html_mincut, lexical_search, mixing, near_dedup, packing, secret_scan, substring_dedup, token_output, topk_search, toxicity  # noqa: F401

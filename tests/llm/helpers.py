@@ -3,7 +3,7 @@
 import duckdb
 
 DOC_SCHEMA = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"
-TABLES = "documents embeddings pages labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 def docs(spark, rows, extra=False):
