@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paraspark.llm.common import checkpointed, map_arrow, per_group, table
+from paraspark.operators.ranking import with_row_index
 from paraspark.plans.registry import register
 
 K = 20
@@ -115,14 +116,11 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), 0)
     one = checkpointed(one.withColumn("n", F.greatest(F.size(words), F.lit(1)))
                        .withColumn("near", F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.lit(0))))
-    # whole range partitions of the order hold neighbours; inside one, running sums cut the blocks
-    total = one.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    ranges = max(1, -(-total[0] // BLOCK_ITEMS), -(-total[1] // BLOCK_TERMS))
-    dealt = one.repartitionByRange(ranges, "near", "item_id").withColumn("range", F.spark_partition_id())
-    dealt = checkpointed(dealt)
-    w = Window.partitionBy("range").orderBy("near", "item_id").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.floor(F.count(F.lit(1)).over(w) / BLOCK_ITEMS) + F.floor(F.coalesce(F.sum("n").over(w), F.lit(0)) / BLOCK_TERMS)
-    return dealt.select("item_id", "text", F.struct("range", cut.alias("cut")).alias("block"))
+    # neighbours of the order by number, then cut where their terms are too many
+    numbered = with_row_index(one, ["near", "item_id"], "at").withColumn("group", F.floor((F.col("at") - 1) / BLOCK_ITEMS))
+    w = Window.partitionBy("group").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.floor(F.coalesce(F.sum("n").over(w), F.lit(0)) / BLOCK_TERMS)
+    return numbered.select("item_id", "text", F.struct("group", cut.alias("cut")).alias("block"))
 
 
 def _counts(batches, number: dict[bytes, int]):
