@@ -16,63 +16,94 @@ the others is little: how many users directly precede it, how many pairs come
 before, and the first turn after it. One row per block carries its length, its
 leading and trailing runs of users and its first turn; a window over these
 rows gives every block its entry state, and the block's own rows follow from
-it. The cut never changes the result.
+it. The cut never changes the result. ``operators.dialogue`` folds more
+partials over the same blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
 
 
-def greedy_pairs_long(turns: DataFrame, keys: list[str], order: str = "turn", role: str = "role",
-                      content: str = "content", block: int = BLOCK) -> DataFrame:
-    """(keys..., pos, texte_cible, traduction): one row per extracted pair.
-    ``order`` is an integer column."""
-    at = [*keys, "_blk"]
-    inside = Window.partitionBy(*at).orderBy(order)
+def turn_rows(turns: DataFrame, keys: list[str], order: str, role: str, content: str, block: int) -> DataFrame:
+    """Turns with their block, their place in it and in their run of users
+    (as far as the block shows it), and the turn after them in the block."""
+    inside = Window.partitionBy(*keys, "_blk").orderBy("_order")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
     # any other role, NULL included, ends a run of users
     is_user = F.coalesce(F.col(role) == F.lit("user"), F.lit(False))
-    rows = turns.select(*keys, order, F.col(role).alias("_role"), F.col(content).alias("_content"), is_user.alias("_user"),
-                        F.floor(F.col(order) / block).alias("_blk"))
+    rows = turns.select(*keys, F.col(order).alias("_order"), F.col(role).alias("_role"), F.col(content).alias("_content"),
+                        is_user.alias("_user"), F.floor(F.col(order) / block).alias("_blk"))
     rn = F.row_number().over(inside)
     rows = rows.select(
         "*", rn.alias("_rn"), F.lead(F.struct("_role", "_content")).over(inside).alias("_next"),
         F.coalesce(F.last(F.when(~F.col("_user"), rn), ignorenulls=True).over(upto), F.lit(0)).alias("_brk"))
-    # index of a user inside its run, as far as the block shows it
     rows = rows.withColumn("_idx", F.col("_rn") - F.col("_brk"))
-    lead_run = F.col("_user") & (F.col("_brk") == 0)
-
-    blocks = rows.groupBy(*at).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(F.when(lead_run, 1)).alias("leading"),
-        F.max("_brk").alias("last_break"),
-        F.count(F.when(F.col("_user") & (F.col("_brk") > 0) & (F.col("_idx") % 2 == 1), 1)).alias("later_pairs"),
-        F.min_by(F.struct("_role", "_content"), order).alias("first"))
+    leading = F.col("_user") & (F.col("_brk") == 0)
+    later = F.col("_user") & (F.col("_brk") > 0) & (F.col("_idx") % 2 == 1)
+    return rows.select("*", leading.alias("_leading"), later.alias("_later"),
+                       F.count(F.when(leading, 1)).over(before).alias("_leading_before"),
+                       F.count(F.when(later, 1)).over(before).alias("_later_before"))
+
+
+def block_rows(rows: DataFrame, keys: list[str], partials: list[Column] = ()) -> DataFrame:
+    """One row per block with the state it starts from: ``_entry`` (parity of
+    the users directly before it), ``_pairs`` in it, ``_pairs_before`` it, and
+    ``_after``, the first turn of the next block; with ``partials`` of its rows."""
+    blocks = rows.groupBy(*keys, "_blk").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count(F.when(F.col("_leading"), 1)).alias("_lead"),
+        F.max("_brk").alias("_last_break"),
+        F.count(F.when(F.col("_later"), 1)).alias("_later_pairs"),
+        F.min_by(F.struct("_role", "_content"), "_order").alias("_first"), *partials)
     along = Window.partitionBy(*keys).orderBy("_blk")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     # users directly before a block: the trailing run of the last block with a
     # break, and all rows of the blocks of users only that follow it
-    whole = F.when(F.col("leading") == F.col("n"), F.col("n")).otherwise(0)
-    blocks = blocks.withColumn("users_so_far", F.sum(whole).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    mark = F.when(F.col("leading") < F.col("n"), F.col("n") - F.col("last_break") - F.col("users_so_far"))
-    blocks = blocks.withColumn("entry", (F.coalesce(F.sum(whole).over(before), F.lit(0))
-                                         + F.coalesce(F.last(mark, ignorenulls=True).over(before), F.lit(0))) % 2)
-    pairs = F.col("later_pairs") + F.floor((F.col("leading") + 1 - F.col("entry")) / 2)
-    blocks = blocks.select(
-        *[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], F.col("_blk").alias("_bb"), F.col("entry").alias("_entry"),
-        F.coalesce(F.sum(pairs).over(before), F.lit(0)).alias("_pairs_before"), F.lead("first").over(along).alias("_after"))
+    whole = F.when(F.col("_lead") == F.col("_n"), F.col("_n")).otherwise(0)
+    blocks = blocks.withColumn("_users_so_far", F.sum(whole).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    mark = F.when(F.col("_lead") < F.col("_n"), F.col("_n") - F.col("_last_break") - F.col("_users_so_far"))
+    blocks = blocks.withColumn("_entry", (F.coalesce(F.sum(whole).over(before), F.lit(0))
+                                          + F.coalesce(F.last(mark, ignorenulls=True).over(before), F.lit(0))) % 2)
+    blocks = blocks.withColumn("_pairs", F.col("_later_pairs") + F.floor((F.col("_lead") + 1 - F.col("_entry")) / 2))
+    return blocks.select(
+        "*", F.coalesce(F.sum("_pairs").over(before), F.lit(0)).alias("_pairs_before"), F.lead("_first").over(along).alias("_after"))
 
+
+def with_block_state(rows: DataFrame, blocks: DataFrame, keys: list[str], state: list[str]) -> DataFrame:
+    """``rows`` with the columns ``state`` of their block."""
+    named = blocks.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], F.col("_blk").alias("_bb"), *state)
     same = [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)] + [F.col("_blk").eqNullSafe(F.col("_bb"))]
-    rows = rows.join(blocks, same)
+    return rows.join(named, same)
+
+
+def starts_pair() -> Column:
+    """The row is a user turn that the greedy scan visits."""
     idx = F.col("_idx") + F.when(F.col("_brk") == 0, F.col("_entry")).otherwise(0)
-    kept = rows.filter(F.col("_user") & (idx % 2 == 1))
+    return F.col("_user") & (idx % 2 == 1)
+
+
+def pair_position() -> Column:
+    """Pairs of the conversation before the row's."""
+    return (F.col("_pairs_before") + F.col("_later_before")
+            + F.floor((F.col("_leading_before") + 1 - F.col("_entry")) / 2)).cast("long")
+
+
+def answer() -> Column:
+    """Content of the next turn when that is an assistant's, else ''."""
     nxt = F.coalesce("_next", "_after")
-    return kept.select(
-        *keys,
-        (F.col("_pairs_before") + F.row_number().over(inside) - 1).cast("long").alias("pos"),
-        F.col("_content").alias("texte_cible"),
-        F.when(nxt["_role"] == F.lit("assistant"), nxt["_content"]).otherwise(F.lit("")).alias("traduction"))
+    return F.when(nxt["_role"] == F.lit("assistant"), nxt["_content"]).otherwise(F.lit(""))
+
+
+def greedy_pairs_long(turns: DataFrame, keys: list[str], order: str = "turn", role: str = "role",
+                      content: str = "content", block: int = BLOCK) -> DataFrame:
+    """(keys..., pos, texte_cible, traduction): one row per extracted pair.
+    ``order`` is an integer column, unique inside a conversation."""
+    rows = turn_rows(turns, keys, order, role, content, block)
+    rows = with_block_state(rows, block_rows(rows, keys), keys, ["_entry", "_pairs_before", "_after"])
+    return rows.filter(starts_pair()).select(
+        *keys, pair_position().alias("pos"), F.col("_content").alias("texte_cible"), answer().alias("traduction"))

@@ -3,9 +3,11 @@
 The driver tables hold no translation pairs, so every query derives them
 with the arithmetic below (the oracle SQL derives them identically). All
 adapters are narrow per-row expressions except ``raw_mix``, which puts the
-turns of a conversation into one row: the reference's input is one row per
-conversation with its whole message list. Pairing of turn-per-row data, where
-a conversation may be of any length, is ``operators/pairing.py``.
+turns of a conversation into one row (the reference's input is one row per
+conversation with its whole message list) and is read only where that list
+itself is the operator's input; all else reads ``sample_turns`` and
+``marked_turns``, where a conversation may be of any length
+(``operators/dialogue.py``).
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from paraspark.operators.partitioning import spread
 # Fixed adapter parameters (shared with the oracle SQL).
 # user turns of these conversations get another role, so that they hold no pair
 NO_USER_EVERY, NO_USER_REST = 13, 4
+# turns below this number are joined into the marked first message of a sample
+MARK_TURNS = 64
 DIRECTIONS_BY_MOD5 = ["en_dr", "fr_dr", "dr_fr", "dr_en", "ar_dr"]
 DIRTY_PREFIX = "ترجم من الفرنساوية للدارجة: "
 SOURCE_LANGS_BY_MOD4 = ["fr", "EN", "darija", "dr"]
@@ -72,17 +76,25 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
                     dirty_text(F.col("text"), F.col("conv_id"), F.col("role")).alias("content"))
 
 
+def _sample_columns() -> list[Column]:
+    return [F.col("conv_id").cast("string").alias("id"),
+            F.concat(F.lit("src"), (F.col("conv_id") % 3).cast("string")).alias("dataset"),
+            _pick(DIRECTIONS_BY_MOD5, F.col("conv_id") % 5).alias("direction")]
+
+
 def raw_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, id, messages, direction, metadata): one row per conversation."""
+    """(dataset, id, messages, direction, metadata): one row per conversation,
+    for the operators whose input is the message list itself (E1, E3 on arrays,
+    E10, the chat files)."""
     t = turns(spark, sf_dir)
     g = (t.groupBy("conv_id")
          .agg(F.sort_array(F.collect_list(F.struct("turn", "content", "role"))).alias("m")))
+    sample_id, dataset, direction = _sample_columns()
     return g.select(
-        F.concat(F.lit("src"), (F.col("conv_id") % 3).cast("string")).alias("dataset"),
-        F.col("conv_id").cast("string").alias("id"),
+        dataset, sample_id,
         F.transform("m", lambda x: F.struct(x["content"].alias("content"), x["role"].alias("role")))
         .alias("messages"),
-        _pick(DIRECTIONS_BY_MOD5, F.col("conv_id") % 5).alias("direction"),
+        direction,
         F.lit(None).cast("string").alias("metadata"),
     )
 
@@ -111,28 +123,50 @@ def raw_mix_repr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("messages", row_repr(F.col("messages")))
 
 
-def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixed messages for the dispatch operators.
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, dataset, direction): one row per conversation, without messages."""
+    return table(spark, sf_dir, "conversations").select("conv_id").distinct().select(*_sample_columns())
+
+
+def sample_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, id, dataset, direction, turn, role, content): one row per turn."""
+    return turns(spark, sf_dir).select("conv_id", *_sample_columns(), "turn", "role", "content")
 
-    Samples of even conversations hold one ``user`` message with all
-    user/assistant turns joined by markers except the last assistant turn,
-    which follows as a separate message; odd conversations keep plain turns.
+
+def marked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed messages for the dispatch operators, one row per message
+    (``turn`` gives their order).
+
+    Even conversations open with one ``user`` message that holds their
+    user/assistant turns of the first ``MARK_TURNS`` turn numbers, joined by
+    markers, except the last of these when it is an assistant's, which follows
+    as a message of its own; turns of later numbers stay as they are. Odd
+    conversations, and those without such turns, keep plain turns.
     """
-    r = raw_mix(spark, sf_dir)
-    m = F.col("messages")
-    ua = F.filter(m, lambda x: x["role"].isin("user", "assistant"))
+    t = sample_turns(spark, sf_dir)
+    about = ["conv_id", "id", "dataset", "direction"]
+    even = F.col("conv_id") % 2 == 0
+    early = F.col("turn") < MARK_TURNS
+    spoken = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    ua = F.col("ua")
     n = F.size(ua)
-    last_is_asst = F.get(ua, n - 1)["role"] == F.lit("assistant")
-    body = F.when(last_is_asst, F.slice(ua, 1, F.greatest(n - 1, F.lit(0)))).otherwise(ua)
-    joined = F.array_join(F.transform(body, lambda x: F.concat(
-        F.lit("<|"), x["role"], F.lit("|>"), x["content"])), "")
+    # at most MARK_TURNS turns of a conversation meet in one row
+    heads = t.filter(even & early & spoken).groupBy(*about).agg(F.sort_array(F.collect_list(F.struct("turn", "content", "role"))).alias("ua"))
+    ends = F.get(ua, n - 1)["role"] == F.lit("assistant")
+    body = F.when(ends, F.slice(ua, 1, F.greatest(n - 1, F.lit(0)))).otherwise(ua)
+    joined = F.array_join(F.transform(body, lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>"), x["content"])), "")
     # the marked string starts without its leading user marker, like the reference's examples
     joined = F.regexp_replace(joined, "^<\\|user\\|>", "")
-    tail = F.when(last_is_asst, F.array(F.get(ua, n - 1))).otherwise(
-        F.array().cast("array<struct<content:string,role:string>>"))
-    merged = F.concat(F.array(F.struct(joined.alias("content"), F.lit("user").alias("role"))), tail)
-    conv = F.col("id").cast("long")
-    return r.withColumn("messages", F.when((conv % 2 == 0) & (n > 0), merged).otherwise(m))
+
+    def message(turn: int, role: Column, content: Column) -> Column:
+        return F.struct(F.lit(turn).cast("long").alias("turn"), role.alias("role"), content.alias("content"))
+    last = F.get(ua, n - 1)
+    opening = F.concat(F.array(message(0, F.lit("user"), joined)), F.when(ends, F.array(message(1, last["role"], last["content"]))).otherwise(F.array()))
+    merged = heads.select(*about, F.inline(opening))
+    other = t.filter(even & (~early | ~spoken)).join(heads.select("conv_id", F.lit(True).alias("_merged")), "conv_id", "left")
+    other = other.filter(~early | F.col("_merged").isNull())
+    other = other.select(*about, (F.col("turn") + F.when(early, 0).otherwise(2)).alias("turn"), "role", "content")
+    return t.filter(~even).select(*about, "turn", "role", "content").unionByName(other).unionByName(merged)
 
 
 def target_of(text: Column) -> Column:

@@ -9,6 +9,7 @@ from paraspark import schemas as S
 from paraspark.functions import chat as C
 from paraspark.functions import lang as L
 from paraspark.functions import text as T
+from paraspark.operators import dialogue as D
 
 
 def keep_directions(df: DataFrame, directions=None) -> DataFrame:
@@ -51,6 +52,17 @@ def flatten_pairs(df: DataFrame) -> DataFrame:
     )
 
 
+def flat_pairs_long(turns: DataFrame) -> DataFrame:
+    """C1, E4, E7 and C9/C10 over turn-per-row samples (``id, direction, turn,
+    role, content``): as ``flatten_pairs(chat_to_pairs(...))``, a conversation
+    of any length."""
+    pairs = D.dispatch_long(keep_directions(turns), ["id", "direction"])
+    parts = L.split_direction("direction")
+    return pairs.select(
+        "id", "pos", L.normalize_lang(parts[0]).alias("source_lang"), F.col("texte_cible").alias("source_text"),
+        L.normalize_lang(parts[1]).alias("target_lang"), F.col("traduction").alias("target_text"))
+
+
 def exportable(df: DataFrame) -> DataFrame:
     """C6 filter."""
     return df.filter(L.is_exportable("source_lang", "target_lang", "source_text", "target_text"))
@@ -72,6 +84,10 @@ def pairs_per_language_pair(df: DataFrame) -> DataFrame:
 
 
 def flagship(raw: DataFrame, mode: str = T.NATIVE) -> DataFrame:
-    """Chat mixture -> cleaned unique pairs per language pair."""
-    pairs = flatten_pairs(chat_to_pairs(raw, mode))
+    """Chat mixture (one row per conversation) -> cleaned unique pairs per language pair."""
+    return report(flatten_pairs(chat_to_pairs(raw, mode)))
+
+
+def report(pairs: DataFrame) -> DataFrame:
+    """Exportable unique pairs per language pair."""
     return pairs_per_language_pair(unique_pairs(exportable(pairs)))

@@ -10,6 +10,7 @@ from paraspark.functions import html as H
 from paraspark.functions import lang as L
 from paraspark.functions import text as T
 from paraspark.operators import corpus as CO
+from paraspark.operators import dialogue as D
 from paraspark.operators import pairing as PR
 from paraspark.operators import score as SC
 from paraspark.operators import table as TB
@@ -71,14 +72,14 @@ MARKED_PAIRS = f"""mm AS (SELECT conv_id, mpos AS turn, content, role FROM marke
 mk AS (
   SELECT conv_id, content AS first_content,
          coalesce(role = 'user' AND (contains(content, {Q.q(S.ASSISTANT_MARK)}) OR contains(content, {Q.q(S.USER_MARK)})), false) AS mk
-  FROM mm WHERE turn = 0),
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM mm) WHERE rn = 1),
 ext AS (
   SELECT conv_id, coalesce({Q.clean(Q.strip_ws('content'))}, '') AS ext FROM (
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM mm WHERE role = 'assistant')
   WHERE rn = 1),
 cnt AS (
   SELECT conv_id, (sum({_count('content', S.USER_MARK)}) + 1 - sum({_count('content', S.ASSISTANT_MARK)})) = 1 AS unmatched,
-         min(CASE WHEN turn = 0 THEN content END) AS fb_raw
+         arg_min(content, turn) AS fb_raw
   FROM mm GROUP BY conv_id),
 e2_lists AS (
   SELECT conv_id,
@@ -103,11 +104,8 @@ dispatched AS (
 
 @register("e2_split_marked", W(Q.TURNS, Q.MARKED, MARKED_PAIRS) + "SELECT conv_id, pos, p.texte_cible AS texte_cible, p.traduction AS traduction FROM e2_long")
 def e2_split_marked(spark, d):
-    m = A.marked(spark, d)
-    first = F.get(F.col("messages"), 0)
-    mk = C.is_marked_first("messages")
-    x = m.filter(mk).select("id", C.split_marked(first["content"], T.NATIVE).alias("pairs"))
-    return _flat(x)
+    first = D.marked_openings(A.marked_turns(spark, d), ["id"])
+    return _flat(first.select("id", C.split_marked("content", T.NATIVE).alias("pairs")))
 
 
 @register("e3_greedy_pairs", W(Q.TURNS, Q.greedy_ctes()) + "SELECT conv_id, pos, texte_cible, traduction FROM greedy")
@@ -134,13 +132,9 @@ WHERE {Q.in_list('s.direction', S.KEPT_DIRECTIONS)}"""
 
 
 def _dispatch(spark, d, fallback: bool):
-    m = A.marked(spark, d)
-    if fallback:
-        m = m.withColumn("fb", F.get(F.col("messages"), 0)["content"])
-    p = P.chat_to_pairs(m, T.NATIVE, "fb" if fallback else None)
-    x = p.select("id", F.posexplode_outer("pairs").alias("pos", "p")).filter(F.col("pos").isNotNull())
-    return x.select("id", F.col("pos").cast("long").alias("pos"), F.col("p.texte_cible").alias("texte_cible"),
-                    F.col("p.traduction").alias("traduction"))
+    m = P.keep_directions(A.marked_turns(spark, d))
+    p = D.dispatch_long(m, ["id"], fallback=D.opening_content() if fallback else None)
+    return p.select("id", "pos", "texte_cible", "traduction")
 
 
 @register("e4_dispatch", _dispatch_sql(False))
@@ -153,14 +147,8 @@ def e4_dispatch(spark, d):
   FROM e2_filled WHERE pos = n - 1""")
 def e5_fill_last(spark, d):
     """Last pair of every marked sample after completion from the outside assistant."""
-    m = A.marked(spark, d)
-    first = F.get(F.col("messages"), 0)
-    x = m.filter(C.is_marked_first("messages")).select(
-        "id", C.split_marked(first["content"], T.NATIVE).alias("sp"), C.last_assistant("messages").alias("ext"))
-    x = x.select("id", C.fill_last_target("sp", F.col("ext"), F.col("ext") != "").alias("pairs"))
-    last = x.filter(F.size("pairs") > 0).select(_conv_id(), F.element_at("pairs", -1).alias("p"))
-    return last.select("conv_id", F.col("p.texte_cible").alias("texte_cible"),
-                       F.col("p.traduction").alias("traduction"))
+    p = D.dispatch_long(A.marked_turns(spark, d), ["conv_id"])
+    return p.filter(F.col("marked") & (F.col("pos") == F.col("n_pairs") - 1)).select("conv_id", "texte_cible", "traduction")
 
 
 @register("e6_unmatched", _dispatch_sql(True))
@@ -171,7 +159,7 @@ def e6_unmatched(spark, d):
 
 @register("e7_flatten", W(Q.TURNS, Q.SAMPLES, Q.greedy_ctes(), Q.FLAT_PAIRS) + "SELECT * FROM flat")
 def e7_flatten(spark, d):
-    return P.flatten_pairs(P.chat_to_pairs(A.raw_mix(spark, d))).withColumn("pos", F.col("pos").cast("long"))
+    return P.flat_pairs_long(A.sample_turns(spark, d))
 
 
 PAIRS_PER_SAMPLE = f"""pps AS (
@@ -183,12 +171,12 @@ PAIRS_PER_SAMPLE = f"""pps AS (
 
 @register("e8_quarantine_flag", W(Q.TURNS, Q.SAMPLES, Q.greedy_ctes(), PAIRS_PER_SAMPLE) + "SELECT id, n_pairs = 0 AS problem FROM pps")
 def e8_quarantine_flag(spark, d):
-    return P.chat_to_pairs(A.raw_mix(spark, d)).select("id", "problem")
+    return D.pair_counts_long(P.keep_directions(A.sample_turns(spark, d)), ["id"]).select("id", "problem")
 
 
 @register("e9_pair_count", W(Q.TURNS, Q.SAMPLES, Q.greedy_ctes(), PAIRS_PER_SAMPLE) + "SELECT id, n_pairs FROM pps")
 def e9_pair_count(spark, d):
-    return P.chat_to_pairs(A.raw_mix(spark, d)).select("id", C.pair_count("pairs").cast("long").alias("n_pairs"))
+    return D.pair_counts_long(P.keep_directions(A.sample_turns(spark, d)), ["id"]).select("id", "n_pairs")
 
 
 @register("e10_messages_json", W(Q.TURNS, Q.SAMPLES, Q.RAW_MIX) + "SELECT id, md5(CAST(to_json(messages) AS VARCHAR)) AS json_md5, length(CAST(to_json(messages) AS VARCHAR)) AS json_len FROM raw_mix")
@@ -200,9 +188,9 @@ def e10_messages_json(spark, d):
 @register("e11_message_count", W(Q.TURNS, Q.SAMPLES, Q.RAW_MIX) + """SELECT id, len(messages) AS n_native,
   coalesce(json_array_length(to_json(messages)), 0) AS n_json FROM raw_mix""")
 def e11_message_count(spark, d):
-    r = A.raw_mix(spark, d)
-    return r.select("id", C.message_count("messages").alias("n_native"),
-                    C.message_count_json(C.messages_json("messages")).alias("n_json"))
+    t = A.sample_turns(spark, d)
+    native = D.message_metrics(t, ["id"]).select("id", F.col("n_messages").alias("n_native"))
+    return native.join(D.json_message_counts(t, ["id"]).withColumnRenamed("n_messages", "n_json"), "id")
 
 
 def _records(spark, d):
@@ -250,7 +238,7 @@ def e12_infer_direction(spark, d):
   CASE WHEN contains(messages[1].content, {Q.q(S.FULL_PREFIX)}) THEN {Q.strip_ws(f"replace(messages[1].content, {Q.q(S.FULL_PREFIX)}, '')")}
   ELSE messages[1].content END), 0) AS first_len FROM raw_mix""")
 def e13_first_len(spark, d):
-    return A.raw_mix(spark, d).select("id", C.first_message_length("messages").alias("first_len"))
+    return D.message_metrics(A.sample_turns(spark, d), ["id"]).select("id", "first_len")
 
 
 @register("e19_stack_systems", W(Q.HYPREF) + f"""SELECT key, system, hyp, ref FROM (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from paraspark.functions import text as T
 from paraspark.plans import adapters as A
 from paraspark.plans import pipelines as P
 from paraspark.plans import sqltext as Q
@@ -11,4 +10,4 @@ from paraspark.plans.registry import register
 
 @register("flagship_pairs_per_language_pair", Q.FLAGSHIP)
 def flagship(spark, d):
-    return P.flagship(A.raw_mix(spark, d), T.NATIVE)
+    return P.report(P.flat_pairs_long(A.sample_turns(spark, d)))

@@ -260,7 +260,7 @@ def b6_append_pairs(spark, d):
     """Two appends (scraped rows, then extracted pairs) to one JSON store; a
     missing target is written as the sentinel (C8)."""
     path = _fresh(spark, "b6")
-    for part in (_trn(spark, d), P.flatten_pairs(P.chat_to_pairs(A.raw_mix(spark, d)))):
+    for part in (_trn(spark, d), P.flat_pairs_long(A.sample_turns(spark, d))):
         Wr.append_records(part.select("source_lang", "source_text", "target_lang",
                                       TB.missing_target_default("target_text").alias("target_text")), path)
     return spark.read.schema("source_lang STRING, source_text STRING, target_lang STRING, target_text STRING").json(path)
@@ -281,8 +281,7 @@ def b7_sheet(spark, d):
 def b8_profile_json(spark, d):
     """A nested one-row profile (total + per-direction counts) as JSON and back."""
     path = _fresh(spark, "b8")
-    r = A.raw_mix(spark, d)
-    per_dir = PR.count_by(r, "direction")
+    per_dir = PR.count_by(A.samples(spark, d), "direction")
     # at most one entry per distinct direction: a bounded list
     prof = per_dir.agg(F.sum("count").alias("rows"), F.collect_list(F.struct("direction", "count")).alias("directions"))
     Wr.write_profile_json(prof, path)

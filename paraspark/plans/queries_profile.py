@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paraspark import schemas as S
-from paraspark.functions import chat as C
 from paraspark.operators import corpus as CO
+from paraspark.operators import dialogue as D
 from paraspark.operators import profile as PR
 from paraspark.operators import table as TB
 from paraspark.plans import adapters as A
@@ -24,10 +24,7 @@ def _trn(spark, d):
 
 def _mix_metrics(spark, d):
     """Per sample: JSON length of the messages, message count, first-message length."""
-    r = A.raw_mix(spark, d)
-    return r.select("id", "direction", F.length(C.messages_json("messages")).cast("long").alias("json_len"),
-                    C.message_count("messages").alias("n_messages"),
-                    C.first_message_length("messages").alias("first_len"))
+    return D.message_metrics(A.sample_turns(spark, d), ["id", "direction"])
 
 
 MIX_METRICS_SQL = MIX.rstrip("\n") + f""",
@@ -42,17 +39,17 @@ mx AS (
 
 @register("f1_count", MIX + "SELECT count(*) AS rows FROM raw_mix")
 def f1_count(spark, d):
-    return PR.total_rows(A.raw_mix(spark, d))
+    return PR.total_rows(A.samples(spark, d))
 
 
 @register("f2_count_by_direction", MIX + "SELECT direction, count(*) AS count FROM raw_mix GROUP BY direction")
 def f2_count_by_direction(spark, d):
-    return PR.count_by(A.raw_mix(spark, d), "direction")
+    return PR.count_by(A.samples(spark, d), "direction")
 
 
 @register("f3_count_by_dataset", MIX + "SELECT dataset, count(*) AS count FROM raw_mix GROUP BY dataset")
 def f3_count_by_dataset(spark, d):
-    return PR.count_by(A.raw_mix(spark, d), "dataset")
+    return PR.count_by(A.samples(spark, d), "dataset")
 
 
 @register("f4_value_counts", "SELECT lang, count(*) AS count FROM documents WHERE lang IS NOT NULL GROUP BY lang")
@@ -73,8 +70,8 @@ def f6_ambiguous_source(spark, d):
 
 @register("f7_total_pairs", W(Q.TURNS, Q.SAMPLES, Q.greedy_ctes(), Q.FLAT_PAIRS) + "SELECT count(*) AS total_pairs FROM flat")
 def f7_total_pairs(spark, d):
-    p = P.chat_to_pairs(A.raw_mix(spark, d))
-    return p.agg(F.sum(C.pair_count("pairs")).cast("long").alias("total_pairs"))
+    p = D.pair_counts_long(P.keep_directions(A.sample_turns(spark, d)), ["id"])
+    return p.agg(F.sum("n_pairs").alias("total_pairs"))
 
 
 # Float summaries are reported to 6 decimals on both sides: the engines sum

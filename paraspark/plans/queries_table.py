@@ -204,7 +204,7 @@ def _scraped_and_processed(spark, d):
     doc = t.select(F.array(F.struct(F.col("source_lang"), F.col("source_text").alias("source"),
                                     F.col("target_lang"), F.col("target_text").alias("target"))).alias("translations"))
     scraped = CO.scraped_rows(doc)
-    processed = P.flatten_pairs(P.chat_to_pairs(A.raw_mix(spark, d)))
+    processed = P.flat_pairs_long(A.sample_turns(spark, d))
     return scraped, processed
 
 

@@ -69,8 +69,7 @@ def d6_newlines(spark, d):
 
 @register("d7_markers", W(Q.TURNS, Q.MARKED) + f"SELECT conv_id, mpos, {Q.drop_markers('content')} AS out FROM marked_msgs")
 def d7_markers(spark, d):
-    m = A.marked(spark, d).select("id", F.posexplode("messages").alias("mpos", "msg"))
-    return m.select(F.col("id").cast("long").alias("conv_id"), F.col("mpos").cast("long").alias("mpos"), T.drop_markers("msg.content").alias("out"))
+    return A.marked_turns(spark, d).select("conv_id", F.col("turn").alias("mpos"), T.drop_markers("content").alias("out"))
 
 
 D10_SQL_STARTS = " OR ".join(f"starts_with(lower(line), {Q.q(w)})" for w in S.INTERROGATIVES)
@@ -97,7 +96,7 @@ def d13_mean_round(spark, d):
 
 @register("c1_direction_filter", W(Q.TURNS, Q.SAMPLES) + f"SELECT id, direction FROM samples WHERE {Q.in_list('direction', S.KEPT_DIRECTIONS)}")
 def c1_direction_filter(spark, d):
-    return P.keep_directions(A.raw_mix(spark, d)).select("id", "direction")
+    return P.keep_directions(A.samples(spark, d)).select("id", "direction")
 
 
 @register("c2_lang_filter", W(Q.TR, Q.TRN) + "SELECT id, source_lang, target_lang FROM trn WHERE source_lang = 'dr'")
@@ -154,7 +153,7 @@ def c8_sentinel(spark, d):
 
 @register("c9_split_direction", W(Q.TURNS, Q.SAMPLES) + """SELECT id, split_part(direction, '_', 1) AS src, split_part(direction, '_', 2) AS tgt FROM samples""")
 def c9_split_direction(spark, d):
-    r = A.raw_mix(spark, d).select("id", L.split_direction("direction").alias("p"))
+    r = A.samples(spark, d).select("id", L.split_direction("direction").alias("p"))
     return r.select("id", F.col("p")[0].alias("src"), F.col("p")[1].alias("tgt"))
 
 

@@ -155,13 +155,12 @@ def py_repr(x: str) -> str:
             f"ELSE chr(39) || replace({body}, chr(39), chr(92) || chr(39)) || chr(39) END)")
 
 
-# the mixed (marked) messages of even conversations, in long form:
-# one row per message with its position in the sample
+# the mixed (marked) messages of even conversations, in long form: one row per
+# message, ``mpos`` gives their order
 MARKED = f"""ua AS (
   SELECT conv_id, turn, role, content,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rdesc,
-         count(*) OVER (PARTITION BY conv_id) AS n_ua
-  FROM turns WHERE role IN ('user', 'assistant')),
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rdesc
+  FROM turns WHERE role IN ('user', 'assistant') AND conv_id % 2 = 0 AND turn < {A.MARK_TURNS}),
 ua_last AS (SELECT conv_id, role = 'assistant' AS last_is_asst, content AS last_content FROM ua WHERE rdesc = 1),
 ua_body AS (
   SELECT u.conv_id,
@@ -171,13 +170,13 @@ ua_body AS (
   GROUP BY u.conv_id),
 marked_msgs AS (
   SELECT conv_id, 0 AS mpos, coalesce(b.joined, '') AS content, 'user' AS role
-  FROM ua_last l LEFT JOIN ua_body b USING (conv_id) WHERE conv_id % 2 = 0
+  FROM ua_last l LEFT JOIN ua_body b USING (conv_id)
   UNION ALL
   SELECT conv_id, 1 AS mpos, last_content AS content, 'assistant' AS role
-  FROM ua_last WHERE conv_id % 2 = 0 AND last_is_asst
+  FROM ua_last WHERE last_is_asst
   UNION ALL
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS mpos, content, role
-  FROM turns WHERE conv_id % 2 = 1
+  SELECT conv_id, CASE WHEN conv_id % 2 = 0 AND turn >= {A.MARK_TURNS} THEN turn + 2 ELSE turn END AS mpos, content, role
+  FROM turns WHERE conv_id % 2 = 1 OR turn >= {A.MARK_TURNS}
      OR conv_id NOT IN (SELECT conv_id FROM ua_last))"""
 
 
