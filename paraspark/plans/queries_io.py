@@ -27,6 +27,7 @@ from paraspark.plans.queries_chat import REC_SQL, _avail_sql
 from paraspark.plans.queries_text import lines
 from paraspark.plans.registry import register
 from paraspark.session import remove_folder, shared_path
+from paraspark.sources import loads as LD
 from paraspark.sources import readers as R
 from paraspark.sources import writers as Wr
 from paraspark.streaming import ingest as ST
@@ -244,11 +245,11 @@ B5_SQL = W(Q.TR, Q.TRN) + f"""SELECT * FROM trn WHERE source_lang IN ('fr', 'en'
 @register("b5_bulk_append", B5_SQL)
 @staged
 def b5_bulk_append(spark, d):
-    """Validated rows (J1) appended into a table folder, then scanned."""
+    """Validated rows (J1) loaded into a table folder, all at once, then scanned."""
     path = _fresh(spark, "b5")
     valid, _ = TB.split_valid(_trn(spark, d))
-    Wr.bulk_append(valid, path, partition_by=TABLE_PARTITION)
-    return spark.read.parquet(path)
+    LD.bulk_load(valid, path, TABLE_PARTITION)
+    return LD.read_loads(spark, path, TR_SCHEMA, TABLE_PARTITION)
 
 
 @register("b6_append_pairs", W(Q.TR, Q.TRN, Q.TURNS, Q.SAMPLES, Q.greedy_ctes(), Q.FLAT_PAIRS) + f"""SELECT source_lang, source_text, target_lang,
@@ -318,8 +319,8 @@ def l1_stream_ingest(spark, d):
     staging, sink, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
     for _ in range(2):
         _arrive(spark, d, staging)
-        ST.ingest_dedup(spark, staging, TR_SCHEMA, _clean_rows, FIELDS, sink, ckpt)
-    return spark.read.schema(PAIR_SCHEMA).parquet(sink)
+        ST.ingest_dedup(spark, staging, TR_SCHEMA, _clean_rows, FIELDS, sink, ckpt, PAIR_SCHEMA)
+    return ST.read_target(spark, sink, PAIR_SCHEMA)
 
 
 @register("l2_foreach_batch", L_SQL)

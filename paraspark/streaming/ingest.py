@@ -1,90 +1,152 @@
 """Incremental corpus ingest with Structured Streaming (L1, L2).
 
 Both compare rows by the SHA-256 digest of their null-safe key: two different
-keys share one with probability about 2^-128 even at 10^12 keys. L1 keeps the
-digests in streaming state (``dropDuplicates``; with the RocksDB provider that
-``build_session`` sets, on executor disks); like the seen-set it replaces, that
-state is unbounded. L2 keeps no key state: the target stores each row's digest,
-and a micro-batch is deduplicated and anti-joined against that one column, so
-a replayed batch adds nothing. Both use ``trigger(availableNow=True)``: process
-what has arrived, then stop.
+keys share one with probability about 2^-128 even at 10^12 keys. The target is
+a table of loads (``sources.loads``), one per micro-batch, and beside it lies
+an index of its rows' digests: 32 bytes a row, in folders by the digest's
+first bits. A micro-batch
+
+1. is deduplicated and written once to a staging folder (the transform runs
+   once), with the digests;
+2. reads the digests of the index folders it touches, and no others, to find
+   which of its keys are known;
+3. writes the other rows and their digests as a load, and publishes it.
+
+A micro-batch that is replayed after a crash finds its load published and adds
+nothing, or writes it again. The load's name is the query's id in the
+checkpoint and the batch's number.
+
+L2 keeps no key state at all. L1 keeps the digests of the keys that arrived
+within ``remember`` in streaming state and drops their repeats before they
+reach the index; older digests leave the state, which so is bounded by the
+arrivals of that time and not by the corpus. No repeat gets in on account of
+that (the index knows every key of the target) and no row is lost: arrival
+time never lies behind the watermark.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-DIGEST = "_key_sha256"
+from paraspark.session import remove_folder
+from paraspark.sources import loads as LD
+
+DIGEST, PREFIX, ARRIVED = "_digest", "_prefix", "_arrived"
+#: Index folders: the digest's first six bits.
+PREFIXES = 64
+INDEX_SCHEMA = StructType([StructField(DIGEST, BinaryType()), StructField(PREFIX, IntegerType())])
 
 
 def key_digest(keys: list[str]) -> Column:
     """SHA-256 of the null-safe key (NULL and '' stay distinct)."""
-    return F.sha2(F.to_json(F.struct(*[F.col(k) for k in keys])), 256)
-
-
-def ingest_dedup(spark: SparkSession, source: str, schema: StructType,
-                 transform: Callable[[DataFrame], DataFrame], keys: list[str],
-                 sink: str, checkpoint: str, digest_keys: bool = True) -> None:
-    """L1: new files -> transform -> dropDuplicates(keys) -> append to ``sink``.
-
-    The dedupe state keeps the digest of every key ever seen (the keys' texts
-    themselves without ``digest_keys``)."""
-    rows = transform(spark.readStream.schema(schema).parquet(source))
-    if digest_keys:
-        out = rows.withColumn(DIGEST, key_digest(keys)).dropDuplicates([DIGEST]).drop(DIGEST)
-    else:
-        out = rows.dropDuplicates(keys)
-    q = (out.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink))
+    return F.unhex(F.sha2(F.to_json(F.struct(*[F.col(k) for k in keys])), 256))
+
+
+def digest_prefix(digest: str = DIGEST) -> Column:
+    first = F.conv(F.substring(F.hex(F.col(digest)), 1, 2), 16, 10).cast("int")
+    return F.floor(first * PREFIXES / 256).cast("int")
+
+
+def index_path(target: str) -> str:
+    return target.rstrip("/") + ".digests"
+
+
+def known_digests(spark: SparkSession, target: str, prefixes: list[int], ids: list[str] | None = None) -> DataFrame:
+    """Digests of the target's rows (of the published loads, or of ``ids``) in
+    the given index folders (a partition filter)."""
+    ids = LD.published(spark, target) if ids is None else ids
+    if not ids:
+        return spark.createDataFrame([], INDEX_SCHEMA)
+    index = index_path(target)
+    return (spark.read.schema(INDEX_SCHEMA).option("basePath", index).parquet(*[f"{index}/{LD.LOAD}={i}" for i in ids])
+            .filter(F.col(PREFIX).isin(prefixes)).select(DIGEST))
+
+
+def absorb(batch: DataFrame, target: str, load_id: str, fields: list[str]) -> None:
+    """Add the rows of ``batch`` (with ``DIGEST``) whose digest the target lacks."""
+    spark = batch.sparkSession
+    if LD.is_published(spark, target, load_id):
+        # a replay; streaming state is committed by reading the batch all the same
+        batch.write.format("noop").mode("overwrite").save()
+        return
+    staging = f"{target.rstrip('/')}.staged/{load_id}"
+    batch.dropDuplicates([DIGEST]).select(*fields, DIGEST).withColumn(PREFIX, digest_prefix()).write.mode("overwrite").parquet(staging)
+    rows = spark.read.parquet(staging)
+    # at most PREFIXES small integers
+    touched = sorted(r[0] for r in rows.select(PREFIX).distinct().collect())
+    if touched:
+        known = known_digests(spark, target, touched)
+        repeats = rows.select(DIGEST).join(known, DIGEST, "left_semi").distinct()
+        # digests meet digests first; texts then meet the repeats only
+        fresh = rows.join(repeats, DIGEST, "left_anti")
+        LD.write_load(fresh.select(*fields), target, load_id)
+        digests = rows.select(DIGEST, PREFIX).join(repeats, DIGEST, "left_anti")
+        LD.write_load(digests.hint("rebalance", PREFIX).sortWithinPartitions(PREFIX, DIGEST), index_path(target), load_id, [PREFIX])
+        LD.publish(spark, target, load_id)
+    remove_folder(spark, staging)
+
+
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in the checkpoint, the same after every restart."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
+def _run(rows: DataFrame, target: str, checkpoint: str, fields: list[str]) -> StreamingQuery:
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        absorb(batch, target, f"{_query_id(spark, checkpoint)}-{batch_id}", fields)
+    q = rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return q
 
 
-def _stored(target_schema: StructType) -> StructType:
-    return StructType([*target_schema.fields, StructField(DIGEST, StringType())])
+def _stream(spark: SparkSession, source: str, schema: StructType, max_files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(source)
 
 
-def _ensure_target(spark: SparkSession, target: str, stored: StructType) -> None:
-    """Create the empty table on the first run; any other read error is raised."""
-    try:
-        spark.read.schema(stored).parquet(target)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        spark.createDataFrame([], stored).write.mode("append").parquet(target)
+def ingest_dedup(spark: SparkSession, source: str, schema: StructType,
+                 transform: Callable[[DataFrame], DataFrame], keys: list[str],
+                 target: str, checkpoint: str, target_schema: StructType, remember: str = "1 hour",
+                 max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """L1: new files -> transform -> repeats within ``remember`` dropped by
+    streaming state -> rows whose keys the index lacks are added to ``target``."""
+    rows = transform(_stream(spark, source, schema, max_files_per_trigger)).withColumn(DIGEST, key_digest(keys))
+    recent = rows.withColumn(ARRIVED, F.current_timestamp()).withWatermark(ARRIVED, remember).dropDuplicatesWithinWatermark([DIGEST])
+    return _run(recent.drop(ARRIVED), target, checkpoint, [f.name for f in target_schema.fields])
 
 
 def ingest_anti_join(spark: SparkSession, source: str, schema: StructType,
                      transform: Callable[[DataFrame], DataFrame], keys: list[str],
                      target: str, checkpoint: str, target_schema: StructType,
-                     max_files_per_trigger: int | None = None) -> None:
+                     max_files_per_trigger: int | None = None) -> StreamingQuery:
     """L2: per micro-batch, append only rows whose keys are not yet in ``target``.
-
-    A batch reads the target's digest column (64 characters a row, whatever the
-    texts) and joins it with its own digests; rows are written by as many tasks
-    as the join has partitions. ``max_files_per_trigger`` bounds a batch.
-    """
-    stored = _stored(target_schema)
-    _ensure_target(spark, target, stored)
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.withColumn(DIGEST, key_digest(keys)).dropDuplicates([DIGEST])
-        known = batch.sparkSession.read.schema(stored).parquet(target).select(DIGEST)
-        (fresh.join(known, DIGEST, "left_anti").select(*[f.name for f in stored.fields])
-         .write.mode("append").parquet(target))
-
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    q = (transform(reader.parquet(source)).writeStream.foreachBatch(upsert)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    ``max_files_per_trigger`` bounds a batch."""
+    rows = transform(_stream(spark, source, schema, max_files_per_trigger)).withColumn(DIGEST, key_digest(keys))
+    return _run(rows, target, checkpoint, [f.name for f in target_schema.fields])
 
 
 def read_target(spark: SparkSession, target: str, target_schema: StructType) -> DataFrame:
-    """The L2 target's rows without the digest column."""
-    return spark.read.schema(_stored(target_schema)).parquet(target).select(*[f.name for f in target_schema.fields])
+    """The rows of the published loads."""
+    return LD.read_loads(spark, target, target_schema)
+
+
+def compact_target(spark: SparkSession, target: str, target_schema: StructType) -> None:
+    """Many small loads become one, in the table and in the index alike; loads
+    published meanwhile stay beside it. ``loads.vacuum`` drops what it replaced."""
+    ids = LD.published(spark, target)
+    if len(ids) < 2:
+        return
+    load_id = "compact-" + ids[-1]
+    LD.write_load(LD.read_loads(spark, target, target_schema, ids=ids).hint("rebalance"), target, load_id)
+    index = known_digests(spark, target, list(range(PREFIXES)), ids).withColumn(PREFIX, digest_prefix())
+    LD.write_load(index.hint("rebalance", PREFIX).sortWithinPartitions(PREFIX, DIGEST), index_path(target), load_id, [PREFIX])
+    LD.publish(spark, target, load_id, ids)
