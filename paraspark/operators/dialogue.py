@@ -28,17 +28,17 @@ from paraspark.functions import text as T
 from paraspark.operators import pairing as P
 
 
-def _blocks_with_facts(rows: DataFrame, keys: list[str], fallback: Column | None) -> DataFrame:
+def _blocks_with_facts(rows: DataFrame, fallback: Column | None) -> DataFrame:
     """Blocks with the facts of their conversation: ``_marked``,
     ``_unmatched`` (one user marker more than assistant markers), ``_n_pairs``
     of the greedy scan; ``_head`` (the conversation's first block). The texts
     ``_outside`` and ``_fallback`` go only to the blocks that use them."""
     assistant = F.col("_role") == F.lit("assistant")
-    blocks = P.block_rows(rows, keys, [
+    blocks = P.block_rows(rows, [
         F.sum(C.count_marker("_content", S.USER_MARK)).alias("_users"),
         F.sum(C.count_marker("_content", S.ASSISTANT_MARK)).alias("_assistants"),
         F.max_by(F.when(assistant, F.struct("_content")), F.when(assistant, F.col("_order"))).alias("_last_assistant")])
-    along = Window.partitionBy(*keys).orderBy("_blk")
+    along = Window.partitionBy("_key").orderBy("_blk")
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = blocks.withColumn("_head", F.row_number().over(along) == 1)
     first = F.struct(F.col("_first._role").alias("role"), F.col("_first._content").alias("content"))
@@ -76,8 +76,8 @@ def dispatch_long(turns: DataFrame, keys: list[str], order: str = "turn", role:
     cleaned, completes it (E6).
     """
     rows = P.turn_rows(turns, keys, order, role, content, block)
-    blocks = _blocks_with_facts(rows, keys, fallback)
-    rows = P.with_block_state(rows, blocks, keys, ["_entry", "_pairs_before", "_after", "_head", "_marked", "_unmatched", "_n_pairs",
+    blocks = _blocks_with_facts(rows, fallback)
+    rows = P.with_block_state(rows, blocks, ["_entry", "_pairs_before", "_after", "_head", "_marked", "_unmatched", "_n_pairs",
                                                    "_outside", "_fallback"])
     opens = F.col("_marked") & F.col("_head") & (F.col("_rn") == 1)
     rows = rows.filter(opens | (~F.col("_marked") & P.starts_pair()))
@@ -86,18 +86,18 @@ def dispatch_long(turns: DataFrame, keys: list[str], order: str = "turn", role:
         return T.clean_text(T.drop_newlines(c, mode))
 
     one = F.array(F.struct(clean(F.col("_content")).alias("texte_cible"), clean(P.answer()).alias("traduction")))
-    rows = rows.select(*keys, "_marked", "_unmatched", "_n_pairs", "_outside", "_fallback", P.pair_position().alias("_at"),
+    rows = rows.select("_key", "_marked", "_unmatched", "_n_pairs", "_outside", "_fallback", P.pair_position().alias("_at"),
                        F.when(F.col("_marked"), C.split_marked("_content", mode)).otherwise(one).alias("_found"))
     rows = rows.withColumn("_n_all", F.when(F.col("_marked"), F.size("_found")).otherwise(F.col("_n_pairs")).cast("long"))
     # explode_outer + filter keeps the optimizer from deriving the array twice
-    pairs = (rows.select(*keys, "_marked", "_unmatched", "_outside", "_fallback", "_at", "_n_all", F.posexplode_outer("_found").alias("_i", "_p"))
+    pairs = (rows.select("_key", "_marked", "_unmatched", "_outside", "_fallback", "_at", "_n_all", F.posexplode_outer("_found").alias("_i", "_p"))
              .filter(F.col("_i").isNotNull()))
     pos = F.when(F.col("_marked"), F.col("_i").cast("long")).otherwise(F.col("_at"))
     last = pos == F.col("_n_all") - 1
     target = F.col("_p.traduction")
     said = F.when(last & F.col("_marked") & (target == F.lit("")) & (F.col("_outside") != F.lit("")), F.col("_outside")).otherwise(target)
     done = F.when(last & F.col("_unmatched") & (said == F.lit("")), F.col("_fallback")).otherwise(said)
-    return pairs.select(*keys, F.col("_marked").alias("marked"), F.col("_n_all").alias("n_pairs"), pos.alias("pos"),
+    return pairs.select(*P.key_columns(keys), F.col("_marked").alias("marked"), F.col("_n_all").alias("n_pairs"), pos.alias("pos"),
                         F.col("_p.texte_cible").alias("texte_cible"), done.alias("traduction"))
 
 
@@ -106,9 +106,9 @@ def pair_counts_long(turns: DataFrame, keys: list[str], order: str = "turn", rol
     """(keys..., n_pairs, problem) per conversation, from the blocks
     alone (no pair is built)."""
     rows = P.turn_rows(turns, keys, order, role, content, block)
-    heads = _blocks_with_facts(rows, keys, None).filter("_head")
+    heads = _blocks_with_facts(rows, None).filter("_head")
     n = F.when(F.col("_marked"), F.size(C.split_marked(F.col("_first._content"), mode))).otherwise(F.col("_n_pairs")).cast("long")
-    return heads.select(*keys, n.alias("n_pairs")).withColumn("problem", F.col("n_pairs") == 0)
+    return heads.select(*P.key_columns(keys), n.alias("n_pairs")).withColumn("problem", F.col("n_pairs") == 0)
 
 
 def marked_openings(turns: DataFrame, keys: list[str], order: str = "turn", role: str = "role", content: str = "content") -> DataFrame:

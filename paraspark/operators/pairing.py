@@ -30,13 +30,15 @@ BLOCK = 1024
 
 def turn_rows(turns: DataFrame, keys: list[str], order: str, role: str, content: str, block: int) -> DataFrame:
     """Turns with their block, their place in it and in their run of users
-    (as far as the block shows it), and the turn after them in the block."""
-    inside = Window.partitionBy(*keys, "_blk").orderBy("_order")
+    (as far as the block shows it), and the turn after them in the block.
+    ``_key`` holds the keys as one value, which is never NULL: windows and the
+    join back share one partitioning, and NULL keys are one conversation."""
+    inside = Window.partitionBy("_key", "_blk").orderBy("_order")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     # any other role, NULL included, ends a run of users
     is_user = F.coalesce(F.col(role) == F.lit("user"), F.lit(False))
-    rows = turns.select(*keys, F.col(order).alias("_order"), F.col(role).alias("_role"), F.col(content).alias("_content"),
+    rows = turns.select(F.struct(*keys).alias("_key"), F.col(order).alias("_order"), F.col(role).alias("_role"), F.col(content).alias("_content"),
                         is_user.alias("_user"), F.floor(F.col(order) / block).alias("_blk"))
     rn = F.row_number().over(inside)
     rows = rows.select(
@@ -50,17 +52,17 @@ def turn_rows(turns: DataFrame, keys: list[str], order: str, role: str, content:
                        F.count(F.when(later, 1)).over(before).alias("_later_before"))
 
 
-def block_rows(rows: DataFrame, keys: list[str], partials: list[Column] = ()) -> DataFrame:
+def block_rows(rows: DataFrame, partials: list[Column] = ()) -> DataFrame:
     """One row per block with the state it starts from: ``_entry`` (parity of
     the users directly before it), ``_pairs`` in it, ``_pairs_before`` it, and
     ``_after``, the first turn of the next block; with ``partials`` of its rows."""
-    blocks = rows.groupBy(*keys, "_blk").agg(
+    blocks = rows.groupBy("_key", "_blk").agg(
         F.count(F.lit(1)).alias("_n"),
         F.count(F.when(F.col("_leading"), 1)).alias("_lead"),
         F.max("_brk").alias("_last_break"),
         F.count(F.when(F.col("_later"), 1)).alias("_later_pairs"),
         F.min_by(F.struct("_role", "_content"), "_order").alias("_first"), *partials)
-    along = Window.partitionBy(*keys).orderBy("_blk")
+    along = Window.partitionBy("_key").orderBy("_blk")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     # users directly before a block: the trailing run of the last block with a
     # break, and all rows of the blocks of users only that follow it
@@ -74,11 +76,13 @@ def block_rows(rows: DataFrame, keys: list[str], partials: list[Column] = ()) ->
         "*", F.coalesce(F.sum("_pairs").over(before), F.lit(0)).alias("_pairs_before"), F.lead("_first").over(along).alias("_after"))
 
 
-def with_block_state(rows: DataFrame, blocks: DataFrame, keys: list[str], state: list[str]) -> DataFrame:
+def with_block_state(rows: DataFrame, blocks: DataFrame, state: list[str]) -> DataFrame:
     """``rows`` with the columns ``state`` of their block."""
-    named = blocks.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], F.col("_blk").alias("_bb"), *state)
-    same = [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)] + [F.col("_blk").eqNullSafe(F.col("_bb"))]
-    return rows.join(named, same)
+    return rows.join(blocks.select("_key", "_blk", *state), ["_key", "_blk"])
+
+
+def key_columns(keys: list[str]) -> list[Column]:
+    return [F.col("_key")[k].alias(k) for k in keys]
 
 
 def starts_pair() -> Column:
@@ -104,6 +108,6 @@ def greedy_pairs_long(turns: DataFrame, keys: list[str], order: str = "turn", ro
     """(keys..., pos, texte_cible, traduction): one row per extracted pair.
     ``order`` is an integer column, unique inside a conversation."""
     rows = turn_rows(turns, keys, order, role, content, block)
-    rows = with_block_state(rows, block_rows(rows, keys), keys, ["_entry", "_pairs_before", "_after"])
+    rows = with_block_state(rows, block_rows(rows), ["_entry", "_pairs_before", "_after"])
     return rows.filter(starts_pair()).select(
-        *keys, pair_position().alias("pos"), F.col("_content").alias("texte_cible"), answer().alias("traduction"))
+        *key_columns(keys), pair_position().alias("pos"), F.col("_content").alias("texte_cible"), answer().alias("traduction"))

@@ -86,12 +86,13 @@ def test_a_hot_conversation_is_many_tasks(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         rows = P.turn_rows(turns, ["id"], "turn", "role", "content", P.BLOCK)
-        placed = rows.select("id", "_brk", F.spark_partition_id().alias("p"))  # reads a window column, so the windows stay
+        placed = rows.select("_key.id", "_brk", F.spark_partition_id().alias("p"))  # reads a window column, so the windows stay
         parts = placed.filter("id = -1 AND _brk >= 0").groupBy("p").agg(F.count(F.lit(1)).alias("count"), F.max("_brk")).collect()
         assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r["count"] for r in parts) < n / 3
         out = D.dispatch_long(turns, ["id"])
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "collect_list" not in plan and "SinglePartition" not in plan
+        assert plan.count("Exchange hashpartitioning") <= 4  # the turns once (read by both sides), their blocks twice
         hot = out.filter("id = -1").agg(F.count("*"), F.max("pos"), F.max("n_pairs"), F.sum((F.col("traduction") != "").cast("int"))).first()
         assert tuple(hot) == (n // 2, n // 2 - 1, n // 2, n // 2)
     finally:
