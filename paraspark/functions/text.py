@@ -120,16 +120,10 @@ def mean_round(c, digits: int = 2) -> Column:
     return F.round(F.avg(_c(c)), digits)
 
 
-# Whitespace outside Java's ASCII \s class; mapped to a space before splitting
-# so the split can use the fast ASCII class (token boundaries are unchanged).
-ASCII_WS = " \t\n\x0b\x0c\r"
-OTHER_WS = "".join(ch for ch in S.WS_CHARS if ch not in ASCII_WS)
-
-
 def ws_tokens(c) -> Column:
     """Maximal runs of non-whitespace (str.split() semantics) as an array."""
-    t = F.btrim(F.translate(_c(c), OTHER_WS, " " * len(OTHER_WS)), _lit(ASCII_WS))
-    return F.when(t == _lit(""), F.array().cast("array<string>")).otherwise(F.split(t, "[ \t\n\x0B\f\r]+"))
+    t = strip_ws(c)
+    return F.when(t == _lit(""), F.array().cast("array<string>")).otherwise(F.split(t, S.WS_CLASS + "+"))
 
 
 def non_blank(c) -> Column:

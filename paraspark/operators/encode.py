@@ -2,11 +2,12 @@
 vocabulary (M1) and the truncation report (M2).
 
 Tokens are whitespace tokens. The vocabulary is ranked by (count desc,
-token) with the distributed dense numbering (no single-partition window);
-the token -> id join is left to AQE, which broadcasts the vocabulary only
-when its measured size is under the threshold and otherwise shuffles (and
-splits skewed token partitions). Only the first ``seq_len`` tokens of a text
-are looked up, so a row never regroups more than ``seq_len`` ids.
+token) with the distributed dense numbering (no single-partition window).
+Natural text is Zipf-distributed, so the lookup is split by rank: the
+``HEAVY`` most frequent tokens come as one broadcast table of bounded size, and
+only occurrences of the other tokens, none of which is more than one in
+``HEAVY`` of all, meet the rest of the vocabulary by the token. Only the first ``seq_len`` tokens of a text are
+looked up, so a row never regroups more than ``seq_len`` ids.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from paraspark.functions import text as T
 from paraspark.operators.ranking import with_row_index
 
 PAD_ID = 0
+#: Tokens of the broadcast table and their bytes at most (4 MB in all).
+HEAVY, HEAVY_BYTES = 1 << 16, 64
 
 
 def whitespace_tokens(c) -> Column:
@@ -37,12 +40,11 @@ def vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
 def encode(df: DataFrame, key: str, text_cols: list[str], seq_len: int = S.SEQ_LEN) -> DataFrame:
     """(key, <col>_ids ...) truncated to ``seq_len`` and right-padded with PAD_ID.
 
-    ``key`` must be unique per row. The input is read twice: once for the
-    vocabulary (every token of every column in one explode) and once for the
-    lookup, where each row becomes one (field, pos, token) row per head token
-    plus one marker row, so a row without tokens still comes back without a
-    join to the input. Head tokens meet the vocabulary in one equi-join on
-    the token and regroup by key (at most ``seq_len`` ids per field).
+    ``key`` must be unique per row. The texts are tokenised once for the
+    vocabulary and once for the ``lookup``, where each row becomes one (field,
+    pos, token) row per head token plus one marker row, so a row without tokens
+    comes back without a join to the input; the ids regroup by key (at most
+    ``seq_len`` per field).
     """
     tok_names = [f"_t{i}" for i in range(len(text_cols))]
     # a NULL text has no tokens (an empty array: concat would turn the whole
@@ -52,18 +54,14 @@ def encode(df: DataFrame, key: str, text_cols: list[str], seq_len: int = S.SEQ_L
     every = toks.select(F.explode(F.concat(*[F.col(t) for t in tok_names])).alias("token"))
     vocab = vocabulary(every)
 
-    item = "struct<f:int,pos:int,token:string>"
-    # the marker's join key is the row's own key: markers spread over the
-    # join's partitions like their rows (a shared NULL key would send them all
-    # to one partition); a marker's id is never used, so a match is harmless
-    marker = F.array(F.struct(F.lit(-1).alias("f"), F.lit(-1).alias("pos"),
-                              F.concat(F.lit("\u0000"), F.col(key).cast("string")).alias("token")))
     def tagged(f: int):
         return lambda x, i: F.struct(F.lit(f).alias("f"), i.alias("pos"), x.alias("token"))
 
+    item = "struct<f:int,pos:int,token:string>"
+    marker = F.array(F.struct(F.lit(-1).alias("f"), F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("token")))
     heads = [F.transform(F.slice(F.col(t), 1, seq_len), tagged(f)) for f, t in enumerate(tok_names)]
     exploded = toks.select(key, F.inline(F.concat(marker, *heads).cast(f"array<{item}>")))
-    ids = exploded.join(vocab.select("token", "tok_id"), "token", "left")
+    ids = lookup(exploded, vocab, key)
     per_key = ids.groupBy(key).agg(*[
         F.sort_array(F.collect_list(F.when(F.col("f") == f, F.struct("pos", "tok_id")))).alias(f"_s{f}")
         for f in range(len(text_cols))])
@@ -73,6 +71,23 @@ def encode(df: DataFrame, key: str, text_cols: list[str], seq_len: int = S.SEQ_L
     return per_key.select(key, *cols)
 
 
+def lookup(rows: DataFrame, vocab: DataFrame, key: str, token: str = "token") -> DataFrame:
+    """``rows`` with the ``tok_id`` of their token (NULL for a NULL token).
+
+    ``vocab`` ranks by frequency, so its first ``HEAVY`` ids are the heavy
+    hitters; those of at most ``HEAVY_BYTES`` bytes are broadcast. Rows they
+    answer go through the shuffle under their row's own key, so that no
+    frequent token is a join key; a longer token joins like the rare ones."""
+    heavy = (F.col("tok_id") <= HEAVY) & (F.octet_length(token) <= HEAVY_BYTES)
+    top = F.broadcast(vocab.filter(heavy).select(F.col(token).alias("_top"), F.col("tok_id").alias("_heavy")))
+    at = rows.join(top, F.col(token) == F.col("_top"), "left").drop("_top")
+    rare = F.col("_heavy").isNull() & F.col(token).isNotNull()
+    at = at.withColumn("_by", F.when(rare, F.col(token)).otherwise(F.concat(F.lit("\u0000"), F.col(key).cast("string"))))
+    rest = vocab.filter(~heavy).select(F.col(token).alias("_by"), "tok_id")
+    found = F.coalesce("_heavy", F.when(F.col(token).isNotNull(), F.col("tok_id"))).alias("tok_id")
+    return at.join(rest, "_by", "left").select(*rows.columns, found)
+
+
 def truncation_report(df: DataFrame, lang: str, texts: list[str], seq_len: int = S.SEQ_LEN) -> DataFrame:
     """M2: rows, and rows cut at ``seq_len`` tokens on each side, per language."""
     def cut(c):
