@@ -9,7 +9,7 @@ from paraspark.llm.components import connected_components
 from tests.llm.helpers import docs
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """Components by comparing every two full shingle sets."""
     sets = {}
     for i, t in rows:
@@ -25,7 +25,7 @@ def brute(rows):
     for x, a in enumerate(ids):
         for b in ids[x + 1:]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     return {i: (len(s), find(i)) for i, s in sets.items()}
