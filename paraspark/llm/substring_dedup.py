@@ -28,6 +28,7 @@ differ; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 
 import numpy as np
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 
 from paraspark.llm.common import WS, checkpointed, key_table, map_arrow, per_group, table, text_or_empty
 from paraspark.plans.registry import register
+from paraspark.session import remove_folder, shared_path
 
 WINDOW = 50
 #: Words of an anchor gram: half a window.
@@ -227,11 +229,17 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # about one anchor per 13 words of 6 bytes or more
     want = LOAD * size // (6 * (WINDOW - GRAM + 2) // 2) + 1
     bits = int(min(max(want, MIN_CELLS), MAX_CELLS) - 1).bit_length()
-    windows = _estimated_repeated(docs, repeated_cells(docs, bits), bits)
+    spark = docs.sparkSession
+    # both readers of the windows read them as written; the texts are hashed once
+    folder = shared_path(spark, f"windows-{uuid.uuid4().hex}")
+    _estimated_repeated(docs, repeated_cells(docs, bits), bits).write.parquet(folder)
+    windows = spark.read.parquet(folder)
     first = checkpointed(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
                          .filter("first_id < last_id").select("h1", "h2", "first_id"))
     late = windows.join(first, ["h1", "h2"]).filter("doc_id > first_id")
-    return late.groupBy("doc_id", "k").agg(F.collect_set("pos").alias("starts"))
+    marked = checkpointed(late.groupBy("doc_id", "k").agg(F.collect_set("pos").alias("starts")))
+    remove_folder(spark, folder)
+    return marked
 
 
 def _result(rows: DataFrame, with_text: bool) -> DataFrame:
@@ -272,7 +280,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies, fits = key_table(same.join(classes, "sequence").filter("doc_id > first_id").select("doc_id", "k").distinct())
     # too many copies to broadcast: they go through the windows like any other, with the same result
     once = keyed.join(copies, ["doc_id", "k"], "left_anti") if fits else keyed
-    late = checkpointed(repeated_windows(once))
+    late = repeated_windows(once)
     marks = late.select("doc_id", "k", F.lit(False).alias("copy"), F.col("starts"))
     if fits:
         marks = marks.unionByName(copies.select("doc_id", "k", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts")))
