@@ -28,11 +28,6 @@ def count_by(df: DataFrame, *keys: str, drop_null: bool = False, name: str = "co
             .orderBy(F.desc(name), *keys))
 
 
-def repeated_keys(df: DataFrame, keys: list[str], name: str = "occurrences") -> DataFrame:
-    """key combinations seen more than once."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) > 1))
-
-
 def five_number(df: DataFrame, col: str) -> DataFrame:
     """F8: count, mean, sample stddev, min, max (numeric columns)."""
     x = F.col(col)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paraspark import schemas as S
 from paraspark.functions import text as T
+from paraspark.operators.digest import DIGEST, key_digest, repeated_keys
 from paraspark.operators.ranking import with_row_index
 
 FIELDS = S.PAIR_COLUMNS
@@ -85,15 +86,17 @@ def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str], winner: st
 
     Of new rows with the same key one goes in: the smallest by ``winner`` (a
     column) and then by all columns, so the key stays unique. Keys with a NULL
-    never match (SQL UNIQUE semantics): such rows are all inserted."""
+    never match (SQL UNIQUE semantics): such rows are all inserted. Keys meet by
+    digest: of the old rows 32 bytes each are shuffled, never their texts."""
     rest = [c for c in old.columns if c not in keys]
     has_null = F.lit(False)
     for k in keys:
         has_null = has_null | F.col(k).isNull()
     order = F.struct(*([winner] if winner else []), *[c for c in rest if c != winner]) if rest else F.lit(0)
-    once = (new.filter(~has_null).groupBy(*keys).agg(F.min(order).alias("_row"))
-            .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]))
-    added = once.join(old.select(*keys).dropDuplicates(keys), keys, "left_anti")
+    once = (new.filter(~has_null).withColumn(DIGEST, key_digest(keys)).groupBy(DIGEST)
+            .agg(F.min(F.struct(order.alias("_order"), F.struct(*keys).alias("_keys"))).alias("_row"))
+            .select(DIGEST, *[F.col("_row._keys")[k].alias(k) for k in keys], *[F.col(f"_row._order.{c}").alias(c) for c in rest]))
+    added = once.join(old.select(key_digest(keys).alias(DIGEST)), DIGEST, "left_anti").drop(DIGEST)
     return (old.unionByName(added.select(*old.columns))
             .unionByName(new.filter(has_null).select(*old.columns)))
 
@@ -144,10 +147,10 @@ def create_rows(table: DataFrame, new_rows: DataFrame, order_cols: list,
     return table.unionByName(created.select(*table.columns)), created
 
 
-def duplicate_keys(df: DataFrame, keys: list[str] = FIELDS) -> DataFrame:
-    """Keys that occur more than once among rows without NULLs (must be empty)."""
-    return (df.na.drop(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences"))
-            .filter(F.col("occurrences") > 1))
+def duplicate_keys(df: DataFrame, keys: list[str] = FIELDS, row_key: str | None = None) -> DataFrame:
+    """Keys that occur more than once among rows without NULLs (must be
+    empty); with a unique ``row_key`` no text is shuffled."""
+    return repeated_keys(df.na.drop(subset=keys), keys, row_key=row_key)
 
 
 # -------------------------------------------------------------- H: ordering

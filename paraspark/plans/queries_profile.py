@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paraspark import schemas as S
 from paraspark.operators import corpus as CO
 from paraspark.operators import dialogue as D
+from paraspark.operators import digest as DG
 from paraspark.operators import profile as PR
 from paraspark.operators import table as TB
 from paraspark.plans import adapters as A
@@ -65,7 +66,7 @@ def f5_pairs_per_lang(spark, d):
 @register("f6_ambiguous_source", W(Q.TR, Q.TRN) + """SELECT source_lang, source_text, target_lang, count(*) AS occurrences
   FROM trn GROUP BY ALL HAVING count(*) > 1""")
 def f6_ambiguous_source(spark, d):
-    return PR.repeated_keys(_trn(spark, d), ["source_lang", "source_text", "target_lang"])
+    return DG.repeated_keys(_trn(spark, d), ["source_lang", "source_text", "target_lang"], row_key="id")
 
 
 @register("f7_total_pairs", W(Q.TURNS, Q.SAMPLES, Q.greedy_ctes(), Q.FLAT_PAIRS) + "SELECT count(*) AS total_pairs FROM flat")

@@ -144,7 +144,7 @@ def g6_create(spark, d):
   FROM trn WHERE source_lang IS NOT NULL AND source_text IS NOT NULL AND target_lang IS NOT NULL AND target_text IS NOT NULL
   GROUP BY ALL HAVING count(*) > 1""")
 def g7_unique_check(spark, d):
-    return TB.duplicate_keys(_trn(spark, d))
+    return TB.duplicate_keys(_trn(spark, d), row_key="id")
 
 
 # ------------------------------------------------------------------ H group

@@ -34,20 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
+from paraspark.operators.digest import DIGEST, key_digest
 from paraspark.session import remove_folder
 from paraspark.sources import loads as LD
 
-DIGEST, PREFIX, ARRIVED = "_digest", "_prefix", "_arrived"
+PREFIX, ARRIVED = "_prefix", "_arrived"
 #: Index folders: the digest's first six bits.
 PREFIXES = 64
 INDEX_SCHEMA = StructType([StructField(DIGEST, BinaryType()), StructField(PREFIX, IntegerType())])
 
 
-def key_digest(keys: list[str]) -> Column:
-    """SHA-256 of the null-safe key (NULL and '' stay distinct)."""
-    return F.unhex(F.sha2(F.to_json(F.struct(*[F.col(k) for k in keys])), 256))
-
-
 def digest_prefix(digest: str = DIGEST) -> Column:
     first = F.conv(F.substring(F.hex(F.col(digest)), 1, 2), 16, 10).cast("int")
     return F.floor(first * PREFIXES / 256).cast("int")
