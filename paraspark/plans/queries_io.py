@@ -105,19 +105,42 @@ def a3_csv_scan(spark, d):
     return R.read_csv(spark, path, TR_SCHEMA, escaped_breaks=True)
 
 
+@register("a3_csv_split", W(Q.TR) + "SELECT * FROM tr")
+@staged
+def a3_csv_split(spark, d):
+    """Foreign files with line breaks inside quoted fields, split at record borders."""
+    path = _fresh(spark, "a3s")
+    Wr.write_csv(A.translations(spark, d), path)
+    return R.read_csv(spark, path, TR_SCHEMA, split=True)
+
+
+def _scraped_documents(spark, d):
+    """Documents of at most 100 translations each."""
+    item = F.struct(F.col("source_lang"), F.col("source_text").alias("source"), F.col("target_lang"),
+                    F.col("target_text").alias("target"))
+    return (A.translations(spark, d).groupBy(F.floor(F.col("id") / 100).alias("doc"))
+            .agg(F.collect_list(item).alias("translations")).select("translations"))
+
+
 @register("a4_json_doc", W(Q.TR, Q.TRN) + "SELECT source_lang, source_text, target_lang, target_text FROM trn")
 @staged
 def a4_json_doc(spark, d):
     """Scraped documents (at most 100 translations each) -> one row per element."""
     path = _fresh(spark, "a4")
-    t = A.translations(spark, d)
-    item = F.struct(F.col("source_lang"), F.col("source_text").alias("source"), F.col("target_lang"),
-                    F.col("target_text").alias("target"))
-    docs = t.groupBy(F.floor(F.col("id") / 100).alias("doc")).agg(F.collect_list(item).alias("translations"))
-    docs.select("translations").write.json(path)
+    _scraped_documents(spark, d).write.json(path)
     return R.read_scraped(spark, path)
 
 
+@register("a4_json_doc_split", W(Q.TR, Q.TRN) + "SELECT source_lang, source_text, target_lang, target_text FROM trn")
+@staged
+def a4_json_doc_split(spark, d):
+    """The same documents in the reference's layout (elements found by nesting
+    depth, not by line), split inside files."""
+    path = _fresh(spark, "a4s")
+    _scraped_documents(spark, d).write.json(path)
+    return R.read_scraped(spark, path, multiline=True)
+
+
 @register("a5_json_blocks", FLAT + "SELECT source_lang, source_text, target_lang, target_text FROM flat")
 @staged
 def a5_json_blocks(spark, d):
@@ -126,6 +149,18 @@ def a5_json_blocks(spark, d):
     return R.read_blocks(spark, path)
 
 
+@register("a5_json_blocks_split", FLAT + "SELECT source_lang, source_text, target_lang, target_text FROM flat")
+@staged
+def a5_json_blocks_split(spark, d):
+    """Blocks as JSON arrays (the reference's layout), split inside files."""
+    path = _fresh(spark, "a5s")
+    blocks = P.chat_to_pairs(A.raw_mix(spark, d)).select(F.to_json(F.struct("pairs", "direction")).alias("b"))
+    # arrays of the blocks whose digest begins alike
+    arrays = blocks.groupBy(F.substring(F.md5("b"), 1, 2).alias("g")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("b"), ",\n"), F.lit("]")).alias("value"))
+    arrays.select("value").write.text(path)
+    return R.read_blocks(spark, path, multiline=True)
+
+
 def _records(spark, d):
     return CO.training_records(_trn(spark, d))
 
