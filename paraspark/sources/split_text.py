@@ -41,9 +41,12 @@ _PARTS = "file STRING, block LONG, kind INT, first BOOLEAN, text STRING"
 
 
 def _pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """``file, block, at, value``: pieces in file order inside each split."""
+    """``file, block, at, value``: pieces in file order inside each split;
+    ``file`` is JSON text of the path and the folder columns."""
     t = spark.read.option("lineSep", separator).text(path)
-    return t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    folders = [c for c in t.columns if c != "value"]
+    file = F.to_json(F.struct(F.col("_metadata.file_path").alias("_path"), *[F.col(f"`{c}`").cast("string").alias(c) for c in folders]))
+    return t.select(file.alias("file"), F.col("_metadata.file_block_start").alias("block"),
                     F.monotonically_increasing_id().alias("at"), "value")
 
 
@@ -61,23 +64,23 @@ def _with_starts(pieces: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def _records(parts: DataFrame, separator: str) -> DataFrame:
-    """``first, text`` of the whole records and of those put together from
-    parts; ``first``: the first of its file."""
+    """``file, first, text`` of the whole records and of those put together
+    from parts; ``first``: the first of its file."""
     border = parts.filter(F.col("kind") != WHOLE)
     # a part belongs to the record that the last beginning before it has begun
     number = F.sum((F.col("kind") == BEGINS).cast("int")).over(
         Window.partitionBy("file").orderBy("block", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     joined = (border.withColumn("record", number).groupBy("file", "record")
               .agg(F.sort_array(F.collect_list(F.struct("block", "kind", "text"))).alias("p"), F.max("first").alias("first"))
-              .select("first", F.array_join(F.transform("p", lambda x: x["text"]), separator).alias("text")))
-    return parts.filter(F.col("kind") == WHOLE).select("first", "text").unionByName(joined)
+              .select("file", "first", F.array_join(F.transform("p", lambda x: x["text"]), separator).alias("text")))
+    return parts.filter(F.col("kind") == WHOLE).select("file", "first", "text").unionByName(joined)
 
 
 # ------------------------------------------------------------------- CSV
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
-    """``first, text``: the logical records of CSV files; ``first`` marks each
-    file's header."""
+    """``file, first, text``: the logical records of CSV files; ``first`` marks
+    each file's header."""
     lines = _pieces(spark, path, "\n")
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     totals = lines.groupBy("file", "block").agg(F.sum(quotes).alias("quotes"))
@@ -108,12 +111,14 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
 
     parts = _with_starts(lines, starts).select("file", "block", "value", "open").mapInArrow(cut, _PARTS)
     # CRLF files: the line feed was the separator
-    return _records(parts, "\n").select("first", F.regexp_replace("text", "\r$", "").alias("text"))
+    return _records(parts, "\n").select("file", "first", F.regexp_replace("text", "\r$", "").alias("text"))
 
 
-def read_csv_split(spark: SparkSession, path: str, schema: StructType | str, header: list[str] | None = None) -> DataFrame:
+def read_csv_split(spark: SparkSession, path: str, schema: StructType | str, header: list[str] | None = None,
+                   folders: StructType | None = None) -> DataFrame:
     """A3: the rows a ``multiLine`` scan with header gives, from many tasks a
-    file. With ``header`` every file's header must name these columns."""
+    file. With ``header`` every file's header must name these columns;
+    ``folders`` are the columns that come from folder names."""
     want = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
     records = csv_records(spark, path)
@@ -125,8 +130,10 @@ def read_csv_split(spark: SparkSession, path: str, schema: StructType | str, hea
         records = records.filter(F.when(F.col("first"), F.when(F.coalesce(fits, F.lit(False)), F.lit(False)).otherwise(bad.cast("boolean"))).otherwise(F.lit(True)))
     else:
         records = records.filter(~F.col("first"))
-    rows = records.filter(F.col("text") != "").select(F.from_csv("text", _ddl(want), options).alias("r"))
-    return rows.select("r.*")
+    rows = records.filter(F.col("text") != "")
+    if folders:
+        return rows.select(F.from_csv("text", _ddl(want), options).alias("r"), F.from_json("file", _ddl(folders)).alias("f")).select("r.*", "f.*")
+    return rows.select(F.from_csv("text", _ddl(want), options).alias("r")).select("r.*")
 
 
 def _ddl(schema: StructType) -> str:
