@@ -3,10 +3,13 @@ I (set operations) and J (validation) over the translation table."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paraspark import schemas as S
 from paraspark.operators import corpus as CO
+from paraspark.operators import stored as ST
 from paraspark.operators import table as TB
 from paraspark.operators.ranking import with_row_index
 from paraspark.plans import adapters as A
@@ -14,6 +17,7 @@ from paraspark.plans import pipelines as P
 from paraspark.plans import sqltext as Q
 from paraspark.plans.queries_text import lines
 from paraspark.plans.registry import register
+from paraspark.session import remove_folder, shared_path
 
 W = Q.with_
 FIELDS = S.PAIR_COLUMNS
@@ -86,17 +90,40 @@ ch AS (SELECT id, source_lang, source_text, target_lang, target_text FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM ch_all) WHERE rn = 1)"""
 
 
-@register("g4_update_by_key", W(Q.TR, Q.TRN, CHANGES_SQL) + """SELECT t.id,
+G4_SQL = W(Q.TR, Q.TRN, CHANGES_SQL) + """SELECT t.id,
   CASE WHEN c.id IS NOT NULL THEN c.source_lang ELSE t.source_lang END AS source_lang,
   CASE WHEN c.id IS NOT NULL THEN c.source_text ELSE t.source_text END AS source_text,
   CASE WHEN c.id IS NOT NULL THEN c.target_lang ELSE t.target_lang END AS target_lang,
   CASE WHEN c.id IS NOT NULL THEN c.target_text ELSE t.target_text END AS target_text
-  FROM trn t LEFT JOIN ch c ON c.id = t.id""")
+  FROM trn t LEFT JOIN ch c ON c.id = t.id"""
+
+
+@register("g4_update_by_key", G4_SQL)
 def g4_update_by_key(spark, d):
     new_table, _ = TB.update_by_key(_trn(spark, d), _changes(spark, d), order="seq")
     return new_table
 
 
+def _in_place(spark, d, change):
+    """The table after ``change(path)``, written in key ranges for this."""
+    path = shared_path(spark, f"stored-{uuid.uuid4().hex[:12]}")
+    ST.write_ranges(_trn(spark, d), path, width=STORED_WIDTH)
+    change(path)
+    out = ST.read_ranges(spark, path, S.TRANSLATION_SCHEMA).checkpoint(eager=True)
+    remove_folder(spark, path)
+    return out
+
+
+#: keys of a folder of the stored table
+STORED_WIDTH = 2_000
+
+
+@register("g4_update_stored", G4_SQL)
+def g4_update_stored(spark, d):
+    """The same changes in place: only the folders of changed keys are rewritten."""
+    return _in_place(spark, d, lambda path: ST.update_stored(spark, path, _changes(spark, d), S.TRANSLATION_SCHEMA, order="seq", width=STORED_WIDTH))
+
+
 @register("g4_updated_rows", W(Q.TR, Q.TRN, CHANGES_SQL) + f"SELECT c.* FROM ch c WHERE c.id IN (SELECT id FROM trn)")
 def g4_updated_rows(spark, d):
     _, updated = TB.update_by_key(_trn(spark, d), _changes(spark, d), order="seq")
@@ -113,6 +140,12 @@ def g5_delete_by_key(spark, d):
     return remaining
 
 
+@register("g5_delete_stored", W(Q.TR, Q.TRN) + f"SELECT {COLS} FROM trn WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def g5_delete_stored(spark, d):
+    """The same deletion in place."""
+    return _in_place(spark, d, lambda path: ST.delete_stored(spark, path, _deleted_keys(spark, d), S.TRANSLATION_SCHEMA, width=STORED_WIDTH))
+
+
 @register("g5_deleted_rows", W(Q.TR, Q.TRN) + f"SELECT {COLS} FROM trn WHERE id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def g5_deleted_rows(spark, d):
     _, deleted = TB.delete_by_key(_trn(spark, d), _deleted_keys(spark, d))
