@@ -12,6 +12,8 @@ from paraspark.operators.digest import digest_groups
 from paraspark.operators.ranking import with_row_index
 
 FIELDS = S.PAIR_COLUMNS
+#: Rows that the split ranks in one task at most.
+RANKED = 100_000
 
 
 def escape_breaks(c: Column) -> Column:
@@ -81,11 +83,13 @@ def split_train_test(df: DataFrame, key: str, test_fraction: float = S.TEST_FRAC
     """H4: adds ``split`` in {train, test}; the first ceil(f*n) rows by
     (md5(seed:key), key) are test. Deterministic, disjoint, exact size.
 
-    Only the boundary is needed: rows are counted by the first four hex digits
-    of the hash (at most 65,536 counts), the group that holds the ceil(f*n)-th
-    row is found, and only that group is ranked; one row is read back to the
-    driver and membership is a per-row comparison, so the table is neither
-    sorted, numbered nor shuffled. ``key`` must be unique and non-null.
+    Only the boundary is needed: rows are counted by the next four hex digits
+    of the hash (at most 65,536 counts) within the group that holds the
+    ceil(f*n)-th row, as often as that group has more than ``RANKED`` rows (a
+    second time from about 6 * 10^9 rows on), and only the last group is
+    ranked; one row is read back to the driver and membership is a per-row
+    comparison, so the table is neither sorted, numbered nor shuffled. ``key``
+    must be unique and non-null.
     """
     n = df.count()
     n_test = -(-int(round(test_fraction * n * 1_000_000)) // 1_000_000)  # ceil without float drift
@@ -93,12 +97,15 @@ def split_train_test(df: DataFrame, key: str, test_fraction: float = S.TEST_FRAC
     if n_test <= 0:
         return df.withColumn("split", F.lit("train"))
     keys = df.select(h.alias("_h"), F.col(key).alias("_k"))
-    groups = keys.groupBy(F.substring("_h", 1, 4).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, 0))
-    hit = (groups.withColumn("_upto", upto).filter((F.col("_upto") >= n_test) & (F.col("_upto") - F.col("_n") < n_test))
-           .first())
-    inside = n_test - (hit["_upto"] - hit["_n"])
-    edge = (keys.filter(F.substring("_h", 1, 4) == hit["_g"])
+    prefix, inside, size = "", n_test, n
+    while size > RANKED and len(prefix) < 32:
+        near = keys.filter(F.startswith("_h", F.lit(prefix)))
+        groups = near.groupBy(F.substring("_h", len(prefix) + 1, 4).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, 0))
+        hit = (groups.withColumn("_upto", upto).filter((F.col("_upto") >= inside) & (F.col("_upto") - F.col("_n") < inside))
+               .first())
+        prefix, inside, size = prefix + hit["_g"], inside - (hit["_upto"] - hit["_n"]), hit["_n"]
+    edge = (keys.filter(F.startswith("_h", F.lit(prefix)))
             .withColumn("_rank", F.row_number().over(Window.orderBy("_h", "_k"))).filter(F.col("_rank") == inside).first())
     in_test = (h < F.lit(edge["_h"])) | ((h == F.lit(edge["_h"])) & (F.col(key) <= F.lit(edge["_k"])))
     return df.withColumn("split", F.when(in_test, F.lit("test")).otherwise(F.lit("train")))

@@ -137,3 +137,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float],
         v_hi = F.max(F.when(at(hi), F.col("_v")))
         cols.append((v_lo + F.lit(frac) * (v_hi - v_lo)).alias(name))
     return picked.agg(*cols)
+
+
+def approx_quantiles(df: DataFrame, value: str, probs: list[float], rank_error: float = 0.001) -> DataFrame:
+    """F9 by a mergeable sketch, one pass and no shuffle of the values: each
+    quantile's rank is within ``rank_error`` of the wanted one (as a share of
+    all rows). The sketch of a task holds about ``1 / rank_error`` values."""
+    names = [f"q{round(p * 100):02d}" for p in probs]
+    found = F.percentile_approx(F.col(value).cast("double"), probs, int(-(-1 // rank_error)))
+    return df.agg(found.alias("q")).select(*[F.col("q")[i].alias(n) for i, n in enumerate(names)])

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paraspark import schemas as S
 from paraspark.functions import lang as L
 from paraspark.functions import text as T
+from paraspark.operators import search as SE
 from paraspark.operators import table as TB
 from paraspark.plans import adapters as A
 from paraspark.plans import pipelines as P
 from paraspark.plans import sqltext as Q
 from paraspark.plans.registry import register
+from paraspark.session import remove_folder, shared_path
 
 W = Q.with_
 
@@ -183,7 +187,21 @@ def c13_non_blank(spark, d):
                                                T.strip_ws("raw").alias("line"))
 
 
-@register("c14_text_search", W(Q.TR, Q.TRN) + """SELECT id FROM trn
-  WHERE coalesce(contains(lower(source_text), 'the') OR contains(lower(target_text), 'the'), false) AND source_lang = 'en'""")
+C14_SQL = W(Q.TR, Q.TRN) + """SELECT id FROM trn
+  WHERE coalesce(contains(lower(source_text), 'the') OR contains(lower(target_text), 'the'), false) AND source_lang = 'en'"""
+
+
+@register("c14_text_search", C14_SQL)
 def c14_text_search(spark, d):
     return TB.text_search(_trn(spark, d), "The", source_lang="en").select("id")
+
+
+@register("c14_text_search_indexed", C14_SQL)
+def c14_text_search_indexed(spark, d):
+    """The same search by a trigram index built for it."""
+    path = shared_path(spark, f"trigrams-{uuid.uuid4().hex[:12]}")
+    rows = _trn(spark, d)
+    SE.write_index(rows, path)
+    out = SE.text_search_indexed(rows, spark.read.parquet(path), "The", source_lang="en").select("id").checkpoint(eager=True)
+    remove_folder(spark, path)
+    return out

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from paraspark.operators import corpus as CO
@@ -68,3 +69,27 @@ def test_running_total(spark):
     for k, w in rows:
         acc += w
         assert got[k] == acc
+
+
+@pytest.mark.parametrize("ranked", [1, 5, 100_000])
+def test_split_in_digit_steps(spark, monkeypatch, ranked):
+    """The boundary is the same however often the rows are counted by digits."""
+    import hashlib
+
+    from paraspark.operators import corpus as CO
+    monkeypatch.setattr(CO, "RANKED", ranked)
+    got = {r["id"] for r in CO.split_train_test(spark.range(300), "id", 0.1, 42).filter("split = 'test'").collect()}
+    assert got == set(sorted(range(300), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))[:30])
+
+
+def test_approximate_quantiles_keep_their_rank_error(spark):
+    from paraspark.operators.ranking import approx_quantiles
+    r = random.Random(5)
+    values = sorted(r.choice([r.randrange(50), r.randrange(10**6)]) for _ in range(40_000))
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v LONG").repartition(7)
+    probs = [0.01, 0.25, 0.5, 0.75, 0.99]
+    for error in (0.05, 0.002):
+        for p, q in zip(probs, approx_quantiles(df, "v", probs, error).first()):
+            low, high = np.searchsorted(values, q, "left"), np.searchsorted(values, q, "right")
+            assert low / len(values) - error <= p <= high / len(values) + error
+    assert list(approx_quantiles(df.limit(0), "v", probs).first()) == [None] * 5
