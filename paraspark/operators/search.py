@@ -9,7 +9,7 @@ three characters has no trigram; it is searched by the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paraspark.operators import table as TB
@@ -20,10 +20,11 @@ FOLDERS = 256
 
 def trigrams(text: Column) -> Column:
     """Distinct runs of three characters (NULL and short texts: none)."""
+    # neighbours are zipped, so the text is taken apart three times and not once per character
     chars = F.split(text, "")
-    n = F.size(chars) - 2
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
-    return F.when(n > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    pairs = F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda x, y: F.concat(x, y))
+    runs = F.zip_with(pairs, F.slice(chars, 3, F.size(chars)), lambda x, y: F.concat(x, y))
+    return F.array_distinct(F.array_compact(runs))
 
 
 def _bucket(gram: Column) -> Column:
@@ -38,6 +39,10 @@ def write_index(df: DataFrame, path: str, key: str = "id", cols: tuple[str, ...]
     rows.repartition(FOLDER).sortWithinPartitions(FOLDER, "gram").write.mode(mode).partitionBy(FOLDER).parquet(path)
 
 
+def read_index(spark: SparkSession, path: str, key: str = "id", key_type: str = "LONG") -> DataFrame:
+    return spark.read.schema(f"gram STRING, `{key}` {key_type}, {FOLDER} INT").parquet(path)
+
+
 def candidates(index: DataFrame, needle: str, key: str = "id") -> DataFrame:
     """Keys whose texts have all trigrams of ``needle`` (three characters or more)."""
     spark = index.sparkSession

@@ -202,6 +202,6 @@ def c14_text_search_indexed(spark, d):
     path = shared_path(spark, f"trigrams-{uuid.uuid4().hex[:12]}")
     rows = _trn(spark, d)
     SE.write_index(rows, path)
-    out = SE.text_search_indexed(rows, spark.read.parquet(path), "The", source_lang="en").select("id").checkpoint(eager=True)
+    out = SE.text_search_indexed(rows, SE.read_index(spark, path), "The", source_lang="en").select("id").checkpoint(eager=True)
     remove_folder(spark, path)
     return out

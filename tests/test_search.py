@@ -19,7 +19,7 @@ def tables(spark, tmp_path_factory):
     df = spark.createDataFrame(rows, SCHEMA)
     path = str(tmp_path_factory.mktemp("index") / "i")
     SE.write_index(df, path)
-    return df, spark.read.parquet(path)
+    return df, SE.read_index(spark, path)
 
 
 @pytest.mark.parametrize("needle", ["a", "é", "AB", "lam", "ÉTÉ", "本語", "日本語", "حبا", "%b_", "ssE", "straße", "x" * 40, "m É", "no such text", "xxx", "çaab"])
