@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from paraspark.llm.common import map_arrow, table
 from paraspark.plans.registry import register
 
-# FIXED VALUES: element names of the HTML standard by how they are shown, and
-# the words sites use in class and id attributes for what is not the article.
+# FIXED VALUES: element names of the HTML standard by how they are shown.
+# Parameters: the words sites use in class and id attributes for what is not the article.
 RAW = "script style noscript iframe textarea title".split()
 #: Ordinary elements whose text is not the page's.
 HIDDEN = set("svg select button object canvas template".split())
@@ -54,10 +55,13 @@ AWAY_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sp
 PLAIN = set("li td th dd dt div section figcaption caption".split())
 HOME_WORDS = set("article content entry post story main body text".split())
 
+# an attribute: a name, and a value in quotes or up to the next white space
+_VALUE = r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-                    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+                    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/><]*+)(?P<attrs>(?:[\s/]++|[^\s/>=<]++(?:" + _VALUE + r")?+|=)*+)>", re.S | re.I)
+_ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_SPEAKING = {"class", "id", "role", "style", "aria-hidden", "hidden"}
 _NAME_WORDS = re.compile(r"[a-z]+")
 _SAME = {t: re.compile(rf"<(/?){t}\b", re.I) for t in HIDDEN}
 
@@ -67,10 +71,26 @@ STRONG, LENT = 1.0, 2.0
 
 
 class Block:
-    __slots__ = ("text", "tag", "path", "away", "home", "links", "top")
+    """``node``: the block element that holds the text (-1: none), ``top``:
+    how many of its ancestors are html or body."""
+    __slots__ = ("text", "tag", "node", "away", "home", "links", "top")
 
-    def __init__(self, text, tag, path, away, home, links, top):
-        self.text, self.tag, self.path, self.away, self.home, self.links, self.top = text, tag, path, away, home, links, top
+    def __init__(self, text, tag, node, away, home, links, top):
+        self.text, self.tag, self.node, self.away, self.home, self.links, self.top = text, tag, node, away, home, links, top
+
+
+class _Open(NamedTuple):
+    """An open element and what it and its ancestors say together."""
+    tag: str
+    node: int            # of the nearest block element
+    away: int
+    home: int
+    linked: bool
+    article: bool
+    top: int
+
+
+_ROOT = _Open("body", -1, 0, 0, False, False, 0)
 
 
 def _judge(tag: str, attrs: str, in_article: bool) -> tuple[int, int]:
@@ -82,6 +102,8 @@ def _judge(tag: str, attrs: str, in_article: bool) -> tuple[int, int]:
         home = 2
     for name, *values in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), "".join(values).lower()
+        if name not in _SPEAKING:
+            continue
         if name in ("class", "id") and tag not in WHOLE:
             # name by name: "entry-content comments-closed" is the article, "ad-content" is not
             names = [set(_NAME_WORDS.findall(v)) for v in value.split()]
@@ -91,35 +113,41 @@ def _judge(tag: str, attrs: str, in_article: bool) -> tuple[int, int]:
         elif name == "role":
             away += value in AWAY_ROLES
             home += 2 * (value in ("main", "article"))
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or "display:none" in value.replace(" ", ""):
+        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             away += 2
     return away, home
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order with what their ancestors say."""
+def blocks(page: str) -> tuple[list[Block], list[int], list[int]]:
+    """Text blocks in page order with what their ancestors say, and the parent
+    and depth of every block element. One step per token, however deep."""
     out: list[Block] = []
-    stack: list[tuple] = []          # (tag, node number, away, home) of the open elements
-    hidden: list[tuple] = []         # (place on the stack, whether it is closed) of the open hidden elements
+    stack: list[_Open] = []
+    where: dict[str, list[int]] = {}   # places on the stack by tag
+    block_at: list[int] = []           # places of the open block elements
+    hidden: list[int] = []             # places of the open hidden elements
+    endless: list[int] = []            # those of them that are never closed
+    parents: list[int] = []
+    depths: list[int] = []
     parts: list[str] = []
     linked = 0
-    number = 0
 
     def flush():
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                own = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "body")
-                out.append(Block(text, own, tuple(s[1] for s in stack if s[0] in BLOCK), sum(s[2] for s in stack),
-                                 max((s[3] for s in stack), default=0), min(1.0, linked / len(text)),
-                                 sum(s[0] in ("html", "body") for s in stack)))
+                own = stack[block_at[-1]].tag if block_at else "body"
+                o = stack[-1] if stack else _ROOT
+                out.append(Block(text, own, o.node, o.away, o.home, min(1.0, linked / len(text)), o.top))
             parts, linked = [], 0
 
     def cut(place):
-        del stack[place:]
-        while hidden and hidden[-1][0] >= place:
-            hidden.pop()
+        while len(stack) > place:
+            where[stack.pop().tag].pop()
+        for places in (block_at, hidden, endless):
+            while places and places[-1] >= place:
+                places.pop()
 
     def say(text):
         nonlocal linked
@@ -127,7 +155,7 @@ def blocks(page: str) -> list[Block]:
             return
         text = _html.unescape(text)
         parts.append(text)
-        if any(s[0] == "a" for s in stack):
+        if stack and stack[-1].linked:
             linked += len(text)
 
     at = 0
@@ -142,46 +170,54 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m.group("end"):
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if hidden and 0 <= place < hidden[0][0]:
-                cut(hidden[0][0])        # the parent's end is theirs
+            place = where[tag][-1] if where.get(tag) else -1
+            if hidden and 0 <= place < hidden[0]:
+                cut(hidden[0])           # the parent's end is theirs
             if tag in BLOCK and not hidden:
                 flush()
             if place >= 0:
                 cut(place)
             continue
         # a hidden element that is never closed ends where a block begins
-        ends = tag in BLOCK or (tag in ("button", "select") and any(stack[i][0] == tag for i, _ in hidden))
-        never = next((i for i, closed in hidden if not closed), -1) if ends else -1
-        if never >= 0:
-            cut(never)
+        ends = tag in BLOCK or (tag in ("button", "select") and where.get(tag))
+        if ends and endless:
+            cut(endless[0])
         if tag == "br":
             parts.append(" ")
         if tag in BLOCK:
             if not hidden:
                 flush()
             # a block ends an open paragraph, with the inline elements in it
-            inner = hidden[-1][0] + 1 if hidden else 0
-            opened = [i for i in range(inner, len(stack)) if stack[i][0] in BLOCK]
-            if opened and stack[opened[-1]][0] == "p":
-                cut(opened[-1])
-            elif tag == "li" and opened and stack[opened[-1]][0] == "li":
-                cut(opened[-1])
+            if block_at and (not hidden or block_at[-1] > hidden[-1]):
+                inner = stack[block_at[-1]].tag
+                if inner == "p" or (tag == "li" and inner == "li"):
+                    cut(block_at[-1])
         if tag in HIDDEN:
             parts.append(" ")
         if tag not in VOID and not m.group("attrs").endswith("/"):
-            number += 1
+            o = stack[-1] if stack else _ROOT
+            place = len(stack)
+            where.setdefault(tag, []).append(place)
             if tag in HIDDEN:
                 same = _SAME[tag].search(page, at)
-                hidden.append((len(stack), bool(same and same.group(1))))
-                stack.append((tag, number, 0, 0))
+                hidden.append(place)
+                if not (same and same.group(1)):
+                    endless.append(place)
+                stack.append(o._replace(tag=tag))
                 continue
-            away, home = _judge(tag, m.group("attrs"), any(s[0] in ("article", "main") for s in stack))
-            stack.append((tag, number, away, home))
+            away, home = _judge(tag, m.group("attrs"), o.article)
+            node = o.node
+            if tag in BLOCK:
+                parents.append(node)
+                depths.append(depths[node] + 1 if node >= 0 else 1)
+                node = len(parents) - 1
+                block_at.append(place)
+            stack.append(_Open(tag, node, o.away + away, max(o.home, home), o.linked or tag == "a",
+                               o.article or tag in ("article", "main"), o.top + (tag in ("html", "body"))))
     if at < len(page):
         say(page[at:])
     flush()
-    return out
+    return out, parents, depths
 
 
 def content_score(b: Block, named: bool = True) -> float:
@@ -195,7 +231,7 @@ def content_score(b: Block, named: bool = True) -> float:
     return z - 3.0 * b.links + min(1.5, 0.5 * math.log1p(len(b.text) / 40))
 
 
-def scores(bs: list[Block]) -> list[float]:
+def scores(bs: list[Block], parents: list[int], depths: list[int]) -> list[float]:
     """Log-odds of all blocks of a page.
 
     Where most of the text that reads like an article lies outside the
@@ -211,35 +247,54 @@ def scores(bs: list[Block]) -> list[float]:
     inside: dict[int, float] = {}
     around: dict[int, list] = {}     # evidence, first and last strong block
     for i in strong:
-        path, top = bs[i].path, bs[i].top
-        for at in range(len(path) - 2, max(-1, len(path) - 4), -1):
-            if at == len(path) - 2 and at >= top:
-                inside[path[at]] = inside.get(path[at], 0.0) + z[i]
+        node = parents[bs[i].node] if bs[i].node >= 0 else -1
+        for step in range(2):
+            if node < 0:
+                break
+            if step == 0 and depths[node] > bs[i].top:
+                inside[node] = inside.get(node, 0.0) + z[i]
             else:
-                span = around.setdefault(path[at], [0.0, i, i])
+                span = around.setdefault(node, [0.0, i, i])
                 span[0], span[2] = span[0] + z[i], i
+            node = parents[node]
+    # per element: the most that it or an ancestor holds, and the nearest that a span lies around
+    most, near = [0.0] * len(parents), [-1] * len(parents)
+    for node, parent in enumerate(parents):  # parents come first
+        most[node] = max(inside.get(node, 0.0), most[parent] if parent >= 0 else 0.0)
+        near[node] = node if node in around else near[parent] if parent >= 0 else -1
     for i, b in enumerate(bs):
-        if not b.away and not b.home:
-            lent = [inside.get(node, 0.0) for node in b.path]
-            lent += [e for e, first, last in (around[node] for node in b.path if node in around) if first <= i <= last]
-            z[i] += min(LENT, 0.7 * max(lent, default=0.0))
+        if not b.away and not b.home and b.node >= 0:
+            lent = most[b.node]
+            node = near[b.node]
+            while node >= 0 and lent < LENT / 0.7:
+                e, first, last = around[node]
+                if first <= i <= last:
+                    lent = max(lent, e)
+                node = near[parents[node]] if parents[node] >= 0 else -1
+            z[i] += min(LENT, 0.7 * lent)
     return z
 
 
-def smoothness(bs: list[Block]) -> list[tuple[int, int, float]]:
+def smoothness(bs: list[Block], parents: list[int], depths: list[int]) -> list[tuple[int, int, float]]:
     """Edges between neighbours and between consecutive children of a parent."""
+    def up(node):
+        return parents[node] if node >= 0 else -1
+
+    def depth(node):
+        return depths[node] if node >= 0 else 0
+
     edges, last = [], {}
     for i, b in enumerate(bs):
         if i:
-            a = bs[i - 1]
-            common = 0
-            for x, y in zip(a.path, b.path):
-                if x != y:
-                    break
-                common += 1
-            apart = len(a.path) + len(b.path) - 2 * common
+            x, y, apart = bs[i - 1].node, b.node, 0
+            while x != y:  # to the nearest common ancestor
+                if depth(x) >= depth(y):
+                    x = up(x)
+                else:
+                    y = up(y)
+                apart += 1
             edges.append((i - 1, i, 1.2 / (1 + apart)))
-        parent = b.path[:-1]
+        parent = up(b.node)
         if last.get(parent, i - 1) != i - 1:
             edges.append((last[parent], i, 0.4))
         last[parent] = i
@@ -300,11 +355,11 @@ def min_cut(toward: list[float], edges: list[tuple[int, int, float]]) -> list[bo
 
 
 def main_text(page: str | None) -> str:
-    bs = blocks(page or "")
+    bs, parents, depths = blocks(page or "")
     if not bs:
         return ""
     # log-odds: the cheaper terminal capacity is sent straight through
-    keep = min_cut(scores(bs), smoothness(bs))
+    keep = min_cut(scores(bs, parents, depths), smoothness(bs, parents, depths))
     return "\n\n".join(b.text for b, k in zip(bs, keep) if k)
 
 

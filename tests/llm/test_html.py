@@ -117,3 +117,42 @@ def test_article_in_an_unnamed_container():
 def test_a_named_article_keeps_unnamed_blocks_out():
     p1, p2 = sentence(300, 1), sentence(300, 2)
     assert H.main_text(f"<article><p>{p1}</p><p>{p2}</p></article><div class='c1'><div>{sentence(120, 3)}</div></div>") == f"{p1}\n\n{p2}"
+
+
+def test_attribute_values_are_not_attributes():
+    """Only the standard's own attributes speak, by their full names; quotes
+    inside unquoted values are text."""
+    for mark in ('<p title="a hidden gem">', '<section aria-label="the hidden valley">', '<p data-role="dialog">', '<p data-id="share-3">',
+                 "<p data-class=sidebar>", '<p title="role=menu">', "<p x-hidden>", '<p alt="display:none">'):
+        assert H.main_text(f"<article><p>One</p>{mark}Two</p><p>Three</p></article>").split("\n\n") == ["One", "Two", "Three"], mark
+    assert H.main_text("<article><p>FIRST</p><p title=don't>SECOND</p><p>THIRD it's</p></article>") == "FIRST\n\nSECOND\n\nTHIRD it's"
+    for mark in ("<p hidden>", "<p HIDDEN=''>", '<p style="color:red; display: none">', "<div role=dialog>", "<p aria-hidden=true>", "<div class=sidebar>",
+                 "<div id='share-3'>", '<div title="it\'s > that" class="sidebar">'):
+        assert H.main_text(f"<article><p>One</p>{mark}Two</p></div><p>Three</p></article>").split("\n\n")[0::2] == ["One"] or \
+            "Two" not in H.main_text(f"<article><p>One</p>{mark}Two</p></div><p>Three</p></article>"), mark
+
+
+def test_broken_pages_take_linear_time():
+    import time
+    n = 100_000
+    pages = ["<article>" + "<b>x " * n, "<div>" * n + "x", "<div><p>some text</p>" * (n // 2), "<a " * n, "<svg>" * n, "<b>" * n + "</i></p>" * n,
+             "<a b=\"<c d='" * n, "<li>x" * n, "<button>x" * n]
+    for page in pages:
+        start = time.perf_counter()
+        H.main_text(page)
+        assert time.perf_counter() - start < 4, page[:30]
+
+
+def test_the_cut_changes_labels():
+    """A doubtful line between paragraphs of an article follows them, and a
+    doubtful line among boilerplate stays there, against the classifier's sign."""
+    p1, p2, line = sentence(300, 1), sentence(300, 2), "Short <a href='/x'>linked note</a>"
+    page = f"<article class='c1'><p>{p1}</p><div class='widget content'>x</div><div><a href='/y'>{sentence(40, 5)}</a> a</div><p>{p2}</p></article>"
+    changed = 0
+    for page in (page, f"<body><p>{p1}</p><div>{line}</div><p>{p2}</p></body>",
+                 f"<body><div class='sidebar'>{p1}</div><p>Go on</p><div class='sidebar'>{p2}</div><div class='nav'>{p1}</div></body>"):
+        bs, parents, depths = H.blocks(page)
+        z = H.scores(bs, parents, depths)
+        keep = H.min_cut(z, H.smoothness(bs, parents, depths))
+        changed += sum(k != (s > 0) for k, s in zip(keep, z))
+    assert changed
