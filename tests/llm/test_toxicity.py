@@ -78,19 +78,50 @@ def test_empty_table_and_stage(spark):
     assert None in kept and np.mean([(i not in kept) == bool(t) for i, t in truth.items()]) > 0.97
 
 
-def test_label_model_recovers_accuracies():
+def modelled(spark, votes, given):
+    """The label model over counted patterns, and each row's posterior."""
+    rows = [([int(g) for g in np.flatnonzero(v)], int(k)) for v, k in zip(votes, given)]
+    df = spark.createDataFrame(rows, "groups ARRAY<INT>, y INT").groupBy("groups", "y").count().withColumnRenamed("count", "n")
+    model = X.label_model(df.checkpoint(), votes.shape[1])
+    known = {}
+    return model, np.array([known.setdefault((tuple(g), k), X._posterior(model, g, k)) for g, k in rows])
+
+
+def test_label_model_recovers_accuracies(spark):
     """Votes drawn from known rates: the estimate comes close, and labels that
     were turned over are mostly put right."""
     rng = np.random.default_rng(2)
     n, fire = 20_000, np.array([0.7, 0.6, 0.5, 0.4])
     y = rng.random(n) < 0.2
     votes = np.where(y[:, None], rng.random((n, 4)) < fire, rng.random((n, 4)) < 0.01)
-    masks = (votes << np.arange(4)).sum(axis=1)
     given = np.where(rng.random(n) < 0.3, np.where(rng.random(n) < 0.02, ~y, y).astype(int), -1)
-    keys, back = np.unique(np.stack([masks, given], 1), axis=0, return_inverse=True)
-    post, p = X.label_model(keys[:, 0], keys[:, 1], np.bincount(back.ravel()).astype(float), 4)
-    assert abs(p["share"] - 0.2) < 0.05 and np.abs(p["fires_toxic"][:4] - fire).max() < 0.12
-    assert ((post[back.ravel()] > 0.5) == y).mean() > 0.95
+    model, post = modelled(spark, votes, given)
+    assert abs(model["share"] - 0.2) < 0.05 and np.abs(np.array(model["fires_toxic"][:4]) - fire).max() < 0.12
+    assert ((post > 0.5) == y).mean() > 0.95
+
+
+def test_forty_uncorrelated_voters_keep_forty_accuracies(spark):
+    rng = np.random.default_rng(4)
+    n, fire = 20_000, np.linspace(0.05, 0.4, 40)
+    y = rng.random(n) < 0.3
+    votes = np.where(y[:, None], rng.random((n, 40)) < fire, rng.random((n, 40)) < 0.005)
+    assert X.group_voters([list(np.flatnonzero(v)) for v in votes[:4000]], y[:4000].astype(int), 40).tolist() == list(range(40))
+    given = np.where(rng.random(n) < 0.2, y.astype(int), -1)
+    model, post = modelled(spark, votes, given)
+    # every voter has its own rate, in the right proportion to the others'
+    got = np.array(model["fires_toxic"][:40])
+    assert np.abs(got / got.mean() / (fire / fire.mean()) - 1).max() < 0.25 and np.corrcoef(got, fire)[0, 1] > 0.98
+    assert len(model["fires_toxic"]) == 41  # and silence
+    assert ((post > 0.5) == y).mean() > 0.85
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    rows, labels, truth = corpus(200)
+    many = [(r[0], r[1] + f" extra{k}") for r in rows[:3] for k in range(400)]
+    d = docs(spark, [(r[0], r[1]) for r in rows] + many).selectExpr("doc_id AS d_id", "text AS d_text")
+    sample = X.training_sample(d, X.training_labels(lab(spark, labels)))
+    ids = {i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5}
+    assert sample.count() == len(ids)
 
 
 def test_correlated_voters_share_a_group():
