@@ -1,159 +1,50 @@
 """Exact top-k inner product search by multi-resolution segment statistics.
 
 A vector is summarised, coarse to fine, by the mean and deviation of its
-segments. For segments of length l, ``sum(l * (mean*mean + dev*dev))`` bounds
-the inner product from above (so it bounds the distance from below); a pair
-whose bound is under the query's threshold cannot be among its best and drops
-out at the first level that shows it. Exact products are computed for the
-survivors only. The threshold is the k-th exact score over one block of
-candidates.
-
-Queries and candidates are packed into blocks of bounded size; every candidate
-block meets every query block once, and a task keeps the k best of each query
-it sees, so a query's rows that are shuffled are k per candidate block at most.
+segments; the summaries bound the inner product from above (so they bound the
+distance from below) and a pair whose bound is under the query's threshold,
+its k-th best score so far, drops out at the first level that shows it. Exact
+products are computed for the survivors only. Queries are dealt into blocks of
+bounded size, candidates into slices; see ``segments`` for both.
 
 Defined results: vectors that are NULL or empty or hold a NULL or non-finite
 component, and rows with a NULL id, take no part; of rows that share an id the
 smallest vector stays; a query meets vectors of its own length only, never its
 own id; ties go to the smaller id; fewer than k candidates are all returned; an
-empty table gives an empty result; other columns are ignored. Scores are exact
-while they stay below 2^53.
+empty table gives an empty result; other columns are ignored. Scores are
+64-bit integers, exact while the sum of products stays below 2^63.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import checkpointed, key_table, per_group, ship, table
+from paraspark.llm import segments as SG
+from paraspark.llm.common import checkpointed, key_table, table
 from paraspark.plans.registry import register
 
 K = 20
 SCALE = 64
 QUERY_EVERY = 20
-#: Segments per vector, level by level.
-LEVELS = (4, 16, 32)
-CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 1024
-
-
-def integer_vectors(rows: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
-    """``vec_id, v`` (whole numbers as doubles) of the rows that take part."""
-    v = F.col(vec_col)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    ints = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
-    return (rows.filter(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)).filter(~bad)
-            .select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v"))
-            .groupBy("vec_id").agg(F.min("v").alias("v")))
-
-
-def blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """``dim, block, ids, matrix``: vectors of one length packed by id hash."""
-    n, _ = key_table(vectors.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / size).alias("n_blocks")))
-    dealt = vectors.withColumn("dim", F.size("v")).join(n, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), "n_blocks"))
-
-    def pack(key, pdf):
-        pdf = pdf.sort_values("vec_id")
-        m = np.array(pdf.v.tolist(), dtype=np.float64)
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [pdf.vec_id.to_numpy(np.int64).tobytes()], "matrix": [m.tobytes()]})
-    return checkpointed(per_group(dealt.select("dim", "block", "vec_id", "v"), ["dim", "block"], pack,
-                                  "dim INT, block LONG, ids BINARY, matrix BINARY"))
-
-
-def summary(m: np.ndarray, segments: int) -> np.ndarray:
-    """Weighted means and deviations; the product of two rows bounds their
-    inner product from above."""
-    cuts = np.linspace(0, m.shape[1], min(segments, m.shape[1]) + 1).astype(int)
-    out = []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        part = m[:, a:b]
-        out += [part.mean(axis=1) * np.sqrt(b - a), part.std(axis=1) * np.sqrt(b - a)]
-    return np.stack(out, axis=1)
-
-
-def best_in_block(qids, q, low, ids, x, k: int):
-    """Top ``k`` of each query among one block (rows ``query, vec, score``);
-    ``low`` holds the queries' thresholds. ``ids`` ascend."""
-    alive = np.ones((len(q), len(x)), bool)
-    for segments in LEVELS:
-        cols = np.flatnonzero(alive.any(axis=0))
-        if not len(cols):
-            break
-        bound = summary(q, segments) @ summary(x[cols], segments).T
-        alive[:, cols] &= bound + 0.5 + 1e-9 * np.abs(bound) >= low[:, None]
-    cols = np.flatnonzero(alive.any(axis=0))
-    score = q @ x[cols].T
-    ids = ids[cols]
-    out_q, out_v, out_s = [], [], []
-    for r in range(len(q)):
-        hit = np.flatnonzero(alive[r, cols] & (score[r] >= low[r]) & (ids != qids[r]))
-        s = score[r, hit]
-        if len(hit) > k:
-            kth = np.partition(s, len(s) - k)[len(s) - k]
-            hit, s = hit[s >= kth], s[s >= kth]
-            order = np.argsort(-s, kind="stable")[:k]  # ids ascend: ties to the smaller
-            hit, s = hit[order], s[order]
-        out_q.append(np.full(len(hit), qids[r]))
-        out_v.append(ids[hit])
-        out_s.append(s)
-    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s).astype(np.int64)
-
-
-def _unpack(r):
-    return (np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_matrix, np.float64).reshape(-1, r.dim),
-            np.frombuffer(r.ids, np.int64), np.frombuffer(r.matrix, np.float64).reshape(-1, r.dim))
-
-
-def _thresholds(batches, k: int):
-    """The k-th best score of each query over one candidate block."""
-    for pdf in batches:
-        low = []
-        for r in pdf.itertuples():
-            qids = np.frombuffer(r.q_ids, np.int64)
-            kth = np.full(len(qids), -np.inf)
-            if r.ids is not None:
-                qids, q, ids, x = _unpack(r)
-                a, _, s = best_in_block(qids, q, kth, ids, x, k)
-                got = pd.Series(s).groupby(a).agg(["size", "min"])
-                full = got[got["size"] == k]["min"]
-                kth[np.searchsorted(qids, full.index)] = full
-            low.append(kth.tobytes())
-        yield pdf[["dim", "q_block", "q_ids", "q_matrix"]].assign(q_low=low)
-
-
-def _search(batches, k: int):
-    for pdf in batches:
-        for r in pdf.itertuples():
-            qids, q, ids, x = _unpack(r)
-            a, b, s = best_in_block(qids, q, np.frombuffer(r.q_low, np.float64), ids, x, k)
-            yield pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
-
-
-def _pairs(cand: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every candidate block beside every query block of its length."""
-    n = queries.groupBy("dim").agg((F.max("q_block") + 1).alias("n_q"))
-    c = cand.join(n, "dim").withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_q") - 1))).drop("n_q")
-    return c.join(queries, ["dim", "q_block"])
 
 
 def top_k(rows: DataFrame, query_filter, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows ``query_filter(vec_id)``
     selects as queries, against all rows."""
-    vectors = checkpointed(integer_vectors(rows, id_col, vec_col, scale))
-    cand = blocks(vectors, CANDIDATE_BLOCK)
-    queries = blocks(vectors.filter(query_filter(F.col("vec_id"))), QUERY_BLOCK).select(
-        "dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-
-    ship(rows.sparkSession)
-    # one block of candidates sets each query's threshold
-    low = (queries.join(cand.filter("block = 0").select("dim", "ids", "matrix"), "dim", "left")
-           .mapInPandas(lambda batches: _thresholds(batches, k), "dim INT, q_block LONG, q_ids BINARY, q_matrix BINARY, q_low BINARY"))
-    found = (_pairs(cand, checkpointed(low)).select("dim", "ids", "matrix", "q_ids", "q_matrix", "q_low")
-             .mapInPandas(lambda batches: _search(batches, k), "query_id LONG, vec_id LONG, score LONG"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    spark = rows.sparkSession
+    vecs = SG.vectors(rows, id_col, vec_col, F.lit(1), scale)
+    vecs = checkpointed(vecs.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", F.lit(1).cast("long").alias("label"), F.size("v").alias("dim"), "v"))
+    queries = vecs.filter(query_filter(F.col("vec_id")))
+    dims, _ = key_table(queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / SG.ANCHOR_BLOCK).cast("int").alias("n_blocks")))
+    block = F.pmod(F.xxhash64("vec_id"), "n_blocks").cast("int")
+    # any other row may be a result: queries and candidates differ in the label
+    queries = queries.join(dims, "dim").select("vec_id", F.lit(0).cast("long").alias("label"), "dim", "v", block.alias("block"),
+                                               F.array(F.lit(-SG.FAR), F.lit(SG.FAR)).alias("bounds"))
+    every = vecs.join(dims, "dim").select("vec_id", "label", "dim", "v", F.sequence(F.lit(0), F.col("n_blocks") - 1).alias("blocks"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = SG.dealt(queries, every, k, False, SG.slices_of(vecs.count(), tasks), tasks)
+    return SG.best(found, k).select(F.col("anchor_id").alias("query_id"), "rank", "vec_id", "score")
 
 
 @register("op1_segment_statistics_topk", f"""

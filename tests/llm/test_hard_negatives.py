@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from paraspark.llm import hard_negatives as H
+from paraspark.llm import segments as SG
 
 
 def frame(spark, rows):
@@ -48,8 +49,8 @@ def test_empty(spark):
 
 
 def test_many_blocks_and_a_hot_label(spark, monkeypatch):
-    monkeypatch.setattr(H, "ANCHOR_BLOCK", 3)
-    monkeypatch.setattr(H, "SLICE_LEAST", 40)
+    monkeypatch.setattr(SG, "ANCHOR_BLOCK", 3)
+    monkeypatch.setattr(SG, "SLICE_LEAST", 40)
     rng = np.random.default_rng(2)
     rows = [(i * 20, (rng.normal(0, 0.2, 20) + 0.1).tolist(), 7 if i % 2 else int(rng.integers(0, 40))) for i in range(400)]
     want = brute(rows)
@@ -67,8 +68,8 @@ def test_products_beyond_doubles(spark):
 def test_bounds_hold_the_score(dim, seed):
     rng = np.random.default_rng(seed)
     x, y = rng.integers(-300, 300, (6, dim)).astype(float), rng.integers(-300, 300, (9, dim)).astype(float)
-    for s in H.levels(dim):
-        (am, ad), (bm, bd) = H.summary(x, s), H.summary(y, s)
+    for s in SG.levels(dim):
+        (am, ad), (bm, bd) = SG.summary(x, s), SG.summary(y, s)
         assert (am @ bm.T + ad @ bd.T + 0.5 >= x @ y.T).all() and (am @ bm.T - ad @ bd.T - 0.5 <= x @ y.T).all()
 
 
@@ -82,7 +83,7 @@ def test_clustered_vectors_are_mostly_pruned():
     a = ids % 100 == 0
     p = np.sort(np.where((labels[a][:, None] == labels) & (ids[a][:, None] != ids), x[a] @ x.T, -1e18), axis=1)[:, :-6:-1].astype(np.int64)
     low = -(-80 * p // 100)
-    block = H.Block(ids[a], labels[a], x[a], low, p, 5, False)
+    block = SG.Block(ids[a], labels[a], x[a], low, p, 5, False)
     for i in range(0, 3000, 500):
         block.meet(ids[i:i + 500], labels[i:i + 500], x[i:i + 500])
     got = {(r["anchor_id"], r["band"], r["vec_id"], r["score"]) for r in block.found().to_pylist()}

@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from paraspark.llm import chat_rotation as C
+from paraspark.llm import segments as SG
 from paraspark.llm import topk_search as T
 
 
@@ -39,8 +40,8 @@ def test_topk_edge_cases(spark):
 
 
 def test_topk_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(T, "CANDIDATE_BLOCK", 50)
-    monkeypatch.setattr(T, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(SG, "ANCHOR_BLOCK", 7)
+    monkeypatch.setattr(SG, "SLICE_LEAST", 50)
     rng = np.random.default_rng(2)
     rows = [(i, (rng.normal(0, 0.1, 20) + (i % 3 == 0)).tolist()) for i in range(400)]
     assert search(spark, rows) == brute(rows)
@@ -56,8 +57,35 @@ def test_topk_empty(spark):
 def test_segment_bound_is_above_the_product(dim, seed):
     rng = np.random.default_rng(seed)
     q, x = rng.integers(-60, 60, (5, dim)).astype(float), rng.integers(-60, 60, (9, dim)).astype(float)
-    for s in T.LEVELS:
-        assert (T.summary(q, s) @ T.summary(x, s).T + 0.5 >= q @ x.T).all()
+    for s in SG.levels(dim):
+        (a, b), (c, e) = SG.summary(q, s), SG.summary(x, s)
+        assert (a @ c.T + b @ e.T + 0.5 >= q @ x.T).all()
+
+
+def test_products_beyond_doubles(spark):
+    """Scores over 2^53: whole numbers all the way."""
+    rows = [(i, [1e6 + i, 1e7 - i]) for i in range(40)]
+    got = {(r.query_id, r.vec_id): r.score for r in T.top_k(vectors(spark, rows), lambda i: i % 20 == 0).collect()}
+    ints = {i: [int(np.floor(64 * float(np.float32(x)))) for x in v] for i, v in rows}
+    assert min(got.values()) > 2**53 and all(s == sum(a * b for a, b in zip(ints[q], ints[v])) for (q, v), s in got.items())
+
+
+def test_smooth_vectors_are_mostly_pruned():
+    rng = np.random.default_rng(7)
+    x = np.rint(np.repeat(rng.normal(0, 100, (4000, 8)), 8, axis=1) + rng.normal(0, 4, (4000, 64)))
+    ids = np.arange(4000)
+    q = ids % 50 == 0
+    n = int(q.sum())
+    block = SG.Block(ids[q], np.zeros(n), x[q], np.full((n, 1), -SG.FAR), np.full((n, 1), SG.FAR), 20, False)
+    for i in range(0, 4000, 500):
+        block.meet(ids[i:i + 500], np.ones(500), x[i:i + 500])
+    got = {}
+    for r in block.found().to_pylist():
+        got.setdefault(r["anchor_id"], []).append((-r["score"], r["vec_id"]))
+    for i in ids[q]:
+        s = -(x[i] @ x.T).astype(np.int64)
+        assert sorted(got[i]) == sorted((int(s[j]), int(j)) for j in ids if j != i)[:20]
+    assert block.exact < block.pairs / 2
 
 
 def turns(spark, rows):
