@@ -61,17 +61,23 @@ def decode_references(text) -> Column:
     return F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
 
 
+def decoded_text(text) -> Column:
+    """``decode_references`` where there can be one: most texts hold no '&'."""
+    return F.when(F.contains(_c(text), F.lit("&")), decode_references(text)).otherwise(_c(text))
+
+
 def text_content(fragment) -> Column:
     """Tags removed, references decoded (textContent of a fragment)."""
-    return decode_references(F.regexp_replace(_c(fragment), TAG, ""))
+    return decoded_text(F.regexp_replace(_c(fragment), TAG, ""))
 
 
 def paragraphs(html, lo: int = S.ARABIC_RANGE[0], hi: int = S.ARABIC_RANGE[1]) -> Column:
     """ARRAY<STRUCT<pos, text, has_script>> in document order."""
     segs = F.split(strip_non_content(html), P_START, -1)
     body = F.slice(segs, 2, F.greatest(F.size(segs) - 1, F.lit(0)))
-    return F.transform(body, lambda s, i: F.struct(
-        i.alias("pos"), text_content(F.regexp_replace(s, P_END, "")).alias("text")))
+    # the inner list is built once; its elements are then read as often as needed
+    texts = F.transform(body, lambda s: F.regexp_replace(F.regexp_replace(s, P_END, ""), TAG, ""))
+    return F.transform(texts, lambda t, i: F.struct(i.alias("pos"), decoded_text(t).alias("text")))
 
 
 def with_script_flag(paras, lo: int, hi: int) -> Column:
