@@ -32,7 +32,7 @@ from paraspark.llm.common import map_arrow
 
 #: Anchors of a task; candidates compared at once; candidates of a slice (at
 #: most, and at least while there are fewer slices than shuffle partitions).
-ANCHOR_BLOCK, CHUNK = 4096, 2048
+ANCHOR_BLOCK, CHUNK = 4096, 1024
 SLICE_MOST, SLICE_LEAST = 1 << 16, 1 << 11
 #: Segments per level; none shorter than this many components.
 LEVELS = (4, 8, 16)
@@ -113,8 +113,16 @@ class Block:
             s = np.concatenate([np.einsum("ij,ij->i", x[r[i:i + 65536]], y[c[i:i + 65536]]) for i in range(0, left, 65536)])
         else:
             score = x @ y.T
-            alive = alive & (score >= self.low.min(axis=1)[:, None]) & (score <= self.high.max(axis=1)[:, None])
-            r, c = np.nonzero(alive)
+            score[~alive] = bottom = -np.inf if small else np.iinfo(np.int64).min
+            take = np.zeros(alive.shape, bool)
+            for j in range(self.low.shape[1]):
+                fits = (score >= self.low[:, j, None]) & (score <= self.high[:, j, None]) & (score > bottom)
+                if self.k < len(y) and np.count_nonzero(fits) > 4 * self.k * len(x):
+                    # of many that fit only those not under the chunk's k-th can be among the best
+                    m = np.where(fits, score, bottom)
+                    fits &= m >= np.partition(m, len(y) - self.k, axis=1)[:, len(y) - self.k, None]
+                take |= fits
+            r, c = np.nonzero(take)
             s = score[r, c]
         return r, c, s.astype(np.int64)
 
