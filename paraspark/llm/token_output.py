@@ -46,7 +46,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
         ids_of, part = tokens.shared(path), TaskContext.get().partitionId()
         done = {"blocks": 0, "ids": 0}
         blocks: list[tuple[list, list, list]] = []   # (ids, document ids, lengths) of the blocks being filled
-        held = 0
+        held = filled = 0                            # ids held, and in the last block
 
         def coded():
             data = range_coder.encode_blocks([np.concatenate(b[0]) for b in blocks])
@@ -65,14 +65,16 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
         for b in batches:
             for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = ids_of.array(t.as_py(), end_id)
-                if not blocks or sum(blocks[-1][2]) + len(ids) > block_ids:
+                if not blocks or filled + len(ids) > block_ids:
                     if held >= wave_ids:
                         yield from coded()
                         blocks, held = [], 0
                     blocks.append(([], [], []))
+                    filled = 0
                 for kept, v in zip(blocks[-1], (ids, doc_id, len(ids))):
                     kept.append(v)
                 held += len(ids)
+                filled += len(ids)
         if blocks:
             yield from coded()
 
