@@ -116,15 +116,20 @@ def compact(spark: SparkSession, path: str, schema: StructType | str, partition_
     return load_id
 
 
+def replaced(spark: SparkSession, path: str) -> list[str]:
+    """Loads that a compaction has taken the place of."""
+    folder, fs = _marks(spark, path)
+    if not fs.exists(folder):
+        return []
+    names = [str(f.getPath().getName()) for f in fs.listStatus(folder)]
+    return sorted({n for n in names if n[0] not in "._"} - set(published(spark, path)))
+
+
 def vacuum(spark: SparkSession, path: str) -> None:
     """Delete the folders that a compaction replaced, and their marks (the
     compacted load's own mark keeps naming them; a name without mark is nothing)."""
     folder, fs = _marks(spark, path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    visible = set(published(spark, path))
-    if not fs.exists(folder):
-        return
-    for n in [str(f.getPath().getName()) for f in fs.listStatus(folder)]:
-        if n[0] not in "._" and n not in visible:
-            fs.delete(hadoop(path, f"{LOAD}={n}"), True)
-            fs.delete(hadoop(folder, n), False)
+    for n in replaced(spark, path):
+        fs.delete(hadoop(path, f"{LOAD}={n}"), True)
+        fs.delete(hadoop(folder, n), False)

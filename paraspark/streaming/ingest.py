@@ -137,7 +137,7 @@ def read_target(spark: SparkSession, target: str, target_schema: StructType) ->
 
 def compact_target(spark: SparkSession, target: str, target_schema: StructType) -> None:
     """Many small loads become one, in the table and in the index alike; loads
-    published meanwhile stay beside it. ``loads.vacuum`` drops what it replaced."""
+    published meanwhile stay beside it. ``vacuum_target`` drops what it replaced."""
     ids = LD.published(spark, target)
     if len(ids) < 2:
         return
@@ -146,3 +146,10 @@ def compact_target(spark: SparkSession, target: str, target_schema: StructType)
     index = known_digests(spark, target, list(range(PREFIXES)), ids).withColumn(PREFIX, digest_prefix())
     LD.write_load(index.hint("rebalance", PREFIX).sortWithinPartitions(PREFIX, DIGEST), index_path(target), load_id, [PREFIX])
     LD.publish(spark, target, load_id, ids)
+
+
+def vacuum_target(spark: SparkSession, target: str) -> None:
+    """Drop the loads that compactions replaced, from the index and the table."""
+    for load_id in LD.replaced(spark, target):
+        remove_folder(spark, f"{index_path(target)}/{LD.LOAD}={load_id}")
+    LD.vacuum(spark, target)
