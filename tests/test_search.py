@@ -34,3 +34,18 @@ def test_a_search_reads_only_its_folders(tables):
     plan = SE.candidates(index, "salam")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "_bucket" in plan.split("PartitionFilters: [")[1][:60]
     assert "In(gram" in plan.split("PushedFilters")[1][:200]
+
+
+def test_an_index_row_holds_the_keys_of_a_slice(spark, tmp_path, monkeypatch):
+    """Neither a row per trigram and key, nor lists that grow with the table."""
+    rows = [(i, "en", "salam \U0001F600" if i % 2 else "日本語 salam", "dr", None) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    SE.write_index(df, str(tmp_path / "whole"))
+    got = {r.gram: sorted(r["keys"]) for r in SE.read_index(spark, str(tmp_path / "whole")).collect()}
+    assert SE.read_index(spark, str(tmp_path / "whole")).count() == len(got) == 9
+    assert got["ala"] == list(range(200)) and got["m \U0001F600"] == list(range(1, 200, 2)) and got["本語 "] == list(range(0, 200, 2))
+    monkeypatch.setattr(SE, "SLICE", 100)
+    SE.write_index(df, str(tmp_path / "sliced"))
+    sliced = SE.read_index(spark, str(tmp_path / "sliced"))
+    assert max(len(r["keys"]) for r in sliced.collect()) <= 100 // 7
+    assert sorted(r.id for r in SE.candidates(sliced, "m \U0001F600").collect()) == list(range(1, 200, 2))
