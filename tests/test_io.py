@@ -127,3 +127,22 @@ def test_valid_rows_only(spark, tmp_path):
     path = str(tmp_path / "j")
     W.write_json_records(spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, problem boolean"), path, flag="problem")
     assert sorted(r["id"] for r in spark.read.json(path).collect()) == [2, 3] and spark.read.json(path).columns == ["id"]
+
+
+def test_sheet_files_are_bounded(spark, monkeypatch, tmp_path):
+    """One language's lines: several files, written by the tasks that number
+    them (before, one file by the one task of the language)."""
+    from paraspark.plans import queries_io as Q
+    from paraspark.sources import writers
+    monkeypatch.setattr(writers, "SHEET_ROWS", 20)
+    docs = [(i, "en", "a\nb\nc") for i in range(40)] + [(40, "fr", "d"), (41, None, "e")]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sheet = Q._sheet(spark, str(tmp_path))
+    out = str(tmp_path / "sheet")
+    writers.write_sheet(sheet, out)
+    files = [os.path.join(r, f) for r, _, fs in os.walk(out + "/langue=en") for f in fs if f.endswith(".csv")]
+    assert len(files) >= 6 and all(sum(1 for _ in open(f)) <= 21 for f in files)
+    got = spark.read.option("header", True).schema("id LONG, line STRING, langue STRING").csv(out).collect()
+    assert sorted(map(tuple, got)) == sorted([(3 * i + j + 1, c, "en") for i in range(40) for j, c in enumerate("abc")] + [(1, "d", "fr")])
+    plan = sheet._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [lang" in plan and "hashpartitioning(lang" not in plan
