@@ -71,7 +71,7 @@ def write_load(df: DataFrame, path: str, load_id: str, partition_by: list[str] |
     for c in partition_by or []:
         if dict(df.dtypes)[c] == "string":
             df = df.withColumn(c, F.when(F.col(c) == "", S.BLANK_FOLDER).otherwise(F.col(c)))
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(f"{path}/{LOAD}={load_id}")

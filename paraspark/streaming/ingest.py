@@ -6,11 +6,12 @@ a table of loads (``sources.loads``), one per micro-batch, and beside it lies
 an index of its rows' digests: 32 bytes a row, in folders by the digest's
 first bits. A micro-batch
 
-1. is deduplicated and written once to a staging folder (the transform runs
-   once), with the digests;
+1. is written once to a staging folder (the transform runs once), with the
+   digests and a number for every row;
 2. reads the digests of the index folders it touches, and no others, to find
-   which of its keys are known;
-3. writes the other rows and their digests as a load, and publishes it.
+   which of its keys are known, and the first row of each other key (digests
+   and row numbers are shuffled for that, texts are not);
+3. writes those rows and their digests as a load, and publishes it.
 
 A micro-batch that is replayed after a crash finds its load published and adds
 nothing, or writes it again. The load's name is the query's id in the
@@ -34,11 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
+from paraspark.operators.bitmap import rows_in
 from paraspark.operators.digest import DIGEST, key_digest
-from paraspark.session import remove_folder
+from paraspark.session import ensure_checkpoint_dir, remove_folder
 from paraspark.sources import loads as LD
 
-PREFIX, ARRIVED = "_prefix", "_arrived"
+PREFIX, ARRIVED, ROW = "_prefix", "_arrived", "_row"
 #: Index folders: the digest's first six bits.
 PREFIXES = 64
 INDEX_SCHEMA = StructType([StructField(DIGEST, BinaryType()), StructField(PREFIX, IntegerType())])
@@ -72,18 +74,18 @@ def absorb(batch: DataFrame, target: str, load_id: str, fields: list[str]) -> No
         batch.write.format("noop").mode("overwrite").save()
         return
     staging = f"{target.rstrip('/')}.staged/{load_id}"
-    batch.dropDuplicates([DIGEST]).select(*fields, DIGEST).withColumn(PREFIX, digest_prefix()).write.mode("overwrite").parquet(staging)
+    (batch.select(*fields, DIGEST).withColumn(PREFIX, digest_prefix()).withColumn(ROW, F.monotonically_increasing_id())
+     .write.mode("overwrite").option("compression", "zstd").parquet(staging))
     rows = spark.read.parquet(staging)
     # at most PREFIXES small integers
     touched = sorted(r[0] for r in rows.select(PREFIX).distinct().collect())
     if touched:
-        known = known_digests(spark, target, touched)
-        repeats = rows.select(DIGEST).join(known, DIGEST, "left_semi").distinct()
-        # digests meet digests first; texts then meet the repeats only
-        fresh = rows.join(repeats, DIGEST, "left_anti")
-        LD.write_load(fresh.select(*fields), target, load_id)
-        digests = rows.select(DIGEST, PREFIX).join(repeats, DIGEST, "left_anti")
-        LD.write_load(digests.hint("rebalance", PREFIX).sortWithinPartitions(PREFIX, DIGEST), index_path(target), load_id, [PREFIX])
+        ensure_checkpoint_dir(spark)
+        # digests meet digests; no text is shuffled
+        once = rows.groupBy(DIGEST, PREFIX).agg(F.min(ROW).alias(ROW))
+        fresh = once.join(known_digests(spark, target, touched), DIGEST, "left_anti").checkpoint(eager=True)
+        LD.write_load(rows_in(rows, fresh.select(ROW), ROW).select(*fields), target, load_id)
+        LD.write_load(fresh.select(DIGEST, PREFIX).hint("rebalance", PREFIX).sortWithinPartitions(PREFIX, DIGEST), index_path(target), load_id, [PREFIX])
         LD.publish(spark, target, load_id)
     remove_folder(spark, staging)
 
