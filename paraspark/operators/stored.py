@@ -14,7 +14,7 @@ not NULL; blank change sets change nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,8 +35,12 @@ def write_ranges(df: DataFrame, path: str, key: str = "id", width: int = WIDTH,
     """Write ``df`` in folders of ``width`` keys, sorted inside (row groups are
     skipped by their least and largest key), with Parquet Bloom filters on the
     columns ``bloom`` (equality filters skip row groups by them)."""
-    rows = df.withColumn(FOLDER, folder_of(F.col(key), width)).repartition(FOLDER).sortWithinPartitions(FOLDER, key)
-    w = rows.write.mode(mode).partitionBy(FOLDER).option("partitionOverwriteMode", "dynamic")
+    _write(df.withColumn(FOLDER, folder_of(F.col(key), width)).repartition(FOLDER), path, key, mode, bloom, row_group_bytes)
+
+
+def _write(rows: DataFrame, path: str, key: str, mode: str, bloom: list[str] = (), row_group_bytes: int | None = None) -> None:
+    """``write_ranges`` of rows that are partitioned by ``FOLDER`` already."""
+    w = rows.sortWithinPartitions(FOLDER, key).write.mode(mode).partitionBy(FOLDER).option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
     for c in bloom:
         w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
     if row_group_bytes:
@@ -64,11 +68,22 @@ def _touched(keys: DataFrame, key: str, width: int) -> list[int]:
 
 def update_stored(spark: SparkSession, path: str, changes: DataFrame, schema: StructType | str, key: str = "id", fields: list[str] = TB.FIELDS,
                   order: str | None = None, width: int = WIDTH) -> None:
-    """G4 in place: as ``table.update_by_key``; unknown keys are ignored."""
+    """G4 in place: as ``table.update_by_key``; unknown keys are ignored. Rows
+    and changes are shuffled once, by folder, for both the update and the write."""
     touched = _touched(changes, key, width)
-    if touched:
-        new, _ = TB.update_by_key(read_ranges(spark, path, schema, touched), changes, key, fields, order)
-        write_ranges(new, path, key, width, "overwrite")
+    if not touched:
+        return
+    old = read_ranges(spark, path, schema, touched)
+    by = [order] if order else []
+    change = F.struct(F.struct(*by, *fields).alias("o"), F.struct(*fields).alias("n"))
+    both = (old.select(F.struct(*old.columns).alias("_old"), F.col(key).alias("_key"))
+            .unionByName(changes.select(change.alias("_new"), F.col(key).cast(old.schema[key].dataType).alias("_key")), allowMissingColumns=True))
+    dealt = both.withColumn(FOLDER, folder_of(F.col("_key"), width)).repartition(FOLDER)
+    last = F.max("_new").over(Window.partitionBy(FOLDER, "_key"))
+    rows = dealt.withColumn("_last", last).filter(F.col("_old").isNotNull())
+    new = rows.select(*[(F.when(F.col("_last").isNotNull(), F.col("_last.n")[c]).otherwise(F.col("_old")[c]) if c in fields else F.col("_old")[c]).alias(c)
+                        for c in old.columns], FOLDER)
+    _write(new, path, key, "overwrite")
 
 
 def delete_stored(spark: SparkSession, path: str, keys: DataFrame, schema: StructType | str, key: str = "id", width: int = WIDTH) -> None:

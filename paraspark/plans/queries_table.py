@@ -11,6 +11,7 @@ from paraspark import schemas as S
 from paraspark.operators import corpus as CO
 from paraspark.operators import stored as ST
 from paraspark.operators import table as TB
+from paraspark.operators.bitmap import rows_in
 from paraspark.operators.ranking import with_row_index
 from paraspark.plans import adapters as A
 from paraspark.plans import pipelines as P
@@ -68,14 +69,16 @@ def g3_insert_if_absent(spark, d):
 def _changes(spark, d):
     lab = A.table(spark, d, "labels")
     t = _trn(spark, d)
-    upd = t.join(lab.filter(F.col("quality") == 1).select(F.col("doc_id").alias("id")), "id", "left_semi")
-    upd = upd.select("id", "source_lang", "source_text", "target_lang", F.concat("target_text", F.lit(" (v2)")).alias("target_text"))
+    upd = rows_in(t, lab.filter(F.col("quality") == 1).select(F.col("doc_id").alias("id")), "id")
+    # a second, later change of some rows
+    seqs = F.when(F.col("id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    later = F.when(F.col("seq") == 2, " (v2) (v3)").otherwise(" (v2)")
+    upd = upd.withColumn("seq", F.explode(seqs)).select(
+        "id", "source_lang", "source_text", "target_lang", F.concat("target_text", later).alias("target_text"), "seq")
     unknown = lab.filter(F.col("toxic") == 1).select(
         (F.col("doc_id") + F.lit(10 ** 9)).alias("id"), F.lit("fr").alias("source_lang"), F.lit("x").alias("source_text"),
         F.lit("dr").alias("target_lang"), F.lit("y").alias("target_text"))
-    # a second, later change of some rows
-    again = upd.filter(F.col("id") % 3 == 0).withColumn("target_text", F.concat("target_text", F.lit(" (v3)"))).withColumn("seq", F.lit(2))
-    return upd.unionByName(unknown).withColumn("seq", F.lit(1)).unionByName(again)
+    return upd.unionByName(unknown.withColumn("seq", F.lit(1)))
 
 
 CHANGES_SQL = """ch1 AS (
