@@ -76,6 +76,12 @@ class _WordHash(dict):
 _words = _WordHash()
 
 
+def forget_words() -> None:
+    """Empty the word cache when a task has ended: the worker lives on, and
+    other stages need its memory."""
+    _words.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
@@ -134,6 +140,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, rule: LinkRule = LINK_
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                  pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "k1", "k2", "bands"])
+        forget_words()
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), run,
                      "doc_id LONG, n LONG, k1 LONG, k2 LONG, bands ARRAY<LONG>")
 
@@ -152,6 +159,7 @@ def shingle_sets(members: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sets.append(s.tobytes() if hit[-1] else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), b.column(5), pa.array(sets, pa.binary())],
                                              names=["rep", "family", "chunks", "shingles"]).filter(pa.array(hit))
+        forget_words()
     return map_arrow(members.select(F.col(id_col).cast("long"), F.col(text_col), "k1", "k2", "family", "chunks"), run,
                      "rep LONG, family LONG, chunks LONG, shingles BINARY")
 

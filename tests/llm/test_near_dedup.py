@@ -134,3 +134,16 @@ def test_bands_of_the_rules_miss_next_to_nothing():
         p = rule.percent / 100
         assert (1 - p ** rule.rows) ** rule.bands < 2e-6
         assert rule.margin > 5 * (p * (1 - p) / (rule.bands * rule.rows)) ** 0.5
+
+
+def test_tasks_forget_their_words(spark, monkeypatch):
+    """A worker lives on after a task: the words it has hashed must not."""
+    tasks = []
+    monkeypatch.setattr(N, "map_arrow", lambda df, fn, schema: tasks.append((df, fn)))
+    N.profiles(docs(spark, [(1, "a b c d e f"), (2, None)]), "doc_id", "text")
+    members = docs(spark, [(1, "a b c d e f")]).selectExpr("doc_id", "text", "0L AS k1", "0L AS k2", "0L AS family", "1L AS chunks")
+    N.shingle_sets(members, "doc_id", "text")
+    for df, fn in tasks:
+        held = [len(N._words) for b in fn(iter(df.toArrow().to_batches())) if b.num_columns]
+        assert max(held) and not N._words
+    assert len(tasks) == 2
