@@ -36,6 +36,48 @@ def test_metric_log_layout(spark):
         ("abc123", "eval_bleu", 7.33, 2000), ("abc123", "eval_bleu", 18.25, 42000)]
 
 
+def test_metric_log_lines_parse_as_csv(spark):
+    """Blank lines, a short, a long and a damaged line give what the CSV reader gives."""
+    from paraspark import schemas as S
+    d = os.path.join(tempfile.mkdtemp(prefix="paraspark-mlruns-"), "r", "metrics")
+    os.makedirs(d)
+    with open(os.path.join(d, "loss"), "w") as f:
+        f.write("1 0.5 2\n\n  \n3 x 4\n5 6.5\n7 8.5 9 10\n 1 2\r\n\t\n1  3\n")
+    want = spark.read.schema(S.METRIC_LOG_SCHEMA).option("sep", " ").csv(d).collect()
+    got = R.read_metric_logs(spark, d).select("ts_ms", "value", "step").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 4
+
+
+def test_metric_logs_written_by_the_tasks(spark):
+    """Same folders and rows as Spark's writer, without a Hadoop file (and its
+    checksum file and processes) per run and metric."""
+    rows = [(r, m, i, v, i) for i, (r, m, v) in enumerate(
+        (r, m, v) for r in ("run1", "a b", "x/y=é", "", None) for m in ("loss", "m:1", None) for v in (0.1, None, float("nan")))]
+    df = spark.createDataFrame(rows, "run_id string, metric string, ts_ms long, value double, step long")
+    root = tempfile.mkdtemp(prefix="paraspark-a9-")
+    W.write_metric_logs(df, root + "/own")
+    df.write.partitionBy("run_id", "metric").option("sep", " ").csv(root + "/spark")
+
+    def folders(at):
+        return {os.path.relpath(d, at) for d, _, names in os.walk(at) if any(n.startswith("part-") for n in names) and d != at}
+
+    def read(at):
+        return sorted(map(str, R.read_metric_logs(spark, at, ".*/run_id=([^/]+)/metric=[^/]+/[^/]+$", ".*/metric=([^/]+)/[^/]+$").collect()))
+
+    assert folders(root + "/own") == folders(root + "/spark") and len(folders(root + "/own")) == 12
+    assert read(root + "/own") == read(root + "/spark") and len(read(root + "/own")) == len(rows)
+    files = [os.path.join(d, n) for d, _, names in os.walk(root + "/own") for n in names if d != root + "/own"]
+    assert len(files) == 12 and all(os.path.basename(f).startswith("part-") for f in files)
+    with pytest.raises(Exception):
+        W.write_metric_logs(df, root + "/own")
+    W.write_metric_logs(df, root + "/own", mode="append")
+    assert len(read(root + "/own")) == 2 * len(rows)
+    W.write_metric_logs(df, root + "/own", mode="ignore")
+    assert len(read(root + "/own")) == 2 * len(rows)
+    W.write_metric_logs(df.limit(0), root + "/own", mode="overwrite")
+    assert read(root + "/own") == []
+
+
 def test_scraped_document_per_file(spark):
     import json
     d = tempfile.mkdtemp(prefix="paraspark-scraped-")
