@@ -32,6 +32,9 @@ from paraspark.plans.registry import register
 WINDOW = 4096
 END_ID = 2
 MAX_OPEN = 4096
+#: Chunk cache where a worker does nothing but pack (the pipeline's workers
+#: hold other stages' memory too and keep the smaller default).
+PACK_CACHE = 1_600_000
 
 SCHEMA = "doc_id LONG, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG, sequence_id LONG, offset LONG"
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -113,14 +116,16 @@ class Packer:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None,
-         window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN) -> DataFrame:
+         window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN,
+         cache_entries: int = tokens.CACHE_ENTRIES) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``. Sequence ids are unique, not dense: the partition
-    number in the high bits, a counter in the low 40."""
+    number in the high bits, a counter in the low 40. ``cache_entries`` bounds
+    the worker's cache of tokenised chunks (speed and memory only)."""
     path = vocab or tokens.default_path()
 
     def run(batches):
-        ids_of = tokens.shared(path)
+        ids_of = tokens.shared(path, cache_entries)
         base = TaskContext.get().partitionId() << 40
         rows: list[list] = [[] for _ in FIELDS]
         n_seq = 0
@@ -157,4 +162,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab:
 @register("op3_sum_of_squares_packing")
 def op3_sum_of_squares_packing(spark, d):
     """All documents packed into windows of at most 4096 ids."""
-    return pack(table(spark, d, "documents"))
+    return pack(table(spark, d, "documents"), cache_entries=PACK_CACHE)

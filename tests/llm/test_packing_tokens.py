@@ -189,3 +189,18 @@ def test_range_coder_long_block_beside_short_ones():
         batches = R._batches(lengths)
         assert sorted(i for b in batches for i in b) == list(range(len(lengths)))
         assert all(len(b) == 1 or len(b) <= R.LANES and len(b) * max(lengths[i] for i in b) <= R.CELLS for b in batches)
+
+
+def test_cache_bound_changes_no_piece(spark, monkeypatch):
+    """op3's workers, which only pack, hold more words than the default bound;
+    the bound changes no row."""
+    texts = [(i, " ".join(f"w{i}x{j}, {ODD[j % len(ODD)] or ''}" for j in range(40))) for i in range(30)]
+    d = docs(spark, texts).coalesce(1)
+    few, many = (sorted(P.pack(d, cache_entries=n).collect()) for n in (16, P.PACK_CACHE))
+    assert few == many
+    check_pieces(few, texts)
+    taken = {}
+    monkeypatch.setattr(P, "table", lambda *_: d)
+    monkeypatch.setattr(P, "pack", lambda df, **kw: taken.update(kw))
+    P.op3_sum_of_squares_packing(spark, "")
+    assert taken["cache_entries"] > tokens.CACHE_ENTRIES
