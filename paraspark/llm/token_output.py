@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paraspark.llm import range_coder, tokens
+from paraspark.llm import packing, range_coder, tokens
 from paraspark.llm.common import checkpointed, map_arrow, table
 from paraspark.plans.registry import register
 from paraspark.session import remove_folder, shared_path
 
 END_ID = 2
-BLOCK_IDS = 8192
-#: Ids a task holds and codes at a time (its blocks are coded side by side).
-WAVE_IDS = 8_000_000
+BLOCK_IDS = 1 << 20
+#: Ids a task codes or decodes at a time (a block beyond it alone).
+WAVE_IDS = 1 << 20
 
 BLOCK_SCHEMA = "part LONG, block LONG, first LONG, n_ids LONG, doc_ids ARRAY<LONG>, doc_lengths ARRAY<INT>, data BINARY"
 
@@ -43,7 +43,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
 
     def run(batches):
         from pyspark import TaskContext
-        ids_of, part = tokens.shared(path), TaskContext.get().partitionId()
+        ids_of, part = tokens.shared(path, packing.PACK_CACHE), TaskContext.get().partitionId()
         done = {"blocks": 0, "ids": 0}
         blocks: list[tuple[list, list, list]] = []   # (ids, document ids, lengths) of the blocks being filled
         held = filled = 0                            # ids held, and in the last block
@@ -85,8 +85,19 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
 def decoded(files: DataFrame) -> DataFrame:
     """``doc_id, part, first, at, n_tokens, ids_crc32`` of every document read
     back: ``at`` counts the ids before it in its block."""
+    def waves(b):
+        """Slices of a batch, of as many blocks as are decoded at a time."""
+        at = held = 0
+        for i, n in enumerate(b.column(2).to_pylist()):
+            if i > at and held + n > WAVE_IDS:
+                yield b.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if at < b.num_rows:
+            yield b.slice(at)
+
     def run(batches):
-        for b in batches:
+        for b in (w for batch in batches for w in waves(batch)):
             blocks = range_coder.decode_blocks(b.column(5).to_pylist())
             rows = [[], [], [], [], [], []]
             for part, first, doc_ids, lengths, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(),

@@ -204,3 +204,39 @@ def test_cache_bound_changes_no_piece(spark, monkeypatch):
     monkeypatch.setattr(P, "pack", lambda df, **kw: taken.update(kw))
     P.op3_sum_of_squares_packing(spark, "")
     assert taken["cache_entries"] > tokens.CACHE_ENTRIES
+
+
+def test_range_coder_steps_do_not_grow_with_the_ids(monkeypatch):
+    """op6's CPU: a block's ids are coded many at a step, in lanes that share
+    its models (before, one id of a block at a step)."""
+    steps = []
+    predict = R._Model.predict
+    monkeypatch.setattr(R._Model, "predict", lambda self, *a: (steps.append(1), predict(self, *a))[1])
+    r = np.random.default_rng(6)
+    block = np.repeat(r.integers(0, 40_000, 30_000), 3)[: 60_011].astype(np.uint16)
+    data = R.encode_blocks([block])
+    assert (R.decode_blocks(data)[0] == block).all()
+    assert len(steps) <= 2 * 1000
+
+
+def test_range_coder_same_bytes_in_any_company():
+    r = np.random.default_rng(7)
+    blocks = [r.integers(0, r.integers(1, 70_000), n) for n in (1, 2, 15, 16, 17, 1000, 1023, 1500, 2000, 40_000)] + [np.array([2**32 - 1, 0])]
+    together = R.encode_blocks(blocks)
+    assert together == [R.encode_blocks([b])[0] for b in blocks]
+    assert all((a == b).all() for a, b in zip(R.decode_blocks(together), blocks))
+
+
+def test_token_files_read_in_bounded_waves(spark, tmp_path, monkeypatch):
+    """Blocks of one Arrow batch are decoded a wave at a time."""
+    path = str(tmp_path / "ids")
+    texts = [(i, f"w{i} " * (i % 7 * 20)) for i in range(60)]
+    O.write_ids(docs(spark, texts).coalesce(1), path, block_ids=100, wave_ids=400)
+    want = sorted(map(tuple, O.read_documents(spark, path).collect()))
+    monkeypatch.setattr(O, "WAVE_IDS", 150)
+    held, decode = [], R.decode_blocks
+    monkeypatch.setattr(R, "decode_blocks", lambda data: (held.append([R.HEADER.unpack_from(d)[1] for d in data]), decode(data))[1])
+    monkeypatch.setattr(O, "map_arrow", lambda df, fn, schema: spark.createDataFrame(
+        [tuple(x.values()) for b in fn(df.toArrow().to_batches()) for x in b.to_pylist()], schema))
+    assert sorted(map(tuple, O.read_documents(spark, path).collect())) == want
+    assert len(held) > 5 and all(len(h) == 1 or sum(h) <= 150 for h in held)
