@@ -78,6 +78,104 @@ def test_metric_logs_written_by_the_tasks(spark):
     assert read(root + "/own") == []
 
 
+def _by_spark(spark, path):
+    from pyspark.sql import functions as F
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    return sorted(tuple(r) for r in lines.select("_metadata.file_path", "value").filter(F.length("value") > 0).collect())
+
+
+def _by_tasks(spark, path):
+    import re
+
+    from paraspark.sources import many_files as MF
+    return sorted((r["file"], line) for r in MF.read_lines(spark, path).collect() for line in re.split("[\r\n]+", r["text"]) if line)
+
+
+@pytest.fixture
+def odd_files():
+    """Names that Spark quotes or skips, line ends of all kinds, a compressed file."""
+    import gzip
+    root = tempfile.mkdtemp(prefix="paraspark odd-")
+    names = ["a b", "x%2Fy", "é", "e\u0301", "h#1", "q?x", "[b]{c}", "*", "t;u,v", "@&+$!~'()", "nb\u00a0sp", "\u2028ls", "tab\tx", "back\\s",
+             'q"uo', "^p|`<>", "\u0085", "😀", "_x=1", "_metadata", "_hid", ".dot", "z._COPYING_"]
+    for n in names:
+        os.makedirs(os.path.join(root, n, "empty"))
+        for file in (n, "deep/" + n, "loss"):
+            os.makedirs(os.path.dirname(os.path.join(root, n, file)), exist_ok=True)
+            with open(os.path.join(root, n, file), "wb") as f:
+                f.write(b"\xef\xbb\xbf1 2 3\r\n\n4 5 6\r7 8 9")
+    open(os.path.join(root, "none"), "w").close()
+    os.symlink("nowhere", os.path.join(root, "broken"))
+    os.symlink("a b", os.path.join(root, "linked"))
+    with gzip.open(os.path.join(root, "packed.gz"), "wb") as f:
+        f.write(b"1 2 3\n4 5 6\n")
+    return root
+
+
+def test_many_files_give_the_lines_of_sparks_reader(spark, odd_files):
+    want = _by_spark(spark, odd_files)
+    assert len(want) > 100 and _by_tasks(spark, odd_files) == want
+    assert _by_tasks(spark, "file://" + odd_files) == _by_spark(spark, "file://" + odd_files)
+    one = os.path.join(odd_files, "packed.gz")
+    assert _by_tasks(spark, one) == _by_spark(spark, one)
+    with pytest.raises(Exception):
+        _by_tasks(spark, odd_files + "-missing")
+
+
+def test_many_files_of_another_store_are_read_in_groups(spark, odd_files, monkeypatch):
+    from paraspark.sources import many_files as MF
+    monkeypatch.setattr(MF, "local_folder", lambda *_: None)
+    monkeypatch.setattr(MF, "PER_GROUP", 7)
+    os.unlink(os.path.join(odd_files, "broken"))
+    assert _by_tasks(spark, odd_files) == _by_spark(spark, odd_files)
+    assert _by_tasks(spark, tempfile.mkdtemp(prefix="paraspark-none-")) == []
+
+
+def test_a_large_log_is_read_in_parts(spark, monkeypatch):
+    """Every line once, wherever the parts are cut."""
+    from paraspark.sources import many_files as MF
+    data = b"".join(b"%d 1 2%s" % (i, (b"\n", b"\r\n", b"\r", b"\n\n")[i % 4]) for i in range(40)) + b"last"
+    want = [line for line in data.splitlines() if line]
+    name = os.path.join(tempfile.mkdtemp(prefix="paraspark-parts-"), "f")
+    with open(name, "wb") as f:
+        f.write(data)
+    for size in (1, 2, 3, 5, 7, 11, 50, len(data), 10_000):
+        for text in (1, 3, 8, 64, 10_000):
+            monkeypatch.setattr(MF, "TEXT_BYTES", text)
+            with open(name, "rb", buffering=0) as f:
+                got = [line for at in range(0, len(data), size) for t in MF.texts_of(f, at, at + size) for line in t.splitlines() if line]
+            assert got == want, (size, text)
+    monkeypatch.undo()
+    monkeypatch.setattr(MF, "SPLIT_BYTES", 50)
+    assert [v for _, v in _by_tasks(spark, os.path.dirname(name))] == [v for _, v in _by_spark(spark, os.path.dirname(name))]
+
+
+def test_metric_logs_are_not_listed_on_the_driver(spark):
+    """The driver's plan holds no file, and tasks do not grow by one for every 32 files."""
+    root = tempfile.mkdtemp(prefix="paraspark-mlruns-")
+    for i in range(1200):
+        d = os.path.join(root, "0", f"r{i}", "metrics")
+        os.makedirs(d)
+        with open(os.path.join(d, "loss"), "w") as f:
+            f.write(f"{i} 0.5 {i}\n")
+    got = R.read_metric_logs(spark, root)
+    assert got.inputFiles() == [] and got.rdd.getNumPartitions() == 1
+    assert sorted(tuple(r) for r in got.collect()) == sorted((f"r{i}", "loss", i, 0.5, i) for i in range(1200))
+
+
+def test_a_wide_folder_is_removed_by_tasks(spark, monkeypatch):
+    from paraspark.sources import many_files as MF
+    monkeypatch.setattr(MF, "PER_TASK", 5)
+    root = tempfile.mkdtemp(prefix="paraspark-wide-")
+    for n in [".h", *map(str, range(20))]:
+        os.makedirs(os.path.join(root, n, "x"))
+        open(os.path.join(root, n, "x", "f"), "w").close()
+        open(os.path.join(root, n + "f"), "w").close()
+    MF.remove_files(spark, root)
+    assert not os.path.exists(root)
+    MF.remove_files(spark, root)
+
+
 def test_scraped_document_per_file(spark):
     import json
     d = tempfile.mkdtemp(prefix="paraspark-scraped-")
