@@ -63,8 +63,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
                 done["ids"] = int(first[-1])
 
         for b in batches:
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = ids_of.array(t.as_py(), end_id)
+            for doc_id, ids in zip(b.column(0).to_pylist(), ids_of.arrays(b.column(1), end_id)):
                 if not blocks or filled + len(ids) > block_ids:
                     if held >= wave_ids:
                         yield from coded()

@@ -13,13 +13,18 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Default vocabulary file (a parameter of every operator that tokenises).
 VOCAB_FILE = "word_bpe_49k.json"
 #: Entries of the per-worker chunk cache (about 150 bytes each).
 CACHE_ENTRIES = 400_000
+#: Bytes of the texts whose chunks ``arrays`` tells apart at a time (a longer text alone).
+SLICE_BYTES = 8 << 20
 
 # FIXED VALUES: the split pattern, normalisers and end-of-word mark of the
 # public vocabulary file; the shortcut applies only where a file states them.
@@ -78,6 +83,37 @@ class Ids:
         tail = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         return np.frombuffer(self.packed(text) + tail, self.dtype)
 
+    def arrays(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+        """``array`` of every text. The chunks are told apart by Arrow, so that
+        each distinct one is looked up once for many texts."""
+        if not self.by_chunk:
+            for t in texts:
+                yield self.array(t.as_py(), end_id)
+            return
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            done = int(size[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(size, done + SLICE_BYTES, "right")))
+            ids, ends = self._flat(texts.slice(at, to - at), end_id)
+            for a, b in zip([0, *ends], ends):
+                yield ids[a:b]
+            at = to
+
+    def _flat(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, list[int]]:
+        """The ids of the texts one after the other, and where each text's end."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        chunks = split.flatten().dictionary_encode()
+        ids = list(map(self._chunks.__getitem__, chunks.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        # the end id as one more chunk, after the last of each text
+        ids.append(np.array([end_id], self.dtype).tobytes())
+        last = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
+        chunk = np.insert(chunks.indices.to_numpy(), last, len(ids) - 1)
+        flat = pa.array(ids, pa.large_binary()).take(pa.array(chunk))
+        _, end, data = flat.buffers()
+        end = np.frombuffer(end, np.int64)[last + np.arange(len(last)) + 1] // self.dtype.itemsize
+        return np.frombuffer(data, self.dtype, int(end[-1])), end.tolist()
+
 
 class _Chunks(dict):
     """chunk -> packed ids, filled on a miss, bounded."""
@@ -96,7 +132,8 @@ class _Chunks(dict):
         if len(self) >= self.limit:
             self.clear()
         if _PLAIN.fullmatch(chunk) and not (self.added and self.added.search(chunk)):
-            ids = b"".join(map(self.pieces.__getitem__, _PIECE.findall(chunk.lower())))
+            # letters alone are one piece
+            ids = self.pieces[chunk.lower()] if chunk.isalpha() else b"".join(map(self.pieces.__getitem__, _PIECE.findall(chunk.lower())))
         else:
             ids = self.pack(self.tok.encode(chunk, add_special_tokens=False).ids)
         self[chunk] = ids

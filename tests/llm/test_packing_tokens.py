@@ -35,6 +35,42 @@ def test_chunked_ids_random(t):
     assert tokens.shared(tokens.default_path()).array(t, 2).tolist() == ids(t)
 
 
+def test_ids_of_many_texts(monkeypatch):
+    """op6's CPU: a chunk is looked up once for many texts; the ids are those of
+    each text alone, however the texts are sliced and whatever the cache holds."""
+    import pyarrow as pa
+    texts = [None, *ODD, *ODD, None, ""]
+    want = [ids(t) for t in texts]
+    for slice_bytes in (1, 40, 8 << 20):
+        monkeypatch.setattr(tokens, "SLICE_BYTES", slice_bytes)
+        for kind in (pa.string(), pa.large_string()):
+            of = tokens.Ids(tokens.default_path(), cache_entries=16)
+            assert [v.tolist() for v in of.arrays(pa.array(texts, kind), 2)] == want
+            assert [v.tolist() for v in of.arrays(pa.array(["dropped", *texts], kind).slice(1), 2)] == want
+            assert list(of.arrays(pa.array([], kind), 2)) == []
+            assert [v.tolist() for v in of.arrays(pa.array([None, None], kind), 2)] == [[2], [2]]
+    of = tokens.Ids(tokens.default_path())
+    asked = []
+
+    class Asked(type(of._chunks)):
+        def __getitem__(self, chunk):
+            asked.append(chunk)
+            return super().__getitem__(chunk)
+    of._chunks.__class__ = Asked
+    list(of.arrays(pa.array(["one two one", "two\none"] * 50), 2))
+    assert sorted(asked) == ["one", "two"]
+    of.by_chunk = False
+    assert [v.tolist() for v in of.arrays(pa.array(texts), 2)] == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.one_of(st.sampled_from("aZé'sS ªµß×ÿ,1²\n\t<|>"), st.characters(codec="utf-8")), max_size=30)), max_size=6))
+def test_ids_of_many_texts_random(texts):
+    import pyarrow as pa
+    of = tokens.shared(tokens.default_path())
+    assert [v.tolist() for v in of.arrays(pa.array(texts, pa.string()), 2)] == [ids(t) for t in texts]
+
+
 def check_pieces(rows, texts):
     """``texts``: list of (doc_id, text); every id in exactly one piece."""
     want = defaultdict(list)
